@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from .bpe import op10_bpe
 from .exact_dedup import OP2_SQL, op2_exact_dedup
+from .packing import op9_packing
 from .sharding import op8_sharding
 
 QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
     "op8_sharding": op8_sharding,
+    "op9_packing": op9_packing,
+    "op10_bpe": op10_bpe,
 }
 
 ORACLE_SQL = {
