@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from .bpe import op10_bpe
+from .chat import op6_chat
 from .exact_dedup import OP2_SQL, op2_exact_dedup
 from .packing import op9_packing
 from .sharding import op8_sharding
+from .toxicity import op7_toxicity
 
 QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
+    "op6_chat": op6_chat,
+    "op7_toxicity": op7_toxicity,
     "op8_sharding": op8_sharding,
     "op9_packing": op9_packing,
     "op10_bpe": op10_bpe,
