@@ -162,7 +162,7 @@ class Scorer:
         words = list(new)
         self.kept.update(zip(words, self.evidence.of_words(words).tolist(), strict=True))
         get = self.kept.__getitem__
-        out = np.zeros((len(texts), 2 + TOP))
+        out = np.zeros((len(split), 2 + TOP))
         for i, words in enumerate(split):
             if words:
                 e = np.fromiter(map(get, words), float, len(words))
