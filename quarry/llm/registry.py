@@ -5,11 +5,13 @@ from __future__ import annotations
 from .bpe import op10_bpe
 from .chat import op6_chat
 from .exact_dedup import OP2_SQL, op2_exact_dedup
+from .minhash import op1_minhash
 from .packing import op9_packing
 from .sharding import op8_sharding
 from .toxicity import op7_toxicity
 
 QUERIES = {
+    "op1_minhash": op1_minhash,
     "op2_exact_dedup": op2_exact_dedup,
     "op6_chat": op6_chat,
     "op7_toxicity": op7_toxicity,
