@@ -8,11 +8,13 @@ from .exact_dedup import OP2_SQL, op2_exact_dedup
 from .minhash import op1_minhash
 from .packing import op9_packing
 from .sharding import op8_sharding
+from .suffix_dedup import op3_suffix_dedup
 from .toxicity import op7_toxicity
 
 QUERIES = {
     "op1_minhash": op1_minhash,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op6_chat": op6_chat,
     "op7_toxicity": op7_toxicity,
     "op8_sharding": op8_sharding,
