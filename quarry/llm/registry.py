@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .ann import op4_ann
 from .bpe import op10_bpe
 from .chat import op6_chat
 from .exact_dedup import OP2_SQL, op2_exact_dedup
@@ -15,6 +16,7 @@ QUERIES = {
     "op1_minhash": op1_minhash,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_suffix_dedup": op3_suffix_dedup,
+    "op4_ann": op4_ann,
     "op6_chat": op6_chat,
     "op7_toxicity": op7_toxicity,
     "op8_sharding": op8_sharding,
