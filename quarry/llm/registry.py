@@ -6,6 +6,7 @@ from .ann import op4_ann
 from .bpe import op10_bpe
 from .chat import op6_chat
 from .exact_dedup import OP2_SQL, op2_exact_dedup
+from .html_extract import op5_html
 from .minhash import op1_minhash
 from .packing import op9_packing
 from .sharding import op8_sharding
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_ann": op4_ann,
+    "op5_html": op5_html,
     "op6_chat": op6_chat,
     "op7_toxicity": op7_toxicity,
     "op8_sharding": op8_sharding,
