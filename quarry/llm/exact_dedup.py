@@ -54,9 +54,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row for each row of `docs`: id, keep_id, group_size, kept, text_sha256.
 
     `keep` says whether the largest ("max") or the smallest ("min") id of a group stays. Null text
-    is empty, and empty texts are equal to each other. Rows with a null id stay in the result:
-    with a null id and, if no other row of the group has an id, a null keep_id; they are never kept
-    in favour of a row that has one. Of rows that repeat an id and text, all say the same.
+    is empty, and empty texts are equal to each other. Rows with a null id are never kept in favour of a row
+    that has one; where none of a group has, keep_id is null and all say kept. Rows that repeat an id and text
+    say the same, so whoever drops rows keeps one of them (`drop_copies`).
     An empty table gives no rows; other columns of `docs` play no part, whatever their names.
     """
     if keep not in ("max", "min"):
@@ -82,12 +82,20 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             F.col("_id").alias(id_col),
             F.when(F.col("_n").isNull(), F.col("_id")).otherwise(F.col("_keep")).alias("keep_id"),
             F.coalesce("_n", F.lit(1)).alias("group_size"),
-            F.when(F.col("_n").isNull(), True).otherwise(F.coalesce(F.col("_id") == F.col("_keep"), F.lit(False))).alias("kept"),
+            F.when(F.col("_n").isNull(), True).otherwise(F.coalesce(F.col("_id") == F.col("_keep"), F.col("_keep").isNull())).alias("kept"),
             F.lower(F.hex("_sha")).alias("text_sha256"),
         )
     )
 
 
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max") -> DataFrame:
+    """The rows of `docs` that stay, with all their columns; one of those that repeat an id and text."""
+    found = exact_dedup(docs, id_col, text_col, keep).where("kept").select(F.col(id_col).alias("_id"), F.unhex("text_sha256").alias("_sha")).distinct()
+    rows = docs.withColumn("_sha", F.unhex(F.sha2(normalised(F.col(text_col)).cast("binary"), 256)))
+    on = rows[id_col].eqNullSafe(found["_id"]) & (rows["_sha"] == found["_sha"])
+    return rows.join(found, on, "left_semi").dropDuplicates([id_col, "_sha"]).drop("_sha")
+
+
 def op2_exact_dedup(spark, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 

@@ -263,20 +263,21 @@ def _cut(texts: DataFrame, with_text: bool) -> DataFrame:
                     kept.append(data[at:s])
                     at = e
                 rest = b"".join([*kept, data[at:]])
-                out.append((sha, sum(e - s for s, e in runs), len(runs), hashlib.sha256(rest).digest(), rest))
+                out.append((sha, sum(e - s for s, e in runs), len(runs), hashlib.sha256(rest).digest(), rest.decode("utf-8", "ignore")))
             cols = list(zip(*out)) or [[]] * 5
-            kinds = [pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-            names = ["sha", "n_removed", "n_spans", "kept_sha", "kept_bytes"]
+            kinds = [pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.string()]
+            names = ["sha", "n_removed", "n_spans", "kept_sha", "kept_text"]
             n = 5 if with_text else 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols[:n], kinds, strict=False)], names=names[:n])
 
-    return texts.select("sha", "text", "starts", "ends").mapInArrow(run, "sha binary, n_removed long, n_spans long, kept_sha binary" + ", kept_bytes binary" * with_text)
+    return texts.select("sha", "text", "starts", "ends").mapInArrow(run, "sha binary, n_removed long, n_spans long, kept_sha binary" + ", kept_text string" * with_text)
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, id_col: str = "doc_id", text_col: str = "text", with_bytes: bool = False) -> DataFrame:
-    """One row for each row of `docs`: id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept_bytes.
+def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
+    """One row for each row of `docs`: id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept_text and text_sha256.
 
-    kept_bytes is null where nothing was removed. Null text is empty. What is removed depends on the text alone, so equal
+    kept_text is null where nothing was removed; bytes of a character that was cut in two are left out of it, though not
+    of kept_sha256. Null text is empty. What is removed depends on the text alone, so equal
     rows, and rows with a null id, fare like any others: all copies of a text of `length` bytes or more go whole, shorter
     texts stay. An empty table gives no rows; other columns are not looked at.
     """
@@ -297,7 +298,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, id_col: st
     sorted_contexts = _contexts(needed, length, k).repartition("h").sortWithinPartitions("h", "right", "left")
     found = store(_covered(sorted_contexts, length, k), "covered").distinct()
     spans = found.groupBy("sha").agg(F.collect_list(F.struct("start", "end")).alias("x")).select("sha", F.col("x.start").alias("starts"), F.col("x.end").alias("ends"))
-    removed = store(_cut(needed.select("sha", "text").join(spans, "sha"), with_bytes), "removed").dropDuplicates(["sha"])
+    removed = store(_cut(needed.select("sha", "text").join(spans, "sha"), with_text), "removed").dropDuplicates(["sha"])
     nothing = hashlib.sha256(b"").hexdigest()
     info = store(removed.join(copied.select("sha", "copies"), "sha", "full"), "info")
     whole = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
@@ -308,9 +309,19 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, id_col: st
         F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
         F.when(whole, F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
         F.when(whole, F.lit(nothing)).otherwise(F.lower(F.hex(F.coalesce("kept_sha", "sha")))).alias("kept_sha256"),
-        *([F.when(whole, F.lit(b"")).otherwise(F.col("kept_bytes")).alias("kept_bytes")] if with_bytes else []),
+        *([F.when(whole, F.lit("")).otherwise(F.col("kept_text")).alias("kept_text"), F.lower(F.hex("sha")).alias("text_sha256")] if with_text else []),
     )
 
 
+def without_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """`docs` with what is repeated taken out of the texts; all rows and columns stay, null texts become empty."""
+    found = remove_repeats(docs, length, k, id_col, text_col, with_text=True).where("n_removed > 0")
+    found = found.select(F.col(id_col).alias("_id"), F.unhex("text_sha256").alias("_sha"), F.coalesce("kept_text", F.lit("")).alias("_kept")).dropDuplicates(["_id", "_sha"])
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.withColumn("_own", F.unhex(F.sha2(text.cast("binary"), 256)))
+    on = rows[id_col].eqNullSafe(found["_id"]) & (rows["_own"] == found["_sha"])
+    return rows.join(found, on, "left").withColumn(text_col, F.coalesce("_kept", text)).select(docs.columns)
+
+
 def op3_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))

@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import table
 
@@ -252,8 +253,8 @@ def training_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS,
     return texts, np.array(toxic, np.int64), share
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of `docs`: id, score (0 to 1), predicted (1 if the score is 0.5 or more).
+def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", carried: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each row of `docs`: id, score (0 to 1), predicted (1 if the score is 0.5 or more), and the columns `carried`.
 
     The score depends on the text only. Null and empty texts have the score of a text without
     evidence; copies of a text have the same score; an empty table gives no rows. Without
@@ -270,10 +271,12 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
             all_texts = [t or "" for t in b.column(1).to_pylist()]
             for k in range(0, len(all_texts), 1000):
                 score = np.r_[score, model.value.probability(scorer.features(all_texts[k : k + 1000]))]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score, pa.float64()), pa.array((score >= 0.5).astype(np.int32))], names=["id", "score", "predicted"])
+            cols = [b.column(0), pa.array(score, pa.float64()), pa.array((score >= 0.5).astype(np.int32)), *b.columns[2:]]
+            yield pa.RecordBatch.from_arrays(cols, names=schema.fieldNames())
 
-    kind = source.schema["doc_id"].dataType.simpleString()
-    return source.mapInArrow(run, f"id {kind}, score double, predicted int").withColumnRenamed("id", id_col)
+    rows = docs.select(F.col(id_col), F.col(text_col).alias("_text"), *carried)
+    schema = T.StructType([T.StructField(id_col, rows.schema[0].dataType), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), *rows.schema[2:]])
+    return rows.mapInArrow(run, schema)
 
 
 def op7_toxicity(spark, sf_dir: str) -> DataFrame:
