@@ -1,8 +1,9 @@
 """Near-duplicate documents: MinHash bands propose pairs, odd sketches sift them, full sets confirm them.
 
-An odd sketch folds the MinHash samples of a document into a bitmap of parities. The exclusive or
-of two bitmaps holds the samples in which the documents differ, so its population count gives
-their similarity, the more exactly the higher it is; and it costs a few words for each document.
+An odd sketch folds a document's bottom-k MinHash sample (its KEPT smallest shingle hashes) into a bitmap of parities.
+The exclusive or of two bitmaps is the sketch of what the samples do not share, so its population count gives
+the similarity, the more exactly the higher it is; a set of at most KEPT shingles is its own sample, and then
+nothing but collisions in the bitmap blurs it. A sketch costs a few words for each document.
 
 Documents with the same set are one class, of which only the one with the smallest id goes on. In a bucket
 of a band, every class is paired with the bucket's smallest. Once the confirmed links have been joined
@@ -24,12 +25,14 @@ from .components import components
 
 SHINGLE, BANDS, ROWS = 5, 32, 4
 SAMPLES = BANDS * ROWS
-SKETCH_BITS = 512
+#: Bits of a sketch, and hashes folded into it.
+SKETCH_BITS, KEPT = 1024, 512
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 75
-#: The most bits in which the sketches of a pair may differ. At a similarity of 0.75 they differ in 57 on
-#: average with a deviation of 9, so a linked pair exceeds this once in ten million.
-MOST_BITS = 105
+#: Deviations by which a pair's sketches may differ more than those of a pair just similar enough.
+MARGIN = 5.0
+#: As many ids are broadcast at most (16 MB); beyond that they are joined by a shuffle.
+MOST_BROADCAST = 2_000_000
 #: Strays of a bucket that are held against its other members at a time.
 BLOCK = 64
 
@@ -70,8 +73,8 @@ def band_keys(m: np.ndarray) -> np.ndarray:
     return mix64((wide * _BAND).sum(1) + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
 
 
-def odd_sketch(m: np.ndarray) -> np.ndarray:
-    bit = mix64(m.astype(np.uint64) << np.uint64(8) | np.arange(SAMPLES, dtype=np.uint64)) % np.uint64(SKETCH_BITS)
+def odd_sketch(s: np.ndarray) -> np.ndarray:
+    bit = s[:KEPT] % np.uint64(SKETCH_BITS)
     return np.packbits((np.bincount(bit.astype(np.int64), minlength=SKETCH_BITS) & 1).astype(np.uint8)).view(np.int64)
 
 
@@ -86,19 +89,30 @@ def _signatures(rows: DataFrame) -> DataFrame:
                 k2.append(int(mix64(s ^ np.uint64(0x9E3779B97F4A7C15)).sum(dtype=np.uint64).view(np.int64)))
                 m = minhash(s) if len(s) else None
                 bands.append(None if m is None else band_keys(m))
-                sketches.append(None if m is None else odd_sketch(m))
+                sketches.append(None if m is None else odd_sketch(s))
             cols = [b.column(0), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(cols, names=["id", "n", "k1", "k2", "bands", "sketch"])
 
     return rows.mapInArrow(run, "id long, n long, k1 long, k2 long, bands array<long>, sketch array<long>")
 
 
-def _bits(x: Column, y: Column) -> Column:
-    """Bits in which two sketches differ."""
-    out = F.lit(0)
+def _alike(x: Column, y: Column, a: Column, b: Column) -> Column:
+    """Whether sketches `x` and `y` of sets of `a` and `b` shingles allow the similarity that a link needs."""
+    bits = F.lit(0)
     for k in range(SKETCH_BITS // 64):
-        out += F.bit_count(x[k].bitwiseXOR(y[k]))
-    return out
+        bits += F.bit_count(x[k].bitwiseXOR(y[k]))
+    a, b = a.cast("double"), b.cast("double")
+    n = float(SKETCH_BITS)
+    shared = (a + b) * (PERCENT / (100.0 + PERCENT))  # of the full sets, at least
+    larger = F.greatest(a, b)
+    share, taken = shared / larger, F.least(F.lit(1.0), KEPT / larger)
+    kept = F.least(a, F.lit(float(KEPT))) + F.least(b, F.lit(float(KEPT)))
+    apart = kept - 2 * shared * taken  # of the samples, on average at most
+    drawn = 4 * larger * taken * share * F.greatest(1 - share, F.lit(0.0)) * (1 - taken)  # variance by sampling
+    gone = F.exp(apart * -2 / n)
+    folded = n / 4 * (1 - F.exp(apart * float(np.log1p(-4 / n)))) + n * n / 4 * (F.exp(apart * float(np.log1p(-4 / n))) - F.exp(apart * (2 * float(np.log1p(-2 / n)))))
+    most = n / 2 * (1 - gone) + MARGIN * F.sqrt(F.greatest(folded, F.lit(0.0)) + gone * gone * drawn) + 3
+    return (shared <= F.least(a, b)) & (bits <= most)
 
 
 def _confirmed(pairs: DataFrame, rows: DataFrame) -> DataFrame:
@@ -120,7 +134,9 @@ def _confirmed(pairs: DataFrame, rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).take(pa.array(keep, pa.int64()))
 
     pairs = store(pairs, "pairs")
-    needed = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    needed = store(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "needed")
+    if needed.count() <= MOST_BROADCAST:
+        needed = F.broadcast(needed)
     # a repeated id can only have the same text here: classes of other texts have other smallest ids
     held = store(rows.join(needed, "id", "left_semi").mapInArrow(sets, "id long, s binary").dropDuplicates(["id"]), "sets")
     with_a = pairs.join(held.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
@@ -141,18 +157,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = store(linked.groupBy("k1", "k2", "n").agg(F.min("id").alias("rep"), F.count("*").alias("copies")).where("copies > 1"), "classes").select("k1", "k2", "n", "rep")
     members = store(signed.select("id", "n", "k1", "k2").join(classes, ["k1", "k2", "n"], "left").select("id", "n", F.when(F.col("n") > 0, F.coalesce("rep", "id")).otherwise(F.col("id")).alias("rep")), "members")
     reps = signed.join(classes, ["k1", "k2", "n"], "left").where("n > 0 and id is not null and (rep is null or rep = id)")
-    sketches = store(reps.select("id", "sketch", "bands"), "sketches")
+    sketches = store(reps.select("id", "n", "sketch", "bands"), "sketches")
 
     banded = sketches.select(F.explode("bands").alias("key"), F.col("id").alias("rep"))
     buckets = banded.groupBy("key").agg(F.min("rep").alias("center"), F.max("rep").alias("last")).where("center != last").select("key", "center")
     hits = store(banded.join(buckets, "key"), "hits")
 
     def sketch_of(name: str) -> DataFrame:
-        return sketches.select(F.col("id").alias(name), F.col("sketch").alias(f"sketch_{name}"))
+        return sketches.select(F.col("id").alias(name), F.col("sketch").alias(f"sketch_{name}"), F.col("n").alias(f"n_{name}"))
 
     stars = hits.where("rep != center").select(F.col("center").alias("a"), F.col("rep").alias("b")).distinct()
     stars = store(stars, "stars")
-    sifted = stars.join(sketch_of("b"), "b").join(sketch_of("a"), "a").where(_bits(F.col("sketch_a"), F.col("sketch_b")) <= MOST_BITS).select("a", "b")
+    sifted = stars.join(sketch_of("b"), "b").join(sketch_of("a"), "a").where(_alike(*map(F.col, ("sketch_a", "sketch_b", "n_a", "n_b")))).select("a", "b")
     links = _confirmed(sifted, rows)
     labels = components(links)
 
@@ -161,10 +177,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed = store(placed, "placed")
     strays = placed.where("strays").join(sketch_of("rep"), "rep")
     blocks = placed.where("strays").groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    blocked = strays.join(blocks, "key").groupBy("key", F.pmod(F.xxhash64("rep"), F.col("blocks")).alias("block")).agg(F.collect_set(F.struct("rep", "component", F.col("sketch_rep").alias("sketch"))).alias("held"))
-    others = placed.join(blocks.select("key"), "key", "left_semi").join(sketch_of("rep"), "rep").select("key", "rep", "component", "sketch_rep")
+    blocked = strays.join(blocks, "key").groupBy("key", F.pmod(F.xxhash64("rep"), F.col("blocks")).alias("block")).agg(F.collect_set(F.struct("rep", "component", F.col("sketch_rep").alias("sketch"), F.col("n_rep").alias("n"))).alias("held"))
+    others = placed.join(blocks.select("key"), "key", "left_semi").join(sketch_of("rep"), "rep").select("key", "rep", "component", "sketch_rep", "n_rep")
     near = others.join(blocked, "key").select(
-        "rep", F.explode(F.filter("held", lambda x: (x.component != F.col("component")) & (_bits(x.sketch, F.col("sketch_rep")) <= MOST_BITS))).alias("x")
+        "rep", F.explode(F.filter("held", lambda x: (x.component != F.col("component")) & _alike(x.sketch, F.col("sketch_rep"), x.n, F.col("n_rep")))).alias("x")
     )
     crossing = near.select(F.least("rep", "x.rep").alias("a"), F.greatest("rep", "x.rep").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
     crossing = store(crossing, "crossing")
