@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # What a token looks like outside CJK text, and how long it is at least.
 TOKEN = r"[a-zA-Z0-9]+(?:\.[0-9]+)?%?"
@@ -46,7 +47,7 @@ def _cut_cjk(text: str) -> list[str]:
         return [w for w in out if len(w) >= SHORTEST]
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def cjk_tokens(texts: pd.Series) -> pd.Series:
     """Tokens of texts with CJK words: a dictionary segmenter if one is installed, else pairs of characters."""
     return texts.fillna("").map(_cut_cjk)

@@ -12,14 +12,15 @@ from pyspark.sql import types as T
 
 _roots: dict[str, str] = {}
 
-DOCUMENTS = T.StructType.fromDDL(
+# The tables of the engine, as DDL: parsing it needs a session.
+DOCUMENTS = (
     "doc_id long, title string, content string, url string, source_type string, doc_metadata map<string,string>, doc_length int, "
     "images array<struct<url: string, base64_data: string, alt_text: string, width: int, height: int>>, created_at timestamp, updated_at timestamp"
 )
-POSTINGS = T.StructType.fromDDL("term string, doc_id long, tf long, positions array<int>")
-TERMS = T.StructType.fromDDL("term string, doc_frequency long, total_frequency long")
-EMBEDDINGS = T.StructType.fromDDL("doc_id long, embedding array<float>")
-SEARCH_LOG = T.StructType.fromDDL("id long, user_id long, query string, ts timestamp")
+POSTINGS = "term string, doc_id long, tf long, positions array<int>"
+TERMS = "term string, doc_frequency long, total_frequency long"
+EMBEDDINGS = "doc_id long, embedding array<float>"
+SEARCH_LOG = "id long, user_id long, query string, ts timestamp"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,7 +43,7 @@ def keep(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def overwrite_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def overwrite_empty(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """Clear a table: an empty one of the same schema takes its place."""
     spark.createDataFrame([], schema).write.mode("overwrite").parquet(path)
     return spark.read.schema(schema).parquet(path)
