@@ -155,7 +155,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     signed = store(_signatures(rows), "signatures")
     linked = signed.where("n > 0 and id is not null")
     classes = store(linked.groupBy("k1", "k2", "n").agg(F.min("id").alias("rep"), F.count("*").alias("copies")).where("copies > 1"), "classes").select("k1", "k2", "n", "rep")
-    members = store(signed.select("id", "n", "k1", "k2").join(classes, ["k1", "k2", "n"], "left").select("id", "n", F.when(F.col("n") > 0, F.coalesce("rep", "id")).otherwise(F.col("id")).alias("rep")), "members")
+    members = store(signed.select("id", "n", "k1", "k2").join(classes, ["k1", "k2", "n"], "left").select("id", "n", F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.coalesce("rep", "id")).otherwise(F.col("id")).alias("rep")), "members")
     reps = signed.join(classes, ["k1", "k2", "n"], "left").where("n > 0 and id is not null and (rep is null or rep = id)")
     sketches = store(reps.select("id", "n", "sketch", "bands"), "sketches")
 
