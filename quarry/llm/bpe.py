@@ -56,10 +56,14 @@ class Vocabulary:
         symbols = byte_symbols()
         to_byte = {c: b for b, c in enumerate(symbols)}
         self.first = [ids[c] for c in symbols]
-        self.merges: dict[int, tuple[int, int]] = {}
+        #: left id, right id and merged id of each rank; the rank of each pair, by left and then right id
+        self.merges: list[tuple[int, int, int]] = []
+        self.ranks: list[dict[int, int]] = [{} for _ in range(max(ids.values()) + 1)]
         for rank, pair in enumerate(spec["model"]["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
-            self.merges.setdefault(ids[a] << 32 | ids[b], (rank, ids[a + b]))
+            self.merges.append((ids[a], ids[b], ids[a + b]))
+            self.ranks[ids[a]].setdefault(ids[b], rank)
+        self.byte_ranks = np.array([[self.ranks[a].get(b, -1) for b in self.first] for a in self.first], np.int32)
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens") or []}
         self.bytes = [b""] * (max([*ids.values(), *self.special.values()]) + 1)
         for token, i in ids.items():
@@ -69,36 +73,34 @@ class Vocabulary:
         self.cut_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
 
-def merge_pretokens(vocab: Vocabulary, pretokens: list[bytes]) -> list[list[int]]:
-    """The ids of each pre-token, all merged through one pair occurrence index."""
-    first, merges = vocab.first, vocab.merges
-    symbols: list[int] = []
-    after: list[int] = []  # position of the next symbol, or -1 at a pre-token's end
-    before: list[int] = []
-    starts: list[int] = []
-    index: dict[int, list[int]] = {}
-    for word in pretokens:
-        at = len(symbols)
-        starts.append(at)
-        symbols += [first[b] for b in word]
-        n = len(word)
-        after += range(at + 1, at + n)
-        after.append(-1)
-        before.append(-1)
-        before += range(at, at + n - 1)
-        for i in range(at, at + n - 1):
-            pair = symbols[i] << 32 | symbols[i + 1]
-            if pair in index:
-                index[pair].append(i)
-            elif pair in merges:
-                index[pair] = [i]
-    heap = [(merges[p][0], p) for p in index]
-    heapq.heapify(heap)
+def merge_pretokens(vocab: Vocabulary, pretokens: list[bytes]) -> list[bytes]:
+    """The ids of each pre-token (little-endian, 32 bits), all merged through one pair occurrence index."""
+    data = np.frombuffer(b"".join(pretokens), np.uint8)
+    if not len(data):
+        return [b""] * len(pretokens)
+    ends = np.cumsum(np.fromiter(map(len, pretokens), np.int64, len(pretokens)))
+    starts = np.r_[0, ends[:-1]]
+    symbols = np.array(vocab.first)[data].tolist()
+    # the next and the previous symbol's position, -1 at the ends of a pre-token
+    after, before = np.arange(1, len(data) + 1), np.arange(-1, len(data) - 1)
+    after[ends - 1] = -1
+    before[starts[starts < len(data)]] = -1
+    after, before = after.tolist(), before.tolist()
+    ranked = np.r_[vocab.byte_ranks[data[:-1], data[1:]], -1]
+    ranked[ends - 1] = -1
+    places = np.flatnonzero(ranked >= 0)
+    places = places[np.argsort(ranked[places], kind="stable")]
+    active, first = np.unique(ranked[places], return_index=True)
+    bounds = [*first.tolist(), len(places)]
+    heap, places = active.tolist(), places.tolist()  # ascending, so a heap already
+    index = {r: places[bounds[k] : bounds[k + 1]] for k, r in enumerate(heap)}
+    ranks, pop, push = vocab.ranks, heapq.heappop, heapq.heappush
     while heap:
-        _, pair = heapq.heappop(heap)
-        places = index.pop(pair)
+        rank = pop(heap)
+        places = index.pop(rank)
         places.sort()
-        left, right, merged = pair >> 32, pair & 0xFFFFFFFF, merges[pair][1]
+        left, right, merged = vocab.merges[rank]
+        onward = ranks[merged].get
         for i in places:
             j = after[i]
             if j < 0 or symbols[i] != left or symbols[j] != right:
@@ -107,28 +109,27 @@ def merge_pretokens(vocab: Vocabulary, pretokens: list[bytes]) -> list[list[int]
             symbols[i], symbols[j], after[i], after[j] = merged, -1, k, -1
             if k >= 0:
                 before[k] = i
-                new = merged << 32 | symbols[k]
-                if new in index:
-                    index[new].append(i)
-                elif new in merges:
-                    index[new] = [i]
-                    heapq.heappush(heap, (merges[new][0], new))
+                new = onward(symbols[k])
+                if new is not None:
+                    if new in index:
+                        index[new].append(i)
+                    else:
+                        index[new] = [i]
+                        push(heap, new)
             h = before[i]
             if h >= 0:
-                new = symbols[h] << 32 | merged
-                if new in index:
-                    index[new].append(h)
-                elif new in merges:
-                    index[new] = [h]
-                    heapq.heappush(heap, (merges[new][0], new))
-    out = []
-    for at in starts:
-        ids = []
-        while at >= 0:
-            ids.append(symbols[at])
-            at = after[at]
-        out.append(ids)
-    return out
+                new = ranks[symbols[h]].get(merged)
+                if new is not None:
+                    if new in index:
+                        index[new].append(h)
+                    else:
+                        index[new] = [h]
+                        push(heap, new)
+    final = np.array(symbols)
+    left_over = final >= 0
+    upto = np.r_[0, np.cumsum(left_over)] * 4
+    raw = final[left_over].astype("<u4").tobytes()
+    return [raw[a:b] for a, b in zip(upto[starts].tolist(), upto[ends].tolist(), strict=True)]
 
 
 class ChunkEncoder:
@@ -142,12 +143,13 @@ class ChunkEncoder:
 
     def encode_chunks(self, chunks: list[str]) -> list[bytes]:
         """The ids of chunks that have not been met; their pre-tokens go through one pair index."""
-        cut = [self.cut.findall(c) for c in chunks]
+        # letters alone, with or without a space before them, are one pre-token
+        cut = [[c] if c.isalpha() or (c[:1] == " " and c[1:].isalpha()) else self.cut.findall(c) for c in chunks]
         if len(self.words) > KEPT_WORDS:
             self.words.clear()
         ids = self.words
         new = list({w: None for c in cut for w in c if w not in ids})
-        ids.update((w, np.array(x, "<u4").tobytes()) for w, x in zip(new, merge_pretokens(self.vocab, [w.encode() for w in new]), strict=True))
+        ids.update(zip(new, merge_pretokens(self.vocab, [w.encode() for w in new]), strict=True))
         return [b"".join([ids[w] for w in c]) for c in cut]
 
     def parts(self, text: str) -> list[str]:
@@ -248,11 +250,12 @@ def op10_bpe(spark, sf_dir: str) -> DataFrame:
 
     def run(batches):
         enc = encoder(path)
+        decimal = list(map(str, range(len(enc.vocab.bytes)))).__getitem__
         for b in batches:
             n, ids_sha, text_sha = [], [], []
             for ids in enc.encode([t or "" for t in b.column(1).to_pylist()]):
                 n.append(len(ids))
-                ids_sha.append(hashlib.sha256(",".join(map(str, ids.tolist())).encode()).hexdigest())
+                ids_sha.append(hashlib.sha256(",".join(map(decimal, ids.tolist())).encode()).hexdigest())
                 text_sha.append(hashlib.sha256(enc.decode(ids).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 

@@ -34,7 +34,7 @@ class LibraryEncoder(ChunkEncoder):
 
     def __init__(self, vocab):
         super().__init__(vocab)
-        ranked = all(m - rank == 256 for rank, m in vocab.merges.values())
+        ranked = all(m - rank == 256 for rank, (_, _, m) in enumerate(vocab.merges))
         if ranked:  # then ids are ranks, and tiktoken gives the same ids, only sooner
             special = set(vocab.special.values())
             own = tiktoken.Encoding("packing", pat_str=PRETOKENS, mergeable_ranks={b: i for i, b in enumerate(vocab.bytes) if i not in special}, special_tokens={})
