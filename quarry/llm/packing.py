@@ -1,7 +1,7 @@
 """Packing token pieces into windows by multiway differencing (Karmarkar and Karp).
 
-A document's ids and an end id are cut into pieces: whole windows first, then a rest in nearly
-equal pieces of a bounded length. Pieces are dealt at random into groups of bounded size; in each,
+A document's ids and an end id are cut into pieces: whole windows first, then of what is left a half, a quarter and an
+eighth of a window where they fit, and the rest as it is. Pieces are dealt at random into groups of bounded size; in each,
 partial partitions are merged two at a time, those with the largest spread first, heaviest
 window on lightest. If a window then holds more than its capacity, the group is done again with one
 window more.
@@ -25,8 +25,8 @@ from .bpe import PRETOKENS, ChunkEncoder, encoder
 from .common import store, table
 
 CAPACITY, END_ID = 2048, 1
-#: The longest piece of a rest, and how many pieces share a group, about.
-REST_PIECE, PIECES_A_GROUP = 512, 1500
+#: The shortest of the halved pieces, and how many pieces share a group, about.
+LEAST_HALF, PIECES_A_GROUP = 256, 1500
 
 
 class LibraryEncoder(ChunkEncoder):
@@ -50,17 +50,20 @@ class LibraryEncoder(ChunkEncoder):
         return [np.array(self.library(c), "<u4").tobytes() for c in chunks]
 
 
-def cut(tokens: int, capacity: int, rest_piece: int) -> list[tuple[int, int]]:
-    """(start, length) of the pieces of a document of so many tokens."""
-    whole = tokens // capacity
-    out = [(k * capacity, capacity) for k in range(whole)]
-    rest = tokens - whole * capacity
-    n = -(-rest // rest_piece)
-    at = whole * capacity
-    for k in range(n):
-        length = rest // n + (k < rest % n)
-        out.append((at, length))
-        at += length
+def cut(tokens: int, capacity: int, least_half: int) -> list[tuple[int, int]]:
+    """(start, length) of the pieces of a document of so many tokens.
+
+    Halved pieces fit each other, and the rests, of all lengths below the shortest, level them out.
+    """
+    out = [(k * capacity, capacity) for k in range(tokens // capacity)]
+    at, length = len(out) * capacity, capacity // 2
+    while length >= least_half:
+        if tokens - at >= length:
+            out.append((at, length))
+            at += length
+        length //= 2
+    if at < tokens:
+        out.append((at, tokens - at))
     return out
 
 
@@ -113,7 +116,7 @@ def pack(sizes: np.ndarray, capacity: int) -> np.ndarray:
         windows += 1
 
 
-def piece_rows(docs: DataFrame, path: str, capacity: int, end_id: int, rest_piece: int, id_col: str, text_col: str, with_ids: bool) -> DataFrame:
+def piece_rows(docs: DataFrame, path: str, capacity: int, end_id: int, least_half: int, id_col: str, text_col: str, with_ids: bool) -> DataFrame:
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
@@ -124,7 +127,7 @@ def piece_rows(docs: DataFrame, path: str, capacity: int, end_id: int, rest_piec
             for i, ids in enumerate(enc.encode([t or "" for t in b.column(1).to_pylist()])):
                 ids = np.concatenate([ids, end])
                 raw = ids.tobytes()
-                for s, n in cut(len(ids), capacity, rest_piece):
+                for s, n in cut(len(ids), capacity, least_half):
                     doc.append(i)
                     start.append(s)
                     length.append(n)
@@ -138,16 +141,16 @@ def piece_rows(docs: DataFrame, path: str, capacity: int, end_id: int, rest_piec
     return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids)
 
 
-def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, rest_piece: int = REST_PIECE, pieces_a_group: int = PIECES_A_GROUP, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, least_half: int = LEAST_HALF, pieces_a_group: int = PIECES_A_GROUP, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and, if asked for, ids.
 
     Null text is empty: a piece of the end id alone. Null ids of documents are kept. Rows that
     repeat a document are packed as often as they come. Very long texts become whole windows and a
     rest. An empty table gives no rows; other columns of `docs` are not looked at.
     """
-    if not 0 < rest_piece <= capacity:
-        raise ValueError("a piece must fit into a window")
-    pieces = store(piece_rows(docs, path, capacity, end_id, rest_piece, id_col, text_col, with_ids), "pieces")
+    if least_half < 1 or capacity < 1:
+        raise ValueError("lengths must be positive")
+    pieces = store(piece_rows(docs, path, capacity, end_id, least_half, id_col, text_col, with_ids), "pieces")
     rests = pieces.where(F.col("length") < capacity).count()
     groups = max(1, -(-rests // pieces_a_group))
     # the stored files fix the row numbers, so a task that runs again deals its rows as before

@@ -216,7 +216,7 @@ def test_differencing():
 def test_packing(spark, library):
     rows = [(i, f"document number {i} " + "word " * (i * 37 % 900)) for i in range(60)] + [(100, None), (101, ""), (102, "long " * 9000), (None, "no id"), (7, "again"), (7, "again")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("start", "length", "_group", "sequence_id")})
-    out = packing.pack_documents(df, PATH, capacity=256, rest_piece=64, pieces_a_group=100, with_ids=True).toPandas()
+    out = packing.pack_documents(df, PATH, capacity=256, least_half=32, pieces_a_group=100, with_ids=True).toPandas()
     want = sorted((i if i is not None else -1, tuple(library.encode(t or "", add_special_tokens=False).ids + [1])) for i, t in rows)
     for _, g in out.groupby("sequence_id"):
         g = g.sort_values("offset")
