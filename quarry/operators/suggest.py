@@ -31,11 +31,10 @@ def fuzzy(keywords: DataFrame, typed: str, limit: int = LIMIT, most_edits: int =
     typed = typed.strip().lower()
     nearest = _words(keywords).select("keyword", "count", F.levenshtein("word", F.lit(typed), most_edits).alias("d")).where("d >= 0")
     nearest = nearest.groupBy("keyword", "count").agg(F.greatest(F.min("d"), F.lit(1)).alias("least"))
-    at = []
-    for d in range(1, most_edits + 1):
-        # within d edits, the most frequent: bounded by the limit, so the rest runs on a few rows
-        at.append(nearest.where(F.col("least") <= d).orderBy(F.desc("count"), "keyword").limit(2 * limit).select("keyword", "count", F.lit(d).alias("distance")))
-    met = reduce(DataFrame.unionByName, at).groupBy("keyword", "count").agg(F.min("distance").alias("distance"))
+    # within d edits, the most frequent: bounded by the limit, so the rest runs on a few rows
+    tried = nearest.withColumn("distance", F.explode(F.sequence("least", F.lit(most_edits))))
+    place = F.row_number().over(Window.partitionBy("distance").orderBy(F.desc("count"), "keyword"))
+    met = tried.withColumn("place", place).where(F.col("place") <= 2 * limit).groupBy("keyword", "count").agg(F.min("distance").alias("distance"))
     reached = met.groupBy("distance").agg(F.count("*").alias("n"))
     before = reached.select(F.col("distance").alias("d"), F.sum("n").over(Window.orderBy("distance").rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("so_far"))
     stop = before.where(F.col("so_far") >= limit).agg(F.coalesce(F.min("d"), F.lit(most_edits)).alias("stop"))
