@@ -175,13 +175,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     label_of = lambda name: labels.select(F.col("node").alias(name), F.col("component").alias(f"label_{name}"))
     placed = hits.join(label_of("rep"), "rep", "left").join(label_of("center"), "center", "left").select("key", "rep", F.coalesce("label_rep", "rep").alias("component"), (F.coalesce("label_rep", "rep") != F.coalesce("label_center", "center")).alias("strays"))
     placed = store(placed, "placed")
-    strays = placed.where("strays").join(sketch_of("rep"), "rep")
+    told = sketches.select(F.col("id").alias("rep"), F.struct("sketch", "n", "bands").alias("own"))
+    strays = placed.where("strays").join(told, "rep")
     blocks = placed.where("strays").groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    blocked = strays.join(blocks, "key").groupBy("key", F.pmod(F.xxhash64("rep"), F.col("blocks")).alias("block")).agg(F.collect_set(F.struct("rep", "component", F.col("sketch_rep").alias("sketch"), F.col("n_rep").alias("n"))).alias("held"))
-    others = placed.join(blocks.select("key"), "key", "left_semi").join(sketch_of("rep"), "rep").select("key", "rep", "component", "sketch_rep", "n_rep")
-    near = others.join(blocked, "key").select(
-        "rep", F.explode(F.filter("held", lambda x: (x.component != F.col("component")) & _alike(x.sketch, F.col("sketch_rep"), x.n, F.col("n_rep")))).alias("x")
-    )
+    blocked = strays.join(blocks, "key").groupBy("key", F.pmod(F.xxhash64("rep"), F.col("blocks")).alias("block")).agg(F.collect_set(F.struct("rep", "component", "own")).alias("held"))
+    others = placed.join(blocks.select("key"), "key", "left_semi").join(told, "rep").select("rep", "key", "component", "own")
+
+    def crosses(x: Column) -> Column:
+        """A pair to be tested, at the first of the buckets that it shares."""
+        alike = _alike(x.own.sketch, F.col("own.sketch"), x.own.n, F.col("own.n"))
+        return (x.component != F.col("component")) & alike & (F.get(F.array_intersect(x.own.bands, F.col("own.bands")), F.lit(0)) == F.col("key"))
+
+    near = others.join(blocked, "key").select("rep", F.explode(F.filter("held", crosses)).alias("x"))
     crossing = near.select(F.least("rep", "x.rep").alias("a"), F.greatest("rep", "x.rep").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
     crossing = store(crossing, "crossing")
     if not crossing.isEmpty():
