@@ -15,8 +15,9 @@ EXCLUDED_EXTENSIONS = [
     ".css", ".js", ".json", ".xml",
 ]
 EXCLUDED = r"\.(" + "|".join(e[1:] for e in EXCLUDED_EXTENSIONS) + ")$"
-IMAGE_EXTENSIONS = r"\.(jpg|jpeg|png|gif|webp|bmp)"
-IMAGE_NOT = "icon|logo|favicon|sprite|pixel"
+# What an image's address holds, and what it must not hold.
+IMAGE_EXTENSIONS = [".jpg", ".jpeg", ".png", ".gif", ".webp"]
+IMAGE_NOT = ["icon", "logo", "favicon", "sprite", "pixel"]
 
 
 def _part(url: Column, group: int) -> Column:
@@ -68,4 +69,4 @@ def resolve(base: Column, href: Column) -> Column:
 def is_image(url: Column) -> Column:
     """Holds an image extension anywhere, and none of the names that icons and counters have."""
     low = F.lower(url)
-    return low.rlike(IMAGE_EXTENSIONS) & ~low.rlike(IMAGE_NOT)
+    return low.rlike(r"\.(" + "|".join(e[1:] for e in IMAGE_EXTENSIONS) + ")") & ~low.rlike("|".join(IMAGE_NOT))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from functools import reduce
@@ -33,9 +34,18 @@ def working_dir(spark: SparkSession) -> str:
     if app not in _roots:
         base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quarry-")
         _roots[app] = f"{base.rstrip('/')}/quarry-{uuid.uuid4().hex}"
+        atexit.register(_remove, spark, _roots[app])
     return _roots[app]
 
 
+def _remove(spark: SparkSession, root: str) -> None:
+    try:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception:  # the session has ended; the folder's owner cleans up
+        pass
+
+
 def keep(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """Write a derived table once and read it from there; `by` sorts it so that row groups can be skipped."""
     path = f"{working_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex[:8]}"

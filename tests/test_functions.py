@@ -81,3 +81,8 @@ def test_vectors(spark):
     assert abs(one(spark, vectors.cosine(v(1.0, 0.0), v(1.0, 1.0)), x=1) - 0.5**0.5) < 1e-12
     assert one(spark, vectors.cosine(v(0.0, 0.0), v(1.0, 1.0)), x=1) is None
     assert one(spark, vectors.unit(v(0.0, 0.0)), x=1) == [0.0, 0.0]
+
+
+def test_image_addresses(spark):
+    for u, want in (("https://x/p.PNG?w=1", True), ("https://x/favicon.png", False), ("https://x/p.bmp", False), ("https://x/page", False)):
+        assert one(spark, urls.is_image(F.col("u")), u=u) is want
