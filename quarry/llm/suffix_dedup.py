@@ -12,9 +12,9 @@ what precedes them; where that differs, the left extension ends. Occurrences tha
 the left with L + R >= LENGTH are a maximal repeat group: each of them, not only neighbours in the array, is covered
 from L before to R after its anchor.
 
-A common line can give an anchor that very many texts share without sharing LENGTH bytes. Of two occurrences that do, either
-what follows or what precedes agrees over LENGTH / 2 bytes, so an anchor with over CROWD occurrences is
-split by both halves: its occurrences are dealt by a hash of each, and those that are alone on both sides go.
+Lines and passages that very many texts share give anchors with the same surroundings again and again. Of those that
+agree in all that is looked at, two stand for the rest in each task, before anything is exchanged: the rest are covered as far
+as can be, and as partners of others the two do as well.
 """
 
 from __future__ import annotations
@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 from .common import mix64, store, table
 
 LENGTH, K = 400, 64
-#: Occurrences above which an anchor is split.
-CROWD = 1000
+#: Surroundings that a task remembers (a bound of its memory: beyond it, more than two may be sent on).
+MOST_MET = 400_000
 #: Bytes of text whose hashes are computed together.
 SLICE = 1 << 20
 
@@ -117,51 +117,43 @@ def _scanned(rows: DataFrame, length: int, k: int) -> DataFrame:
     return rows.mapInArrow(run, "id long, n_bytes long, sha binary, at array<int>, h array<long>")
 
 
-def _halves(texts: DataFrame, length: int) -> DataFrame:
-    """(sha, at, key) twice for each crowded anchor: a hash of the half window after it, and of that before it."""
-    half = length // 2
-
-    def run(batches):
-        for b in batches:
-            out = []
-            for sha, text, at, crowded in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                data = text.encode()
-                for p, c in zip(at, crowded, strict=True):
-                    if c and p + half <= len(data):
-                        out.append((sha, p, xxhash.xxh3_64_intdigest(data[p : p + half], 1) - (1 << 63)))
-                    if c and p >= half:
-                        out.append((sha, p, xxhash.xxh3_64_intdigest(data[p - half : p + 1], 2) - (1 << 63)))
-            cols = list(zip(*out)) or [[]] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.binary(), pa.int32(), pa.int64()), strict=True)], names=["sha", "at", "h"])
-
-    return texts.select("sha", "text", "at", "crowded").mapInArrow(run, "sha binary, at int, h long")
-
-
 def _contexts(texts: DataFrame, length: int, k: int) -> DataFrame:
-    """What follows each repeated anchor, and what precedes it, backwards."""
+    """What follows each repeated anchor, and what precedes it, backwards.
+
+    From the third on, occurrences that agree with others of the task come as a span (start, end) instead.
+    """
 
     def run(batches):
+        met: dict[tuple[int, int], int] = {}
         for b in batches:
-            cols = {n: [] for n in ("h", "sha", "at", "right", "left")}
+            cols = {n: [] for n in _CONTEXT}
             for sha, text, at, hs in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 data = text.encode()
                 for p, h in zip(at, hs, strict=True):
-                    cols["h"].append(h)
-                    cols["sha"].append(sha)
-                    cols["at"].append(p)
-                    cols["right"].append(data[p : p + length])
-                    cols["left"].append(data[max(0, p - length + k) : p][::-1])
+                    first, last = max(0, p - length + k), min(len(data), p + length)
+                    around = (xxhash.xxh3_128_intdigest(data[first:last], p - first), h)
+                    seen = met[around] = met.get(around, 0) + 1
+                    if seen <= 2:
+                        row = (h, sha, p, data[p:last], data[first:p][::-1], None, None)
+                    else:
+                        row = (int.from_bytes(sha[:8], "little", signed=True), sha, p, None, None, first, last)
+                    for n, v in zip(cols, row, strict=True):
+                        cols[n].append(v)
                 if len(cols["h"]) > 5000:
                     yield _columns(cols)
                     cols = {n: [] for n in cols}
+                if len(met) > MOST_MET:
+                    met.clear()
             yield _columns(cols)
 
-    return texts.select("sha", "text", "at", "h").mapInArrow(run, "h long, sha binary, at int, right binary, left binary")
+    return texts.select("sha", "text", "at", "h").mapInArrow(run, "h long, sha binary, at int, right binary, left binary, start long, end long")
+
+
+_CONTEXT = {"h": pa.int64(), "sha": pa.binary(), "at": pa.int32(), "right": pa.binary(), "left": pa.binary(), "start": pa.int64(), "end": pa.int64()}
 
 
 def _columns(cols: dict) -> pa.RecordBatch:
-    kinds = {"h": pa.int64(), "sha": pa.binary(), "at": pa.int32(), "right": pa.binary(), "left": pa.binary()}
-    return pa.RecordBatch.from_arrays([pa.array(v, kinds[n]) for n, v in cols.items()], names=list(cols))
+    return pa.RecordBatch.from_arrays([pa.array(v, _CONTEXT[n]) for n, v in cols.items()], names=list(cols))
 
 
 def _matrix(rows: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -239,7 +231,10 @@ def _covered(contexts: DataFrame, length: int, k: int) -> DataFrame:
         held: list[tuple] = []
         for b in batches:
             rows = list(zip(*(c.to_pylist() for c in b.columns), strict=True))
-            held += rows
+            known = [r for r in rows if r[6] is not None]
+            if known:
+                yield batch([r[1] for r in known], [r[5] for r in known], [r[6] for r in known])
+            held += [r for r in rows if r[6] is None]
             last = held[-1][0] if held else None
             done = len(held)
             while done and held[done - 1][0] == last:
@@ -262,6 +257,9 @@ def _covered(contexts: DataFrame, length: int, k: int) -> DataFrame:
                     start.append(rows[i + m][2] - int(lo[m]))
                     end.append(rows[i + m][2] + int(ro[m]))
             i = j
+        return batch(sha, start, end)
+
+    def batch(sha: list, start: list, end: list) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(sha, pa.binary()), pa.array(start, pa.int64()), pa.array(end, pa.int64())], names=["sha", "start", "end"])
 
     return contexts.mapInArrow(run, "sha binary, start long, end long")
@@ -300,7 +298,7 @@ def _cut(texts: DataFrame, with_text: bool) -> DataFrame:
     return texts.select("sha", "text", "starts", "ends").mapInArrow(run, "sha binary, n_removed long, n_spans long, kept_sha binary" + ", kept_text string" * with_text)
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, crowd: int = CROWD, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """One row for each row of `docs`: id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept_text and text_sha256.
 
     kept_text is null where nothing was removed; bytes of a character that was cut in two are left out of it, though not
@@ -317,18 +315,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, crowd: int
     copied = texts.where("copies > 1")
     single = scanned.where(F.size("at") > 0).join(copied.select("sha", F.col("id").alias("rep")), "sha", "left").where("rep is null or rep <=> id").select("sha", "id", "at", "h").dropDuplicates(["sha"])
     placed = store(single.select("sha", "id", F.explode(F.arrays_zip("at", "h")).alias("x")).select("sha", "id", "x.at", "x.h"), "anchors")
-    repeated = store(placed.groupBy("h").count().where("count > 1").select("h", (F.col("count") > crowd).alias("crowded")), "repeated")
-    per_text = placed.join(repeated, "h").groupBy("sha", "id").agg(F.collect_list(F.struct("at", "h", "crowded")).alias("x")).select(F.col("sha").alias("want"), "id", "x.at", "x.h", "x.crowded")
+    repeated = store(placed.groupBy("h").count().where("count > 1").select("h"), "repeated")
+    per_text = placed.join(repeated, "h", "left_semi").groupBy("sha", "id").agg(F.collect_list(F.struct("at", "h")).alias("x")).select(F.col("sha").alias("want"), "id", "x.at", "x.h")
     per_text = store(per_text, "per_text")
     same = F.unhex(F.sha2(F.col("text").cast("binary"), 256)) == F.col("want")
-    needed = store(rows.join(per_text.hint("shuffle_hash"), rows["id"].eqNullSafe(per_text["id"])).where(same).select(F.col("want").alias("sha"), "text", "at", "h", "crowded"), "needed")
-    plain = F.filter(F.arrays_zip("at", "h", "crowded"), lambda x: ~x.crowded)
-    contexts = _contexts(needed.select("sha", "text", plain.alias("x")).select("sha", "text", "x.at", "x.h"), length, k)
-    halves = store(_halves(needed, length).distinct(), "halves")
-    shared = store(halves.groupBy("h").count().where("count > 1").select("h"), "shared")
-    split = halves.join(shared, "h", "left_semi").groupBy("sha").agg(F.collect_list(F.struct("at", "h")).alias("x")).select("sha", "x.at", "x.h")
-    contexts = contexts.unionByName(_contexts(needed.select("sha", "text").join(split, "sha"), length, k))
-    sorted_contexts = contexts.repartition("h").sortWithinPartitions("h", "right", "left")
+    needed = store(rows.join(per_text.hint("shuffle_hash"), rows["id"].eqNullSafe(per_text["id"])).where(same).select(F.col("want").alias("sha"), "text", "at", "h"), "needed")
+    sorted_contexts = _contexts(needed, length, k).repartition("h").sortWithinPartitions("h", "right", "left")
     found = store(_covered(sorted_contexts, length, k), "covered").distinct()
     spans = found.groupBy("sha").agg(F.collect_list(F.struct("start", "end")).alias("x")).select("sha", F.col("x.start").alias("starts"), F.col("x.end").alias("ends"))
     removed = store(_cut(needed.select("sha", "text").join(spans, "sha"), with_text), "removed").dropDuplicates(["sha"])
@@ -348,7 +340,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, crowd: int
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` with what is repeated taken out of the texts; all rows and columns stay, null texts become empty."""
-    found = remove_repeats(docs, length, k, CROWD, id_col, text_col, with_text=True).where("n_removed > 0")
+    found = remove_repeats(docs, length, k, id_col, text_col, with_text=True).where("n_removed > 0")
     found = found.select(F.col(id_col).alias("_id"), F.unhex("text_sha256").alias("_sha"), F.coalesce("kept_text", F.lit("")).alias("_kept")).dropDuplicates(["_id", "_sha"])
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.withColumn("_own", F.unhex(F.sha2(text.cast("binary"), 256)))
