@@ -172,7 +172,7 @@ def chat_filter(spark, d):
     return context.shown_turns(table(spark, d, "conversations")).groupBy("conv_id").agg(F.count("*").alias("turns"))
 
 
-@query("chosen_documents", "WITH l AS (SELECT unnest([5, 3, 999999999, 8]) AS doc_id, generate_subscripts([5, 3, 999999999, 8], 1) - 1 AS position) SELECT position::BIGINT AS position, doc_id, lang, source FROM l JOIN documents USING (doc_id)")
+@query("chosen_documents", "WITH l AS (SELECT unnest([5, 3, 999999999, 8])::BIGINT AS doc_id, generate_subscripts([5, 3, 999999999, 8], 1) - 1 AS position) SELECT position::BIGINT AS position, doc_id, lang, source FROM l JOIN documents USING (doc_id)")
 def chosen_documents(spark, d):
     ids = spark.range(1).select(F.array(*[F.lit(x).cast("long") for x in (5, 3, 999999999, 8)]).alias("ids"))
     return context.chosen_documents(ids, table(spark, d, "documents")).select(F.col("position").cast("long").alias("position"), "doc_id", "lang", "source")
