@@ -14,6 +14,10 @@ from quarry.llm.suffix_dedup import without_repeats
 from quarry.llm.toxicity import toxicity
 
 
+#: Words in a row that are a passage: over 50. Passages of 400 bytes with fewer, longer words are cut as well.
+PASSAGE_WORDS = 51
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that the models do not call toxic."""
     scored = toxicity(docs, table(spark, sf_dir, "labels"), carried=("text", "lang", "source", "n_chars"))
@@ -33,7 +37,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All rows, without the passages that repeat; n_chars says what is left."""
-    return without_repeats(docs).withColumn("n_chars", F.length("text").cast("long")).select(*DOCUMENT_COLUMNS)
+    return without_repeats(docs, words=PASSAGE_WORDS).withColumn("n_chars", F.length("text").cast("long")).select(*DOCUMENT_COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,11 +15,17 @@ from L before to R after its anchor.
 Lines and passages that very many texts share give anchors with the same surroundings again and again. Of those that
 agree in all that is looked at, two stand for the rest in each task, before anything is exchanged: the rest are covered as far
 as can be, and as partners of others the two do as well.
+
+With `words`, as many whole words in a row (white space between and around them, or the text's ends) are a repeat as well,
+however few their bytes. Each window of so many words chooses an anchor among its word starts by the same hashes, and the
+windows of LENGTH bytes choose only where they do not hold so many words. Words in a row that span LENGTH bytes or more are
+found as bytes, and fewer bytes lie within what is kept of an anchor's surroundings, so both rules are exact.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +42,10 @@ MOST_MET = 400_000
 #: Bytes of text whose hashes are computed together.
 SLICE = 1 << 20
 
+#: ASCII white space, as bytes.split() has it.
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_SPACES = re.compile(rb"[\t-\r ]")
+
 _rng = np.random.default_rng(41)
 _BYTE = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _STEP = _rng.integers(0, 1 << 63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -61,27 +71,63 @@ def _minima(keys: np.ndarray, window: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[window - 1 : window - 1 + n])
 
 
-def anchors(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, k: int = K) -> tuple[np.ndarray, np.ndarray]:
+def anchors(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, k: int = K, words: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Positions of the anchors of texts that lie one after another in `data`, and the hashes there."""
-    if len(data) < length:
+    if len(data) < (min(length, 2 * words - 1) if words else length):
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     bits = np.uint64(int(len(data)).bit_length())
     mask = (np.uint64(1) << bits) - np.uint64(1)
     h = _hashes(data, k)
     keys = (h & ~mask) | np.arange(len(h), dtype=np.uint64)  # of equal hashes in a window, the first
     window = length - k + 1
-    valid = np.zeros(len(keys) - window + 1, bool)
+    valid = np.zeros(max(0, len(keys) - window + 1), bool)
     start = 0
     for end in ends.tolist():
         keys[max(start, end - k + 1) : end] = np.iinfo(np.uint64).max  # would reach into the next text
         valid[start : max(start, end - length + 1)] = True
         start = end
-    chosen = _minima(keys, window)[valid]
+    chosen = np.zeros(0, np.uint64)
+    by_words, held = _word_anchors(data, ends, keys, length, k, words) if words else (chosen, None)
+    if len(valid):
+        chosen = _minima(keys, window)[valid if held is None else valid & ~held[: len(valid)]]
     chosen = chosen[np.r_[True, chosen[1:] != chosen[:-1]]] if len(chosen) else chosen
     places = (chosen & mask).astype(np.int64)
+    if words:
+        places = np.union1d(places, (by_words & mask).astype(np.int64))
     return places, h[places]
 
 
+def _word_anchors(data: np.ndarray, ends: np.ndarray, keys: np.ndarray, length: int, k: int, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """The smallest keys at word starts of each `words` words in a row, and which windows of `length` bytes hold so many whole words."""
+    solid = ~_SPACE[data]
+    edge = np.zeros(len(data) + 1, bool)
+    edge[np.r_[0, ends]] = True
+    opens = solid & (edge[:-1] | ~np.r_[False, solid[:-1]])
+    begin = np.flatnonzero(opens)
+    close = np.flatnonzero(solid & (edge[1:] | ~np.r_[solid[1:], False])) + 1
+    held = np.zeros(len(data), bool)
+    n = len(begin) - words + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64), held
+    doc = np.searchsorted(ends, begin, side="right")
+    first = np.flatnonzero(doc[:n] == doc[words - 1 :])
+    # counted by what the window itself shows: white space stands before the first and after the last
+    next_word = np.cumsum(opens)
+    last = np.r_[close[words - 1 :], np.full(words, np.iinfo(np.int64).max)][np.minimum(next_word, n)]
+    held = last < np.arange(len(data)) + length
+    if not len(first):
+        return np.zeros(0, np.uint64), held
+    past = np.searchsorted(begin, close[first + words - 1] - k, side="right")
+    span = past - first
+    level, out = np.r_[keys, np.full(k - 1, np.iinfo(np.uint64).max, np.uint64)][begin], np.zeros(len(first), np.uint64)
+    size = 1
+    while size <= span.max():
+        mine = (span >= size) & (span < 2 * size)
+        out[mine] = np.minimum(level[first[mine]], level[past[mine] - size])
+        level, size = np.minimum(level[: len(level) - size], level[size:]), 2 * size
+    return np.unique(out), held
+
+
 def _slices(ends: np.ndarray) -> Iterator[tuple[int, int]]:
     """Runs of texts of about SLICE bytes, at least one text each."""
     first, begin = 0, 0
@@ -91,8 +137,8 @@ def _slices(ends: np.ndarray) -> Iterator[tuple[int, int]]:
             first, begin = i + 1, end
 
 
-def _scanned(rows: DataFrame, length: int, k: int) -> DataFrame:
-    """For each text its digest, its size and its anchors."""
+def _scanned(rows: DataFrame, length: int, k: int, words: int) -> DataFrame:
+    """For each text its digest, its size, whether it is long enough to be a repeat, and its anchors."""
 
     def run(batches):
         for b in batches:
@@ -103,7 +149,7 @@ def _scanned(rows: DataFrame, length: int, k: int) -> DataFrame:
             places, hashes, counts = [], [], np.zeros(len(texts), np.int64)
             for lo, hi in _slices(ends):
                 begin = ends[lo] - sizes[lo]
-                at, h = anchors(np.frombuffer(b"".join(texts[lo:hi]), np.uint8), ends[lo:hi] - begin, length, k)
+                at, h = anchors(np.frombuffer(b"".join(texts[lo:hi]), np.uint8), ends[lo:hi] - begin, length, k, words)
                 doc = np.searchsorted(ends[lo:hi] - begin, at, side="right") + lo
                 counts += np.bincount(doc, minlength=len(texts))
                 places.append(at + begin - (ends - sizes)[doc])
@@ -112,9 +158,10 @@ def _scanned(rows: DataFrame, length: int, k: int) -> DataFrame:
             at = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([np.zeros(0, np.int64), *places]).astype(np.int32)))
             h = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([np.zeros(0, np.uint64), *hashes]).view(np.int64)))
             sha = pa.array([hashlib.sha256(t).digest() for t in texts], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes), sha, at, h], names=["id", "n_bytes", "sha", "at", "h"])
+            enough = pa.array([len(t) >= length or 0 < words <= len(t.split()) for t in texts], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes), enough, sha, at, h], names=["id", "n_bytes", "enough", "sha", "at", "h"])
 
-    return rows.mapInArrow(run, "id long, n_bytes long, sha binary, at array<int>, h array<long>")
+    return rows.mapInArrow(run, "id long, n_bytes long, enough boolean, sha binary, at array<int>, h array<long>")
 
 
 def _contexts(texts: DataFrame, length: int, k: int) -> DataFrame:
@@ -224,7 +271,60 @@ def cover(right: list[bytes], left: list[bytes], length: int = LENGTH, k: int =
     return lo[stands], ro[stands]
 
 
-def _covered(contexts: DataFrame, length: int, k: int) -> DataFrame:
+def cover_words(right: list[bytes], left: list[bytes], words: int, length: int = LENGTH, k: int = K) -> list[tuple[int, int] | None]:
+    """For each occurrence of an anchor where the repeats of at least `words` whole words around it begin and end, from the anchor."""
+    # white space is written twice, first as any and then as itself, and a text's end as any: so
+    # words end alike before different white space, but go on alike only after the same
+    wide = lambda t, most: _SPACES.sub(rb" \g<0>", t) + b" " * (len(t) < most)
+    right, left = [wide(t, length) for t in right], [wide(t, length - k) for t in left]
+    order = sorted(range(len(right)), key=lambda i: (right[i], left[i]))
+    # of occurrences that agree in all, two stand for the rest
+    kept, stands = [], np.zeros(len(right), np.int64)
+    for n, i in enumerate(order):
+        same = [n >= m and right[order[n - m]] == right[i] and left[order[n - m]] == left[i] for m in (1, 2)]
+        if not all(same):
+            kept.append(i)
+        stands[i] = len(kept) - 1
+    out: list[tuple[int, int] | None] = [None] * len(right)
+    rights, right_len = _matrix([right[i] for i in kept], max(map(len, right)))
+    lefts, left_len = _matrix([left[i] for i in kept], max(1, max(map(len, left))))
+    inner = ~_SPACE[rights[:, 0]]
+    closed = np.cumsum(_SPACE[rights] & ~np.c_[np.zeros(len(kept), bool), _SPACE[rights[:, :-1]]] & (np.arange(rights.shape[1]) > 0), axis=1)
+    opened = np.c_[np.zeros(len(kept), int), np.cumsum(_SPACE[lefts] & np.c_[inner, ~_SPACE[lefts[:, :-1]]], axis=1)]
+    order_left = np.zeros(len(kept), np.int64)
+    order_left[sorted(range(len(kept)), key=lambda i: left[kept[i]])] = np.arange(len(kept))
+    lo, ro = np.zeros(len(kept), np.int64), np.zeros(len(kept), np.int64)
+    for d, first, last in intervals(_common(rights[1:], right_len[1:], rights[:-1], right_len[:-1]).tolist()):
+        if not d:
+            continue
+        inside = np.arange(first, last + 1)
+        inside = inside[np.argsort(order_left[inside], kind="stable")]
+        # words that open before the anchor and close after it are counted on both sides
+        need = words - closed[inside, d - 1] + inner[inside]
+        if (need > opened[inside, left_len[inside]]).all() or (ro[inside] > 0).all() and (lo[inside] == left_len[inside]).all():
+            continue
+        shared = _common(lefts[inside[1:]], left_len[inside[1:]], lefts[inside[:-1]], left_len[inside[:-1]])
+        reach = np.maximum(np.r_[shared, 0], np.r_[0, shared])
+        ok = opened[inside, reach] >= need
+        hit = inside[ok]
+        lo[hit] = np.maximum(lo[hit], reach[ok])
+        ro[hit] = np.maximum(ro[hit], d)
+    ends = [_whole_words(right[i][:d], left[i][:reach]) if d else None for i, d, reach in zip(kept, ro.tolist(), lo.tolist(), strict=True)]
+    for i, m in enumerate(stands.tolist()):
+        out[i] = ends[m]
+    return out
+
+
+def _whole_words(right: bytes, left: bytes) -> tuple[int, int]:
+    """Begin and end, from the anchor, of the words that white space bounds on both sides."""
+    right, left = (re.sub(rb" ([\t-\r ])", rb"\1", t) for t in (right, left))
+    around = left[::-1] + right
+    first, last = _SPACES.search(around).start(), len(around) - 1 - _SPACES.search(around[::-1]).start()
+    inner = around[first:last]
+    return first + len(inner) - len(inner.lstrip()) - len(left), first + len(inner.rstrip()) - len(left)
+
+
+def _covered(contexts: DataFrame, length: int, k: int, words: int) -> DataFrame:
     """(sha, start, end) of what is repeated around each anchor; `contexts` comes sorted."""
 
     def run(batches):
@@ -251,11 +351,19 @@ def _covered(contexts: DataFrame, length: int, k: int) -> DataFrame:
             while j < len(rows) and rows[j][0] == rows[i][0]:
                 j += 1
             if j - i > 1:
-                lo, ro = cover([r[3] for r in rows[i:j]], [r[4] for r in rows[i:j]], length, k)
+                right, left = [r[3] for r in rows[i:j]], [r[4] for r in rows[i:j]]
+                lo, ro = cover(right, left, length, k)
                 for m in np.flatnonzero(ro).tolist():
                     sha.append(rows[i + m][1])
                     start.append(rows[i + m][2] - int(lo[m]))
                     end.append(rows[i + m][2] + int(ro[m]))
+                # where all that is looked at is covered, words can add nothing
+                if words and not all(a == len(x) and b == len(y) for a, x, b, y in zip(lo.tolist(), left, ro.tolist(), right, strict=True)):
+                    for m, found in enumerate(cover_words(right, left, words, length, k)):
+                        if found and (-found[0] > lo[m] or found[1] > ro[m]):
+                            sha.append(rows[i + m][1])
+                            start.append(rows[i + m][2] + found[0])
+                            end.append(rows[i + m][2] + found[1])
             i = j
         return batch(sha, start, end)
 
@@ -298,18 +406,21 @@ def _cut(texts: DataFrame, with_text: bool) -> DataFrame:
     return texts.select("sha", "text", "starts", "ends").mapInArrow(run, "sha binary, n_removed long, n_spans long, kept_sha binary" + ", kept_text string" * with_text)
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, words: int = 0) -> DataFrame:
     """One row for each row of `docs`: id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept_text and text_sha256.
 
     kept_text is null where nothing was removed; bytes of a character that was cut in two are left out of it, though not
     of kept_sha256. Null text is empty. What is removed depends on the text alone, so equal
     rows, and rows with a null id, fare like any others: all copies of a text of `length` bytes or more go whole, shorter
-    texts stay. An empty table gives no rows; other columns are not looked at.
+    texts stay. With `words`, that many whole words in a row are a repeat as well. An empty table gives no rows; other
+    columns are not looked at.
     """
     if k & (k - 1) or not 2 <= k < length:
         raise ValueError("k must be a power of two below length")
+    if words and 2 * words - 1 < k:
+        raise ValueError("words must span at least k bytes")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    scanned = store(_scanned(rows, length, k), "scanned")
+    scanned = store(_scanned(rows, length, k, words), "scanned")
     # one text stands for all its copies from here on
     texts = store(scanned.groupBy("sha").agg(F.min(F.struct(F.col("id").isNull(), F.col("id"))).alias("m"), F.count("*").alias("copies")).select("sha", F.col("m.id").alias("id"), "copies"), "texts")
     copied = texts.where("copies > 1")
@@ -321,13 +432,13 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, id_col: st
     same = F.unhex(F.sha2(F.col("text").cast("binary"), 256)) == F.col("want")
     needed = store(rows.join(per_text.hint("shuffle_hash"), rows["id"].eqNullSafe(per_text["id"])).where(same).select(F.col("want").alias("sha"), "text", "at", "h"), "needed")
     sorted_contexts = _contexts(needed, length, k).repartition("h").sortWithinPartitions("h", "right", "left")
-    found = store(_covered(sorted_contexts, length, k), "covered").distinct()
+    found = store(_covered(sorted_contexts, length, k, words), "covered").distinct()
     spans = found.groupBy("sha").agg(F.collect_list(F.struct("start", "end")).alias("x")).select("sha", F.col("x.start").alias("starts"), F.col("x.end").alias("ends"))
     removed = store(_cut(needed.select("sha", "text").join(spans, "sha"), with_text), "removed").dropDuplicates(["sha"])
     nothing = hashlib.sha256(b"").hexdigest()
     info = store(removed.join(copied.select("sha", "copies"), "sha", "full"), "info")
-    whole = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
-    out = scanned.select("id", "n_bytes", "sha").join(info, "sha", "left")
+    whole = (F.col("copies") > 1) & F.col("enough")
+    out = scanned.select("id", "n_bytes", "enough", "sha").join(info, "sha", "left")
     return out.select(
         F.col("id").alias(id_col),
         "n_bytes",
@@ -338,9 +449,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, id_col: st
     )
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def without_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, id_col: str = "doc_id", text_col: str = "text", words: int = 0) -> DataFrame:
     """`docs` with what is repeated taken out of the texts; all rows and columns stay, null texts become empty."""
-    found = remove_repeats(docs, length, k, id_col, text_col, with_text=True).where("n_removed > 0")
+    found = remove_repeats(docs, length, k, id_col, text_col, with_text=True, words=words).where("n_removed > 0")
     found = found.select(F.col(id_col).alias("_id"), F.unhex("text_sha256").alias("_sha"), F.coalesce("kept_text", F.lit("")).alias("_kept")).dropDuplicates(["_id", "_sha"])
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.withColumn("_own", F.unhex(F.sha2(text.cast("binary"), 256)))

@@ -1,7 +1,10 @@
 """The pipeline's stages against plain versions of what each decides."""
 
 import hashlib
+import random
+import re
 import string
+from collections import Counter
 
 import public_tokenizers
 from tokenizers import Tokenizer
@@ -51,3 +54,40 @@ def test_stages(spark, sf):
     tokens = {i: len(library.encode(r.text, add_special_tokens=False).ids) + 1 for i, r in got.items()}
     assert pieces.groupby("doc_id").length.sum().to_dict() == tokens
     assert corpus_pipeline.run(spark, sf).count() == len(pieces)
+
+
+def runs_of_words(texts, words):
+    """Which words of each text (split at ASCII white space) lie in runs of `words` that occur again with the same bytes between."""
+    split = [[(m.start(), m.end()) for m in re.finditer(rb"[^\t-\r ]+", t)] for t in texts]
+    grams = [[t[at[i][0] : at[i + words - 1][1]] for i in range(len(at) - words + 1)] for t, at in zip(texts, split, strict=True)]
+    seen = Counter(g for gs in grams for g in gs)
+    out = []
+    for at, gs in zip(split, grams, strict=True):
+        covered = set()
+        for i, g in enumerate(gs):
+            if seen[g] > 1:
+                covered |= set(range(at[i][0], at[i + words - 1][1]))
+        out.append(covered)
+    return out
+
+
+def test_passages_of_over_50_words(spark):
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(1, 6)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    texts, planted = [], {}
+    for n in [*range(40, 63)] * 2:
+        passage = prose(n)
+        planted[len(texts)] = n
+        texts += [f"{prose(90)}\n{passage} {prose(70)}", passage + "\n" + prose(80), prose(60) + "\t" + passage]
+    texts += [prose(300) for _ in range(20)] + ["x" * 50 + prose(40), "", "a b " * 200]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {x.doc_id: x.text for x in corpus_pipeline.cut_repeats(spark, docs, "").collect()}
+    data = [t.encode() for t in texts]
+    by_words = runs_of_words(data, 51)
+    for i, (t, want) in enumerate(zip(texts, by_words, strict=True)):
+        seen = Counter(data[j][s : s + 400] for j in (i,) for s in range(len(data[j]) - 399))  # only the last text repeats 400 bytes
+        want = want | {p for s in range(len(t) - 399) if seen[data[i][s : s + 400]] > 1 for p in range(s, s + 400)}
+        assert got[i] == "".join(c for p, c in enumerate(t) if p not in want), (i, t)
+    for i, n in planted.items():
+        assert all((got[j] == texts[j]) == (n <= 50) for j in (i, i + 1, i + 2)), n
