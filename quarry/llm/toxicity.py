@@ -8,6 +8,8 @@ two models agree, and a rare expression counts only as far as one class is known
 A word's evidence is the difference of its log-likelihoods. A text's features are that
 difference over its whole length, for each character and each word, and over its most telling
 words; a logistic curve fitted to training texts that the models had not seen makes them a score.
+
+The models count the words of all usable labelled texts; only the curve is fitted to a bounded sample of them.
 """
 
 from __future__ import annotations
@@ -21,10 +23,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import store, table
 
 ORDER, DISCOUNT, LETTERS = 6, 0.75, 250
-#: The bound of the training sample, for each class: rows, and characters of their whole texts together.
+#: The bound of the curve's sample, for each class: rows, and characters of their whole texts together.
 SAMPLE_ROWS, SAMPLE_CHARS = 3000, 16_000_000
 #: Parts of the sample; the curve sees each with models from the others.
 FOLDS = 4
@@ -32,6 +34,8 @@ FOLDS = 4
 TOP = 3
 #: Words whose evidence a worker keeps (a cache).
 KEPT_WORDS = 500_000
+#: Words whose grams are counted together.
+WORDS_AT_ONCE = 50_000
 
 _WORD = re.compile(r"\w+")
 
@@ -127,8 +131,14 @@ def train(counts: list[dict[str, int]]) -> Evidence:
     own = []
     for mine in counts:
         words = list(mine)
-        grams, at = _grams(words, alphabet)
-        own.append(_summed(grams, np.array([mine[w] for w in words], float)[at] if words else np.zeros(0)))
+        keys, times = [np.zeros(0, np.uint64)], [np.zeros(0)]
+        for k in range(0, len(words), WORDS_AT_ONCE):
+            some = words[k : k + WORDS_AT_ONCE]
+            grams, at = _grams(some, alphabet)
+            found, n = _summed(grams, np.array([mine[w] for w in some], float)[at])
+            keys.append(found)
+            times.append(n)
+        own.append(_summed(np.concatenate(keys), np.concatenate(times)))
     grams = np.union1d(own[0][0], own[1][0])
     contexts = np.unique(grams >> np.uint64(8))
     place = np.searchsorted(contexts, grams >> np.uint64(8))
@@ -210,9 +220,14 @@ def _total(parts) -> list[dict[str, int]]:
     return out
 
 
-def fit(texts: list[str], toxic: np.ndarray, prior: float | None = None) -> Model:
+def _less(counts: list[dict[str, int]], part: list[dict[str, int]]) -> list[dict[str, int]]:
+    return [{w: n - gone.get(w, 0) for w, n in mine.items() if n > gone.get(w, 0)} for mine, gone in zip(counts, part, strict=True)]
+
+
+def fit(texts: list[str], toxic: np.ndarray, prior: float | None = None, counts: list[dict[str, int]] | None = None) -> Model:
     """Models on all texts; the curve on features from models that had not seen the text (FOLDS parts).
 
+    `counts` are the words of all labelled texts, those of `texts` among them; without it `texts` are all there are.
     `prior` is the share of toxic texts to expect; the sample has the classes in other shares.
     """
     if not len(texts):
@@ -222,35 +237,58 @@ def fit(texts: list[str], toxic: np.ndarray, prior: float | None = None) -> Mode
     fold = np.arange(len(texts)) % FOLDS
     parts = [count_words([split[i] for i in np.flatnonzero(fold == k)], toxic[fold == k]) for k in range(FOLDS)]
     x = np.zeros((len(texts), 2 + TOP))
+    counts = counts or _total(parts)
     for k in range(FOLDS):
-        seen = Scorer(train(_total(p for j, p in enumerate(parts) if j != k)))
+        seen = Scorer(train(_less(counts, parts[k])))
         mine = np.flatnonzero(fold == k)
         x[mine] = seen.features_of([split[i] for i in mine])
     mean, scale, w = fit_logistic(x, toxic)
     if prior and 0 < toxic.mean() < 1 and 0 < prior < 1:
         odds = lambda p: np.log(p / (1 - p))
         w[-1] += odds(prior) - odds(toxic.mean())
-    return Model(train(_total(parts)), mean, scale, w)
+    return Model(train(counts), mean, scale, w)
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> tuple[list[str], np.ndarray, float | None]:
-    """Whole texts and labels, at most `rows` and `chars` for each class, in an order fixed by a hash of the id; the toxic share of all usable labels."""
+def labelled_texts(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, float | None]:
+    """(toxic, _order, doc_id, text) of all usable labels, each text once; the toxic share of the labels."""
     usable = labels.where("toxic in (0, 1) and doc_id is not null and pmod(crc32(cast(cast(doc_id as string) as binary)), 5) != 0").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     share = usable.agg(F.avg("toxic")).first()[0]
-    order = F.xxhash64("doc_id")
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(usable, "doc_id").select(F.sha2("text", 256).alias("sha"), F.xxhash64("doc_id").alias("_order"), "doc_id", "toxic", "text")
+    # a row for each text: copies meet as digests, and only the first of them brings its text
+    first = rows.groupBy("sha").agg(F.min(F.struct("_order", "doc_id", "toxic", "text")).alias("m"))
+    return store(first.select("m.toxic", "m._order", "m.doc_id", "m.text"), "labelled"), share
+
+
+def training_sample(labelled: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> tuple[list[str], np.ndarray]:
+    """Whole texts and labels for the curve, at most `rows` and `chars` for each class, in an order fixed by a hash of the id."""
     chosen = None
     for c in (0, 1):
-        part = usable.where(F.col("toxic") == c).select("doc_id", "toxic", order.alias("_order")).orderBy("_order", "doc_id").limit(rows)
+        part = labelled.where(F.col("toxic") == c).select("toxic", "_order", "doc_id").orderBy("_order", "doc_id").limit(rows)
         chosen = part if chosen is None else chosen.unionByName(part)
-    got = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").select("toxic", "_order", "doc_id", "text").orderBy("_order", "doc_id", "text")
-    texts, toxic, used, seen = [], [], [0, 0], set()
+    got = labelled.join(F.broadcast(chosen), ["toxic", "_order", "doc_id"]).orderBy("_order", "doc_id", "text")
+    texts, toxic, used = [], [], [0, 0]
     for r in got.toLocalIterator():
-        if r.text not in seen and used[r.toxic] + len(r.text) <= chars:
-            seen.add(r.text)
+        if used[r.toxic] + len(r.text) <= chars:
             used[r.toxic] += len(r.text)
             texts.append(r.text)
             toxic.append(r.toxic)
-    return texts, np.array(toxic, np.int64), share
+    return texts, np.array(toxic, np.int64)
+
+
+def word_counts(labelled: DataFrame) -> list[dict[str, int]]:
+    """The words of all ordinary and of all toxic texts with their counts."""
+
+    def run(batches):
+        for b in batches:
+            counts = count_words([words_of(t) for t in b.column(1).to_pylist()], np.array(b.column(0).to_pylist(), np.int64))
+            for c, mine in enumerate(counts):
+                yield pa.RecordBatch.from_arrays([pa.array([c] * len(mine), pa.int32()), pa.array(list(mine), pa.string()), pa.array(list(mine.values()), pa.int64())], names=["toxic", "word", "n"])
+
+    summed = labelled.select("toxic", "text").mapInArrow(run, "toxic int, word string, n long").groupBy("toxic", "word").agg(F.sum("n").alias("n"))
+    counts: list[dict[str, int]] = [{}, {}]
+    for r in store(summed, "words").toLocalIterator():
+        counts[r.toxic][r.word] = r.n
+    return counts
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", carried: tuple[str, ...] = ()) -> DataFrame:
@@ -261,8 +299,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     usable labels every score is 0.5. A null id is kept. No other column is looked at.
     """
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    texts, toxic, share = training_sample(source, labels)
-    model = docs.sparkSession.sparkContext.broadcast(fit(texts, toxic, share))
+    labelled, share = labelled_texts(source, labels)
+    texts, toxic = training_sample(labelled)
+    model = docs.sparkSession.sparkContext.broadcast(fit(texts, toxic, share, word_counts(labelled)))
 
     def run(batches):
         scorer = Scorer(model.value.evidence)

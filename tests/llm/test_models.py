@@ -170,6 +170,28 @@ def test_toxicity_odd_rows(spark):
     assert {x.score for x in toxicity.toxicity(rows, labels.limit(0)).collect()} == {0.5}
 
 
+def test_words_outside_the_sample_count(spark, monkeypatch):
+    """An expression that only labelled rows beyond the curve's sample hold is known to be toxic."""
+    r = random.Random(6)
+    word = lambda: "".join(r.choice("abcdef") for _ in range(4))
+    small = toxicity.training_sample
+    monkeypatch.setattr(toxicity, "training_sample", lambda *a: small(*a, rows=60))
+    docs = spark.createDataFrame([(i, " ".join([word() for _ in range(30)] + (["vile"] if i % 2 else ["mild"]))) for i in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, toxic int")
+    labelled, _ = toxicity.labelled_texts(docs, labels)
+    texts, _ = toxicity.training_sample(labelled)
+    inside = set(texts)
+    rare = next(x for x in sorted(labelled.where("toxic = 1").collect(), key=lambda x: x.doc_id) if x.text not in inside)
+    plain = docs.withColumn("text", F.when(F.col("doc_id") == rare.doc_id, F.concat("text", F.lit(" zyxwv zyxwv"))).otherwise(F.col("text")))
+    labelled, _ = toxicity.labelled_texts(plain, labels)
+    counts = toxicity.word_counts(labelled)
+    want = toxicity.count_words([toxicity.words_of(x.text) for x in labelled.collect()], np.array([x.toxic for x in labelled.collect()]))
+    assert counts == want and counts[1]["zyxwv"] == 2 and not any("zyxwv" in t for t in toxicity.training_sample(labelled)[0])
+    asked = spark.createDataFrame([(1000, "zyxwv"), (1001, "qponm")], "doc_id long, text string").unionByName(plain)
+    got = {x.doc_id: x.score for x in toxicity.toxicity(asked, labels).where("doc_id >= 1000").collect()}
+    assert got[1000] > got[1001]
+
+
 def odd_texts():
     r = random.Random(1)
     parts = ["a", "b", " ", "  ", "\n", "\t", "é", "ñ", "'s", "'", "9", "12", "٣", "中", "<|endoftext|>", "<|", "\0", "\x1c", "\x85", "\xa0", "the", "The", "😀", ".", "--", "²", "\r\n", "aaaa"]
