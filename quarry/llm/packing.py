@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import heapq
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -21,23 +22,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .bpe import PRETOKENS, ChunkEncoder, encoder
+from .bpe import Vocabulary, encoder
 from .common import store, table
 
 CAPACITY, END_ID = 2048, 1
+#: The cuts of bpe.PRETOKENS, written so that a regular expression engine never goes back over a long run.
+POSSESSIVE = r"'(?:s|t|re|ve|m|ll|d)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
 #: The shortest of the halved pieces, and how many pieces share a group, about.
 LEAST_HALF, PIECES_A_GROUP = 256, 1500
 
 
-class LibraryEncoder(ChunkEncoder):
-    """The same chunks, with new ones encoded by a library instead of the pair index."""
+class LibraryEncoder:
+    """Whole texts to ids by a library, for what counts tokens and does not need the pair index."""
 
-    def __init__(self, vocab):
-        super().__init__(vocab)
+    def __init__(self, vocab: Vocabulary):
+        self.vocab = vocab
         ranked = all(m - rank == 256 for rank, (_, _, m) in enumerate(vocab.merges))
         if ranked:  # then ids are ranks, and tiktoken gives the same ids, only sooner
             special = set(vocab.special.values())
-            own = tiktoken.Encoding("packing", pat_str=PRETOKENS, mergeable_ranks={b: i for i, b in enumerate(vocab.bytes) if i not in special}, special_tokens={})
+            own = tiktoken.Encoding("packing", pat_str=POSSESSIVE, mergeable_ranks={b: i for i, b in enumerate(vocab.bytes) if i not in special}, special_tokens={})
             self.library = own.encode_ordinary
         else:
             own = Tokenizer.from_file(vocab.path)
@@ -46,8 +49,17 @@ class LibraryEncoder(ChunkEncoder):
             own.encode_special_tokens = True
             self.library = lambda text: own.encode(text, add_special_tokens=False).ids
 
-    def encode_chunks(self, chunks: list[str]) -> list[bytes]:
-        return [np.array(self.library(c), "<u4").tobytes() for c in chunks]
+    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """The ids of each text, as the tokenizers library gives them without special tokens added."""
+        special = self.vocab.special
+        for text in texts:
+            if not any(s in text for s in special):
+                yield np.array(self.library(text), "<u4")
+                continue
+            ids: list[int] = []
+            for k, piece in enumerate(self.vocab.cut_special.split(text)):
+                ids += [special[piece]] if k % 2 else self.library(piece)
+            yield np.array(ids, "<u4")
 
 
 def cut(tokens: int, capacity: int, least_half: int) -> list[tuple[int, int]]:
