@@ -5,8 +5,11 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,11 +27,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_root(spark: SparkSession) -> str:
     """Folder that driver and executors share, below `spark.checkpoint.dir`.
 
-    Only where that setting is absent (single-machine tests) a temporary folder is made.
+    Only where that setting is absent on a local master (tests) a temporary folder is made.
     """
     app = spark.sparkContext.applicationId
     if app not in _roots:
-        base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quarry-")
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base and not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = base or tempfile.mkdtemp(prefix="quarry-")
         _roots[app] = f"{base.rstrip('/')}/quarry-{uuid.uuid4().hex}"
         atexit.register(_remove, spark, _roots[app])
     return _roots[app]
@@ -62,6 +68,16 @@ def text_or_empty(col: str = "text"):
     return F.coalesce(F.col(col), F.lit(""))
 
 
+def by_bytes(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Runs of rows of `batch` whose texts in `column` have at most `most` bytes together, or one row."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < len(upto):
+        past = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + most, side="right")))
+        yield batch.slice(at, past - at)
+        at = past
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finaliser that spreads 64-bit words (xor-shift and multiply, bijective)."""
     x = x ^ (x >> np.uint64(30))

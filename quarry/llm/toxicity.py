@@ -7,7 +7,7 @@ two models agree, and a rare expression counts only as far as one class is known
 
 A word's evidence is the difference of its log-likelihoods. A text's features are that
 difference over its whole length, for each character and each word, and over its most telling
-words; a logistic curve fitted to training texts that the models had not seen makes them a score.
+words, less what a text of that length shows by chance; a logistic curve fitted to training texts that the models had not seen makes them a score.
 
 The models count the words of all usable labelled texts; only the curve is fitted to a bounded sample of them.
 """
@@ -23,19 +23,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import store, table
+from .common import by_bytes, store, table
 
-ORDER, DISCOUNT, LETTERS = 6, 0.75, 250
-#: The bound of the curve's sample, for each class: rows, and characters of their whole texts together.
-SAMPLE_ROWS, SAMPLE_CHARS = 3000, 16_000_000
-#: Parts of the sample; the curve sees each with models from the others.
+#: Characters of a gram (8 bits each), the discount, and characters that have a code of their own.
+ORDER, DISCOUNT, LETTERS = 8, 0.75, 250
+#: The bound of the curve's sample, for each class.
+SAMPLE_ROWS = 3000
+#: Parts of the labelled texts; the curve sees a text with models from the other parts.
 FOLDS = 4
 #: How many of a text's most telling words have features of their own.
 TOP = 3
+#: The evidence that some word has by chance, times the logarithm of the number of words.
+BY_CHANCE = 0.5
+FEATURES = 2 + TOP
 #: Words whose evidence a worker keeps (a cache).
-KEPT_WORDS = 500_000
-#: Words whose grams are counted together.
-WORDS_AT_ONCE = 50_000
+KEPT_WORDS = 200_000
+#: Bytes of text that are split into words together.
+SLICE_BYTES = 2_000_000
 
 _WORD = re.compile(r"\w+")
 
@@ -120,33 +124,38 @@ def count_words(split: list[list[str]], toxic: np.ndarray) -> list[dict[str, int
     return counts
 
 
+def _alphabet(letters: dict[str, int]) -> dict[str, int]:
+    """The codes of the LETTERS most frequent characters."""
+    return {c: k for k, c in enumerate(sorted(letters, key=lambda c: (-letters[c], c))[:LETTERS], 3)}
+
+
 def train(counts: list[dict[str, int]]) -> Evidence:
-    """Fit both models to the words of ordinary and of toxic texts."""
+    """Fit both models to the words of ordinary and of toxic texts, as they are held in memory."""
     letters: dict[str, int] = {}
     for mine in counts:
         for w, n in mine.items():
             for c in w:
                 letters[c] = letters.get(c, 0) + n
-    alphabet = {c: k for k, c in enumerate(sorted(letters, key=lambda c: (-letters[c], c))[:LETTERS], 3)}
-    own = []
+    alphabet, own = _alphabet(letters), []
     for mine in counts:
-        words = list(mine)
-        keys, times = [np.zeros(0, np.uint64)], [np.zeros(0)]
-        for k in range(0, len(words), WORDS_AT_ONCE):
-            some = words[k : k + WORDS_AT_ONCE]
-            grams, at = _grams(some, alphabet)
-            found, n = _summed(grams, np.array([mine[w] for w in some], float)[at])
-            keys.append(found)
-            times.append(n)
-        own.append(_summed(np.concatenate(keys), np.concatenate(times)))
+        grams, at = _grams(list(mine), alphabet)
+        own.append(_summed(grams, np.fromiter(mine.values(), float, len(mine))[at]))
     grams = np.union1d(own[0][0], own[1][0])
+    n = np.zeros((2, len(grams)))
+    for c, (seen, times) in enumerate(own):
+        n[c, np.searchsorted(grams, seen)] = times
+    return evidence(grams, n, alphabet)
+
+
+def evidence(grams: np.ndarray, n: np.ndarray, alphabet: dict[str, int]) -> Evidence:
+    """Both models from the sorted grams and how often ordinary (`n[0]`) and toxic texts (`n[1]`) hold them."""
+    seen = (n > 0).any(0)
+    grams, n = grams[seen], n[:, seen]
     contexts = np.unique(grams >> np.uint64(8))
     place = np.searchsorted(contexts, grams >> np.uint64(8))
     shared = _shared(grams, len(alphabet) + 3)
     p, left = [], []
-    for seen, times in own:
-        c = np.zeros(len(grams))
-        c[np.searchsorted(grams, seen)] = times
+    for c in n:
         total = np.bincount(place, c, minlength=len(contexts))
         kinds = np.bincount(place, c > 0, minlength=len(contexts))
         # what is left to the shared model after this context; all of it, where the class has not met the context
@@ -173,14 +182,15 @@ class Scorer:
         words = list(new)
         self.kept.update(zip(words, self.evidence.of_words(words).tolist(), strict=True))
         get = self.kept.__getitem__
-        out = np.zeros((len(split), 2 + TOP))
+        out = np.zeros((len(split), FEATURES))
         for i, words in enumerate(split):
             if words:
                 e = np.fromiter(map(get, words), float, len(words))
                 top = np.sort(e if len(e) <= TOP else np.partition(e, len(e) - TOP)[-TOP:])[::-1]
                 out[i, 0] = e.sum() / sum(map(len, words))
                 out[i, 1] = e.mean()
-                out[i, 2 : 2 + len(top)] = np.maximum(top, 0)
+                # among more words, some are more telling by chance
+                out[i, 2 : 2 + len(top)] = np.maximum(top - BY_CHANCE * np.log1p(len(words)), 0)
         return out
 
 
@@ -211,84 +221,117 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _total(parts) -> list[dict[str, int]]:
-    out: list[dict[str, int]] = [{}, {}]
-    for part in parts:
-        for mine, more in zip(out, part, strict=True):
-            for w, n in more.items():
-                mine[w] = mine.get(w, 0) + n
-    return out
+def labelled_texts(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, float | None]:
+    """(toxic, fold, _order, doc_id, text) of all usable labels, each text once; the toxic share of the labels."""
+    usable = labels.where("toxic in (0, 1) and doc_id is not null and pmod(crc32(cast(cast(doc_id as string) as binary)), 5) != 0").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    share = usable.agg(F.avg("toxic")).first()[0]
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(usable, "doc_id").select(F.sha2("text", 256).alias("sha"), F.xxhash64("doc_id").alias("_order"), "doc_id", "toxic", "text")
+    # a row for each text: copies meet as digests, and only the first of them brings its text
+    first = rows.groupBy("sha").agg(F.min(F.struct("_order", "doc_id", "toxic", "text")).alias("m"))
+    return store(first.select("m.toxic", F.pmod(F.xxhash64("sha"), F.lit(FOLDS)).cast("int").alias("fold"), "m._order", "m.doc_id", "m.text"), "labelled"), share
 
 
-def _less(counts: list[dict[str, int]], part: list[dict[str, int]]) -> list[dict[str, int]]:
-    return [{w: n - gone.get(w, 0) for w, n in mine.items() if n > gone.get(w, 0)} for mine, gone in zip(counts, part, strict=True)]
+def word_counts(labelled: DataFrame) -> DataFrame:
+    """(toxic, fold, word, n): the words of all labelled texts."""
 
+    def run(batches):
+        for batch in batches:
+            for b in by_bytes(batch, 2, SLICE_BYTES):
+                counts: dict[tuple[int, int], dict[str, int]] = {}
+                for c, f, t in zip(*(x.to_pylist() for x in b.columns), strict=True):
+                    mine = counts.setdefault((c, f), {})
+                    for w in words_of(t):
+                        mine[w] = mine.get(w, 0) + 1
+                for (c, f), mine in counts.items():
+                    yield pa.RecordBatch.from_arrays([pa.array([c] * len(mine), pa.int32()), pa.array([f] * len(mine), pa.int32()), pa.array(list(mine), pa.string()), pa.array(list(mine.values()), pa.int64())], names=["toxic", "fold", "word", "n"])
 
-def fit(texts: list[str], toxic: np.ndarray, prior: float | None = None, counts: list[dict[str, int]] | None = None) -> Model:
-    """Models on all texts; the curve on features from models that had not seen the text (FOLDS parts).
+    counted = labelled.select("toxic", "fold", "text").mapInArrow(run, "toxic int, fold int, word string, n long")
+    return store(counted.groupBy("toxic", "fold", "word").agg(F.sum("n").alias("n")), "words")
 
-    `counts` are the words of all labelled texts, those of `texts` among them; without it `texts` are all there are.
-    `prior` is the share of toxic texts to expect; the sample has the classes in other shares.
-    """
-    if not len(texts):
-        empty = Evidence({}, *(np.zeros(0, t) for t in (np.uint64, np.float32, np.uint64, np.float32)))
-        return Model(empty, np.zeros(2 + TOP), np.ones(2 + TOP), np.zeros(3 + TOP))
-    split = [words_of(t) for t in texts]
-    fold = np.arange(len(texts)) % FOLDS
-    parts = [count_words([split[i] for i in np.flatnonzero(fold == k)], toxic[fold == k]) for k in range(FOLDS)]
-    x = np.zeros((len(texts), 2 + TOP))
-    counts = counts or _total(parts)
-    for k in range(FOLDS):
-        seen = Scorer(train(_less(counts, parts[k])))
-        mine = np.flatnonzero(fold == k)
-        x[mine] = seen.features_of([split[i] for i in mine])
-    mean, scale, w = fit_logistic(x, toxic)
-    if prior and 0 < toxic.mean() < 1 and 0 < prior < 1:
-        odds = lambda p: np.log(p / (1 - p))
-        w[-1] += odds(prior) - odds(toxic.mean())
-    return Model(train(counts), mean, scale, w)
 
+def alphabet_of(words: DataFrame) -> dict[str, int]:
+    """Codes of the most frequent characters of `word_counts`; LETTERS of them come to the driver."""
+    chars = words.select(F.explode(F.split("word", "")).alias("c"), "n").groupBy("c").agg(F.sum("n").alias("n"))
+    return _alphabet({r.c: r.n for r in chars.orderBy(F.desc("n"), F.col("c").cast("binary")).limit(LETTERS).collect()})
 
-def labelled_texts(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, float | None]:
-    """(toxic, _order, doc_id, text) of all usable labels, each text once; the toxic share of the labels."""
-    usable = labels.where("toxic in (0, 1) and doc_id is not null and pmod(crc32(cast(cast(doc_id as string) as binary)), 5) != 0").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    share = usable.agg(F.avg("toxic")).first()[0]
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(usable, "doc_id").select(F.sha2("text", 256).alias("sha"), F.xxhash64("doc_id").alias("_order"), "doc_id", "toxic", "text")
-    # a row for each text: copies meet as digests, and only the first of them brings its text
-    first = rows.groupBy("sha").agg(F.min(F.struct("_order", "doc_id", "toxic", "text")).alias("m"))
-    return store(first.select("m.toxic", "m._order", "m.doc_id", "m.text"), "labelled"), share
 
+def gram_counts(words: DataFrame, alphabet: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct grams of `word_counts`, sorted, and their counts by class and fold.
 
-def training_sample(labelled: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> tuple[list[str], np.ndarray]:
-    """Whole texts and labels for the curve, at most `rows` and `chars` for each class, in an order fixed by a hash of the id."""
+    They are summed by Spark. The driver holds 40 bytes for each; new ones come ever more rarely, but they do come.
+    """
+
+    def run(batches):
+        for b in batches:
+            toxic, fold, words, n = (x.to_pylist() for x in b.columns)
+            grams, at = _grams(words, alphabet)
+            kind = (np.array(toxic, np.int64) * FOLDS + np.array(fold, np.int64))[at]
+            n = np.array(n, np.int64)[at]
+            order = np.lexsort((kind, grams))
+            grams, kind, n = grams[order], kind[order], n[order]
+            first = np.flatnonzero(np.r_[True, (grams[1:] != grams[:-1]) | (kind[1:] != kind[:-1])][: len(grams)])
+            sums = np.add.reduceat(n, first) if len(first) else n
+            yield pa.RecordBatch.from_arrays([pa.array(grams[first].view(np.int64)), pa.array(kind[first].astype(np.int32)), pa.array(sums)], names=["gram", "kind", "n"])
+
+    counted = words.select("toxic", "fold", "word", "n").mapInArrow(run, "gram long, kind int, n long")
+    kinds = [F.least(F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)), F.lit(2**31 - 1)).cast("int").alias(f"n{k}") for k in range(2 * FOLDS)]
+    got = counted.groupBy("gram").agg(*kinds).toArrow()
+    grams = got.column(0).to_numpy().view(np.uint64)
+    order = np.argsort(grams)
+    n = np.zeros((2, FOLDS, len(grams)), np.int32)
+    for k in range(2 * FOLDS):
+        n[k // FOLDS, k % FOLDS] = got.column(1 + k).to_numpy()[order]
+    return grams[order], n
+
+
+def curve_sample(labelled: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
+    """(toxic, fold, text) for the curve: at most `rows` of each class, the first by a hash of the id."""
     chosen = None
     for c in (0, 1):
         part = labelled.where(F.col("toxic") == c).select("toxic", "_order", "doc_id").orderBy("_order", "doc_id").limit(rows)
         chosen = part if chosen is None else chosen.unionByName(part)
-    got = labelled.join(F.broadcast(chosen), ["toxic", "_order", "doc_id"]).orderBy("_order", "doc_id", "text")
-    texts, toxic, used = [], [], [0, 0]
-    for r in got.toLocalIterator():
-        if used[r.toxic] + len(r.text) <= chars:
-            used[r.toxic] += len(r.text)
-            texts.append(r.text)
-            toxic.append(r.toxic)
-    return texts, np.array(toxic, np.int64)
+    return labelled.join(F.broadcast(chosen), ["toxic", "_order", "doc_id"]).select("toxic", "fold", "text")
 
 
-def word_counts(labelled: DataFrame) -> list[dict[str, int]]:
-    """The words of all ordinary and of all toxic texts with their counts."""
+def fit(labelled: DataFrame, prior: float | None) -> Model:
+    """Models on all labelled texts; the curve on features that models without the text's fold give a sample of them.
 
+    `prior` is the share of toxic texts to expect; the sample has the classes in other shares.
+    """
+    words = word_counts(labelled)
+    alphabet = alphabet_of(words)
+    grams, n = gram_counts(words, alphabet)
+    everything = n.sum(1, dtype=np.int64)
+    if not len(grams):
+        return Model(evidence(grams, everything, alphabet), np.zeros(FEATURES), np.ones(FEATURES), np.zeros(FEATURES + 1))
+    sample, x, toxic = store(curve_sample(labelled), "sample"), [np.zeros((0, FEATURES))], [np.zeros(0, np.int64)]
+    for k in range(FOLDS):
+        unseen = labelled.sparkSession.sparkContext.broadcast(evidence(grams, everything - n[:, k], alphabet))
+        got = sample.where(F.col("fold") == k).select("toxic", "text").mapInArrow(_features(unseen), "toxic int, x array<double>").toArrow()
+        unseen.destroy()
+        if got.num_rows:
+            x.append(np.array(got.column(1).to_pylist()))
+            toxic.append(got.column(0).to_numpy())
+    x, toxic = np.concatenate(x), np.concatenate(toxic)
+    # the sum over rows must not depend on the order in which tasks end
+    order = np.lexsort((*x.T, toxic))
+    x, toxic = x[order], toxic[order]
+    mean, scale, w = fit_logistic(x, toxic)
+    if prior and 0 < toxic.mean() < 1 and 0 < prior < 1:
+        odds = lambda p: np.log(p / (1 - p))
+        w[-1] += odds(prior) - odds(toxic.mean())
+    return Model(evidence(grams, everything, alphabet), mean, scale, w)
+
+
+def _features(model):
     def run(batches):
-        for b in batches:
-            counts = count_words([words_of(t) for t in b.column(1).to_pylist()], np.array(b.column(0).to_pylist(), np.int64))
-            for c, mine in enumerate(counts):
-                yield pa.RecordBatch.from_arrays([pa.array([c] * len(mine), pa.int32()), pa.array(list(mine), pa.string()), pa.array(list(mine.values()), pa.int64())], names=["toxic", "word", "n"])
+        scorer = Scorer(model.value)
+        for batch in batches:
+            for b in by_bytes(batch, 1, SLICE_BYTES):
+                x = scorer.features(b.column(1).to_pylist())
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x.tolist(), pa.list_(pa.float64()))], names=["toxic", "x"])
 
-    summed = labelled.select("toxic", "text").mapInArrow(run, "toxic int, word string, n long").groupBy("toxic", "word").agg(F.sum("n").alias("n"))
-    counts: list[dict[str, int]] = [{}, {}]
-    for r in store(summed, "words").toLocalIterator():
-        counts[r.toxic][r.word] = r.n
-    return counts
+    return run
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", carried: tuple[str, ...] = ()) -> DataFrame:
@@ -299,22 +342,19 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     usable labels every score is 0.5. A null id is kept. No other column is looked at.
     """
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    labelled, share = labelled_texts(source, labels)
-    texts, toxic = training_sample(labelled)
-    model = docs.sparkSession.sparkContext.broadcast(fit(texts, toxic, share, word_counts(labelled)))
+    model = docs.sparkSession.sparkContext.broadcast(fit(*labelled_texts(source, labels)))
+    rows = docs.select(id_col, text_col, *(c for c in carried if c != text_col))
+    kept = [rows.columns.index(c) for c in carried]  # the text goes to Python once, also where it is carried
 
     def run(batches):
         scorer = Scorer(model.value.evidence)
-        for b in batches:
-            score = np.zeros(0)
-            all_texts = [t or "" for t in b.column(1).to_pylist()]
-            for k in range(0, len(all_texts), 1000):
-                score = np.r_[score, model.value.probability(scorer.features(all_texts[k : k + 1000]))]
-            cols = [b.column(0), pa.array(score, pa.float64()), pa.array((score >= 0.5).astype(np.int32)), *b.columns[2:]]
-            yield pa.RecordBatch.from_arrays(cols, names=schema.fieldNames())
-
-    rows = docs.select(F.col(id_col), F.col(text_col).alias("_text"), *carried)
-    schema = T.StructType([T.StructField(id_col, rows.schema[0].dataType), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), *rows.schema[2:]])
+        for batch in batches:
+            for b in by_bytes(batch, 1, SLICE_BYTES):
+                score = model.value.probability(scorer.features([t or "" for t in b.column(1).to_pylist()]))
+                cols = [b.column(0), pa.array(score, pa.float64()), pa.array((score >= 0.5).astype(np.int32)), *(b.column(k) for k in kept)]
+                yield pa.RecordBatch.from_arrays(cols, names=schema.fieldNames())
+
+    schema = T.StructType([T.StructField(id_col, rows.schema[0].dataType), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), *(rows.schema[c] for c in carried)])
     return rows.mapInArrow(run, schema)
 
 
