@@ -12,6 +12,7 @@ from tokenizers import Tokenizer
 import __spark_entry__ as entry
 import corpus_pipeline
 from quarry.llm.common import DOCUMENT_COLUMNS, store, table
+from quarry.llm.suffix_dedup import remove_repeats, without_repeats
 from quarry.llm.toxicity import toxicity
 
 from .test_dedup import brute_components, brute_repeats
@@ -83,8 +84,14 @@ def test_passages_of_over_50_words(spark):
     texts += [prose(300) for _ in range(20)] + ["x" * 50 + prose(40), "", "a b " * 200]
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
     got = {x.doc_id: x.text for x in corpus_pipeline.cut_repeats(spark, docs, "").collect()}
+    crowded = {x.doc_id: x.text for x in without_repeats(docs, words=corpus_pipeline.PASSAGE_WORDS, hot=2).collect()}
+    assert crowded == got
     data = [t.encode() for t in texts]
     by_words = runs_of_words(data, 51)
+    told = {x.doc_id: x for x in remove_repeats(docs, words=51).collect()}
+    for i, plain in enumerate(brute_repeats(data, 400)):  # passages do not change what 400 bytes take out
+        assert (told[i].n_bytes, told[i].n_removed, told[i].n_spans, told[i].kept_sha256) == plain
+        assert told[i].passage_bytes == len(data[i]) - len(got[i].encode())
     for i, (t, want) in enumerate(zip(texts, by_words, strict=True)):
         seen = Counter(data[j][s : s + 400] for j in (i,) for s in range(len(data[j]) - 399))  # only the last text repeats 400 bytes
         want = want | {p for s in range(len(t) - 399) if seen[data[i][s : s + 400]] > 1 for p in range(s, s + 400)}
