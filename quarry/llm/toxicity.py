@@ -38,6 +38,8 @@ BY_CHANCE = 0.5
 FEATURES = 2 + TOP
 #: Words whose evidence a worker keeps (a cache).
 KEPT_WORDS = 200_000
+#: As many labelled ids are broadcast at most (64 MB).
+MOST_BROADCAST = 2_000_000
 #: Bytes of text that are split into words together.
 SLICE_BYTES = 2_000_000
 
@@ -221,59 +223,77 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def labelled_texts(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, float | None]:
-    """(toxic, fold, _order, doc_id, text) of all usable labels, each text once; the toxic share of the labels."""
+def labelled_ids(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, float | None]:
+    """(toxic, fold, _order, doc_id, _own, n) of all usable labels, each text once, as the first of its `n` rows; the toxic share of the labels.
+
+    _own is a hash of the text: an id that two texts share stands for each of them.
+    """
     usable = labels.where("toxic in (0, 1) and doc_id is not null and pmod(crc32(cast(cast(doc_id as string) as binary)), 5) != 0").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     share = usable.agg(F.avg("toxic")).first()[0]
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(usable, "doc_id").select(F.sha2("text", 256).alias("sha"), F.xxhash64("doc_id").alias("_order"), "doc_id", "toxic", "text")
-    # a row for each text: copies meet as digests, and only the first of them brings its text
-    first = rows.groupBy("sha").agg(F.min(F.struct("_order", "doc_id", "toxic", "text")).alias("m"))
-    return store(first.select("m.toxic", F.pmod(F.xxhash64("sha"), F.lit(FOLDS)).cast("int").alias("fold"), "m._order", "m.doc_id", "m.text"), "labelled"), share
+    text = F.coalesce("text", F.lit(""))
+    # texts meet as digests, and are not moved
+    rows = docs.select("doc_id", F.xxhash64(text).alias("_own"), F.unhex(F.sha2(text, 256)).alias("sha")).join(usable, "doc_id")
+    rows = rows.groupBy("sha", "doc_id", "_own", "toxic").agg(F.count("*").alias("n"))
+    first = rows.groupBy("sha").agg(F.min(F.struct(F.xxhash64("doc_id").alias("_order"), "doc_id", "toxic", "_own", "n")).alias("m"))
+    return store(first.select(F.pmod(F.xxhash64("sha"), F.lit(FOLDS)).cast("int").alias("fold"), "m.*"), "labelled"), share
 
 
-def word_counts(labelled: DataFrame) -> DataFrame:
-    """(toxic, fold, word, n): the words of all labelled texts."""
+def labelled_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(toxic, fold, doc_id, text) of `labelled_ids`. So many ids at most are broadcast; beyond that texts are exchanged once."""
+    number, most = ids.agg(F.count("*"), F.max("n")).first()
+    ids = ids.select("doc_id", "_own", "toxic", "fold")
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("_own", F.xxhash64("text"))
+    rows = rows.join(F.broadcast(ids) if number <= MOST_BROADCAST else ids, ["doc_id", "_own"])
+    if (most or 1) > 1:  # rows repeat
+        rows = rows.dropDuplicates(["doc_id", "_own"])
+    return rows.select("toxic", "fold", "doc_id", "text")
 
-    def run(batches):
-        for batch in batches:
-            for b in by_bytes(batch, 2, SLICE_BYTES):
-                counts: dict[tuple[int, int], dict[str, int]] = {}
-                for c, f, t in zip(*(x.to_pylist() for x in b.columns), strict=True):
-                    mine = counts.setdefault((c, f), {})
-                    for w in words_of(t):
-                        mine[w] = mine.get(w, 0) + 1
-                for (c, f), mine in counts.items():
-                    yield pa.RecordBatch.from_arrays([pa.array([c] * len(mine), pa.int32()), pa.array([f] * len(mine), pa.int32()), pa.array(list(mine), pa.string()), pa.array(list(mine.values()), pa.int64())], names=["toxic", "fold", "word", "n"])
 
-    counted = labelled.select("toxic", "fold", "text").mapInArrow(run, "toxic int, fold int, word string, n long")
-    return store(counted.groupBy("toxic", "fold", "word").agg(F.sum("n").alias("n")), "words")
+def alphabet_of(labelled: DataFrame) -> dict[str, int]:
+    """Codes of the LETTERS most frequent characters of words; a row for each character comes to the driver."""
 
+    def run(batches):
+        total = np.zeros(0x110000, np.int64)
+        for batch in batches:
+            for b in by_bytes(batch, 0, SLICE_BYTES):
+                codes = np.frombuffer("".join(b.column(0).to_pylist()).lower().encode("utf-32-le"), np.uint32)
+                n = np.bincount(codes)
+                total[: len(n)] += n
+        seen = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(total[seen])], names=["c", "n"])
 
-def alphabet_of(words: DataFrame) -> dict[str, int]:
-    """Codes of the most frequent characters of `word_counts`; LETTERS of them come to the driver."""
-    chars = words.select(F.explode(F.split("word", "")).alias("c"), "n").groupBy("c").agg(F.sum("n").alias("n"))
-    return _alphabet({r.c: r.n for r in chars.orderBy(F.desc("n"), F.col("c").cast("binary")).limit(LETTERS).collect()})
+    chars = labelled.select("text").mapInArrow(run, "c int, n long").groupBy("c").agg(F.sum("n").alias("n"))
+    return _alphabet({chr(r.c): r.n for r in chars.collect() if _WORD.match(chr(r.c))})
 
 
-def gram_counts(words: DataFrame, alphabet: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct grams of `word_counts`, sorted, and their counts by class and fold.
+def gram_counts(labelled: DataFrame, alphabet: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct grams of the words of `labelled_texts`, sorted, and their counts by class and fold.
 
     They are summed by Spark. The driver holds 40 bytes for each; new ones come ever more rarely, but they do come.
     """
 
+    def summed(counts: dict[int, dict[str, int]]) -> pa.RecordBatch:
+        cols = [(np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64))]
+        for kind, mine in counts.items():
+            grams, at = _grams(list(mine), alphabet)
+            grams, n = _summed(grams, np.fromiter(mine.values(), float, len(mine))[at])
+            cols.append((grams.view(np.int64), np.full(len(grams), kind, np.int32), n.astype(np.int64)))
+        counts.clear()
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*cols, strict=True)], names=["gram", "kind", "n"])
+
     def run(batches):
-        for b in batches:
-            toxic, fold, words, n = (x.to_pylist() for x in b.columns)
-            grams, at = _grams(words, alphabet)
-            kind = (np.array(toxic, np.int64) * FOLDS + np.array(fold, np.int64))[at]
-            n = np.array(n, np.int64)[at]
-            order = np.lexsort((kind, grams))
-            grams, kind, n = grams[order], kind[order], n[order]
-            first = np.flatnonzero(np.r_[True, (grams[1:] != grams[:-1]) | (kind[1:] != kind[:-1])][: len(grams)])
-            sums = np.add.reduceat(n, first) if len(first) else n
-            yield pa.RecordBatch.from_arrays([pa.array(grams[first].view(np.int64)), pa.array(kind[first].astype(np.int32)), pa.array(sums)], names=["gram", "kind", "n"])
-
-    counted = words.select("toxic", "fold", "word", "n").mapInArrow(run, "gram long, kind int, n long")
+        counts: dict[int, dict[str, int]] = {}
+        for batch in batches:
+            for b in by_bytes(batch, 2, SLICE_BYTES):
+                for c, f, t in zip(*(x.to_pylist() for x in b.columns), strict=True):
+                    mine = counts.setdefault(c * FOLDS + f, {})
+                    for w in words_of(t):
+                        mine[w] = mine.get(w, 0) + 1
+                if sum(map(len, counts.values())) > KEPT_WORDS:
+                    yield summed(counts)
+        yield summed(counts)
+
+    counted = labelled.select("toxic", "fold", "text").mapInArrow(run, "gram long, kind int, n long")
     kinds = [F.least(F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)), F.lit(2**31 - 1)).cast("int").alias(f"n{k}") for k in range(2 * FOLDS)]
     got = counted.groupBy("gram").agg(*kinds).toArrow()
     grams = got.column(0).to_numpy().view(np.uint64)
@@ -284,29 +304,28 @@ def gram_counts(words: DataFrame, alphabet: dict[str, int]) -> tuple[np.ndarray,
     return grams[order], n
 
 
-def curve_sample(labelled: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """(toxic, fold, text) for the curve: at most `rows` of each class, the first by a hash of the id."""
-    chosen = None
-    for c in (0, 1):
-        part = labelled.where(F.col("toxic") == c).select("toxic", "_order", "doc_id").orderBy("_order", "doc_id").limit(rows)
-        chosen = part if chosen is None else chosen.unionByName(part)
-    return labelled.join(F.broadcast(chosen), ["toxic", "_order", "doc_id"]).select("toxic", "fold", "text")
+def curve_sample(ids: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
+    """Of `labelled_ids` those for the curve: at most `rows` of each class, the first by a hash of the id."""
+    parts = [ids.where(F.col("toxic") == c).orderBy("_order", "doc_id", "_own").limit(rows) for c in (0, 1)]
+    return parts[0].unionByName(parts[1])
 
 
-def fit(labelled: DataFrame, prior: float | None) -> Model:
+def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Models on all labelled texts; the curve on features that models without the text's fold give a sample of them.
 
-    `prior` is the share of toxic texts to expect; the sample has the classes in other shares.
+    The sample has the classes in other shares than the labels, for which the curve is corrected.
     """
-    words = word_counts(labelled)
-    alphabet = alphabet_of(words)
-    grams, n = gram_counts(words, alphabet)
+    ids, prior = labelled_ids(docs, labels)
+    labelled = labelled_texts(docs, ids)
+    alphabet = alphabet_of(labelled)
+    grams, n = gram_counts(labelled, alphabet)
     everything = n.sum(1, dtype=np.int64)
     if not len(grams):
         return Model(evidence(grams, everything, alphabet), np.zeros(FEATURES), np.ones(FEATURES), np.zeros(FEATURES + 1))
-    sample, x, toxic = store(curve_sample(labelled), "sample"), [np.zeros((0, FEATURES))], [np.zeros(0, np.int64)]
+    sample = store(labelled_texts(docs, store(curve_sample(ids), "sample_ids")), "sample")
+    x, toxic = [np.zeros((0, FEATURES))], [np.zeros(0, np.int64)]
     for k in range(FOLDS):
-        unseen = labelled.sparkSession.sparkContext.broadcast(evidence(grams, everything - n[:, k], alphabet))
+        unseen = docs.sparkSession.sparkContext.broadcast(evidence(grams, everything - n[:, k], alphabet))
         got = sample.where(F.col("fold") == k).select("toxic", "text").mapInArrow(_features(unseen), "toxic int, x array<double>").toArrow()
         unseen.destroy()
         if got.num_rows:
@@ -342,7 +361,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     usable labels every score is 0.5. A null id is kept. No other column is looked at.
     """
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    model = docs.sparkSession.sparkContext.broadcast(fit(*labelled_texts(source, labels)))
+    model = docs.sparkSession.sparkContext.broadcast(fit(source, labels))
     rows = docs.select(id_col, text_col, *(c for c in carried if c != text_col))
     kept = [rows.columns.index(c) for c in carried]  # the text goes to Python once, also where it is carried
 

@@ -189,6 +189,30 @@ def test_kneser_ney_against_plain():
     assert np.allclose(e.of_words(words), [plain(w) for w in words], atol=1e-4)
 
 
+def test_gram_counts(spark, monkeypatch):
+    """What Spark counts is what the words held in memory give; each text counts once, however its id and rows repeat."""
+    r = random.Random(4)
+    rows = [(i, " ".join("".join(r.choice("abcdeé漢_1") for _ in range(r.randint(1, 9))) for _ in range(40))) for i in range(60)]
+    rows += [rows[1], rows[1], (70, rows[2][1]), (3, "another text of id three"), (5, None), (6, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(80)] + [(7, 1), (8, None), (None, 1)], "doc_id long, toxic int")
+    seen = {}
+    for i, t in rows:
+        if zlib.crc32(str(i).encode()) % 5:
+            seen.setdefault(t or "", set()).add(i)
+    for most in (10**6, 0):
+        monkeypatch.setattr(toxicity, "MOST_BROADCAST", most)
+        ids, share = toxicity.labelled_ids(docs, labels)
+        labelled = toxicity.labelled_texts(docs, ids)
+        chosen = {x.text: (x.doc_id, x.toxic) for x in labelled.collect()}
+        assert labelled.count() == len(chosen) == len(seen) and all(chosen[t][0] in seen[t] for t in seen)
+        want = toxicity.train(toxicity.count_words([toxicity.words_of(t) for t in chosen], np.array([c for _, c in chosen.values()])))
+        alphabet = toxicity.alphabet_of(labelled)
+        grams, n = toxicity.gram_counts(labelled, alphabet)
+        got = toxicity.evidence(grams, n.sum(1), alphabet)
+        assert alphabet == want.alphabet and (got.grams == want.grams).all() and np.allclose(got.gram_ratio, want.gram_ratio) and np.allclose(got.context_ratio, want.context_ratio)
+
+
 def test_toxicity_recall(spark, sf):
     """Of the held-out toxic rows nine in ten are found; few ordinary rows are taken for toxic."""
     d = sf.replace("0.001", "0.1")
@@ -232,16 +256,12 @@ def test_words_outside_the_sample_count(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "curve_sample", lambda *a: small(*a, rows=60))
     docs = spark.createDataFrame([(i, " ".join([word() for _ in range(30)] + (["vile"] if i % 2 else ["mild"]))) for i in range(400)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, toxic int")
-    labelled, _ = toxicity.labelled_texts(docs, labels)
-    inside = {x.text for x in toxicity.curve_sample(labelled).collect()}
-    rare = next(x for x in sorted(labelled.where("toxic = 1").collect(), key=lambda x: x.doc_id) if x.text not in inside)
-    plain = docs.withColumn("text", F.when(F.col("doc_id") == rare.doc_id, F.concat("text", F.lit(" zyxwv zyxwv"))).otherwise(F.col("text")))
-    labelled, _ = toxicity.labelled_texts(plain, labels)
-    counts = [{}, {}]
-    for x in toxicity.word_counts(labelled).collect():
-        counts[x.toxic][x.word] = counts[x.toxic].get(x.word, 0) + x.n
-    want = toxicity.count_words([toxicity.words_of(x.text) for x in labelled.collect()], np.array([x.toxic for x in labelled.collect()]))
-    assert counts == want and counts[1]["zyxwv"] == 2 and not any("zyxwv" in x.text for x in toxicity.curve_sample(labelled).collect())
+    ids, _ = toxicity.labelled_ids(docs, labels)
+    inside = {x.doc_id for x in toxicity.curve_sample(ids).collect()}
+    rare = min(x.doc_id for x in ids.where("toxic = 1").collect() if x.doc_id not in inside)
+    plain = docs.withColumn("text", F.when(F.col("doc_id") == rare, F.concat("text", F.lit(" zyxwv zyxwv"))).otherwise(F.col("text")))
+    ids, _ = toxicity.labelled_ids(plain, labels)
+    assert rare not in {x.doc_id for x in toxicity.curve_sample(ids).collect()}
     asked = spark.createDataFrame([(1000, "zyxwv"), (1001, "qponm")], "doc_id long, text string").unionByName(plain)
     got = {x.doc_id: x.score for x in toxicity.toxicity(asked, labels).where("doc_id >= 1000").collect()}
     assert got[1000] > got[1001]
