@@ -282,6 +282,19 @@ def test_bpe_equals_library(library):
         assert enc.decode(a) == library.decode(want.ids, skip_special_tokens=False)
 
 
+def test_bpe_in_small_slices(library, monkeypatch):
+    """Long texts are cut where it does not matter, and equal sums of different pre-tokens are noticed."""
+    texts = odd_texts()[:600] + [" ".join(odd_texts()[:80]), "word " * 300 + "  end"]
+    want = [x.ids for x in library.encode_batch(texts, add_special_tokens=False)]
+    monkeypatch.setattr(bpe, "SLICE_CHARS", 50)
+    assert [x.tolist() for x in bpe.ChunkEncoder(bpe.Vocabulary(PATH)).encode(texts)] == want
+    monkeypatch.setattr(bpe, "_BYTE", bpe._BYTE * 0)
+    enc = bpe.ChunkEncoder(bpe.Vocabulary(PATH))
+    assert [x.tolist() for x in enc.encode(texts)] == want
+    monkeypatch.setattr(bpe, "KEPT", 10)
+    assert [x.tolist() for x in enc.encode(texts)] == want and list(enc.encode([])) == []
+
+
 def test_bpe_decodes_broken_bytes(library):
     enc = bpe.ChunkEncoder(bpe.Vocabulary(PATH))
     ids = next(iter(enc.encode(["é中"])))[:-1]
