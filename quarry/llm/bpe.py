@@ -122,7 +122,8 @@ def pretoken_starts(codes: np.ndarray, pieces: np.ndarray, classes: np.ndarray)
         for k, c in enumerate(letters, 1):
             at = at[(codes[at + k] == ord(c)) & ~fresh[at + k]]
         starts[at + 1] = False
-        starts[at + 1 + len(letters)] |= at + 1 + len(letters) < n
+        past = at + 1 + len(letters)
+        starts[past[past < n]] = True
     return np.flatnonzero(starts)
 
 
