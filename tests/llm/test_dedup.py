@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quarry.llm import exact_dedup as exact
 from quarry.llm import minhash
 from quarry.llm.components import components
 from quarry.llm.exact_dedup import OP2_SQL, drop_copies, exact_dedup
@@ -63,6 +64,29 @@ def test_hot_text_is_split(spark):
     assert out.count() == 2000 and [r.doc_id for r in out.where("kept").collect()] == [5997]
 
 
+@pytest.mark.parametrize("partitions", [1, 4, 24])
+def test_groups_over_borders(spark, partitions, monkeypatch):
+    """Texts of which ranges hold nothing else, texts with equal openings, and empty ranges; groups are what neighbours say."""
+    monkeypatch.setattr(exact, "shuffle_partitions", lambda _: partitions)
+    r = random.Random(partitions)
+    opening = "the same opening of many texts " * 4
+    texts = [opening + str(k) for k in range(12)] + ["B" * 70, "b" * 70, "", None, "Zz", opening]
+    rows = [(k, r.choice(texts) if k % 3 else texts[0]) for k in range(900)]
+    want = defaultdict(list)
+    for k, t in rows:
+        want[(t or "").lower()].append(k)
+    got = {x.doc_id: (x.keep_id, x.group_size, x.kept) for x in exact_dedup(table(spark, rows)).collect()}
+    assert got == {k: (max(g), len(g), k == max(g)) for g in want.values() for k in g}
+
+
+def test_neighbours_decide(spark, monkeypatch):
+    """Without an order there are no neighbours to compare, and so no groups: nothing else makes them."""
+    rows = [(k, "same" if k % 2 else f"text {k}") for k in range(200)]
+    monkeypatch.setattr(exact, "_lead", lambda text: F.concat(F.left(F.sha2(F.concat(F.uuid(), text), 256), F.lit(8)), F.lit("0" * 64)))
+    got = exact_dedup(table(spark, rows)).collect()
+    assert max(x.group_size for x in got) < 100
+
+
 def test_drop_copies(spark):
     kept = drop_copies(table(spark, ODD, clash=False).withColumn("lang", F.lit("x")))
     assert sorted((r.doc_id or -1) for r in kept.collect()) == [-1, 4, 5, 6, 8, 9, 10] and kept.columns == ["doc_id", "text", "lang"]
