@@ -50,10 +50,12 @@ HOT = 5000
 #: Surroundings that a task remembers (a bound of its memory: beyond it, more than two may be sent on).
 MOST_MET = 200_000
 #: Bytes of text whose hashes are computed together.
-SLICE = 1 << 20
+SLICE = 1 << 19
 
 #: ASCII white space, as bytes.split() has it.
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_OTHER_SPACES = [bytes([c]) for c in b"\t\n\v\f\r"]
+_ALL_SPACES = {b" ", *_OTHER_SPACES}
 _SPACES, _WORDS = re.compile(rb"[\t-\r ]"), re.compile(rb"[^\t-\r ]+")
 
 _rng = np.random.default_rng(41)
@@ -166,7 +168,7 @@ def _scanned(rows: DataFrame, length: int, k: int, words: int) -> DataFrame:
     """For each text its digest, its size, whether it is long enough to be a repeat, and its anchors."""
 
     def run(batches):
-        for b in batches:
+        for b in (x for batch in batches for x in by_bytes(batch, 1, 8 * SLICE)):
             raw = b.column(1).cast(pa.large_binary()).fill_null(b"")
             texts = raw.to_pylist()
             sizes = np.fromiter(map(len, texts), np.int64, len(texts))
@@ -313,6 +315,22 @@ def _common(a: np.ndarray, a_len: np.ndarray, b: np.ndarray, b_len: np.ndarray)
     return np.minimum(first, np.minimum(a_len, b_len))
 
 
+def _prefix(a: bytes, b: bytes) -> int:
+    """The length of what two byte strings begin with in common."""
+    n = min(len(a), len(b))
+    if a[:n] == b[:n]:
+        return n
+    return int((np.frombuffer(a, np.uint8, n) != np.frombuffer(b, np.uint8, n)).argmax())
+
+
+def _reach(shared: np.ndarray) -> np.ndarray:
+    """The larger of what each row shares with the one before and the one after."""
+    out = np.zeros(len(shared) + 1, np.int64)
+    out[:-1] = shared
+    np.maximum(out[1:], shared, out=out[1:])
+    return out
+
+
 def intervals(common: list[int]) -> Iterator[tuple[int, int, int]]:
     """(depth, first, last) of the intervals of a suffix array, from the common prefixes of neighbours, each before those around it."""
     stack: list[tuple[int, int]] = []
@@ -332,14 +350,14 @@ def cover(right: list[bytes], left: list[bytes], length: int = LENGTH, k: int =
     """
     n = len(right)
     far_left, far_right = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    if n == 2:  # the tree is one interval
+        both, depth = _prefix(*left), _prefix(*right)
+        if both + depth >= length:
+            far_left[:], far_right[:] = both, depth
+        return far_left, far_right
     rights, right_len = _matrix(right, max(map(len, right)))
     lefts, left_len = _matrix(left, max(1, max(map(len, left))))
     depth = _common(rights[1:], right_len[1:], rights[:-1], right_len[:-1])
-    if n == 2:  # the tree is one interval
-        both = int(_common(lefts[:1], left_len[:1], lefts[1:], left_len[1:])[0])
-        if both + depth[0] >= length:
-            far_left[:], far_right[:] = both, depth[0]
-        return far_left, far_right
     # of occurrences that agree in all that is looked at, two stand for the rest: they reach as far as any
     same = np.r_[False, (depth == right_len[1:]) & (depth == right_len[:-1]) & (left_len[1:] == left_len[:-1]) & (lefts[1:] == lefts[:-1]).all(1)]
     kept = np.flatnonzero(~(same & np.r_[False, same[:-1]]))
@@ -359,7 +377,7 @@ def cover(right: list[bytes], left: list[bytes], length: int = LENGTH, k: int =
         inside = inside[np.argsort(order_left[inside], kind="stable")]
         rows = kept[inside]
         shared = _common(lefts[rows[1:]], left_len[rows[1:]], lefts[rows[:-1]], left_len[rows[:-1]])
-        reach = np.maximum(np.r_[shared, 0], np.r_[0, shared])
+        reach = _reach(shared)
         ok = reach >= need
         hit = inside[ok]
         lo[hit] = np.maximum(lo[hit], reach[ok])
@@ -369,10 +387,11 @@ def cover(right: list[bytes], left: list[bytes], length: int = LENGTH, k: int =
 
 def cover_words(right: list[bytes], left: list[bytes], ends: list[int], words: int) -> list[tuple[int, int] | None]:
     """For each occurrence of an anchor where the repeats of at least `words` whole words around it begin and end, from the anchor."""
+    if len(right) == 2:
+        return [_pair_words(right, left, ends, words)] * 2
     # white space is written twice, first as any and then as itself, and a text's end as any: so
     # words end alike before different white space, but go on alike only after the same
-    wide = lambda t, end: _SPACES.sub(rb" \g<0>", t) + b" " * bool(end)
-    right, left = [wide(t, e & 1) for t, e in zip(right, ends, strict=True)], [wide(t, e & 2) for t, e in zip(left, ends, strict=True)]
+    right, left = [_wide(t, e & 1) for t, e in zip(right, ends, strict=True)], [_wide(t, e & 2) for t, e in zip(left, ends, strict=True)]
     order = sorted(range(len(right)), key=lambda i: (right[i], left[i]))
     # of occurrences that agree in all, two stand for the rest
     kept, stands = [], np.zeros(len(right), np.int64)
@@ -385,8 +404,8 @@ def cover_words(right: list[bytes], left: list[bytes], ends: list[int], words: i
     rights, right_len = _matrix([right[i] for i in kept], max(map(len, right)))
     lefts, left_len = _matrix([left[i] for i in kept], max(1, max(map(len, left))))
     inner = ~_SPACE[rights[:, 0]]
-    closed = np.cumsum(_SPACE[rights] & ~np.c_[np.zeros(len(kept), bool), _SPACE[rights[:, :-1]]] & (np.arange(rights.shape[1]) > 0), axis=1)
-    opened = np.c_[np.zeros(len(kept), int), np.cumsum(_SPACE[lefts] & np.c_[inner, ~_SPACE[lefts[:, :-1]]], axis=1)]
+    closed = np.cumsum(_SPACE[rights] & ~np.c_[np.zeros(len(kept), bool), _SPACE[rights[:, :-1]]] & (np.arange(rights.shape[1]) > 0), axis=1, dtype=np.int16)
+    opened = np.c_[np.zeros(len(kept), np.int16), np.cumsum(_SPACE[lefts] & np.c_[inner, ~_SPACE[lefts[:, :-1]]], axis=1, dtype=np.int16)]
     order_left = np.zeros(len(kept), np.int64)
     order_left[sorted(range(len(kept)), key=lambda i: left[kept[i]])] = np.arange(len(kept))
     lo, ro = np.zeros(len(kept), np.int64), np.zeros(len(kept), np.int64)
@@ -400,7 +419,7 @@ def cover_words(right: list[bytes], left: list[bytes], ends: list[int], words: i
         if (need > opened[inside, left_len[inside]]).all() or (ro[inside] > 0).all() and (lo[inside] == left_len[inside]).all():
             continue
         shared = _common(lefts[inside[1:]], left_len[inside[1:]], lefts[inside[:-1]], left_len[inside[:-1]])
-        reach = np.maximum(np.r_[shared, 0], np.r_[0, shared])
+        reach = _reach(shared)
         ok = opened[inside, reach] >= need
         hit = inside[ok]
         lo[hit] = np.maximum(lo[hit], reach[ok])
@@ -411,9 +430,35 @@ def cover_words(right: list[bytes], left: list[bytes], ends: list[int], words: i
     return out
 
 
+def _wide(text: bytes, ends: int) -> bytes:
+    text = text.replace(b" ", b"  ")
+    for c in _OTHER_SPACES:
+        text = text.replace(c, b" " + c)
+    return text + b" " if ends else text
+
+
+def _narrow(text: bytes) -> bytes:
+    for c in _OTHER_SPACES:
+        text = text.replace(b" " + c, c)
+    return text.replace(b"  ", b" ")
+
+
+def _pair_words(right: list[bytes], left: list[bytes], ends: list[int], words: int) -> tuple[int, int] | None:
+    """The same for two occurrences: the whole words of what they share, if they are enough."""
+    r, l = _prefix(*right), _prefix(*left)
+    bounded = lambda t, at, end: t[at : at + 1] in _ALL_SPACES if at < len(t) else bool(end)
+    shared = left[0][:l][::-1] + right[0][:r]
+    found = [m.span() for m in _WORDS.finditer(shared)]
+    if found and found[0][0] == 0 and not all(bounded(t, l, e & 2) for t, e in zip(left, ends, strict=True)):
+        del found[0]
+    if found and found[-1][1] == len(shared) and not all(bounded(t, r, e & 1) for t, e in zip(right, ends, strict=True)):
+        del found[-1]
+    return (found[0][0] - l, found[-1][1] - l) if len(found) >= words else None
+
+
 def _whole_words(right: bytes, left: bytes) -> tuple[int, int]:
     """Begin and end, from the anchor, of the words that white space bounds on both sides."""
-    right, left = (re.sub(rb" ([\t-\r ])", rb"\1", t) for t in (right, left))
+    right, left = _narrow(right), _narrow(left)
     around = left[::-1] + right
     first, last = _SPACES.search(around).start(), len(around) - 1 - _SPACES.search(around[::-1]).start()
     inner = around[first:last]
