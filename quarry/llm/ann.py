@@ -1,13 +1,15 @@
 """Nearest neighbours by inner product, over robust-pruned directed graphs, one for each shard.
 
-Distinct vectors are dealt into shards of a bounded size. A shard's graph is built in batches of points: a
+Distinct vectors are dealt into shards by their length (to a factor of two) and then at random, so a shard's vectors are of
+like magnitude, whatever outliers the table holds. A shard's graph is built in batches of points: a
 greedy search from the entry point proposes neighbours, and relaxed distance pruning keeps an edge only
 if no kept neighbour is much nearer to its end than the point itself; edges are also added backwards and
 pruned again where they are too many. A query walks the graph of each shard with a beam; what the
 beams hold is scored in double precision on the original vectors and merged.
 
 Largest inner product becomes least distance by one more coordinate that gives all vectors of a shard
-the same length, so vectors need not be normalised.
+the same length, so vectors need not be normalised. Graphs are searched in single precision, after each shard and each query has
+been divided by its largest component.
 """
 
 from __future__ import annotations
@@ -19,8 +21,8 @@ from pyspark.sql import functions as F
 
 from .common import store, table
 
-#: Vectors in a shard, about; edges from a point; width of the beams; how far pruning is relaxed; points added at a time.
-SHARD, DEGREE, BUILD_BEAM, BEAM, RELAX, BATCH = 6000, 28, 64, 112, 1.2, 256
+#: Vectors in a shard, at least, and for each square root of the number of vectors (so that shards do not grow in number as the vectors do); edges from a point; width of the beams; how far pruning is relaxed; points added at a time.
+SHARD, SHARD_GROWTH, DEGREE, BUILD_BEAM, BEAM, RELAX, BATCH = 6000, 12, 28, 64, 112, 1.2, 256
 #: Nodes of each beam that are opened in one step, and queries in a block.
 OPENED, QUERY_BLOCK = 4, 2048
 
@@ -133,7 +135,8 @@ class Graph:
 
 
 def lifted(x: np.ndarray) -> np.ndarray:
-    """`x` with the coordinate that makes all rows equally long."""
+    """`x`, scaled, with the coordinate that makes all rows equally long."""
+    x = x / np.abs(x).max(initial=np.finfo(float).tiny)
     squares = (x * x).sum(1)
     return np.c_[x, np.sqrt(np.maximum(squares.max(initial=0.0) - squares, 0))].astype(np.float32)
 
@@ -159,8 +162,20 @@ def nearest(vectors: DataFrame, query_every: int = 20, k: int = 20, id_col: str
     # of equal vectors, as many ids as could be among the nearest; the limit is applied before rows are exchanged
     few = rows.withColumn("place", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("place") <= k + 1)
     classes = store(few.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")), "vectors")
-    shards = max(1, -(-classes.count() // shard))
-    dealt = classes.withColumn("shard", F.pmod(F.xxhash64(F.col("ids")[0]), F.lit(shards)).cast("int"))
+    largest = F.array_max(F.transform("v", lambda x: F.abs(x)))
+    length = F.log2("_m") + F.log2(F.aggregate("v", F.lit(0.0), lambda a, x: a + (x / F.col("_m")) * (x / F.col("_m")))) / 2
+    classes = classes.withColumn("_m", largest).withColumn("magnitude", F.floor(length).cast("int"))
+    # doubles have about 2100 magnitudes, so this is a bounded table
+    sizes_by = {r.magnitude: r["count"] for r in classes.groupBy("magnitude").count().orderBy("magnitude").collect()}
+    size = max(shard, int(SHARD_GROWTH * sum(sizes_by.values()) ** 0.5))
+    plan, shards = [], 0
+    for magnitude, n in sizes_by.items():
+        plan.append((magnitude, shards, -(-n // size)))
+        shards += -(-n // size)
+    if not shards:
+        return spark.createDataFrame([], schema)
+    plan = spark.createDataFrame(plan, "magnitude int, first int, among int")
+    dealt = classes.join(F.broadcast(plan), "magnitude").select("v", "ids", (F.col("first") + F.pmod(F.xxhash64(F.col("ids")[0]), F.col("among"))).cast("int").alias("shard"))
 
     def build(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ids", key=lambda c: c.str[0], kind="stable")
@@ -184,7 +199,8 @@ def nearest(vectors: DataFrame, query_every: int = 20, k: int = 20, id_col: str
             index = Graph(lifted(x), np.frombuffer(g["edges"], np.int32).reshape(-1, DEGREE), int(g["entry"]))
             for i in range(0, len(asked), BATCH):
                 q = np.stack(asked["v"].iloc[i : i + BATCH].to_list())
-                found, _ = index.search(np.c_[q, np.zeros(len(q))].astype(np.float32), max(BEAM, 2 * k))
+                scaled = np.c_[q / np.abs(q).max(1, keepdims=True), np.zeros(len(q))]
+                found, _ = index.search(scaled.astype(np.float32), max(BEAM, 2 * k))
                 for own, f, vector in zip(asked["id"].iloc[i : i + BATCH], found, q, strict=True):
                     f = f[f >= 0]
                     score = (x[f] * vector).sum(1)

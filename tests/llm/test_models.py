@@ -58,6 +58,23 @@ def test_nearest(spark):
     assert nearest(df.where("vec_id in (0, 1, 2)")).count() == 2
 
 
+def test_nearest_beside_outliers(spark):
+    """Vectors of very different length do not blur each other, and finite components of any size take part."""
+    r = np.random.default_rng(8)
+    x = r.normal(size=(1200, 24))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    rows += [(1200, (x[0] * 1e4).tolist()), (1201, (x[1] * -1e4).tolist()), (1202, (x[2] * 1e30).tolist()), (1203, (x[3] * 1e-30).tolist()), (1204, (x[4] * 1e150).tolist()), (1220, (x[5] * 1e30).tolist())]
+    got = {}
+    for y in nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), shard=400).collect():
+        got.setdefault(y.query_id, []).append((y.rank, y.vec_id, y.score))
+    want = brute_nearest(rows, 20, 20)
+    assert set(got) == set(want) and all(len(v) == 20 for v in got.values())
+    assert np.mean([len({i for _, i, _ in got[q]} & {i for _, i in want[q]}) / 20 for q in want]) > 0.95
+    by = dict(rows)
+    assert all(s == pytest.approx(float(np.dot(by[q], by[i])), rel=1e-9) for q in got for _, i, s in got[q])
+
+
 def test_graph_recall():
     r = np.random.default_rng(1)
     x = r.normal(size=(1500, 32))
