@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, store, table
+from .common import by_bytes, mix64, store, table
 from .components import components
 
 SHINGLE, BANDS, ROWS = 5, 32, 4
@@ -33,6 +33,8 @@ PERCENT = 75
 MARGIN = 5.0
 #: As many ids are broadcast at most (16 MB); beyond that they are joined by a shuffle.
 MOST_BROADCAST = 2_000_000
+#: Bytes of text that are shingled together.
+SLICE_BYTES = 4_000_000
 #: Strays of a bucket that are held against its other members at a time.
 BLOCK = 64
 
@@ -78,15 +80,20 @@ def odd_sketch(s: np.ndarray) -> np.ndarray:
     return np.packbits((np.bincount(bit.astype(np.int64), minlength=SKETCH_BITS) & 1).astype(np.uint8)).view(np.int64)
 
 
+def set_keys(s: np.ndarray) -> tuple[int, int]:
+    """Two sums over the hashes of a set."""
+    return int(s.sum(dtype=np.uint64).view(np.int64)), int(mix64(s ^ np.uint64(0x9E3779B97F4A7C15)).sum(dtype=np.uint64).view(np.int64))
+
+
 def _signatures(rows: DataFrame) -> DataFrame:
     def run(batches):
-        for b in batches:
+        for b in (x for batch in batches for x in by_bytes(batch, 1, SLICE_BYTES)):
             n, k1, k2, bands, sketches = [], [], [], [], []
             for text in b.column(1).to_pylist():
                 s = shingles(text)
                 n.append(len(s))
-                k1.append(int(s.sum(dtype=np.uint64).view(np.int64)))
-                k2.append(int(mix64(s ^ np.uint64(0x9E3779B97F4A7C15)).sum(dtype=np.uint64).view(np.int64)))
+                for k, x in zip((k1, k2), set_keys(s), strict=True):
+                    k.append(x)
                 m = minhash(s) if len(s) else None
                 bands.append(None if m is None else band_keys(m))
                 sketches.append(None if m is None else odd_sketch(s))
@@ -119,8 +126,11 @@ def _confirmed(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     """Those of the pairs (a, b) whose full sets are similar enough."""
 
     def sets(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t).tobytes() for t in b.column(1).to_pylist()], pa.binary())], names=["id", "s"])
+        for batch in batches:
+            for b in by_bytes(batch, 1, SLICE_BYTES):
+                found = [shingles(t) for t in b.column(1).to_pylist()]
+                k1, k2 = zip(*map(set_keys, found), strict=True)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], names=["id", "k1", "k2", "s"])
 
     def check(batches):
         for b in batches:
@@ -137,8 +147,8 @@ def _confirmed(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     needed = store(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "needed")
     if needed.count() <= MOST_BROADCAST:
         needed = F.broadcast(needed)
-    # a repeated id can only have the same text here: classes of other texts have other smallest ids
-    held = store(rows.join(needed, "id", "left_semi").mapInArrow(sets, "id long, s binary").dropDuplicates(["id"]), "sets")
+    # an id that several texts share brings the set of each, and is linked by any of them
+    held = store(rows.join(needed, "id", "left_semi").mapInArrow(sets, "id long, k1 long, k2 long, s binary").dropDuplicates(["id", "k1", "k2"]).select("id", "s"), "sets")
     with_a = pairs.join(held.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
     full = with_a.join(held.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b").select("a", "b", "sa", "sb")
     return store(full.mapInArrow(check, "a long, b long"), "confirmed")
@@ -148,16 +158,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row for each row of `docs`: id, n_shingles, class_id, component_id, kept.
 
     Null and empty texts have an empty set and are linked with nothing; so have rows with a null id,
-    which keep a null class and component and stay. A repeated id and text gives the same row again; one id with two texts
-    stands for both of them. An empty table gives no rows; other columns are not looked at.
+    which keep a null class and component and stay. A repeated id and text gives the same row again; one id with several texts
+    is one document of the links: whatever is like one of them is linked with it. Sets are held as 64-bit hashes of their shingles, and
+    are equal if size and two 64-bit sums over these agree. An empty table gives no rows; other columns are not looked at.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     signed = store(_signatures(rows), "signatures")
     linked = signed.where("n > 0 and id is not null")
     classes = store(linked.groupBy("k1", "k2", "n").agg(F.min("id").alias("rep"), F.count("*").alias("copies")).where("copies > 1"), "classes").select("k1", "k2", "n", "rep")
     members = store(signed.select("id", "n", "k1", "k2").join(classes, ["k1", "k2", "n"], "left").select("id", "n", F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.coalesce("rep", "id")).otherwise(F.col("id")).alias("rep")), "members")
-    reps = signed.join(classes, ["k1", "k2", "n"], "left").where("n > 0 and id is not null and (rep is null or rep = id)")
-    sketches = store(reps.select("id", "n", "sketch", "bands"), "sketches")
+    reps = signed.join(classes, ["k1", "k2", "n"], "left").where("n > 0 and id is not null")
+    chosen = reps.where("rep = id").dropDuplicates(["id", "k1", "k2", "n"])
+    sketches = store(reps.where("rep is null").unionByName(chosen).select("id", "n", "sketch", "bands"), "sketches")
 
     banded = sketches.select(F.explode("bands").alias("key"), F.col("id").alias("rep"))
     buckets = banded.groupBy("key").agg(F.min("rep").alias("center"), F.max("rep").alias("last")).where("center != last").select("key", "center")

@@ -145,6 +145,17 @@ def test_near_duplicates_odd_rows(spark):
     assert near_duplicates(table(spark, [])).count() == 0
 
 
+def test_one_id_with_two_texts(spark):
+    """Links of either text are links of the id, on every run."""
+    r = random.Random(12)
+    a, b, c = (" ".join("".join(r.choice("abcdefgh") for _ in range(4)) for _ in range(300)) for _ in range(3))
+    rows = [(1, a), (1, b), (2, a + " x"), (3, b + " x"), (4, c), (4, a + " y"), (4, a + " y"), (5, c + " z"), (6, "apart from all of them")]
+    for _ in range(3):
+        r.shuffle(rows)
+        got = {(x.doc_id, x.component_id) for x in near_duplicates(table(spark, rows)).collect()}
+        assert got == {(1, 1), (2, 1), (3, 1), (4, 1), (5, 1), (6, 6)}
+
+
 def test_sketch_bound_lets_links_through(spark):
     """Pairs just similar enough, of sets below and above the sample's size, pass the sketch."""
     r = np.random.default_rng(5)
