@@ -11,7 +11,9 @@ characters `<|` only ever begin a mark, and reading takes one backslash out agai
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import itertools
 import re
 from collections.abc import Iterable, Iterator
 
@@ -26,6 +28,8 @@ from .packing import LibraryEncoder
 
 START, END, LINE = "<|im_start|>", "<|im_end|>", "<|line|>"
 BUDGET, HISTORY_TOKENS, HISTORY_TURNS = 1024, 256, 4
+#: Turns that are read ahead of a window.
+LOOKAHEAD = 64
 
 _ESCAPE, _UNESCAPE = re.compile(r"<(\\*)\|"), re.compile(r"<\\(\\*)\|")
 _TURN = re.compile(r"<\|im_start\|>([^\n]*)\n(.*?)<\|im_end\|>\n", re.DOTALL)
@@ -53,54 +57,53 @@ def parse(formatted: str) -> list[tuple[str, str]]:
 def windows(turns: Iterable[tuple[str, str, int]], budget: int, history_tokens: int, history_turns: int) -> Iterator[dict]:
     """Windows of one conversation from (role, text, tokens) in order.
 
-    Turns are read as they come, and no more of them is held than a window needs. The first turn, if it
+    Turns are read LOOKAHEAD at a time, and no more of them is held than a window needs. The first turn, if it
     is of the system, heads every window. A turn over the budget has a window to itself (with the
     system turn); it is not cut.
     """
+    turns = iter(turns)
     system: tuple[str, str, int] | None = None
-    history: list[tuple[str, str, int]] = []
-    fresh: list[tuple[str, str, int]] = []
-    first, number, prefix = 0, 0, [0]  # prefix sums over the tokens of fresh turns
+    held: list[tuple[str, str, int]] = []
+    sums = [0]  # prefix sums over the tokens of the turns held
+    back = first = gone = number = 0  # where history and new turns begin among those held, and how many came before these
     room = budget
 
-    def close() -> dict:
-        lead = ([system] if system and first > 0 else []) + history
+    def read() -> bool:
+        more = list(itertools.islice(turns, LOOKAHEAD))
+        held.extend(more)
+        sums.extend(itertools.islice(itertools.accumulate((t[2] for t in more), initial=sums[-1]), 1, None))
+        return bool(more)
+
+    def close(end: int) -> dict:
+        lead = ([system] if system and gone + first > 0 else []) + held[back:first]
         out, spans = [], []
         at = 0
-        for k, (role, text, _) in enumerate(lead + fresh):
+        for k, (role, text, _) in enumerate(lead + held[first:end]):
             shown, begins = _turn(role, text)
             if k >= len(lead) and role == "assistant":
                 spans.append((at + begins, at + len(shown) - len(END) - 1))
             out.append(shown)
             at += len(shown)
-        return {"window": number, "first_turn": first, "n_new": len(fresh), "n_repeated": len(lead), "formatted": "".join(out), "loss_spans": spans}
-
-    for k, turn in enumerate(turns):
-        if k == 0 and turn[0] == "system":
-            system = turn
-        if fresh and prefix[-1] + turn[2] > room:
-            yield close()
-            number += 1
-            first = k
-            history = _tail((history + fresh)[1 if number == 1 and system else 0 :], history_tokens, history_turns)
-            room = budget - (system[2] if system else 0) - sum(t[2] for t in history)
-            if turn[2] > room:  # rather the turn than the history
-                history, room = [], budget - (system[2] if system else 0)
-            fresh, prefix = [], [0]
-        fresh.append(turn)
-        prefix.append(prefix[-1] + turn[2])
-    if fresh:
-        yield close()
-
-
-def _tail(turns: list, tokens: int, most: int) -> list:
-    """The last turns, as many as both limits let through."""
-    out: list = []
-    for t in reversed(turns):
-        if len(out) == most or sum(x[2] for x in out) + t[2] > tokens:
-            break
-        out.insert(0, t)
-    return out
+        return {"window": number, "first_turn": gone + first, "n_new": end - first, "n_repeated": len(lead), "formatted": "".join(out), "loss_spans": spans}
+
+    if read() and held[0][0] == "system":
+        system = held[0]
+    while first < len(held):
+        while sums[-1] <= sums[first] + room and read():
+            pass
+        # the last turn up to which the new turns fit; one at least
+        end = max(first + 1, bisect.bisect_right(sums, sums[first] + room) - 1)
+        yield close(end)
+        number += 1
+        if end == len(held) and not read():
+            return
+        # the longest history before the next turn that both limits let through, without the system turn
+        start = max(back, 1 if system and gone == 0 else 0, end - history_turns, bisect.bisect_left(sums, sums[end] - history_tokens))
+        room = budget - (system[2] if system else 0)
+        # rather the turn than the history
+        back, first = (end, end) if sums[end + 1] - sums[start] > room else (min(start, end), end)
+        room -= sums[first] - sums[back]
+        held, sums, gone, first, back = held[back:], [x - sums[back] for x in sums[back:]], gone + back, first - back, 0
 
 
 SCHEMA = "conv_id long, window int, first_turn long, n_new int, n_repeated int, formatted string, loss_spans array<struct<start: int, end: int>>"
