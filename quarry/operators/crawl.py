@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.functions.html import read_page
 from quarry.functions.text import clean
-from quarry.functions.urls import is_image, is_valid, normalise, resolve
+from quarry.functions.urls import is_image, is_valid, normalise
 from quarry.sources.tables import keep
 
-HREF = r"""<a[^>]*href="([^"]*)\""""
 # Lengths of pages and contents, images of a page, pages between rests.
 SHORTEST_PAGE, SHORTEST_CONTENT, LONGEST_CONTENT, MOST_IMAGES, BURST = 100, 100, 50_000, 4, 10
 
@@ -19,10 +20,29 @@ def fetched(pages: DataFrame) -> DataFrame:
     return pages.where(F.length("html") >= SHORTEST_PAGE)
 
 
+def read_pages(pages: DataFrame) -> DataFrame:
+    """(page_id, url, title, links, images) of each page; links and images are absolute, in order, and repeats are kept.
+
+    Pages are parsed in Arrow batches, each on its own; null html and null urls give what can be had without them.
+    """
+    link = pa.struct([("href", pa.string()), ("target", pa.string())])
+
+    def run(batches):
+        for b in batches:
+            for k in range(0, b.num_rows, 256):
+                part = b.slice(k, 256)
+                found = [read_page(u or "", h or "") for u, h in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)]
+                titles, links, images = ([x[n] for x in found] for n in range(3))
+                linked = pa.array([[{"href": h, "target": t} for h, t in x] for x in links], pa.list_(link))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(titles, pa.string()), linked, pa.array(images, pa.list_(pa.string()))], names=["page_id", "url", "title", "links", "images"])
+
+    kind = pages.schema["page_id"].dataType.simpleString()
+    return pages.select("page_id", "url", "html").mapInArrow(run, f"page_id {kind}, url string, title string, links array<struct<href: string, target: string>>, images array<string>")
+
+
 def links(pages: DataFrame) -> DataFrame:
     """(page_id, url, href, target) of every link, repeats kept; targets are absolute and not yet judged."""
-    each = pages.select("page_id", "url", F.explode(F.regexp_extract_all("html", F.lit(HREF), F.lit(1))).alias("href"))
-    return each.withColumn("target", resolve(F.col("url"), F.col("href")))
+    return read_pages(pages).select("page_id", "url", F.inline("links"))
 
 
 def crawlable(found: DataFrame) -> DataFrame:
@@ -74,10 +94,6 @@ def batches(queue: DataFrame, parts: int | None = None, burst: int = BURST) -> D
     return dealt.withColumn("_row", place).join(F.broadcast(before), "_part").select("url", "seq", F.floor((F.col("_before") + F.col("_row") - 1) / burst).cast("long").alias("batch"))
 
 
-def _first(content: Column, pattern: str) -> Column:
-    return F.nullif(F.regexp_extract(content, pattern, 1), F.lit(""))
-
-
 def unescape(text: Column) -> Column:
     """The common named references and those of quotes; the ampersand last, so nothing is decoded twice."""
     for name, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "'"), ("apos", "'"), ("nbsp", " "), ("copy", "©"), ("middot", "·"), ("amp", "&")):
@@ -85,10 +101,9 @@ def unescape(text: Column) -> Column:
     return text
 
 
-def title(page: Column) -> Column:
-    """What the page is shared as, else its title, else its first heading."""
-    shared = _first(page, r"""(?is)<meta[^>]*property="og:title"[^>]*content="([^"]*)\"""")
-    return clean(unescape(F.coalesce(shared, _first(page, r"(?is)<title[^>]*>(.*?)</title>"), _first(page, r"(?is)<h1[^>]*>(.*?)</h1>"))))
+def titles(pages: DataFrame) -> DataFrame:
+    """(page_id, title): what the page is shared as, else its title, else its first heading."""
+    return read_pages(pages).select("page_id", clean(F.col("title")).alias("title"))
 
 
 def main_text(page: Column) -> Column:
@@ -104,11 +119,8 @@ def main_text(page: Column) -> Column:
 
 def images(pages: DataFrame) -> DataFrame:
     """(page_id, position, image_url): the first few distinct image addresses of each page, in order."""
-    tags = F.regexp_extract_all("html", F.lit(r"(?i)<img\b[^>]*>"), F.lit(0))
-    source = lambda t: F.coalesce(_first(t, r"""(?i)\bsrc="([^"]*)\""""), _first(t, r"""(?i)\bdata-src="([^"]*)\""""))
-    urls = F.transform(F.filter(F.transform(tags, source), lambda u: u.isNotNull()), lambda u: resolve(F.col("url"), u))
-    first = F.slice(F.array_distinct(F.filter(urls, is_image)), 1, MOST_IMAGES)
-    return pages.select("page_id", F.posexplode(first).alias("position", "image_url"))
+    first = F.slice(F.array_distinct(F.filter("images", is_image)), 1, MOST_IMAGES)
+    return read_pages(pages).select("page_id", F.posexplode(first).alias("position", "image_url"))
 
 
 def acceptable_image(width: Column, height: Column, base64: Column, side: int = 200, kilobytes: int = 500) -> Column:

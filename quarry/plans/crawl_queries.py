@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quarry.functions.text import clean
 from quarry.functions.urls import EXCLUDED, is_valid, normalise
 from quarry.operators import crawl
 from quarry.sources.tables import table
@@ -99,7 +100,31 @@ _CLEAN = "trim(regexp_replace(coalesce({0}, ''), '" + _WHITE + "', ' ', 'g'))"
 
 @query("page_title", f"SELECT page_id, {_CLEAN.format(_UNESCAPED.format(chr(116)))} AS title FROM (SELECT page_id, coalesce(nullif(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), ''), nullif(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '')) AS t FROM pages)")
 def page_title(spark, d):
-    return _pages(spark, d).select("page_id", crawl.title(F.col("html")).alias("title"))
+    return crawl.titles(_pages(spark, d))
+
+
+#: Pages as they are met, and what must be read from them.
+_CASES_HTML = [
+    (1, "https://example.com/base", '<html><head><title>Test Page</title><meta content="OG Test Title" property="og:title"></head><body><h1>Main</h1><a href="https://example.com/page1">1</a><a href=\'/relative/page\'>2</a><a href=image.jpg>3</a><a href="https://other.com/page">4</a>'),
+    (2, "https://example.com/a/b/c.html?x=1", '<article href="/no"><aside href="/no"><!-- <a href="/no">x</a> --><A class="q > r" HREF="../up?a=1&amp;b=2">1</A><a href="./d">2</a><a href="?y=2">3</a><a href="#top">4</a><h1>A <b>bold</b> &#233;nd</h1>'),
+    (3, "http://example.com", "<script>var a = '<a href=\"/no\">';</script><title> One \n two &amp;amp; </title><a href='//cdn.example.org/x/'>1</a><a href=' /s p '>2</a><a name=n>3</a><a href='mailto:a@b.c'>4</a>"),
+    (4, None, None),
+]
+_READ = [
+    (1, "OG Test Title", "https://example.com/page1 https://example.com/relative/page https://other.com/page"),
+    (2, "A bold énd", "https://example.com/a/up?a=1&b=2 https://example.com/a/b/d https://example.com/a/b/c.html?y=2 https://example.com/a/b/c.html?x=1"),
+    (3, "One two &amp;", "http://cdn.example.org/x http://example.com/s p"),
+    (4, "", ""),
+]
+_sql_text = lambda x: "'" + x.replace("'", "''") + "'"
+
+
+@query("page_cases", "SELECT * FROM (VALUES " + ", ".join(f"({i}::BIGINT, {_sql_text(t)}, {_sql_text(u)})" for i, t, u in _READ) + ") AS t(page_id, title, targets)")
+def page_cases(spark, d):
+    """Quotes of all kinds, references, dot segments, comments, scripts: what a page holds, against what is written down here."""
+    pages = spark.createDataFrame(_CASES_HTML, "page_id long, url string, html string")
+    each = crawl.read_pages(pages).select("page_id", "title", F.filter(F.transform("links", lambda x: F.when(is_valid(x.target), normalise(x.target))), lambda u: u.isNotNull()).alias("u"))
+    return each.select("page_id", clean(F.col("title")).alias("title"), F.array_join("u", " ").alias("targets"))
 
 
 _DROPPED = "script|style|nav|footer|header|aside|form|title"

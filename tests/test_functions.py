@@ -14,7 +14,12 @@ def test_tokens(spark):
     assert one(spark, tokens.tokens("t"), t="Machine learning, a 3.14 über") == want
     assert one(spark, tokens.tokens("t"), t=None) == []
     assert tokens.query_terms("to be to be") == ["to", "be"]
-    assert one(spark, tokens.cjk_tokens("t"), t="搜索引擎 test") == ["搜索", "索引", "引擎", "test"]
+    for text, search, accurate in (("搜索引擎 test", ["搜索", "索引", "引擎", "test"], ["搜索", "引擎", "test"]), ("中a1国家法x", ["a1", "国家", "家法"], ["a1", "国家"]), ("über 3.14", ["ber", "3.14"], ["ber", "3.14"]), (None, [], [])):
+        assert one(spark, tokens.tokens("t"), t=text) == search == tokens.token_list(text)
+        assert one(spark, tokens.tokens(F.col("t"), "accurate"), t=text) == accurate == tokens.token_list(text, "accurate")
+    words = ["搜索", "引擎", "搜索引擎", "中国"]
+    assert one(spark, tokens.dictionary_tokeniser(words)("t"), t="用搜索引擎 abc 中国人们") == ["搜索", "引擎", "搜索引擎", "abc", "中国", "人们"]
+    assert one(spark, tokens.dictionary_tokeniser(words, "accurate")("t"), t="搜索引擎") == ["搜索引擎"]
 
 
 def test_snippet(spark):
