@@ -30,7 +30,7 @@ ORDER, DISCOUNT, LETTERS = 8, 0.75, 250
 #: The bound of the curve's sample, for each class.
 SAMPLE_ROWS = 3000
 #: Parts of the labelled texts; the curve sees a text with models from the other parts.
-FOLDS = 4
+FOLDS = 2
 #: How many of a text's most telling words have features of their own.
 TOP = 3
 #: The evidence that some word has by chance, times the logarithm of the number of words.
@@ -100,20 +100,32 @@ def _summed(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return found, np.bincount(where, weights, minlength=len(found))
 
 
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys, sorted, and how often each comes; `keys` is sorted on the way."""
+    keys.sort()
+    edge = np.flatnonzero(keys[1:] != keys[:-1]) + 1 if len(keys) else np.zeros(0, np.int64)
+    first = np.concatenate([np.zeros(min(1, len(keys)), np.int64), edge])
+    return keys[first], np.diff(np.append(first, len(keys))).astype(np.int32)
+
+
 def _shared(grams: np.ndarray, letters: int) -> np.ndarray:
     """p(last character | the ORDER - 2 before it) of each gram, from continuation counts of both classes."""
-    p = np.full(len(grams), 1.0 / letters)
-    full = np.unique(grams)
-    for n in range(1, ORDER):  # the number of characters, the predicted one included
-        keep = np.uint64((1 << 8 * n) - 1)
-        longer = np.unique(full & np.uint64((1 << 8 * (n + 1)) - 1))  # each gives its shortened gram one continuation
-        seen, times = np.unique(longer & keep, return_counts=True)
-        contexts, total = _summed(seen >> np.uint64(8), times)
-        _, kinds = np.unique(seen >> np.uint64(8), return_counts=True)
-        mine = np.searchsorted(seen, grams & keep)
-        context = np.searchsorted(contexts, (grams & keep) >> np.uint64(8))
-        p = (np.maximum(times[mine] - DISCOUNT, 0) + DISCOUNT * kinds[context] * p) / total[context]
-    return p
+    levels, longer = [], grams  # distinct; each gives its shortened gram one continuation
+    for n in range(ORDER - 1, 0, -1):  # the number of characters, the predicted one included
+        seen, times = _distinct(longer & np.uint64((1 << 8 * n) - 1))
+        levels.append((n, seen, times))
+        longer = seen
+    shorter, p = np.zeros(1, np.uint64), np.full(1, 1.0 / letters)
+    for n, seen, times in reversed(levels):
+        p = p[np.searchsorted(shorter, seen & np.uint64((1 << 8 * (n - 1)) - 1))]
+        first = np.flatnonzero(np.diff(seen >> np.uint64(8), prepend=np.uint64(0)))
+        first = np.unique(np.append(0, first)) if len(seen) else first
+        kinds = np.diff(np.append(first, len(seen)))
+        p *= DISCOUNT * np.repeat(kinds, kinds)
+        p += np.maximum(times - DISCOUNT, 0)
+        p /= np.repeat(np.add.reduceat(times, first), kinds) if len(first) else 1
+        shorter = seen
+    return p[np.searchsorted(shorter, grams & np.uint64((1 << 8 * (ORDER - 1)) - 1))]
 
 
 def count_words(split: list[list[str]], toxic: np.ndarray) -> list[dict[str, int]]:
@@ -152,19 +164,27 @@ def train(counts: list[dict[str, int]]) -> Evidence:
 def evidence(grams: np.ndarray, n: np.ndarray, alphabet: dict[str, int]) -> Evidence:
     """Both models from the sorted grams and how often ordinary (`n[0]`) and toxic texts (`n[1]`) hold them."""
     seen = (n > 0).any(0)
-    grams, n = grams[seen], n[:, seen]
-    contexts = np.unique(grams >> np.uint64(8))
-    place = np.searchsorted(contexts, grams >> np.uint64(8))
+    if not seen.all():
+        grams, n = grams[seen], n[:, seen]
+    contexts, _ = _distinct(grams >> np.uint64(8))
+    place = np.searchsorted(contexts, grams >> np.uint64(8)).astype(np.int32)
     shared = _shared(grams, len(alphabet) + 3)
-    p, left = [], []
-    for c in n:
+
+    def model(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         total = np.bincount(place, c, minlength=len(contexts))
-        kinds = np.bincount(place, c > 0, minlength=len(contexts))
+        kinds = np.bincount(place[c > 0], minlength=len(contexts))
         # what is left to the shared model after this context; all of it, where the class has not met the context
-        over = np.where(total > 0, DISCOUNT * kinds / np.maximum(total, 1), 1.0)
-        p.append(np.maximum(c - DISCOUNT, 0) / np.maximum(total, 1)[place] + over[place] * shared)
-        left.append(over)
-    return Evidence(alphabet, grams, np.log(p[1] / p[0]).astype(np.float32), contexts, np.log(left[1] / left[0]).astype(np.float32))
+        left = np.where(total > 0, DISCOUNT * kinds / np.maximum(total, 1), 1.0)
+        p = np.maximum(c - DISCOUNT, 0)
+        p /= np.maximum(total, 1)[place]
+        p += left[place] * shared
+        return p, left
+
+    ratio, left_ratio = model(n[1])
+    p, left = model(n[0])
+    ratio /= p
+    left_ratio /= left
+    return Evidence(alphabet, grams, np.log(ratio, out=ratio).astype(np.float32), contexts, np.log(left_ratio).astype(np.float32))
 
 
 class Scorer:
@@ -269,7 +289,7 @@ def alphabet_of(labelled: DataFrame) -> dict[str, int]:
 def gram_counts(labelled: DataFrame, alphabet: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
     """The distinct grams of the words of `labelled_texts`, sorted, and their counts by class and fold.
 
-    They are summed by Spark. The driver holds 40 bytes for each; new ones come ever more rarely, but they do come.
+    They are summed by Spark. The driver holds 24 bytes for each; new ones come ever more rarely, but they do come.
     """
 
     def summed(counts: dict[int, dict[str, int]]) -> pa.RecordBatch:
@@ -295,13 +315,22 @@ def gram_counts(labelled: DataFrame, alphabet: dict[str, int]) -> tuple[np.ndarr
 
     counted = labelled.select("toxic", "fold", "text").mapInArrow(run, "gram long, kind int, n long")
     kinds = [F.least(F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)), F.lit(2**31 - 1)).cast("int").alias(f"n{k}") for k in range(2 * FOLDS)]
-    got = counted.groupBy("gram").agg(*kinds).toArrow()
-    grams = got.column(0).to_numpy().view(np.uint64)
+    counted = store(counted.groupBy("gram").agg(*kinds), "grams")
+    size = counted.count()
+    grams, n = np.zeros(size, np.uint64), np.zeros((2 * FOLDS, size), np.int32)
+    at = 0
+    for part in range(8):  # by and by, so little more than the arrays is held
+        got = counted.where(F.pmod(F.xxhash64("gram"), F.lit(8)) == part).toArrow()
+        to = slice(at, at + got.num_rows)
+        grams[to] = got.column(0).to_numpy().view(np.uint64)
+        for k in range(2 * FOLDS):
+            n[k, to] = got.column(1 + k).to_numpy()
+        at += got.num_rows
+        del got
     order = np.argsort(grams)
-    n = np.zeros((2, FOLDS, len(grams)), np.int32)
     for k in range(2 * FOLDS):
-        n[k // FOLDS, k % FOLDS] = got.column(1 + k).to_numpy()[order]
-    return grams[order], n
+        n[k] = n[k][order]
+    return grams[order], n.reshape(2, FOLDS, size)
 
 
 def curve_sample(ids: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
