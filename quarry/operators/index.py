@@ -1,7 +1,7 @@
 """The inverted index as derived tables: postings, document lengths, term and document statistics.
 
-Statistics always agree with the postings. Building takes one scan of the texts and one exchange of
-(term, document) rows that are already counted on the map side.
+Statistics always agree with the postings. A document is one row, so its terms are counted and placed within that row; building
+takes one scan of the texts and one exchange, which sorts the postings by term and document.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions.tokens import TOKENISERS
-from quarry.sources.tables import keep, table
+from quarry.sources.tables import fingerprint, keep, table
 
 
 def tokenised(docs: DataFrame, content: Column, tokeniser: str = "regex", id_col: str = "doc_id") -> DataFrame:
@@ -30,14 +30,22 @@ def doc_lengths(tokens: DataFrame) -> DataFrame:
 
 
 def postings(tokens: DataFrame) -> DataFrame:
-    """(term, doc_id, tf): one row for each term of each document, counted before rows are exchanged."""
-    return tokens.select("doc_id", F.explode("tokens").alias("term")).groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
+    """(term, doc_id, tf, doc_length, positions), one row for each term of each document; positions count from 0 and ascend.
 
+    Array functions do it inside the document's row: nothing is exchanged.
+    """
+    placed = F.array_sort(F.transform("tokens", lambda t, i: F.struct(t.alias("term"), i.alias("pos"))))
+    rows = tokens.select("doc_id", F.size("tokens").cast("long").alias("doc_length"), placed.alias("_placed")).where("doc_length > 0")
+    begins = lambda x, i: F.when((i == 0) | (x.term != F.get(F.col("_placed"), i - 1).term), i)
+    rows = rows.withColumn("_first", F.filter(F.transform("_placed", begins), lambda i: i.isNotNull()))
 
-def positional_postings(tokens: DataFrame) -> DataFrame:
-    """(term, doc_id, tf, positions): positions count from 0 and ascend."""
-    each = tokens.select("doc_id", F.posexplode("tokens").alias("pos", "term"))
-    return each.groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
+    def group(first: Column, k: Column) -> Column:
+        n = F.coalesce(F.get(F.col("_first"), k + 1), F.size("_placed")) - first
+        places = F.transform(F.slice(F.col("_placed"), first + 1, n), lambda x: x.pos)
+        return F.struct(F.get(F.col("_placed"), first).term.alias("term"), n.cast("long").alias("tf"), places.alias("positions"))
+
+    each = rows.select("doc_id", "doc_length", F.inline(F.transform("_first", group)))
+    return each.select("term", "doc_id", "tf", "doc_length", "positions")
 
 
 def term_stats(post: DataFrame) -> DataFrame:
@@ -68,10 +76,10 @@ def top_terms(terms: DataFrame, n: int = 10) -> DataFrame:
     return terms.orderBy(F.desc("total_frequency"), "term").limit(n)
 
 
-def term_documents(post: DataFrame, terms: DataFrame, lengths: DataFrame, term: str, n: int = 5) -> DataFrame:
+def term_documents(post: DataFrame, terms: DataFrame, term: str, n: int = 5) -> DataFrame:
     """The documents that use a term most, with what is known of both."""
     hits = post.where(F.col("term") == term)
-    return hits.join(terms.where(F.col("term") == term), "term").join(lengths, "doc_id").orderBy(F.desc("tf"), "doc_id").limit(n)
+    return hits.join(terms.where(F.col("term") == term), "term").orderBy(F.desc("tf"), "doc_id").limit(n)
 
 
 def document_terms(post: DataFrame, terms: DataFrame, doc_id: int, n: int = 10) -> DataFrame:
@@ -81,7 +89,7 @@ def document_terms(post: DataFrame, terms: DataFrame, doc_id: int, n: int = 10)
 
 def delete_documents(post: DataFrame, lengths: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Postings and lengths without the documents in `gone` (doc_id); statistics are derived anew from them."""
-    return post.join(gone, "doc_id", "left_anti"), lengths.join(gone, "doc_id", "left_anti")
+    return post.join(gone, "doc_id", "left_anti").select(post.columns), lengths.join(gone, "doc_id", "left_anti").select(lengths.columns)
 
 
 @dataclass
@@ -94,20 +102,41 @@ class Index:
     stats: DataFrame
 
 
-_open: dict[tuple[str, str], Index] = {}
+_open: dict[tuple[str, str], tuple[tuple, Index]] = {}
+
+
+def settled(lengths: DataFrame, post: DataFrame, known: DataFrame | None = None) -> Index:
+    """The index over these lengths and postings, written. Of `known` terms that no document has any more, the row stays, with 0."""
+    lengths, post = keep(lengths, "lengths"), keep(post, "postings", by=("term", "doc_id"))
+    terms = term_stats(post)
+    if known is not None:
+        terms = refreshed_terms(known.select("term").union(terms.select("term")).distinct(), post)
+    return Index(lengths, post, keep(terms, "terms"), keep(doc_stats(lengths), "stats"))
 
 
 def build_index(docs: DataFrame, content: Column, tokeniser: str = "regex") -> Index:
     """Write the index of a corpus. Postings are sorted by term, so a search reads the row groups of its terms."""
     tokens = tokenised(docs, content, tokeniser)
-    lengths = keep(doc_lengths(tokens), "lengths")
-    post = keep(postings(tokens), "postings", by="term")
-    return Index(lengths, post, keep(term_stats(post), "terms"), keep(doc_stats(lengths), "stats"))
+    return settled(doc_lengths(tokens), postings(tokens))
+
+
+def upsert_documents(index: Index, docs: DataFrame, content: Column, tokeniser: str = "regex", replaced: DataFrame | None = None) -> Index:
+    """The index after `docs` have been indexed: of their ids, and of those in `replaced` (doc_id), all old postings go.
+
+    Postings, lengths and statistics are those that building it anew would give; terms that are left without a document stay
+    known, with 0, until `without_orphans`.
+    """
+    tokens = tokenised(docs, content, tokeniser)
+    gone = tokens.select("doc_id")
+    if replaced is not None:
+        gone = gone.union(replaced.select("doc_id"))
+    post, lengths = delete_documents(index.postings, index.lengths, gone.distinct())
+    return settled(lengths.unionByName(doc_lengths(tokens)), post.unionByName(postings(tokens)), index.terms)
 
 
 def open_index(spark: SparkSession, sf_dir: str) -> Index:
-    """The index of the `documents` table, built at its first use in a session."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _open:
-        _open[key] = build_index(table(spark, sf_dir, "documents"), F.col("text"))
-    return _open[key]
+    """The index of the `documents` table, built at its first use in a session and again when the table's files have changed."""
+    key, now = (spark.sparkContext.applicationId, sf_dir), fingerprint(spark, f"{sf_dir}/documents.parquet")
+    if key not in _open or _open[key][0] != now:
+        _open[key] = now, build_index(table(spark, sf_dir, "documents"), F.col("text"))
+    return _open[key][1]

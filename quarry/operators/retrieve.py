@@ -12,6 +12,7 @@ from quarry.functions.text import display_url, filled, snippet, total_pages
 from quarry.functions.tokens import query_terms
 from quarry.functions.vectors import cosine
 from quarry.operators.index import Index
+from quarry.sources.tables import keep
 
 # Ranking constants, fusion weights, how many results there are by default.
 K1, B = 1.5, 0.75
@@ -33,7 +34,7 @@ def bm25_scores(index: Index, terms: list[str], k1: float = K1, b: float = B) ->
     frequencies = index.terms.where(F.col("term").isin(terms) if terms else F.lit(False)).select("term", "doc_frequency")
     stats = index.stats.where("total_docs > 0 and avg_doc_length > 0")
     # a row for each query term, and one row of statistics: both are broadcast by their size
-    scored = hits.join(F.broadcast(frequencies), "term").join(index.lengths, "doc_id").crossJoin(F.broadcast(stats))
+    scored = hits.join(F.broadcast(frequencies), "term").crossJoin(F.broadcast(stats))
     part = idf(F.col("total_docs"), F.col("doc_frequency")) * saturation(F.col("tf"), F.col("doc_length"), F.col("avg_doc_length"), k1, b)
     return scored.groupBy("doc_id").agg(F.sum(part).alias("score"))
 
@@ -108,8 +109,9 @@ def gateway_rows(page: DataFrame) -> DataFrame:
 
 def trace(index: Index, vectors: DataFrame, query: str, query_vector: DataFrame, top_k: int = TOP_K, shown: int = 5) -> DataFrame:
     """What each leg gave to each final result: scores of the best of both legs, 0 elsewhere, and how many there were."""
-    vector_leg = vector_search(vectors, query_vector, LEG_FACTOR * top_k)
-    bm25_leg = bm25_search(index, query, LEG_FACTOR * top_k)
+    # a few rows each, scored once and looked at three times
+    vector_leg = keep(vector_search(vectors, query_vector, LEG_FACTOR * top_k), "leg")
+    bm25_leg = keep(bm25_search(index, query, LEG_FACTOR * top_k), "leg")
     final = ranked(fuse(vector_leg, bm25_leg, top_k)).select("doc_id", "score", "rank")
     v = top(vector_leg, shown).select("doc_id", F.col("score").alias("vector_top"))
     b = top(bm25_leg, shown).select("doc_id", F.col("score").alias("bm25_top"))
@@ -126,7 +128,7 @@ def term_weights(index: Index, query: str) -> DataFrame:
 
 def keywords_tfidf(index: Index, n: int = 10) -> DataFrame:
     """(doc_id, rank, term, weight): the terms that tell a document from the corpus, by frequency and rarity."""
-    scored = index.postings.join(index.terms.select("term", "doc_frequency"), "term").join(index.lengths, "doc_id").crossJoin(F.broadcast(index.stats))
+    scored = index.postings.select("term", "doc_id", "tf", "doc_length").join(index.terms.select("term", "doc_frequency"), "term").crossJoin(F.broadcast(index.stats))
     weight = F.round(F.col("tf") / F.col("doc_length") * F.log(F.col("total_docs") / F.col("doc_frequency")), 9)
     w = Window.partitionBy("doc_id").orderBy(F.desc("weight"), "term")
     return scored.select("doc_id", "term", weight.alias("weight")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)

@@ -12,7 +12,7 @@ from quarry.sources.csv_documents import coalesce_columns
 from quarry.sources.tables import table, table_counts
 
 from .registry import query
-from .sql import INDEX, LEN, POST, TOK
+from .sql import INDEX, TOK, TOKENS, index_of
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -33,14 +33,14 @@ def tokenize_documents(spark, d):
     return t.select("doc_id", F.size("tokens").cast("long").alias("token_count"), F.md5(F.array_join("tokens", " ").cast("binary")).alias("joined_md5"))
 
 
-@query("doc_lengths", f"WITH {LEN} SELECT * FROM len")
+@query("doc_lengths", f"WITH {INDEX} SELECT * FROM len")
 def doc_lengths(spark, d):
     return ix.open_index(spark, d).lengths
 
 
-@query("postings", f"WITH {POST} SELECT term, doc_id, tf FROM post")
+@query("postings", f"WITH {INDEX} SELECT term, doc_id, tf FROM post")
 def postings(spark, d):
-    return ix.open_index(spark, d).postings
+    return ix.open_index(spark, d).postings.select("term", "doc_id", "tf")
 
 
 @query(
@@ -49,7 +49,7 @@ def postings(spark, d):
 SELECT term, doc_id, count(*) AS tf, array_to_string(list_slice(list_sort(list(p)), 1, 5), ',') AS first_positions FROM pos GROUP BY term, doc_id""",
 )
 def posting_positions(spark, d):
-    p = ix.positional_postings(ix.tokenised(table(spark, d, "documents"), F.col("text")))
+    p = ix.postings(ix.tokenised(table(spark, d, "documents"), F.col("text")))
     return p.select("term", "doc_id", "tf", F.array_join(F.slice("positions", 1, 5).cast("array<string>"), ",").alias("first_positions"))
 
 
@@ -71,7 +71,7 @@ def top_terms(spark, d):
 @query("term_posting_list", f"WITH {INDEX} SELECT term, doc_id, tf, doc_frequency, total_frequency, doc_length FROM post JOIN terms USING (term) JOIN len USING (doc_id) WHERE term = 'the' ORDER BY tf DESC, doc_id LIMIT 5")
 def term_posting_list(spark, d):
     i = ix.open_index(spark, d)
-    return ix.term_documents(i.postings, i.terms, i.lengths, "the").select("term", "doc_id", "tf", "doc_frequency", "total_frequency", "doc_length")
+    return ix.term_documents(i.postings, i.terms, "the").select("term", "doc_id", "tf", "doc_frequency", "total_frequency", "doc_length")
 
 
 @query("doc_top_terms", f"WITH {INDEX} SELECT term, tf, doc_frequency, total_frequency FROM post JOIN terms USING (term) WHERE doc_id = 1 ORDER BY tf DESC, term LIMIT 10")
@@ -180,8 +180,74 @@ def csv_coalesce(spark, d):
     return coalesce_columns(rows, F.col("p_partkey"), ["title", "description", "p_brand"])
 
 
-@query("query_tokens_roundtrip", f"WITH {TOK} SELECT doc_id, true AS same FROM tok")
+@query("query_tokens_roundtrip", f"WITH {TOK}, again AS (SELECT doc_id, array_to_string(tokens, ' ') AS text FROM tok), twice AS (SELECT doc_id, {TOKENS} AS tokens FROM again) SELECT doc_id, len(tokens)::BIGINT AS tokens, md5(array_to_string(tokens, ' ')) AS joined_md5 FROM twice")
 def query_tokens_roundtrip(spark, d):
-    """Tokens of the joined tokens are the tokens again."""
+    """Tokens of the joined tokens: a query is cut once to be cleaned and once more to be searched."""
     t = ix.tokenised(table(spark, d, "documents"), F.col("text"))
-    return t.select("doc_id", (tokens(F.array_join("tokens", " ")) == F.col("tokens")).alias("same"))
+    again = t.select("doc_id", tokens(F.array_join("tokens", " ")).alias("tokens"))
+    return again.select("doc_id", F.size("tokens").cast("long").alias("tokens"), F.md5(F.array_join("tokens", " ").cast("binary")).alias("joined_md5"))
+
+
+#: Texts with Han and Latin words, and their tokens for searches and cut accurately.
+_HAN_CASES = [
+    (1, "搜索引擎 test", "搜索 索引 引擎 test", "搜索 引擎 test"),
+    (2, "中a1国家法x, 3.14 über", "a1 国家 家法 3.14 ber", "a1 国家 3.14 ber"),
+    (3, "Machine learning, a 50% 机器学习", "Machine learning 50% 机器 器学 学习", "Machine learning 50% 机器 学习"),
+    (4, None, "", ""),
+]
+
+
+@query("tokenize_han", "SELECT * FROM (VALUES " + ", ".join(f"({i}::BIGINT, '{a}', '{b}')" for i, _, a, b in _HAN_CASES) + ") AS t(doc_id, searched, accurate)")
+def tokenize_han(spark, d):
+    """Tokens of texts with Han words, against what is written down here."""
+    rows = spark.createDataFrame([x[:2] for x in _HAN_CASES], "doc_id long, text string")
+    return rows.select("doc_id", *[F.array_join(tokens("text", mode), " ").alias(name) for mode, name in (("search", "searched"), ("accurate", "accurate"))])
+
+
+@query(
+    "tokenize_report",
+    f"""WITH {INDEX}, w AS (SELECT doc_id, term, round(tf / doc_length * ln(total_docs / doc_frequency), 9) AS weight FROM post JOIN terms USING (term) JOIN len USING (doc_id), stats),
+k AS (SELECT doc_id, string_agg(term, ' ' ORDER BY rank) AS keywords FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, term) AS rank FROM w) WHERE rank <= 10 GROUP BY doc_id)
+SELECT doc_id, md5(text) AS original_md5, md5(array_to_string(tokens, ' ')) AS tokens_md5, coalesce(keywords, '') AS keywords, len(tokens)::BIGINT AS token_count FROM documents JOIN tok USING (doc_id) LEFT JOIN k USING (doc_id)""",
+)
+def tokenize_report(spark, d):
+    """What the tokeniser makes of each text: the text, its tokens, its keywords, how many tokens there are."""
+    best = keywords_tfidf(ix.open_index(spark, d)).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("rank", "term"))).alias("k")).select("doc_id", F.array_join("k.term", " ").alias("keywords"))
+    docs = table(spark, d, "documents").select("doc_id", "text", tokens("text").alias("tokens"))
+    digest = lambda c: F.md5(c.cast("binary"))
+    return docs.join(best, "doc_id", "left").select("doc_id", digest(F.col("text")).alias("original_md5"), digest(F.array_join("tokens", " ")).alias("tokens_md5"), F.coalesce("keywords", F.lit("")).alias("keywords"), F.size("tokens").cast("long").alias("token_count"))
+
+
+_TITLED_DOCS = "titled_docs AS (SELECT doc_id, lang || ' ' || source || ' ' || text AS text FROM documents)"
+
+
+@query("titled_term_stats", f"WITH {_TITLED_DOCS}, {index_of('titled_docs')} SELECT * FROM terms")
+def titled_term_stats(spark, d):
+    """Statistics where title and content are indexed together."""
+    docs = table(spark, d, "documents")
+    return ix.term_stats(ix.postings(ix.tokenised(docs, ix.full_text(F.concat_ws(" ", "lang", "source"), F.col("text")))))
+
+
+# a later crawl: every fifth document has a new text, every seventh comes under a new id, and German ones are replaced
+_LATER = """incoming AS (SELECT doc_id, 'updated ' || lang || ' ' || left(text, 300) AS text FROM documents WHERE doc_id % 5 = 0
+UNION ALL SELECT doc_id + 1000000, source || ' arrives anew' FROM documents WHERE doc_id % 7 = 0),
+merged AS (SELECT doc_id, text FROM documents WHERE lang <> 'de' AND doc_id NOT IN (SELECT doc_id FROM incoming) UNION ALL SELECT * FROM incoming)"""
+
+
+def _upserted(spark, d):
+    docs = table(spark, d, "documents")
+    changed = docs.where("doc_id % 5 = 0").select("doc_id", F.concat_ws(" ", F.lit("updated"), "lang", F.left("text", F.lit(300))).alias("text"))
+    new = docs.where("doc_id % 7 = 0").select((F.col("doc_id") + 1000000).alias("doc_id"), F.concat("source", F.lit(" arrives anew")).alias("text"))
+    return ix.upsert_documents(ix.open_index(spark, d), changed.unionByName(new), F.col("text"), replaced=_gone(spark, d))
+
+
+@query("upsert_term_stats", f"WITH {_LATER}, {index_of('merged')}, before AS (SELECT DISTINCT unnest({TOKENS}) AS term FROM documents) SELECT term, coalesce(doc_frequency, 0)::BIGINT AS doc_frequency, coalesce(total_frequency, 0)::BIGINT AS total_frequency FROM before FULL JOIN terms USING (term)")
+def upsert_term_stats(spark, d):
+    """After an upsert, statistics are those of an index built anew, and terms without documents are still known."""
+    return _upserted(spark, d).terms
+
+
+@query("upsert_postings", f"WITH {_LATER}, {index_of('merged')} SELECT term, doc_id, tf, doc_length, round(avg_doc_length, 6) AS avg_doc_length, total_docs FROM post JOIN len USING (doc_id), stats")
+def upsert_postings(spark, d):
+    i = _upserted(spark, d)
+    return i.postings.select("term", "doc_id", "tf", "doc_length").crossJoin(F.broadcast(i.stats)).withColumn("avg_doc_length", F.round("avg_doc_length", 6))

@@ -135,12 +135,15 @@ def page_counts(spark, d):
 
 @query(
     "unit_vectors",
-    "SELECT vec_id, round(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * (1 + abs(x)))) / 1, 6) AS weighted, 1.0::DOUBLE AS unit_norm FROM embeddings",
+    """WITH n AS (SELECT vec_id, embedding::DOUBLE[] AS v, sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS norm FROM embeddings),
+u AS (SELECT vec_id, norm, list_transform(v, lambda x: 3 * x / (3 * norm)) AS unit FROM n)
+SELECT vec_id, round(3 * norm, 6) AS norm, round(sqrt(list_inner_product(unit, unit)), 6) AS unit_norm, round(unit[1], 6) AS first, round(unit[64], 6) AS last FROM u""",
 )
 def unit_vectors(spark, d):
-    v = table(spark, d, "embeddings").select("vec_id", "embedding", unit(F.col("embedding")).alias("u"))
-    weighted = F.aggregate(F.col("embedding").cast("array<double>"), F.lit(0.0), lambda s, x: s + x * (1 + F.abs(x)))
-    return v.select("vec_id", F.round(weighted, 6).alias("weighted"), F.round(norm(F.col("u")), 6).alias("unit_norm"))
+    """Vectors that are not of length 1 (three times those of the table), brought to it."""
+    v = table(spark, d, "embeddings").select("vec_id", F.transform(F.col("embedding").cast("array<double>"), lambda x: x * 3).alias("v"))
+    u = v.select("vec_id", norm(F.col("v")).alias("norm"), unit(F.col("v")).alias("u"))
+    return u.select("vec_id", F.round("norm", 6).alias("norm"), F.round(norm(F.col("u")), 6).alias("unit_norm"), F.round(F.col("u")[0], 6).alias("first"), F.round(F.col("u")[63], 6).alias("last"))
 
 
 # --- suggestions: part names stand for the keywords ---

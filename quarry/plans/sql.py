@@ -3,14 +3,23 @@
 from __future__ import annotations
 
 TOKENS = r"list_filter(regexp_extract_all(coalesce(text, ''), '[a-zA-Z0-9]+(?:\.[0-9]+)?%?'), lambda t: length(t) >= 2)"
-TOK = f"tok AS (SELECT doc_id, {TOKENS} AS tokens FROM documents)"
-LEN = f"{TOK}, len AS (SELECT doc_id, len(tokens)::BIGINT AS doc_length FROM tok)"
-POST = f"{LEN}, post AS (SELECT term, doc_id, count(*) AS tf FROM (SELECT doc_id, unnest(tokens) AS term FROM tok) GROUP BY term, doc_id)"
-INDEX = f"""{POST},
+
+
+def tok(base: str = "documents") -> str:
+    return f"tok AS (SELECT doc_id, {TOKENS} AS tokens FROM {base})"
+
+
+def index_of(base: str = "documents") -> str:
+    """CTEs tok, len, post, terms and stats over a table with doc_id and text."""
+    return f"""{tok(base)}, len AS (SELECT doc_id, len(tokens)::BIGINT AS doc_length FROM tok),
+post AS (SELECT term, doc_id, count(*) AS tf FROM (SELECT doc_id, unnest(tokens) AS term FROM tok) GROUP BY term, doc_id),
 terms AS (SELECT term, count(*) AS doc_frequency, sum(tf)::BIGINT AS total_frequency FROM post GROUP BY term),
 stats AS (SELECT count(*) AS total_docs, coalesce(avg(doc_length), 0) AS avg_doc_length FROM len WHERE doc_length > 0)"""
 
 
+TOK, INDEX = tok(), index_of()
+
+
 def bm25(terms: list[str]) -> str:
     """A CTE bm25 (doc_id, score) of all hits."""
     listed = ", ".join(f"'{t}'" for t in terms)

@@ -11,6 +11,7 @@ from quarry.streaming import jobs
 from .analytics_queries import _STATES, _TS, _stamp
 from .crawl_queries import _norm
 from .registry import query
+from .sql import index_of
 
 
 def _stream(spark, d, name):
@@ -34,12 +35,38 @@ def stream_worker_status(spark, d):
     return _stamp(jobs.last_status(reports), "ts")
 
 
-@query("stream_index_upsert", "WITH p AS (SELECT page_id, regexp_extract(url, '://([^/?#]*)', 1) AS url, length(html)::BIGINT AS size FROM pages) SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY url ORDER BY page_id DESC) = 1")
-def stream_index_upsert(spark, d):
+@query("stream_worker_alive", f"WITH {_STATES} SELECT worker_id, id, {_TS}, status FROM states WHERE ts > (SELECT max(ts) FROM events) - INTERVAL 60 SECOND")
+def stream_worker_alive(spark, d):
+    """Workers whose last report has not expired when the stream ends."""
+    e = _stream(spark, d, "events")
+    reports = e.select((F.col("user_id") % 10).alias("worker_id"), F.col("event_id").alias("id"), "ts", F.when(F.col("event_type") == "click", "processing").otherwise(F.col("event_type")).alias("status"))
+    end = table(spark, d, "events").agg(F.max("ts")).first()[0]
+    return _stamp(jobs.last_status(reports, F.lit(end)), "ts")
+
+
+@query("stream_document_upsert", "WITH p AS (SELECT page_id, regexp_extract(url, '://([^/?#]*)', 1) AS url, length(html)::BIGINT AS size FROM pages) SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY url ORDER BY page_id DESC) = 1")
+def stream_document_upsert(spark, d):
+    """URLs are cut to the host, so that documents come again."""
     pages = _stream(spark, d, "pages").select("page_id", F.regexp_extract("url", "://([^/?#]*)", 1).alias("url"), F.length("html").cast("long").alias("size"))
     return jobs.upserted(pages, "page_id long, url string, size long", ["page_id"])
 
 
+# ten documents share an id, and the last of them counts
+_AGAIN = "last_text AS (SELECT doc_id // 10 AS doc_id, text FROM documents QUALIFY row_number() OVER (PARTITION BY doc_id // 10 ORDER BY documents.doc_id DESC) = 1)"
+
+
+@query("stream_index_upsert", f"WITH {_AGAIN}, {index_of('last_text')} SELECT term, doc_frequency, total_frequency FROM terms")
+def stream_index_upsert(spark, d):
+    """Term statistics of an index that a stream of documents keeps up to date."""
+    docs = _stream(spark, d, "documents").select(F.floor(F.col("doc_id") / 10).cast("long").alias("doc_id"), F.col("doc_id").alias("version"), "text")
+    return jobs.indexed(docs, F.col("text"), ["version"]).terms.where("doc_frequency > 0")
+
+
+@query("stream_traffic_ext", "SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS searches FROM events GROUP BY 1")
+def stream_traffic(spark, d):
+    return _stamp(jobs.traffic_stream(_stream(spark, d, "events"), "ts", "1 hour", "1 day"), "window_start").select("window_start", "searches")
+
+
 @query("stream_recent", f"WITH r AS (SELECT event_id AS id, user_id, ts FROM events ORDER BY ts DESC, event_id DESC LIMIT 100) SELECT id, user_id, {_TS} FROM r")
 def stream_recent(spark, d):
     e = _stream(spark, d, "events").select(F.col("event_id").alias("id"), "user_id", "ts")

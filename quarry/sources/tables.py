@@ -29,10 +29,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def working_dir(spark: SparkSession) -> str:
-    """A folder of this session below `spark.checkpoint.dir`; a temporary one only where that is unset."""
+    """A folder of this session below `spark.checkpoint.dir`; a temporary one only where that is unset on a local master."""
     app = spark.sparkContext.applicationId
     if app not in _roots:
-        base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quarry-")
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base and not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = base or tempfile.mkdtemp(prefix="quarry-")
         _roots[app] = f"{base.rstrip('/')}/quarry-{uuid.uuid4().hex}"
         atexit.register(_remove, spark, _roots[app])
     return _roots[app]
@@ -46,13 +49,27 @@ def _remove(spark: SparkSession, root: str) -> None:
         pass
 
 
-def keep(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
-    """Write a derived table once and read it from there; `by` sorts it so that row groups can be skipped."""
+def keep(df: DataFrame, name: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """Write a derived table once and read it from there; `by` sorts it so that row groups can be skipped.
+
+    Ranges are cut by all columns of `by`, so a first column with few or very frequent values is no hot partition.
+    """
     path = f"{working_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex[:8]}"
-    (df.repartitionByRange(by).sortWithinPartitions(by) if by else df).write.parquet(path)
+    (df.repartitionByRange(*by).sortWithinPartitions(*by) if by else df).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fingerprint(spark: SparkSession, path: str) -> tuple[int, int, int]:
+    """How many files a table has, their bytes, and when the last was written: another one means another table."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(root, True)
+    found = (0, 0, 0)
+    while files.hasNext():
+        f = files.next()
+        found = (found[0] + 1, found[1] + f.getLen(), max(found[2], f.getModificationTime()))
+    return found
+
+
 def overwrite_empty(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """Clear a table: an empty one of the same schema takes its place."""
     spark.createDataFrame([], schema).write.mode("overwrite").parquet(path)

@@ -1,4 +1,9 @@
-"""Streaming twins of the batch operators. Each ends in a table, and each equals its batch form on the same rows."""
+"""Streaming twins of the batch operators. Each ends in a table, and each equals its batch form on the same rows.
+
+A job keeps its checkpoint and what its batches had to tell in a folder that the caller names; started again on that folder, it goes
+on where it stopped. A batch writes what is new, in a folder of its own, so its cost follows the batch and not all that came before; a batch
+that is run again after a failure writes the same folder again. Readers fold the batches together.
+"""
 
 from __future__ import annotations
 
@@ -8,16 +13,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions.text import keyword
-from quarry.operators.analytics import latest
-from quarry.operators.maintain import upsert_by_url
+from quarry.operators import index as ix
+from quarry.operators.analytics import latest, worker_states
 from quarry.sources.tables import working_dir
 
 
-def stream_of(spark: SparkSession, path: str) -> DataFrame:
+def stream_of(spark: SparkSession, path: str, files_a_batch: int | None = None) -> DataFrame:
     """A Parquet table as a stream of its files."""
-    schema = spark.read.parquet(path).schema
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    if files_a_batch:
+        reader = reader.option("maxFilesPerTrigger", files_a_batch)
     folder, _, name = path.rpartition("/")
-    return spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder) if _is_file(spark, path) else spark.readStream.schema(schema).parquet(path)
+    return reader.option("pathGlobFilter", name).parquet(folder) if _is_file(spark, path) else reader.parquet(path)
 
 
 def _is_file(spark: SparkSession, path: str) -> bool:
@@ -25,94 +32,121 @@ def _is_file(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).isFile()
 
 
-def run_to_end(stream: DataFrame, update) -> None:
-    """Take all that is there, batch by batch, with a checkpoint of its own; then stop."""
-    where = f"{working_dir(stream.sparkSession)}/stream-{uuid.uuid4().hex[:8]}"
-    query = stream.writeStream.outputMode("append").option("checkpointLocation", where).trigger(availableNow=True).foreachBatch(update).start()
-    query.awaitTermination()
+def job_folder(spark: SparkSession, folder: str | None) -> str:
+    """Where a job keeps its state: the caller's folder, or one that lasts as long as the session."""
+    return folder or f"{working_dir(spark)}/job-{uuid.uuid4().hex[:8]}"
 
 
-class StateTable:
-    """A table that batches replace version by version; readers see the last that was finished.
+def run_to_end(stream: DataFrame, update, folder: str, mode: str = "append") -> None:
+    """Take all that is there, batch by batch, and stop."""
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint")
+    writer.trigger(availableNow=True).foreachBatch(update).start().awaitTermination()
 
-    A batch that is run again after a failure writes the same version again, so each counts once.
-    """
 
-    def __init__(self, spark: SparkSession, name: str, schema: str):
-        self.spark, self.schema = spark, schema
-        self.root, self.version = f"{working_dir(spark)}/{name}-{uuid.uuid4().hex[:8]}", -1
+class BatchLog:
+    """What each batch of a stream had to tell, as a table with the batch's number."""
 
-    def read(self, version: int | None = None) -> DataFrame:
-        v = self.version if version is None else version
-        return self.spark.createDataFrame([], self.schema) if v < 0 else self.spark.read.schema(self.schema).parquet(f"{self.root}/{v}")
+    def __init__(self, spark: SparkSession, root: str, schema: str):
+        self.spark, self.schema, self.root = spark, f"{schema}, batch long", root
 
-    def replace(self, df: DataFrame, batch: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.root}/{batch}")
-        self.version = batch
+    def write(self, df: DataFrame, number: int) -> None:
+        df.write.mode("overwrite").parquet(f"{self.root}/batch={number}")
 
+    def read(self) -> DataFrame:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
+        if not path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(self.root)
 
-def keyword_counts(stream: DataFrame, query: str) -> DataFrame:
+
+def keyword_counts(stream: DataFrame, query: str, folder: str | None = None) -> DataFrame:
     """(keyword, count) as the stream has told it so far."""
-    state = StateTable(stream.sparkSession, "keywords", "keyword string, count long")
+    folder = job_folder(stream.sparkSession, folder)
+    log = BatchLog(stream.sparkSession, f"{folder}/keywords", "keyword string, count long")
 
     def update(batch: DataFrame, number: int) -> None:
-        new = batch.select(keyword(F.col(query)).alias("keyword")).where("keyword is not null").groupBy("keyword").agg(F.count("*").alias("count"))
-        state.replace(state.read(number - 1).unionByName(new).groupBy("keyword").agg(F.sum("count").alias("count")), number)
+        log.write(batch.select(keyword(F.col(query)).alias("keyword")).where("keyword is not null").groupBy("keyword").agg(F.count("*").alias("count")), number)
 
-    run_to_end(stream, update)
-    return state.read()
+    run_to_end(stream, update, folder)
+    return log.read().groupBy("keyword").agg(F.sum("count").alias("count"))
 
 
-def first_seen(stream: DataFrame, key: Column, name: str) -> DataFrame:
+def first_seen(stream: DataFrame, key: Column, name: str, folder: str | None = None) -> DataFrame:
     """Distinct keys of a stream: deduplication keeps its state in the stream's checkpoint."""
-    state = StateTable(stream.sparkSession, "seen", f"{name} string")
-    distinct = stream.select(key.cast("string").alias(name)).dropDuplicates([name])
+    folder = job_folder(stream.sparkSession, folder)
+    log = BatchLog(stream.sparkSession, f"{folder}/seen", f"{name} string")
+    run_to_end(stream.select(key.cast("string").alias(name)).dropDuplicates([name]), log.write, folder)
+    return log.read().select(name)
+
+
+def last_status(stream: DataFrame, now: Column | None = None, folder: str | None = None) -> DataFrame:
+    """(worker_id, id, ts, status) of each worker's last report in the stream; with `now`, only those that have not expired."""
+    folder = job_folder(stream.sparkSession, folder)
+    log = BatchLog(stream.sparkSession, f"{folder}/status", "worker_id long, id long, ts timestamp, status string")
 
     def update(batch: DataFrame, number: int) -> None:
-        state.replace(state.read(number - 1).unionByName(batch), number)
+        log.write(latest(batch.select("worker_id", "id", "ts", "status"), ["worker_id"], [F.desc("ts"), F.desc("id")]), number)
 
-    run_to_end(distinct, update)
-    return state.read()
+    run_to_end(stream, update, folder)
+    return worker_states(log.read().drop("batch"), now)
 
 
-def last_status(stream: DataFrame) -> DataFrame:
-    """(worker_id, id, ts, status) of each worker's last report in the stream."""
-    state = StateTable(stream.sparkSession, "status", "worker_id long, id long, ts timestamp, status string")
+def upserted(stream: DataFrame, schema: str, order: list[str], folder: str | None = None) -> DataFrame:
+    """The document table after every batch of the stream has been upserted by URL; rows without a URL are always added."""
+    folder = job_folder(stream.sparkSession, folder)
+    log = BatchLog(stream.sparkSession, f"{folder}/documents", schema)
+    with_url = F.coalesce(F.col("url"), F.lit("")) != ""
 
     def update(batch: DataFrame, number: int) -> None:
-        both = state.read(number - 1).unionByName(batch.select("worker_id", "id", "ts", "status"))
-        state.replace(latest(both, ["worker_id"], [F.desc("ts"), F.desc("id")]), number)
+        log.write(latest(batch.where(with_url), ["url"], [F.desc(c) for c in order]).unionByName(batch.where(~with_url)), number)
+
+    run_to_end(stream, update, folder)
+    rows = log.read()
+    return latest(rows.where(with_url), ["url"], [F.desc("batch")]).unionByName(rows.where(~with_url)).drop("batch")
 
-    run_to_end(stream, update)
-    return state.read()
 
+def indexed(stream: DataFrame, content: Column, order: list[str], tokeniser: str = "regex", folder: str | None = None) -> ix.Index:
+    """The index of the documents that a stream brings (doc_id and what `content` needs): the last row of an id counts.
 
-def upserted(stream: DataFrame, schema: str, order: list[str]) -> DataFrame:
-    """The document table after every batch of the stream has been upserted by URL."""
-    state = StateTable(stream.sparkSession, "documents", schema)
+    A batch adds the postings and lengths of its own documents; of a document that came again, those of its last batch count.
+    """
+    spark = stream.sparkSession
+    folder = job_folder(spark, folder)
+    lengths = BatchLog(spark, f"{folder}/lengths", "doc_id long, doc_length long")
+    post = BatchLog(spark, f"{folder}/postings", "term string, doc_id long, tf long, doc_length long, positions array<int>")
 
     def update(batch: DataFrame, number: int) -> None:
-        state.replace(upsert_by_url(state.read(number - 1), batch, order), number)
+        tokens = ix.tokenised(latest(batch, ["doc_id"], [F.desc(c) for c in order]), content, tokeniser)
+        lengths.write(ix.doc_lengths(tokens), number)
+        post.write(ix.postings(tokens), number)
 
-    run_to_end(stream, update)
-    return state.read()
+    run_to_end(stream, update, folder)
+    now = latest(lengths.read(), ["doc_id"], [F.desc("batch")])
+    current = post.read().join(now.select("doc_id", "batch"), ["doc_id", "batch"], "left_semi").select("term", "doc_id", "tf", "doc_length", "positions")
+    return ix.settled(now.drop("batch"), current, post.read().select("term").distinct())
 
 
-def recent(stream: DataFrame, schema: str, order: list[str], n: int = 100) -> DataFrame:
+def recent(stream: DataFrame, schema: str, order: list[str], n: int = 100, folder: str | None = None) -> DataFrame:
     """The last `n` rows of a stream. The cap is the list's contract."""
-    state = StateTable(stream.sparkSession, "recent", schema)
+    folder = job_folder(stream.sparkSession, folder)
+    log = BatchLog(stream.sparkSession, f"{folder}/recent", schema)
+    last = lambda df: df.orderBy(*[F.desc(c) for c in order]).limit(n)
+    run_to_end(stream, lambda batch, number: log.write(last(batch), number), folder)
+    return last(log.read().drop("batch"))
 
-    def update(batch: DataFrame, number: int) -> None:
-        both = state.read(number - 1).unionByName(batch)
-        state.replace(both.orderBy(*[F.desc(c) for c in order]).limit(n), number)
 
-    run_to_end(stream, update)
-    return state.read()
+def traffic_stream(stream: DataFrame, ts: str, length: str, late: str, folder: str | None = None) -> DataFrame:
+    """Counts in tumbling windows as a stream has told them so far; rows that come later than `late` are let go (an extension)."""
+    folder = job_folder(stream.sparkSession, folder)
+    log = BatchLog(stream.sparkSession, f"{folder}/windows", "window_start timestamp, window_end timestamp, searches long")
+    run_to_end(traffic(stream, ts, length, late=late), log.write, folder, "update")
+    # a window that went on has a later row
+    return latest(log.read(), ["window_start"], [F.desc("batch")]).drop("batch")
 
 
 def traffic(events: DataFrame, ts: str, length: str, slide: str | None = None, late: str | None = None) -> DataFrame:
     """Counts in tumbling or sliding windows; with `late`, rows that come later than that are let go (an extension)."""
-    rows = events.withWatermark(ts, late) if late else events
+    rows = events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late) if late else events
     w = F.window(ts, length, slide) if slide else F.window(ts, length)
     return rows.groupBy(w.alias("w")).agg(F.count("*").alias("searches")).select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "searches")
 
