@@ -49,6 +49,22 @@ def dashboard(documents: DataFrame, images: DataFrame, queue: DataFrame, states:
     return count(documents, "total_documents").crossJoin(count(images, "total_images")).crossJoin(count(queue, "queue_size")).crossJoin(active)
 
 
+def board(states: DataFrame) -> DataFrame:
+    """Workers as a dashboard lists them: in the order of their ids, numbered from 1. There are a few of them."""
+    return states.withColumn("place", F.row_number().over(Window.orderBy("worker_id")).cast("long"))
+
+
+def health(components: dict[str, str]) -> list[tuple[str, str]]:
+    """What a health report says: it is told, not measured."""
+    return sorted(components.items())
+
+
+def log_searches(spark, path: str, traces: DataFrame) -> DataFrame:
+    """Append traces to the search log at `path`, and read it: counters, recent searches and suggestions are derived from it."""
+    traces.write.mode("append").parquet(path)
+    return spark.read.schema(traces.schema).parquet(path)
+
+
 def history_add(history: DataFrame, new: DataFrame) -> DataFrame:
     """History with `new` in it: of each user and query, the last row stays."""
     return latest(history.unionByName(new), ["user_id", "query"], [F.desc("ts"), F.desc("id")])

@@ -1,0 +1,55 @@
+"""Approximate nearest vectors for searches: signatures by random hyperplanes, kept sorted by bucket.
+
+A signature is which sides of a few hyperplanes a vector lies on. There are several tables of them; a search looks into the
+bucket of the query and into those that are one side away, in each table, and scores what it finds exactly. The filter on buckets
+reaches the scan of the sorted signatures, so a search reads few of them.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+import numpy as np
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from quarry.operators.retrieve import top, vector_scores
+from quarry.sources.tables import keep
+
+TABLES, BITS, SEED = 24, 6, 11
+
+
+@dataclass
+class Signatures:
+    planes: np.ndarray  # table, bit, dimension
+    buckets: DataFrame  # bucket (table number and sides), doc_id, embedding
+
+
+def _bucket(planes: np.ndarray, table: int, vector: Column) -> Column:
+    sides = F.lit(0)
+    for bit, plane in enumerate(planes[table]):
+        dot = F.aggregate(F.zip_with(vector, F.lit(plane.tolist()), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+        sides = sides + F.when(dot >= 0, 1 << bit).otherwise(0)
+    return F.lit(table << planes.shape[1]) + sides
+
+
+def sign(vectors: DataFrame, dimensions: int, tables: int = TABLES, bits: int = BITS, seed: int = SEED) -> Signatures:
+    """The signatures of (doc_id, embedding), written; vectors that are null or of another length take no part."""
+    planes = np.random.default_rng(seed).normal(size=(tables, bits, dimensions))
+    v = vectors.where(F.size("embedding") == dimensions).select("doc_id", "embedding", F.col("embedding").cast("array<double>").alias("_v"))
+    each = F.array(*[_bucket(planes, t, F.col("_v")) for t in range(tables)])
+    return Signatures(planes, keep(v.select(F.explode(each).alias("bucket"), "doc_id", "embedding"), "signatures", by=("bucket", "doc_id")))
+
+
+def probes(signatures: Signatures, query: list[float]) -> list[int]:
+    """The buckets that a query looks into: its own, and those one side away."""
+    tables, bits, _ = signatures.planes.shape
+    sides = (signatures.planes @ np.asarray(query, float) >= 0) @ (1 << np.arange(bits))
+    return [(t << bits) + (int(sides[t]) ^ flip) for t in range(tables) for flip in (0, *(1 << b for b in range(bits)))]
+
+
+def search(signatures: Signatures, query: list[float], top_k: int) -> DataFrame:
+    """(doc_id, score) of the nearest found, by exact cosine."""
+    met = signatures.buckets.where(F.col("bucket").isin(probes(signatures, query))).dropDuplicates(["doc_id"])
+    asked = met.sparkSession.createDataFrame([(list(map(float, query)),)], "query_vector array<double>")
+    return top(vector_scores(met, asked), top_k)

@@ -33,11 +33,35 @@ def shown_turns(turns: DataFrame) -> DataFrame:
     return turns.where((F.col("role") == "user") | ((F.col("role") == "assistant") & ~F.contains(F.col("text"), F.lit("Hi!"))))
 
 
+#: What each request asks for, and which of its parts it has.
+TASKS = {
+    "summary": "Answer the query from the results. Name the numbers of the results that you use.",
+    "chat": "Go on with the conversation. Use the results where they help.",
+    "questions": "Write six questions that someone who asked this might ask next, one on each line.",
+    "refine": "Rewrite the query so that a search engine finds more. Give the query only.",
+}
+MOST_CHAT_IMAGES = 4
+
+
 def prompt(task: str, query: Column, context: Column) -> Column:
-    """The text of a request: its task, the query, the results it may use."""
-    return F.concat(F.lit(task + "\nQuery: "), query, F.lit("\nResults:\n"), context)
+    """The text of a request: its task (a name of TASKS, or the text itself), the query, the results or turns it may use."""
+    head = F.concat(F.lit(TASKS.get(task, task) + "\nQuery: "), F.coalesce(query, F.lit("")))
+    return head if task == "refine" else F.concat(head, F.lit("\nConversation:\n" if task == "chat" else "\nResults:\n"), F.coalesce(context, F.lit("")))
+
+
+def chat_images(results: DataFrame, keys: list[str], most: int = MOST_CHAT_IMAGES) -> DataFrame:
+    """The first images over all results of a key (rank, images array), best results first."""
+    each = F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("rank", F.coalesce("images", F.array().cast("array<string>")).alias("images")))), lambda x: x.images))
+    return results.groupBy(*keys).agg(F.slice(each, 1, most).alias("images"))
+
 
+def chosen_documents(ids: DataFrame, docs: DataFrame, passed: DataFrame | None = None) -> DataFrame:
+    """Documents of a list of ids (column ids, array), in its order; ids without a document are passed over.
 
-def chosen_documents(ids: DataFrame, docs: DataFrame) -> DataFrame:
-    """Documents of a list of ids (column ids, array), in its order; ids without a document are passed over."""
-    return ids.select(F.posexplode("ids").alias("position", "doc_id")).join(docs, "doc_id").orderBy("position")
+    If none has a document, the results that were `passed` along (position and the columns of `docs`) take their place.
+    """
+    found = ids.select(F.posexplode("ids").alias("position", "doc_id")).join(docs, "doc_id")
+    if passed is not None:
+        none = F.broadcast(found.agg(F.count("*").alias("_found")))
+        found = found.unionByName(passed.select(found.columns).crossJoin(none).where("_found = 0").drop("_found"))
+    return found.orderBy("position")

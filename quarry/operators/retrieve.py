@@ -98,6 +98,12 @@ def with_documents(results: DataFrame, docs: DataFrame) -> DataFrame:
     return info.join(F.broadcast(results), "doc_id")
 
 
+def image_response(results: DataFrame) -> DataFrame:
+    """Results of a search by image as one page that holds them all."""
+    total = F.count("*").over(Window.partitionBy())
+    return ranked(results).select("*", F.lit("[Image Search]").alias("query"), total.alias("total"), F.lit(1).cast("long").alias("page"), total.alias("page_size"), F.lit(1).cast("long").alias("total_pages"))
+
+
 def clamp_page(page: int, page_size: int) -> tuple[int, int]:
     """Page and page size as a gateway lets them through."""
     return max(1, page), page_size if 1 <= page_size <= 100 else 10

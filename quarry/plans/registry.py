@@ -20,4 +20,4 @@ def query(name: str, sql: str | None = None) -> Callable:
     return add
 
 
-from . import analytics_queries, crawl_queries, index_queries, search_queries, stream_queries, text_queries  # noqa: E402, F401
+from . import analytics_queries, crawl_queries, index_queries, search_queries, stream_queries, table_queries, text_queries  # noqa: E402, F401

@@ -87,6 +87,18 @@ def active(rows: DataFrame, deleted: str = "deleted_at") -> DataFrame:
     return rows.where(F.col(deleted).isNull())
 
 
+def public(users: DataFrame) -> DataFrame:
+    """Users as others may see them: nothing that only the server may know."""
+    return users.drop("password_hash", "deleted_at")
+
+
+def recreate(spark: SparkSession, folder: str, schemas: dict[str, str]) -> dict[str, DataFrame]:
+    """Drop all tables of a folder, whatever they held, and make them anew, empty."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(root, True)
+    return {name: overwrite_empty(spark, f"{folder}/{name}", schema) for name, schema in schemas.items()}
+
+
 def read_jdbc(spark: SparkSession, url: str, name: str, key: str | None = None, low: int = 0, high: int = 0, parts: int = 8) -> DataFrame:
     """A table of a relational database, read in ranges of `key` if one is given. The driver's jar must be on the class path."""
     reader = spark.read.format("jdbc").option("url", url).option("dbtable", name)

@@ -1,8 +1,10 @@
 import datetime as dt
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from quarry.operators import analytics, context, crawl, index, maintain, retrieve, suggest
+from quarry.functions.vectors import encoder
+from quarry.operators import analytics, approximate, context, crawl, index, maintain, retrieve, suggest
 from quarry.sources import csv_documents, samples, tables
 
 
@@ -148,3 +150,33 @@ def test_search_reads_little(spark, sf):
     i = index.open_index(spark, sf)
     plan = retrieve.bm25_search(i, "worthless idiot")._jdf.queryExecution().toString()
     assert "PushedFilters: [In(term" in plan and "TakeOrderedAndProject" in plan and "CartesianProduct" not in plan
+
+
+def test_recreated_tables(spark, tmp_path):
+    made = tables.recreate(spark, str(tmp_path / "all"), {"terms": tables.TERMS, "postings": tables.POSTINGS})
+    spark.range(3).selectExpr("string(id) AS term", "id AS doc_frequency", "id AS total_frequency").write.mode("append").parquet(str(tmp_path / "all" / "terms"))
+    assert {n: spark.read.parquet(str(tmp_path / "all" / n)).count() for n in made} == {"terms": 3, "postings": 0}
+    assert {n: df.count() for n, df in tables.recreate(spark, str(tmp_path / "all"), {"terms": tables.TERMS}).items()} == {"terms": 0} and not (tmp_path / "all" / "postings").exists()
+
+
+def test_a_model_that_fails(spark):
+    def lengths(values):
+        if any(v == "bad" for v in values):
+            raise ValueError("cannot read this")
+        return np.array([[len(v), 0.0] for v in values])
+
+    rows = spark.createDataFrame([(1, "abc"), (2, "bad"), (3, None), (4, "")], "id long, v string").coalesce(1)
+    assert {r.id: r.e for r in rows.select("id", encoder(lengths)("v").alias("e")).collect()} == {1: [1.0, 0.0], 2: None, 3: None, 4: [0.0, 0.0]}
+
+
+def test_approximate_search(spark, sf):
+    vectors = spark.read.parquet(f"{sf}/embeddings.parquet").selectExpr("vec_id AS doc_id", "embedding")
+    signed = approximate.sign(vectors, 64)
+    hits = 0
+    for q in (0, 5, 17, 33):
+        v = vectors.where(F.col("doc_id") == q).first().embedding
+        exact = retrieve.vector_search(vectors, vectors.where(F.col("doc_id") == q).select(F.col("embedding").alias("query_vector")), 10)
+        found = approximate.search(signed, v, 10)
+        hits += len({r.doc_id for r in exact.collect()} & {r.doc_id for r in found.collect()})
+    assert hits >= 0.9 * 40
+    assert "PushedFilters: [In(bucket" in approximate.search(signed, v, 10)._jdf.queryExecution().toString()
