@@ -68,6 +68,11 @@ def text_or_empty(col: str = "text"):
     return F.coalesce(F.col(col), F.lit(""))
 
 
+def whole_rows(df: DataFrame, name: str = "row"):
+    """All columns of `df` as one, so that none clashes with what an operator adds."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(name)
+
+
 def by_bytes(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
     """Runs of rows of `batch` whose texts in `column` have at most `most` bytes together, or one row."""
     upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)

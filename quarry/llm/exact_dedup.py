@@ -15,7 +15,7 @@ import string
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, store, table
+from .common import shuffle_partitions, store, table, whole_rows
 
 #: Characters of a text that come first in the order.
 PREFIX = 64
@@ -123,9 +123,9 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Null and empty texts are equal to each other; an empty table gives an empty one. The digest only tells the texts of one id apart.
     """
     found = exact_dedup(docs, id_col, text_col, keep).where("kept").select(F.col(id_col).alias("_id"), F.unhex("text_sha256").alias("_sha")).distinct()
-    rows = docs.withColumn("_sha", F.unhex(F.sha2(normalised(F.col(text_col)).cast("binary"), 256)))
-    on = rows[id_col].eqNullSafe(found["_id"]) & (rows["_sha"] == found["_sha"])
-    return rows.join(found, on, "left_semi").dropDuplicates([id_col, "_sha"]).drop("_sha")
+    rows = docs.select(whole_rows(docs), F.col(id_col).alias("_own"), F.unhex(F.sha2(normalised(F.col(text_col)).cast("binary"), 256)).alias("_digest"))
+    on = rows["_own"].eqNullSafe(found["_id"]) & (rows["_digest"] == found["_sha"])
+    return rows.join(found, on, "left_semi").dropDuplicates(["_own", "_digest"]).select("row.*")
 
 
 def op2_exact_dedup(spark, sf_dir: str) -> DataFrame:

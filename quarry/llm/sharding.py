@@ -56,8 +56,10 @@ def shard_documents(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", t
     rows = rows.withColumns({"shard": _sharder(shards)("_id"), "grown_shard": _sharder(shards + 1)("_id")})
     rows = store(rows, "shards")
     blocks = max(1, -(-rows.count() // (shards * ROWS_A_BLOCK)))
-    # copies of an id must not gather in one block, so the checksum of the text is dealt as well
-    rows = rows.withColumn("_block", F.pmod(F.xxhash64("_id", "size", "text_crc32"), F.lit(blocks)).cast("int"))
+    # copies of an id must not gather in one block, so the checksum of the text is dealt as well; rows without an id, which
+    # all share a shard, are dealt by their place in the stored files
+    place = F.when(F.col("_id").isNull(), F.monotonically_increasing_id())
+    rows = rows.withColumn("_block", F.pmod(F.xxhash64("_id", "size", "text_crc32", place), F.lit(blocks)).cast("int"))
     counts = store(rows.groupBy("shard", "_block").agg(F.count("*").alias("_n")), "counts")
     before = counts.select("shard", "_block", (F.sum("_n").over(Window.partitionBy("shard").orderBy("_block").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias("_before"))
     numbered = rows.withColumn("_row", F.row_number().over(Window.partitionBy("shard", "_block").orderBy("_id", "text_crc32", "size")))

@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, mix64, store, table
+from .common import by_bytes, mix64, store, table, whole_rows
 
 LENGTH, K = 400, 64
 #: Whole words in a row that are a passage, where words count: over 50.
@@ -633,9 +633,10 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, id_col: s
     found = remove_repeats(docs, length, k, id_col, text_col, with_text=True, words=words, hot=hot).where("passage_bytes > 0")
     found = found.select(F.col(id_col).alias("_id"), F.unhex("text_sha256").alias("_sha"), F.coalesce("kept_text", F.lit("")).alias("_kept")).dropDuplicates(["_id", "_sha"])
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.withColumn("_own", F.unhex(F.sha2(text.cast("binary"), 256)))
-    on = rows[id_col].eqNullSafe(found["_id"]) & (rows["_own"] == found["_sha"])
-    return rows.join(found, on, "left").withColumn(text_col, F.coalesce("_kept", text)).select(docs.columns)
+    rows = docs.select(whole_rows(docs), F.col(id_col).alias("_row_id"), text.alias("_text"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("_own"))
+    on = rows["_row_id"].eqNullSafe(found["_id"]) & (rows["_own"] == found["_sha"])
+    kept = rows.join(found, on, "left")
+    return kept.select(*[F.coalesce("_kept", "_text").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def op3_suffix_dedup(spark, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ import string
 from collections import Counter
 
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
@@ -98,3 +99,27 @@ def test_passages_of_over_50_words(spark):
         assert got[i] == "".join(c for p, c in enumerate(t) if p not in want), (i, t)
     for i, n in planted.items():
         assert all((got[j] == texts[j]) == (n <= 50) for j in (i, i + 1, i + 2)), n
+
+
+def test_stages_on_odd_rows(spark, sf):
+    """Nulls in all columns, empty and very long texts, ties, repeated rows, clashing names, and empty tables."""
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
+    long, near = " ".join(word() for _ in range(60_000)), [word() for _ in range(200)]
+    texts = [(1, long), (2, long.upper()), (3, None), (4, ""), (5, " \n "), (6, " ".join(near)), (7, " ".join(near[:-1])), (7, " ".join(near[:-1])), (None, "solo words here"), (None, None), (8, "é"), (9, " ".join(near) + " x"), (8, "other text of eight")]
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    for c in ("id", "_id", "_sha", "sha", "at", "h", "key", "score", "predicted", "toxic", "fold", "_own", "_kept", "rep", "component", "kept", "_norm", "_range", "length", "start"):
+        docs = docs.withColumn(c, F.lit(c))
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = store(stage(spark, docs, sf), name)
+        assert tuple(out.columns) == DOCUMENT_COLUMNS and stage(spark, docs.limit(0), sf).count() == 0, name
+        kept[name] = sorted(((x.doc_id or -1, (x.text or "")[:20]) for x in out.collect()), key=str)
+    every = sorted(((i or -1, (t or "")[:20]) for i, t in texts), key=str)
+    cut = lambda rows: sorted([(i, t[:20]) for i, t in rows], key=str)
+    assert kept["toxicity"] == every
+    assert kept["exact_dedup"] == cut([(2, long.upper()), (5, " \n "), (4, ""), (6, " ".join(near)), (7, " ".join(near[:-1])), (-1, "solo words here"), (8, "é"), (9, " ".join(near)), (8, "other text of eight")])
+    assert kept["near_dedup"] == [x for x in every if x[0] not in (2, 7, 9)]
+    assert sorted(i for i, _ in kept["suffix_dedup"]) == sorted(i or -1 for i, _ in texts)
+    pieces = corpus_pipeline.STAGES[-1][1](spark, docs, sf).toPandas()
+    assert len(pieces[pieces.start == 0]) == len(texts) and corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), sf).count() == 0
