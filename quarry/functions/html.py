@@ -12,6 +12,9 @@ _MARK = re.compile(r"<(?:!--|[!?]|(/?)([a-zA-Z][^\s/>]*))")
 _PART = re.compile(r"""[\s/]*(?:(>)|([^\s>/][^\s=>/]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?)""")
 _RAW = ("script", "style", "textarea", "noscript")
 _TAGS = re.compile(r"<[^>]*>")
+#: Elements whose content is not the page's own text.
+_ASIDE = frozenset("script style nav footer header aside form title template svg".split())
+_END = re.compile(r""">|=\s*(["'])""")
 
 
 def tags(page: str) -> Iterator[tuple[str, dict[str, str], int]]:
@@ -42,6 +45,44 @@ def tags(page: str) -> Iterator[tuple[str, dict[str, str], int]]:
             at = close.start()
 
 
+def _tag_end(page: str, at: int) -> int:
+    """Past the `>` of the tag whose name ends at `at`; a quote that is never closed counts for nothing. The page's end if there is none."""
+    while m := _END.search(page, at):
+        if not m[1]:
+            return m.end()
+        close = page.find(m[1], m.end())
+        at = close + 1 if close >= 0 else m.end()
+    return len(page)
+
+
+def own_text(page: str) -> str:
+    """The text outside menus, headers, footers, asides, forms, scripts and comments; each tag stands for a space."""
+    out: list[str] = []
+    hidden: list[str] = []
+    at = 0
+    while m := _MARK.search(page, at):
+        if not hidden:
+            out.append(page[at : m.start()])
+        if not m[2]:
+            end = page.find("-->" if m[0] == "<!--" else ">", m.end())
+            at = page.index(">", end) + 1 if end >= 0 else len(page)
+            continue
+        at, name = _tag_end(page, m.end()), m[2].lower()
+        if not hidden:
+            out.append(" ")
+        if m[1]:
+            if name in hidden:
+                del hidden[len(hidden) - 1 - hidden[::-1].index(name) :]
+        elif name in _ASIDE and page[at - 2 : at] != "/>":
+            hidden.append(name)
+            if name in _RAW:
+                close = re.compile(rf"</{name}\b", re.IGNORECASE).search(page, at)
+                at = close.start() if close else len(page)
+    if not hidden:
+        out.append(page[at:])
+    return html.unescape("".join(out))
+
+
 def _content(page: str, at: int, name: str) -> str:
     close = re.compile(rf"</{name}\b", re.IGNORECASE).search(page, at)
     return html.unescape(_TAGS.sub(" ", page[at : close.start() if close else len(page)]))

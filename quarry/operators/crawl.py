@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.functions.html import read_page
+from quarry.functions.html import own_text, read_page
 from quarry.functions.text import clean
 from quarry.functions.urls import is_image, is_valid, normalise
 from quarry.sources.tables import keep
@@ -94,27 +94,26 @@ def batches(queue: DataFrame, parts: int | None = None, burst: int = BURST) -> D
     return dealt.withColumn("_row", place).join(F.broadcast(before), "_part").select("url", "seq", F.floor((F.col("_before") + F.col("_row") - 1) / burst).cast("long").alias("batch"))
 
 
-def unescape(text: Column) -> Column:
-    """The common named references and those of quotes; the ampersand last, so nothing is decoded twice."""
-    for name, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "'"), ("apos", "'"), ("nbsp", " "), ("copy", "©"), ("middot", "·"), ("amp", "&")):
-        text = F.replace(text, F.lit(f"&{name};"), F.lit(char))
-    return text
-
-
 def titles(pages: DataFrame) -> DataFrame:
     """(page_id, title): what the page is shared as, else its title, else its first heading."""
     return read_pages(pages).select("page_id", clean(F.col("title")).alias("title"))
 
 
-def main_text(page: Column) -> Column:
-    """The page without scripts, styles, menus, footers, comments and tags. A plain approximation of content extraction.
+def main_texts(pages: DataFrame) -> DataFrame:
+    """(page_id, text): the page without menus, headers, footers, asides, forms, scripts and tags. A plain form of content extraction.
 
     Length is tested, and text cut, before white space is cleaned; too short a text gives null.
     """
-    bare = F.regexp_replace(page, r"(?is)<(script|style|nav|footer|header|aside|form|title)\b.*?</(script|style|nav|footer|header|aside|form|title)>", " ")
-    bare = F.regexp_replace(F.regexp_replace(bare, r"(?s)<!--.*?-->", " "), r"(?s)<[^>]*>", " ")
-    text = unescape(bare)
-    return F.when(F.length(text) >= SHORTEST_CONTENT, clean(F.left(text, F.lit(LONGEST_CONTENT))))
+
+    def run(batches):
+        for b in batches:
+            for k in range(0, b.num_rows, 256):
+                part = b.slice(k, 256)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([own_text(h or "") for h in part.column(1).to_pylist()], pa.string())], names=["page_id", "text"])
+
+    kind = pages.schema["page_id"].dataType.simpleString()
+    text = F.when(F.length("text") >= SHORTEST_CONTENT, clean(F.left("text", F.lit(LONGEST_CONTENT))))
+    return pages.select("page_id", "html").mapInArrow(run, f"page_id {kind}, text string").select("page_id", text.alias("text"))
 
 
 def images(pages: DataFrame) -> DataFrame:

@@ -92,8 +92,10 @@ def rate_limit_batches(spark, d):
 
 
 _UNESCAPED = "{0}"
-for _name, _char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "''"), ("apos", "''"), ("nbsp", " "), ("copy", "©"), ("middot", "·"), ("amp", "&")):
+for _name, _char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "''"), ("apos", "''"), ("nbsp", " "), ("copy", "©"), ("middot", "·")):
     _UNESCAPED = f"replace({_UNESCAPED}, '&{_name};', '{_char}')"
+# browsers read this one without its semicolon too
+_UNESCAPED = f"regexp_replace({_UNESCAPED}, '&amp;?', '&', 'g')"
 _WHITE = r"[\t\n\x0B\f\r\x1c-\x1f \x{{85}}\x{{A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}]+"
 _CLEAN = "trim(regexp_replace(coalesce({0}, ''), '" + _WHITE + "', ' ', 'g'))"
 
@@ -133,7 +135,22 @@ _BARE = f"regexp_replace(regexp_replace(regexp_replace(html, '(?is)<({_DROPPED})
 
 @query("page_main_text", f"SELECT page_id, CASE WHEN length(t) >= 100 THEN md5({_CLEAN.format('left(t, 50000)')}) END AS text_md5 FROM (SELECT page_id, {_UNESCAPED.format(_BARE)} AS t FROM pages)")
 def page_main_text(spark, d):
-    return _pages(spark, d).select("page_id", F.md5(crawl.main_text(F.col("html")).cast("binary")).alias("text_md5"))
+    return crawl.main_texts(_pages(spark, d)).select("page_id", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+_LONG = "word " * 30
+_TEXT_CASES = [
+    (1, f"<body><header><nav>menu</nav> head</header><p>{_LONG}&eacute;&#233; <b title='a > b'>bold</b></p><!-- no --><aside>a<form>f</form>b</aside><p>end</p><footer>foot", f"{_LONG}éé bold end"),
+    (2, f"<script>if (a < b) '<p>'</script><STYLE>p {{}}</STYLE >{_LONG}<nav><div>x</nav>y", f"{_LONG}y"),
+    (3, "<p>too short</p>", None),
+    (4, None, None),
+]
+
+
+@query("text_cases", "SELECT * FROM (VALUES " + ", ".join(f"({i}::BIGINT, {_sql_text(t) if t else 'NULL'})" for i, _, t in _TEXT_CASES) + ") AS t(page_id, text)")
+def text_cases(spark, d):
+    """Nested and unclosed elements, quotes and references, against what is written down here."""
+    return crawl.main_texts(spark.createDataFrame([x[:2] for x in _TEXT_CASES], "page_id long, html string"))
 
 
 @query("image_candidates", "SELECT page_id, 0::BIGINT AS position, 'https://img.example.org/p' || page_id || '.png' AS image_url FROM pages UNION ALL SELECT page_id, 1, lower(regexp_extract(url, '^([a-zA-Z]+)://', 1)) || '://' || regexp_extract(url, '://([^/?#]*)', 1) || '/photo.jpg?w=' || page_id FROM pages")

@@ -121,7 +121,7 @@ def test_title_and_text(spark):
     page = '<html><head><meta property="og:title" content="OG Test Title"><title>Test Page</title></head><body><h1>Main Title</h1><p>few words</p></body></html>'
     pages = spark.createDataFrame([(1, "u", page), (2, "u", "<title>A &amp;amp; B</title>"), (3, None, None)], "page_id long, url string, html string")
     assert {r.page_id: r.title for r in crawl.titles(pages).collect()} == {1: "OG Test Title", 2: "A &amp; B", 3: ""}
-    assert pages.select(crawl.main_text(F.col("html"))).first()[0] is None
+    assert {r.text for r in crawl.main_texts(pages).collect()} == {None}
 
 
 def test_context(spark):
