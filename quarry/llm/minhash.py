@@ -14,6 +14,8 @@ into all its pairs, and no two classes that share a bucket and end in different
 
 from __future__ import annotations
 
+import string
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -211,3 +213,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def op1_minhash(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+#: Every pair of texts that share a shingle, counted in full; and what can be reached over links.
+OP1_SQL = f"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+      ELSE list_sort(list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' ')))) END AS g FROM w),
+c AS (SELECT doc_id, len(g)::BIGINT AS n, CASE WHEN len(g) = 0 THEN doc_id ELSE min(doc_id) OVER (PARTITION BY g) END AS class_id, g FROM s),
+e AS (SELECT doc_id, n, unnest(g) AS x FROM c WHERE class_id = doc_id),
+links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+two_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(a, b) AS (SELECT a, b FROM two_ways UNION SELECT r.a, t.b FROM reach r JOIN two_ways t ON r.b = t.a),
+component AS (SELECT a AS class_id, least(a, min(b)) AS component_id FROM reach GROUP BY a)
+SELECT doc_id, n AS n_shingles, class_id, coalesce(component_id, class_id) AS component_id, doc_id = coalesce(component_id, class_id) AS kept
+FROM c LEFT JOIN component USING (class_id)
+"""

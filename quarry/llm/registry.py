@@ -7,7 +7,7 @@ from .bpe import op10_bpe
 from .chat import op6_chat
 from .exact_dedup import OP2_SQL, op2_exact_dedup
 from .html_extract import op5_html
-from .minhash import op1_minhash
+from .minhash import OP1_SQL, op1_minhash
 from .packing import op9_packing
 from .sharding import op8_sharding
 from .suffix_dedup import op3_suffix_dedup
@@ -27,5 +27,6 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_minhash": OP1_SQL,
     "op2_exact_dedup": OP2_SQL,
 }

@@ -145,6 +145,14 @@ def test_near_duplicates_odd_rows(spark):
     assert near_duplicates(table(spark, [])).count() == 0
 
 
+def test_near_duplicates_sql(spark, sf):
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    want = c.sql(minhash.OP1_SQL)
+    names = want.columns
+    assert sorted(map(str, want.fetchall())) == sorted(str(tuple(r)) for r in minhash.op1_minhash(spark, sf).select(names).collect())
+
+
 def test_one_id_with_two_texts(spark):
     """Links of either text are links of the id, on every run."""
     r = random.Random(12)
