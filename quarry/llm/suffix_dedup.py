@@ -51,6 +51,8 @@ HOT = 5000
 MOST_MET = 200_000
 #: Bytes of text whose hashes are computed together.
 SLICE = 1 << 19
+#: Bytes of a text above which its anchors are looked for in parts.
+CHUNK = 1 << 22
 
 #: ASCII white space, as bytes.split() has it.
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
@@ -155,13 +157,55 @@ def _word_anchors(data: np.ndarray, ends: np.ndarray, keys: np.ndarray, length:
     return out, begin[:n], close[words - 1 :][:n], next_word, held
 
 
-def _slices(ends: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Runs of texts of about SLICE bytes, at least one text each."""
-    first, begin = 0, 0
-    for i, end in enumerate(ends.tolist()):
-        if end - begin >= SLICE or i == len(ends) - 1:
-            yield first, i + 1
-            first, begin = i + 1, end
+def _chunks(text: bytes, length: int, chunk: int) -> Iterator[tuple[int, bytes]]:
+    """A very long text in overlapping parts, each with its place: every window is whole in one of them. Parts begin and end at white
+    space, or within a run of bytes without any that is longer than what windows of words can span."""
+    if len(text) <= chunk:
+        yield 0, text
+        return
+
+    def near(at: int) -> int:
+        m = _SPACES.search(text, at, at + chunk)
+        return m.start() if m else at
+
+    at = 0
+    while at < len(text):
+        onward = min(len(text), near(at + chunk))
+        end = near(onward + length + 1)
+        yield at, text[at:end]
+        at = onward
+
+
+def anchors_of(texts: list[bytes], length: int, k: int, words: int, chunk: int = CHUNK) -> tuple[np.ndarray, ...]:
+    """How many anchors each text has, and of all anchors the positions, the hashes, and the reaches to the left and right, packed into one number."""
+    owner, offset, parts = [], [], []
+    for i, t in enumerate(texts):
+        for at, part in _chunks(t, length, chunk):
+            owner.append(i)
+            offset.append(at)
+            parts.append(part)
+    owner, offset = np.array(owner, np.int64), np.array(offset, np.int64)
+    found = [(np.zeros(0, np.int64),) * 5]
+    first = size = 0
+    for n, part in enumerate(parts):
+        size += len(part)
+        if size >= SLICE or n == len(parts) - 1:
+            some = parts[first : n + 1]
+            ends = np.cumsum([len(x) for x in some])
+            at, h, to_left, to_right = anchors(np.frombuffer(b"".join(some), np.uint8), ends, length, k, words)
+            mine = np.searchsorted(ends, at, side="right")
+            begin = ends[mine] - np.array([len(x) for x in some])[mine] if len(at) else at
+            found.append((owner[first + mine], at - begin + offset[first + mine], h.view(np.int64), to_left, to_right))
+            first, size = n + 1, 0
+    doc, at, h, to_left, to_right = (np.concatenate(x) for x in zip(*found, strict=True))
+    if len(parts) > len(texts):  # an anchor near a border is met in two parts, with the windows of each
+        order = np.lexsort((at, doc))
+        doc, at, h, to_left, to_right = (x[order] for x in (doc, at, h, to_left, to_right))
+        edge = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (at[1:] != at[:-1])][: len(doc)])
+        if len(edge):
+            to_left, to_right = np.maximum.reduceat(to_left, edge), np.maximum.reduceat(to_right, edge)
+        doc, at, h = doc[edge], at[edge], h[edge]
+    return np.bincount(doc, minlength=len(texts)), at, h, to_left * (length + 1) + to_right
 
 
 def _scanned(rows: DataFrame, length: int, k: int, words: int) -> DataFrame:
@@ -172,16 +216,9 @@ def _scanned(rows: DataFrame, length: int, k: int, words: int) -> DataFrame:
             raw = b.column(1).cast(pa.large_binary()).fill_null(b"")
             texts = raw.to_pylist()
             sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-            ends = np.cumsum(sizes)
-            found, counts = [(np.zeros(0, np.int64),) * 3], np.zeros(len(texts), np.int64)
-            for lo, hi in _slices(ends):
-                begin = ends[lo] - sizes[lo]
-                at, h, to_left, to_right = anchors(np.frombuffer(b"".join(texts[lo:hi]), np.uint8), ends[lo:hi] - begin, length, k, words)
-                doc = np.searchsorted(ends[lo:hi] - begin, at, side="right") + lo
-                counts += np.bincount(doc, minlength=len(texts))
-                found.append((at + begin - (ends - sizes)[doc], h.view(np.int64), to_left * (length + 1) + to_right))
+            counts, *found = anchors_of(texts, length, k, words)
             offsets = pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32))
-            at, h, reach = (pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(x).astype(t))) for x, t in zip(zip(*found, strict=True), (np.int32, np.int64, np.int32), strict=True))
+            at, h, reach = (pa.ListArray.from_arrays(offsets, pa.array(x.astype(t))) for x, t in zip(found, (np.int32, np.int64, np.int32), strict=True))
             sha = pa.array([hashlib.sha256(t).digest() for t in texts], pa.binary())
             enough = pa.array([len(t) >= length or 0 < words <= len(t.split()) for t in texts], pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes), enough, sha, at, h, reach], names=["id", "n_bytes", "enough", "sha", "at", "h", "reach"])

@@ -17,7 +17,7 @@ from quarry.llm.components import components
 from quarry.llm.exact_dedup import OP2_SQL, drop_copies, exact_dedup
 from quarry.llm.minhash import near_duplicates
 from quarry.llm.sharding import jump_hash, shard_documents
-from quarry.llm.suffix_dedup import anchors, intervals, remove_repeats, without_repeats
+from quarry.llm.suffix_dedup import anchors, anchors_of, intervals, remove_repeats, without_repeats
 
 SCHEMA = "doc_id long, text string"
 #: Other columns with names that the operators use inside.
@@ -237,6 +237,18 @@ def test_anchors_agree():
     assert first & second and all(x in first and x in second for x in inside)
 
 
+@pytest.mark.parametrize("words", [0, 12])
+def test_anchors_in_parts(words):
+    """A long text has the same anchors, with the same reaches, whether it is read whole or in parts."""
+    r = random.Random(31)
+    word = lambda n: "".join(r.choice("abcd") for _ in range(r.randint(1, n))).encode()
+    texts = [b" ".join(word(9) for _ in range(600)), b"", b"x" * 700, b"ab cd " * 300, b"\n\t ".join(word(4) for _ in range(500)), word(900) * 3 + b" " + b" ".join(word(5) for _ in range(90)) + word(900) * 2, b"short"]
+    whole = anchors_of(texts, 64, 16, words)
+    for chunk in (100, 257, 1000):
+        for a, b in zip(whole, anchors_of(texts, 64, 16, words, chunk), strict=True):
+            assert (a == b).all(), chunk
+
+
 def test_intervals():
     assert list(intervals([1, 3, 0, 2])) == [(3, 1, 2), (1, 0, 2), (2, 3, 4), (0, 0, 4)]
 
