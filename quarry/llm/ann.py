@@ -164,7 +164,7 @@ def nearest(vectors: DataFrame, query_every: int = 20, k: int = 20, id_col: str
     classes = store(few.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")), "vectors")
     largest = F.array_max(F.transform("v", lambda x: F.abs(x)))
     length = F.log2("_m") + F.log2(F.aggregate("v", F.lit(0.0), lambda a, x: a + (x / F.col("_m")) * (x / F.col("_m")))) / 2
-    classes = classes.withColumn("_m", largest).withColumn("magnitude", F.floor(length).cast("int"))
+    classes = classes.withColumn("_m", largest).withColumn("magnitude", F.round(length).cast("int"))  # vectors of length 1 are in the middle of theirs
     # doubles have about 2100 magnitudes, so this is a bounded table
     sizes_by = {r.magnitude: r["count"] for r in classes.groupBy("magnitude").count().orderBy("magnitude").collect()}
     size = max(shard, int(SHARD_GROWTH * sum(sizes_by.values()) ** 0.5))
