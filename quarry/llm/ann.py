@@ -161,10 +161,10 @@ def nearest(vectors: DataFrame, query_every: int = 20, k: int = 20, id_col: str
     rows = rows.where(F.size("v") == sizes["d"]).dropDuplicates(["id", "v"])
     # of equal vectors, as many ids as could be among the nearest; the limit is applied before rows are exchanged
     few = rows.withColumn("place", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("place") <= k + 1)
-    classes = store(few.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")), "vectors")
-    largest = F.array_max(F.transform("v", lambda x: F.abs(x)))
+    classes = few.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")).withColumn("_m", F.array_max(F.transform("v", lambda x: F.abs(x))))
     length = F.log2("_m") + F.log2(F.aggregate("v", F.lit(0.0), lambda a, x: a + (x / F.col("_m")) * (x / F.col("_m")))) / 2
-    classes = classes.withColumn("_m", largest).withColumn("magnitude", F.round(length).cast("int"))  # vectors of length 1 are in the middle of theirs
+    # vectors of length 1 are in the middle of their magnitude
+    classes = store(classes.select("v", "ids", F.round(length).cast("int").alias("magnitude")), "vectors")
     # doubles have about 2100 magnitudes, so this is a bounded table
     sizes_by = {r.magnitude: r["count"] for r in classes.groupBy("magnitude").count().orderBy("magnitude").collect()}
     size = max(shard, int(SHARD_GROWTH * sum(sizes_by.values()) ** 0.5))

@@ -1,6 +1,5 @@
 """The pipeline's stages against plain versions of what each decides."""
 
-import hashlib
 import random
 import re
 import string
