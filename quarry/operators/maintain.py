@@ -16,6 +16,13 @@ def upsert_by_url(current: DataFrame, incoming: DataFrame, order: list[str]) ->
     return untouched.unionByName(newest).unionByName(incoming.where(~has_url))
 
 
+def stamped(current: DataFrame, incoming: DataFrame, now: Column) -> DataFrame:
+    """`incoming` with created_at and updated_at: a URL that is already there keeps when it was created."""
+    known = current.where("url is not null and url <> ''").groupBy("url").agg(F.min("created_at").alias("_created"))
+    rows = incoming.drop("created_at", "updated_at").join(known, "url", "left")
+    return rows.withColumn("created_at", F.coalesce("_created", now)).withColumn("updated_at", now).drop("_created")
+
+
 def enriched_metadata(metadata: Column, title: Column, content: Column) -> Column:
     """Metadata with the title and content as they came; keys of the same name are replaced."""
     rest = F.map_filter(F.coalesce(metadata, F.expr("map()").cast("map<string,string>")), lambda k, _: ~k.isin("original_title", "original_content"))

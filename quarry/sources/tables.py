@@ -99,9 +99,11 @@ def recreate(spark: SparkSession, folder: str, schemas: dict[str, str]) -> dict[
     return {name: overwrite_empty(spark, f"{folder}/{name}", schema) for name, schema in schemas.items()}
 
 
-def read_jdbc(spark: SparkSession, url: str, name: str, key: str | None = None, low: int = 0, high: int = 0, parts: int = 8) -> DataFrame:
+def read_jdbc(spark: SparkSession, url: str, name: str, key: str | None = None, low: int = 0, high: int = 0, parts: int = 8, driver: str | None = None) -> DataFrame:
     """A table of a relational database, read in ranges of `key` if one is given. The driver's jar must be on the class path."""
     reader = spark.read.format("jdbc").option("url", url).option("dbtable", name)
+    if driver:
+        reader = reader.option("driver", driver)
     if key:
         reader = reader.options(partitionColumn=key, lowerBound=str(low), upperBound=str(high), numPartitions=str(parts))
     return reader.load()

@@ -1,10 +1,11 @@
+import base64
 import datetime as dt
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from quarry.functions.vectors import encoder
-from quarry.operators import analytics, approximate, context, crawl, index, maintain, retrieve, suggest
+from quarry.operators import analytics, approximate, context, crawl, embed, index, maintain, retrieve, suggest
 from quarry.sources import csv_documents, samples, tables
 
 
@@ -180,3 +181,44 @@ def test_approximate_search(spark, sf):
         hits += len({r.doc_id for r in exact.collect()} & {r.doc_id for r in found.collect()})
     assert hits >= 0.9 * 40
     assert "PushedFilters: [In(bucket" in approximate.search(signed, v, 10)._jdf.queryExecution().toString()
+
+
+def test_vectors_of_documents_and_images(spark):
+    images = "images array<struct<url: string, base64_data: string, alt_text: string>>"
+    data = lambda n: base64.b64encode(b"x" * n).decode()
+    rows = [
+        (1, "T", "body", [("a", data(3), ""), ("b", None, ""), ("c", "data:image/png;base64," + data(4), ""), ("d", data(99), ""), ("e", data(5), ""), ("f", data(6), "")]),
+        (2, None, None, None),
+    ]
+    docs = spark.createDataFrame(rows, f"doc_id long, title string, content string, {images}")
+    seen = lambda values: np.array([[len(v), 0.0] if len(v) < 50 else 1 / 0 for v in values])
+    assert [(r.doc_id, r.embedding) for r in embed.document_vectors(docs, seen).orderBy("doc_id").collect()] == [(1, [1.0, 0.0]), (2, [1.0, 0.0])]
+    # the image without data does not count, the one that the model fails on is passed over, and the fifth is too many
+    assert [(r.doc_id, r.position) for r in embed.image_vectors(docs, seen).orderBy("position").collect()] == [(1, 0), (1, 1), (1, 3)]
+
+
+def test_stamps(spark):
+    now, then = dt.datetime(2024, 5, 1), dt.datetime(2023, 1, 1)
+    current = spark.createDataFrame([("a", then, then), (None, then, then)], "url string, created_at timestamp, updated_at timestamp")
+    got = {r.url: (r.created_at, r.updated_at) for r in maintain.stamped(current, spark.createDataFrame([("a",), ("b",), (None,)], "url string"), F.lit(now)).collect()}
+    assert got == {"a": (then, now), "b": (now, now), None: (now, now)}
+
+
+def test_unique_keys(spark, sf):
+    i = index.open_index(spark, sf)
+    assert i.terms.count() == i.terms.select("term").distinct().count()
+    assert i.postings.count() == i.postings.select("term", "doc_id").distinct().count()
+    assert i.lengths.count() == i.lengths.select("doc_id").distinct().count() == spark.read.parquet(f"{sf}/documents.parquet").count()
+    back = i.postings.groupBy("doc_id").agg(F.sum("tf").alias("n")).join(i.lengths, "doc_id").where("n <> doc_length")
+    assert back.count() == 0 and i.postings.where("size(positions) <> tf").count() == 0
+
+
+def test_jdbc(spark):
+    """A table of a relational database, whole and in ranges of its key; the embedded database comes with Spark."""
+    url = "jdbc:derby:memory:quarry;create=true"
+    rows = spark.range(1, 101).select(F.col("id"), F.concat(F.lit("q"), F.col("id") % 7).alias("query"))
+    rows.write.format("jdbc").option("url", url).option("driver", "org.apache.derby.jdbc.EmbeddedDriver").option("dbtable", "searches").mode("overwrite").save()
+    whole = tables.read_jdbc(spark, url, "searches", driver="org.apache.derby.jdbc.EmbeddedDriver")
+    ranged = tables.read_jdbc(spark, url, "searches", "id", 1, 100, 4, driver="org.apache.derby.jdbc.EmbeddedDriver")
+    plain = lambda df: sorted(tuple(r) for r in df.collect())
+    assert plain(whole) == plain(ranged) == plain(rows) and ranged.rdd.getNumPartitions() == 4
