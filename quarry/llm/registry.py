@@ -9,7 +9,7 @@ from .exact_dedup import OP2_SQL, op2_exact_dedup
 from .html_extract import op5_html
 from .minhash import OP1_SQL, op1_minhash
 from .packing import op9_packing
-from .sharding import op8_sharding
+from .sharding import OP8_SQL, op8_sharding
 from .suffix_dedup import op3_suffix_dedup
 from .toxicity import op7_toxicity
 
@@ -29,4 +29,5 @@ QUERIES = {
 ORACLE_SQL = {
     "op1_minhash": OP1_SQL,
     "op2_exact_dedup": OP2_SQL,
+    "op8_sharding": OP8_SQL,
 }

@@ -70,3 +70,20 @@ def shard_documents(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", t
 
 def op8_sharding(spark, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), 40)
+
+
+#: The checksum byte by byte and the jumps key by key, with integers modulo 2 ** 64. Slots are those of one block, as it is below two million rows.
+OP8_SQL = """
+WITH RECURSIVE bit AS (SELECT range AS n, 0 AS k, range::UBIGINT AS c FROM range(256) UNION ALL SELECT n, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END FROM bit WHERE k < 8),
+crc AS (SELECT list(c ORDER BY n) AS t FROM bit WHERE k = 8),
+d AS (SELECT doc_id, octet_length(encode(coalesce(text, '')))::BIGINT + 16 AS size,
+      xor(list_reduce(list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::UBIGINT), lambda c, b: xor(c >> 8, t[((xor(c, b) & 255) + 1)::BIGINT]), 4294967295::UBIGINT), 4294967295::UBIGINT)::BIGINT AS text_crc32 FROM documents, crc),
+x AS (SELECT id, id::UHUGEINT AS x FROM (SELECT DISTINCT coalesce(doc_id, 0) AS id FROM documents)),
+y AS (SELECT id, xor(x, x >> 30) * 13787848793156543929::UHUGEINT % 18446744073709551616::UHUGEINT AS x FROM x),
+z AS (SELECT id, xor(x, x >> 27) * 10723151780598845931::UHUGEINT % 18446744073709551616::UHUGEINT AS x FROM y),
+walk(id, state, bucket) AS (SELECT id, xor(x, x >> 31), 0::BIGINT FROM z UNION ALL
+  SELECT id, next, floor((bucket + 1) * (2147483648.0::DOUBLE / ((next >> 33)::DOUBLE + 1)))::BIGINT FROM (SELECT id, bucket, (state * 2862933555777941757::UHUGEINT + 1) % 18446744073709551616::UHUGEINT AS next FROM walk)
+  WHERE (bucket + 1) * (2147483648.0::DOUBLE / ((next >> 33)::DOUBLE + 1)) < 41),
+s AS (SELECT id, max(bucket) FILTER (bucket < 40)::INT AS shard, max(bucket)::INT AS grown_shard FROM walk GROUP BY id)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id, text_crc32, size) - 1 AS slot, grown_shard FROM d JOIN s ON coalesce(doc_id, 0) = id
+"""

@@ -16,7 +16,7 @@ from quarry.llm import minhash
 from quarry.llm.components import components
 from quarry.llm.exact_dedup import OP2_SQL, drop_copies, exact_dedup
 from quarry.llm.minhash import near_duplicates
-from quarry.llm.sharding import jump_hash, shard_documents
+from quarry.llm.sharding import OP8_SQL, jump_hash, op8_sharding, shard_documents
 from quarry.llm.suffix_dedup import anchors, anchors_of, intervals, remove_repeats, without_repeats
 
 SCHEMA = "doc_id long, text string"
@@ -273,6 +273,14 @@ def test_jump_hash_moves_only_to_the_new_shard():
     assert [plain(k, 40) for k in mixed] == old[:300].tolist()
 
 
+def test_sharding_sql(spark, sf):
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    want = c.sql(OP8_SQL)
+    names = want.columns
+    assert sorted(map(str, want.fetchall())) == sorted(str(tuple(r)) for r in op8_sharding(spark, sf).select(names).collect())
+
+
 def test_sharding(spark):
     out = shard_documents(table(spark, ODD), 5).collect()
     assert len(out) == len(ODD)
