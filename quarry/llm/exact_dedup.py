@@ -15,7 +15,7 @@ import string
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, store, table, whole_rows
+from .common import discard, shuffle_partitions, store, table, whole_rows
 
 #: Characters of a text that come first in the order.
 PREFIX = 64
@@ -90,6 +90,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     whole = linked.where("_chain is not null").groupBy("_chain").agg(best("_keep").alias("_all_keep"), F.sum("_n").alias("_all_n"))
     groups = linked.join(F.broadcast(whole), "_chain", "left").select("_range", "_run", F.when(F.col("_all_n").isNull(), F.col("_keep")).otherwise(F.col("_all_keep")).alias("_keep"), F.coalesce("_all_n", "_n").alias("_n"))
     groups = store(groups.where("_n > 1"), "groups")
+    discard(runs, chains)
     return marked.drop("_border").join(groups, ["_range", "_run"], "left").select(
         F.col("_id").alias(id_col),
         F.when(F.col("_n").isNull(), F.col("_id")).otherwise(F.col("_keep")).alias("keep_id"),
@@ -114,7 +115,9 @@ def _chains(marked: DataFrame) -> DataFrame:
     going = joins.select("_range", "_runs", "_joins", chain.alias("_chain"))
     heads = going.where("_joins").select("_range", F.lit(1).cast("long").alias("_run"), "_chain")
     begun = going.where("_joins").select(F.col("_chain").alias("_range")).distinct().join(going.select("_range", F.col("_runs").alias("_run")), "_range")
-    return store(heads.unionByName(begun.select("_range", "_run", F.col("_range").alias("_chain"))), "chains")
+    chains = store(heads.unionByName(begun.select("_range", "_run", F.col("_range").alias("_chain"))), "chains")
+    discard(ends)
+    return chains
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max") -> DataFrame:

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, mix64, store, table
+from .common import by_bytes, discard, mix64, store, table
 from .components import components
 
 SHINGLE, BANDS, ROWS = 5, 32, 4
@@ -137,8 +137,8 @@ def _confirmed(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     def check(batches):
         for b in batches:
             keep = []
-            for k, (x, y) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)):
-                s, t = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            for k, (x, y) in enumerate(zip(b.column(2), b.column(3), strict=True)):  # read where they are, not copied
+                s, t = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 if 100 * min(len(s), len(t)) >= PERCENT * max(len(s), len(t)):
                     both = len(np.intersect1d(s, t, assume_unique=True))
                     if 100 * both >= PERCENT * (len(s) + len(t) - both):
@@ -146,14 +146,16 @@ def _confirmed(pairs: DataFrame, rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).take(pa.array(keep, pa.int64()))
 
     pairs = store(pairs, "pairs")
-    needed = store(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "needed")
+    ids = needed = store(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "needed")
     if needed.count() <= MOST_BROADCAST:
         needed = F.broadcast(needed)
     # an id that several texts share brings the set of each, and is linked by any of them
     held = store(rows.join(needed, "id", "left_semi").mapInArrow(sets, "id long, k1 long, k2 long, s binary").dropDuplicates(["id", "k1", "k2"]).select("id", "s"), "sets")
     with_a = pairs.join(held.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
     full = with_a.join(held.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b").select("a", "b", "sa", "sb")
-    return store(full.mapInArrow(check, "a long, b long"), "confirmed")
+    confirmed = store(full.mapInArrow(check, "a long, b long"), "confirmed")
+    discard(pairs, ids, held)
+    return confirmed
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -167,11 +169,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     signed = store(_signatures(rows), "signatures")
     linked = signed.where("n > 0 and id is not null")
-    classes = store(linked.groupBy("k1", "k2", "n").agg(F.min("id").alias("rep"), F.count("*").alias("copies")).where("copies > 1"), "classes").select("k1", "k2", "n", "rep")
+    classes_stored = store(linked.groupBy("k1", "k2", "n").agg(F.min("id").alias("rep"), F.count("*").alias("copies")).where("copies > 1"), "classes")
+    classes = classes_stored.select("k1", "k2", "n", "rep")
     members = store(signed.select("id", "n", "k1", "k2").join(classes, ["k1", "k2", "n"], "left").select("id", "n", F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.coalesce("rep", "id")).otherwise(F.col("id")).alias("rep")), "members")
     reps = signed.join(classes, ["k1", "k2", "n"], "left").where("n > 0 and id is not null")
     chosen = reps.where("rep = id").dropDuplicates(["id", "k1", "k2", "n"])
     sketches = store(reps.where("rep is null").unionByName(chosen).select("id", "n", "sketch", "bands"), "sketches")
+    discard(signed, classes_stored)
 
     banded = sketches.select(F.explode("bands").alias("key"), F.col("id").alias("rep"))
     buckets = banded.groupBy("key").agg(F.min("rep").alias("center"), F.max("rep").alias("last")).where("center != last").select("key", "center")
@@ -189,6 +193,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     label_of = lambda name: labels.select(F.col("node").alias(name), F.col("component").alias(f"label_{name}"))
     placed = hits.join(label_of("rep"), "rep", "left").join(label_of("center"), "center", "left").select("key", "rep", F.coalesce("label_rep", "rep").alias("component"), (F.coalesce("label_rep", "rep") != F.coalesce("label_center", "center")).alias("strays"))
     placed = store(placed, "placed")
+    discard(hits)
     told = sketches.select(F.col("id").alias("rep"), F.struct("sketch", "n", "bands").alias("own"))
     strays = placed.where("strays").join(told, "rep")
     blocks = placed.where("strays").groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))

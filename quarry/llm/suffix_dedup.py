@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, mix64, store, table, whole_rows
+from .common import by_bytes, discard, mix64, store, table, whole_rows
 
 LENGTH, K = 400, 64
 #: Whole words in a row that are a passage, where words count: over 50.
@@ -632,12 +632,15 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, id_col: st
     repeated = store(placed.groupBy("h").count().where("count > 1").select("h", (F.col("count") > hot).alias("hot")), "repeated")
     per_text = placed.join(repeated, "h").groupBy("sha", "id").agg(F.collect_list(F.struct("at", "h", "reach", "hot")).alias("x")).select(F.col("sha").alias("want"), "id", "x.at", "x.h", "x.reach", "x.hot")
     per_text = store(per_text, "per_text")
+    discard(placed, repeated)
     same = F.unhex(F.sha2(F.col("text").cast("binary"), 256)) == F.col("want")
     needed = store(rows.join(per_text.hint("shuffle_hash"), rows["id"].eqNullSafe(per_text["id"])).where(same).select(F.col("want").alias("sha"), "text", "at", "h", "reach", "hot"), "needed")
-    rows, found = _contexts(needed, length, k, words), None
+    discard(per_text)
+    rows, found, parts = _contexts(needed, length, k, words), None, []
     for _, *later in _tails(steps(length, k, words)):
         met = rows.repartition("key").sortWithinPartitions("key", "right", "left")
         covered = store(_covered(met, length, k, words, hot, last=not later), "covered")
+        parts.append(covered)
         spans = covered.where("key is null").select("sha", "start", "end", "by_words")
         found = spans if found is None else found.unionByName(spans)
         crowded = covered.where("key is not null")
@@ -646,9 +649,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, id_col: st
         rows = _dealt(crowded, later[0], length, k, words)
     found = found.distinct()
     spans = found.groupBy("sha").agg(F.collect_list(F.struct("start", "end", "by_words")).alias("x")).select("sha", F.col("x.start").alias("starts"), F.col("x.end").alias("ends"), "x.by_words")
-    removed = store(_cut(needed.select("sha", "text").join(spans, "sha"), with_text), "removed").dropDuplicates(["sha"])
+    kept = store(_cut(needed.select("sha", "text").join(spans, "sha"), with_text), "removed")
+    discard(needed, *parts)
+    removed = kept.dropDuplicates(["sha"])
     nothing = hashlib.sha256(b"").hexdigest()
     info = store(removed.join(copied.select("sha", "copies"), "sha", "full"), "info")
+    discard(kept, texts)
     copy, long = F.col("copies") > 1, F.col("n_bytes") >= length
     out = scanned.select("id", "n_bytes", "enough", "sha").join(info, "sha", "left")
     return out.select(
