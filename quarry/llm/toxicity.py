@@ -41,7 +41,7 @@ KEPT_WORDS = 200_000
 #: As many labelled ids are broadcast at most (64 MB).
 MOST_BROADCAST = 2_000_000
 #: Bytes of text that are split into words together.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 
 _WORD = re.compile(r"\w+")
 
