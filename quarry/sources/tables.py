@@ -52,11 +52,19 @@ def _remove(spark: SparkSession, root: str) -> None:
 def keep(df: DataFrame, name: str, by: tuple[str, ...] = ()) -> DataFrame:
     """Write a derived table once and read it from there; `by` sorts it so that row groups can be skipped.
 
-    Ranges are cut by all columns of `by`, so a first column with few or very frequent values is no hot partition.
+    Ranges are cut by all columns of `by`, so a first column with few or very frequent values is no hot partition. The table is
+    written before it is sorted as well: choosing the ranges reads it once more, and would otherwise make it once more.
     """
-    path = f"{working_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex[:8]}"
-    (df.repartitionByRange(*by).sortWithinPartitions(*by) if by else df).write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{working_dir(spark)}/{name}-{uuid.uuid4().hex[:8]}"
+    if not by:
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+    unsorted = f"{path}-unsorted"
+    df.write.parquet(unsorted)
+    spark.read.schema(df.schema).parquet(unsorted).repartitionByRange(*by).sortWithinPartitions(*by).write.parquet(path)
+    _remove(spark, unsorted)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def fingerprint(spark: SparkSession, path: str) -> tuple[int, int, int]:
