@@ -5,6 +5,7 @@ from __future__ import annotations
 from .ann import op4_ann
 from .bpe import op10_bpe
 from .chat import op6_chat
+from .divergence import OP12_SQL, op12_divergence
 from .exact_dedup import OP2_SQL, op2_exact_dedup
 from .html_extract import op5_html
 from .minhash import OP1_SQL, op1_minhash
@@ -24,10 +25,12 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_packing": op9_packing,
     "op10_bpe": op10_bpe,
+    "op12_divergence": op12_divergence,
 }
 
 ORACLE_SQL = {
     "op1_minhash": OP1_SQL,
     "op2_exact_dedup": OP2_SQL,
     "op8_sharding": OP8_SQL,
+    "op12_divergence": OP12_SQL,
 }
