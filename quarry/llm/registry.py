@@ -13,6 +13,7 @@ from .packing import op9_packing
 from .sharding import OP8_SQL, op8_sharding
 from .suffix_dedup import op3_suffix_dedup
 from .toxicity import op7_toxicity
+from .vector_codes import OP13_SQL, op13_vector_codes
 
 QUERIES = {
     "op1_minhash": op1_minhash,
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_packing": op9_packing,
     "op10_bpe": op10_bpe,
     "op12_divergence": op12_divergence,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 ORACLE_SQL = {
@@ -33,4 +35,5 @@ ORACLE_SQL = {
     "op2_exact_dedup": OP2_SQL,
     "op8_sharding": OP8_SQL,
     "op12_divergence": OP12_SQL,
+    "op13_vector_codes": OP13_SQL,
 }
