@@ -10,6 +10,7 @@ from .exact_dedup import OP2_SQL, op2_exact_dedup
 from .html_extract import op5_html
 from .minhash import OP1_SQL, op1_minhash
 from .packing import op9_packing
+from .quality import op11_quality
 from .sharding import OP8_SQL, op8_sharding
 from .suffix_dedup import op3_suffix_dedup
 from .toxicity import op7_toxicity
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_packing": op9_packing,
     "op10_bpe": op10_bpe,
+    "op11_quality": op11_quality,
     "op12_divergence": op12_divergence,
     "op13_vector_codes": op13_vector_codes,
 }
