@@ -8,6 +8,8 @@ from quarry.functions.text import snippet, total_pages
 from quarry.functions.vectors import norm, unit
 from quarry.operators import retrieve as r
 from quarry.operators import suggest
+from quarry.operators.graph_index import open_graph
+from quarry.operators.graph_index import search as graph_search
 from quarry.operators.index import open_index
 from quarry.sources.tables import table
 
@@ -57,6 +59,24 @@ def image_search(spark, d):
     return _rounded(r.with_documents(found, _docs(spark, d)), "score").select("doc_id", "score", "title", "url", "snippet", "source_type")
 
 
+@query("graph_search", f"WITH {VECTOR.format(query=3)} SELECT row_number() OVER (ORDER BY vec.score DESC, doc_id)::INTEGER AS rank, doc_id, round(score, 6) AS score FROM vec ORDER BY vec.score DESC, doc_id LIMIT 20")
+def graph_search_one(spark, d):
+    asked = _query_vector(spark, d, 3).select(F.lit(0).alias("query_id"), "query_vector")
+    return _rounded(graph_search(open_graph(spark, d), asked, 20)[0], "score").select("rank", "doc_id", "score")
+
+
+@query(
+    "graph_search_many",
+    """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS v, sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS norm FROM embeddings),
+s AS (SELECT q.vec_id AS query_id, c.vec_id AS doc_id, list_inner_product(q.v, c.v) / (q.norm * c.norm) AS score FROM v q, v c WHERE q.vec_id % 20 = 0)
+SELECT query_id, rank, doc_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM s) WHERE rank <= 10""",
+)
+def graph_search_many(spark, d):
+    """Every twentieth vector against all, its own included."""
+    asked = table(spark, d, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    return _rounded(graph_search(open_graph(spark, d), asked, 10)[0], "score")
+
+
 @query("hybrid_search", f"WITH {fused(TERMS, 20)} SELECT doc_id, rank, round(score, 6) AS score, round(vector_score, 6) AS vector_score, round(bm25_score, 6) AS bm25_score FROM ranked")
 def hybrid_search(spark, d):
     found = r.ranked(r.hybrid_search(open_index(spark, d), _vectors(spark, d), QUERY, _query_vector(spark, d), 20))

@@ -5,7 +5,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from quarry.functions.vectors import encoder
-from quarry.operators import analytics, approximate, context, crawl, embed, index, maintain, retrieve, suggest
+from quarry.operators import analytics, context, crawl, embed, index, maintain, retrieve, suggest
 from quarry.sources import csv_documents, samples, tables
 
 
@@ -170,19 +170,6 @@ def test_a_model_that_fails(spark):
     assert {r.id: r.e for r in rows.select("id", encoder(lengths)("v").alias("e")).collect()} == {1: [1.0, 0.0], 2: None, 3: None, 4: [0.0, 0.0]}
 
 
-def test_approximate_search(spark, sf):
-    vectors = spark.read.parquet(f"{sf}/embeddings.parquet").selectExpr("vec_id AS doc_id", "embedding")
-    signed = approximate.sign(vectors, 64)
-    hits = 0
-    for q in (0, 5, 17, 33):
-        v = vectors.where(F.col("doc_id") == q).first().embedding
-        exact = retrieve.vector_search(vectors, vectors.where(F.col("doc_id") == q).select(F.col("embedding").alias("query_vector")), 10)
-        found = approximate.search(signed, v, 10)
-        hits += len({r.doc_id for r in exact.collect()} & {r.doc_id for r in found.collect()})
-    assert hits >= 0.9 * 40
-    assert "PushedFilters: [In(bucket" in approximate.search(signed, v, 10)._jdf.queryExecution().toString()
-
-
 def test_vectors_of_documents_and_images(spark):
     images = "images array<struct<url: string, base64_data: string, alt_text: string>>"
     data = lambda n: base64.b64encode(b"x" * n).decode()
