@@ -1,7 +1,7 @@
 """The inverted index as derived tables: postings, document lengths, term and document statistics.
 
 Statistics always agree with the postings. A document is one row, so its terms are counted and placed within that row; building
-takes one scan of the texts and one exchange, which sorts the postings by term and document.
+takes one scan of the texts and one exchange, which sorts the postings by term and document. `segments` keeps an index up to date.
 """
 
 from __future__ import annotations
@@ -105,13 +105,10 @@ class Index:
 _open: dict[tuple[str, str], tuple[tuple, Index]] = {}
 
 
-def settled(lengths: DataFrame, post: DataFrame, known: DataFrame | None = None) -> Index:
-    """The index over these lengths and postings, written. Of `known` terms that no document has any more, the row stays, with 0."""
+def settled(lengths: DataFrame, post: DataFrame) -> Index:
+    """The index over these lengths and postings, written."""
     lengths, post = keep(lengths, "lengths"), keep(post, "postings", by=("term", "doc_id"))
-    terms = term_stats(post)
-    if known is not None:
-        terms = refreshed_terms(known.select("term").union(terms.select("term")).distinct(), post)
-    return Index(lengths, post, keep(terms, "terms"), keep(doc_stats(lengths), "stats"))
+    return Index(lengths, post, keep(term_stats(post), "terms"), keep(doc_stats(lengths), "stats"))
 
 
 def build_index(docs: DataFrame, content: Column, tokeniser: str = "regex") -> Index:
@@ -120,20 +117,6 @@ def build_index(docs: DataFrame, content: Column, tokeniser: str = "regex") -> I
     return settled(doc_lengths(tokens), postings(tokens))
 
 
-def upsert_documents(index: Index, docs: DataFrame, content: Column, tokeniser: str = "regex", replaced: DataFrame | None = None) -> Index:
-    """The index after `docs` have been indexed: of their ids, and of those in `replaced` (doc_id), all old postings go.
-
-    Postings, lengths and statistics are those that building it anew would give; terms that are left without a document stay
-    known, with 0, until `without_orphans`.
-    """
-    tokens = tokenised(docs, content, tokeniser)
-    gone = tokens.select("doc_id")
-    if replaced is not None:
-        gone = gone.union(replaced.select("doc_id"))
-    post, lengths = delete_documents(index.postings, index.lengths, gone.distinct())
-    return settled(lengths.unionByName(doc_lengths(tokens)), post.unionByName(postings(tokens)), index.terms)
-
-
 def open_index(spark: SparkSession, sf_dir: str) -> Index:
     """The index of the `documents` table, built at its first use in a session and again when the table's files have changed."""
     key, now = (spark.sparkContext.applicationId, sf_dir), fingerprint(spark, f"{sf_dir}/documents.parquet")

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from quarry.functions.tokens import tokens
 from quarry.operators import index as ix
-from quarry.operators import maintain
-from quarry.operators.retrieve import keywords_tfidf
+from quarry.operators import maintain, segments
+from quarry.operators.retrieve import bm25_search, keywords_tfidf
+from quarry.operators.segments import open_segments
 from quarry.sources.csv_documents import coalesce_columns
-from quarry.sources.tables import table, table_counts
+from quarry.sources.tables import table, table_counts, working_dir
 
 from .registry import query
-from .sql import INDEX, TOK, TOKENS, index_of
+from .sql import INDEX, TOK, TOKENS, bm25, index_of
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -238,7 +241,7 @@ def _upserted(spark, d):
     docs = table(spark, d, "documents")
     changed = docs.where("doc_id % 5 = 0").select("doc_id", F.concat_ws(" ", F.lit("updated"), "lang", F.left("text", F.lit(300))).alias("text"))
     new = docs.where("doc_id % 7 = 0").select((F.col("doc_id") + 1000000).alias("doc_id"), F.concat("source", F.lit(" arrives anew")).alias("text"))
-    return ix.upsert_documents(ix.open_index(spark, d), changed.unionByName(new), F.col("text"), replaced=_gone(spark, d))
+    return open_segments(spark, d).upsert(changed.unionByName(new), F.col("text"), replaced=_gone(spark, d)).as_index()
 
 
 @query("upsert_term_stats", f"WITH {_LATER}, {index_of('merged')}, before AS (SELECT DISTINCT unnest({TOKENS}) AS term FROM documents) SELECT term, coalesce(doc_frequency, 0)::BIGINT AS doc_frequency, coalesce(total_frequency, 0)::BIGINT AS total_frequency FROM before FULL JOIN terms USING (term)")
@@ -251,3 +254,27 @@ def upsert_term_stats(spark, d):
 def upsert_postings(spark, d):
     i = _upserted(spark, d)
     return i.postings.select("term", "doc_id", "tf", "doc_length").crossJoin(F.broadcast(i.stats)).withColumn("avg_doc_length", F.round("avg_doc_length", 6))
+
+
+# segments: the documents in four batches, some of which come again with another text, and some of which go
+_STEPS = """steps AS (SELECT doc_id, text FROM documents WHERE doc_id % 11 <> 0 AND doc_id % 4 <> 3 UNION ALL SELECT doc_id, 'again ' || left(text, 200) FROM documents WHERE doc_id % 11 <> 0 AND doc_id % 4 = 3)"""
+
+
+def _in_steps(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    index = segments.SegmentedIndex(spark, f"{working_dir(spark)}/steps-{uuid.uuid4().hex[:8]}")
+    for k in range(4):
+        index = index.upsert(docs.where(F.col("doc_id") % 4 == k), F.col("text"))
+    again = docs.where("doc_id % 4 = 3").select("doc_id", F.concat(F.lit("again "), F.left("text", F.lit(200))).alias("text"))
+    return index.upsert(again, F.col("text")).delete(docs.where("doc_id % 11 = 0").select("doc_id"))
+
+
+@query("segments_term_stats", f"WITH {_STEPS}, {index_of('steps')} SELECT * FROM terms")
+def segments_term_stats(spark, d):
+    """After four upserts that are merged, one that changes documents and one that deletes some."""
+    return _in_steps(spark, d).terms().where("doc_frequency > 0")
+
+
+@query("segments_search", f"WITH {_STEPS}, {index_of('steps')}, {bm25(['the', 'worthless', 'again'])} SELECT doc_id, round(score, 6) AS score FROM bm25 ORDER BY bm25.score DESC, doc_id LIMIT 20")
+def segments_search(spark, d):
+    return bm25_search(_in_steps(spark, d).as_index(), "the worthless again", 20).select("doc_id", F.round("score", 6).alias("score"))

@@ -42,6 +42,7 @@ def working_dir(spark: SparkSession) -> str:
 
 
 def _remove(spark: SparkSession, root: str) -> None:
+    """Delete a folder."""
     try:
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
@@ -50,23 +51,34 @@ def _remove(spark: SparkSession, root: str) -> None:
 
 
 def keep(df: DataFrame, name: str, by: tuple[str, ...] = ()) -> DataFrame:
-    """Write a derived table once and read it from there; `by` sorts it so that row groups can be skipped.
+    """Write a derived table once and read it from there; `by` sorts it so that row groups can be skipped."""
+    return written(df, f"{working_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex[:8]}", by)
+
+
+def written(df: DataFrame, path: str, by: tuple[str, ...] = (), **options: str) -> DataFrame:
+    """Write a table to `path` and read it from there, sorted by the columns `by`.
 
     Ranges are cut by all columns of `by`, so a first column with few or very frequent values is no hot partition. The table is
     written before it is sorted as well: choosing the ranges reads it once more, and would otherwise make it once more.
     """
     spark = df.sparkSession
-    path = f"{working_dir(spark)}/{name}-{uuid.uuid4().hex[:8]}"
     if not by:
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
         return spark.read.schema(df.schema).parquet(path)
     unsorted = f"{path}-unsorted"
     df.write.parquet(unsorted)
-    spark.read.schema(df.schema).parquet(unsorted).repartitionByRange(*by).sortWithinPartitions(*by).write.parquet(path)
+    spark.read.schema(df.schema).parquet(unsorted).repartitionByRange(*by).sortWithinPartitions(*by).write.options(**options).parquet(path)
     _remove(spark, unsorted)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def names_in(spark: SparkSession, folder: str) -> list[str]:
+    """What a folder holds, sorted; nothing where there is no folder."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(f.getPath().getName() for f in files.listStatus(root)) if files.exists(root) else []
+
+
 def fingerprint(spark: SparkSession, path: str) -> tuple[int, int, int]:
     """How many files a table has, their bytes, and when the last was written: another one means another table."""
     root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

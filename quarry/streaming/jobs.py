@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.text import keyword
 from quarry.operators import index as ix
+from quarry.operators import segments
 from quarry.operators.analytics import latest, worker_states
 from quarry.sources.tables import working_dir
 
@@ -108,22 +109,19 @@ def upserted(stream: DataFrame, schema: str, order: list[str], folder: str | Non
 def indexed(stream: DataFrame, content: Column, order: list[str], tokeniser: str = "regex", folder: str | None = None) -> ix.Index:
     """The index of the documents that a stream brings (doc_id and what `content` needs): the last row of an id counts.
 
-    A batch adds the postings and lengths of its own documents; of a document that came again, those of its last batch count.
+    Each batch is an upsert of a segmented index in the job's folder, so it costs what it holds; a batch that is run again after a failure
+    finds itself in the saved index, or is done anew.
     """
     spark = stream.sparkSession
     folder = job_folder(spark, folder)
-    lengths = BatchLog(spark, f"{folder}/lengths", "doc_id long, doc_length long")
-    post = BatchLog(spark, f"{folder}/postings", "term string, doc_id long, tf long, doc_length long, positions array<int>")
 
     def update(batch: DataFrame, number: int) -> None:
-        tokens = ix.tokenised(latest(batch, ["doc_id"], [F.desc(c) for c in order]), content, tokeniser)
-        lengths.write(ix.doc_lengths(tokens), number)
-        post.write(ix.postings(tokens), number)
+        index = segments.load(spark, f"{folder}/index")
+        if index.batch < number and not batch.isEmpty():
+            index.upsert(latest(batch, ["doc_id"], [F.desc(c) for c in order]), content, tokeniser).save(number)
 
     run_to_end(stream, update, folder)
-    now = latest(lengths.read(), ["doc_id"], [F.desc("batch")])
-    current = post.read().join(now.select("doc_id", "batch"), ["doc_id", "batch"], "left_semi").select("term", "doc_id", "tf", "doc_length", "positions")
-    return ix.settled(now.drop("batch"), current, post.read().select("term").distinct())
+    return segments.load(spark, f"{folder}/index").as_index()
 
 
 def recent(stream: DataFrame, schema: str, order: list[str], n: int = 100, folder: str | None = None) -> DataFrame:

@@ -34,18 +34,6 @@ def test_deleted_terms(spark):
     assert [r.term for r in index.without_orphans(terms, left).collect()] == ["bolt"]
 
 
-def test_upsert_equals_rebuild(spark):
-    first = docs(spark, [(1, "red bolt red"), (2, "green nut"), (3, "blue bolt"), (4, None)])
-    later = docs(spark, [(2, "red nut nut"), (4, "grey"), (9, "bolt ring")])
-    i = index.upsert_documents(index.build_index(first, F.col("text")), later, F.col("text"), replaced=spark.createDataFrame([(3,)], "doc_id long"))
-    anew = index.build_index(docs(spark, [(1, "red bolt red"), (2, "red nut nut"), (4, "grey"), (9, "bolt ring")]), F.col("text"))
-    plain = lambda df: sorted((tuple(r) for r in df.collect()), key=str)
-    assert plain(i.postings) == plain(anew.postings) and plain(i.lengths) == plain(anew.lengths) and plain(i.stats) == plain(anew.stats)
-    assert plain(index.without_orphans(i.terms, i.postings)) == plain(anew.terms)
-    assert {r.term for r in i.terms.where("doc_frequency = 0").collect()} == {"green", "blue"}
-    assert plain(retrieve.bm25_search(i, "bolt nut")) == plain(retrieve.bm25_search(anew, "bolt nut"))
-
-
 def test_index_follows_the_table(spark, tmp_path):
     path = str(tmp_path)
     docs(spark, [(1, "red bolt")]).write.parquet(f"{path}/documents.parquet")
