@@ -8,6 +8,8 @@ from quarry.functions.text import snippet, total_pages
 from quarry.functions.vectors import norm, unit
 from quarry.operators import retrieve as r
 from quarry.operators import suggest
+from quarry.operators.block_max import open_blocks
+from quarry.operators.block_max import search as block_max_search
 from quarry.operators.graph_index import open_graph
 from quarry.operators.graph_index import search as graph_search
 from quarry.operators.index import open_index
@@ -45,6 +47,11 @@ def bm25_search(spark, d):
     return _rounded(r.bm25_search(open_index(spark, d), QUERY, 20), "score")
 
 
+@query("block_max_search", f"WITH {INDEX}, {bm25(['worthless', 'idiot', 'the', 'of'])} SELECT doc_id, round(score, 6) AS score FROM bm25 ORDER BY bm25.score DESC, doc_id LIMIT 10")
+def block_max(spark, d):
+    return _rounded(block_max_search(open_blocks(spark, d), "worthless idiot the of", 10)[0], "score")
+
+
 @query("vector_search", f"WITH {VECTOR.format(query=0)} SELECT doc_id, round(score, 6) AS score FROM vec ORDER BY vec.score DESC, doc_id LIMIT 20")
 def vector_search(spark, d):
     return _rounded(r.vector_search(_vectors(spark, d), _query_vector(spark, d), 20), "score")
