@@ -30,6 +30,11 @@ def fuzzy(keywords: DataFrame, typed: str, limit: int = LIMIT, most_edits: int =
     """
     typed = typed.strip().lower()
     nearest = _words(keywords).select("keyword", "count", F.levenshtein("word", F.lit(typed), most_edits).alias("d")).where("d >= 0")
+    return in_stages(nearest, limit, most_edits)
+
+
+def in_stages(nearest: DataFrame, limit: int, most_edits: int) -> DataFrame:
+    """The stages of `fuzzy` over (keyword, count, d), which has a row for each near word of a keyword."""
     nearest = nearest.groupBy("keyword", "count").agg(F.greatest(F.min("d"), F.lit(1)).alias("least"))
     # within d edits, the most frequent: bounded by the limit, so the rest runs on a few rows
     tried = nearest.withColumn("distance", F.explode(F.sequence("least", F.lit(most_edits))))
@@ -52,13 +57,18 @@ def suggestions(keywords: DataFrame, typed: str, limit: int = LIMIT, most_edits:
     the distance from there even if it begins so, as established rankings have it; otherwise the prefix stage comes first."""
     if not typed.strip():
         return keywords.select("keyword", "count", F.lit(0).cast("long").alias("distance")).limit(0)
-    stages = [fuzzy(keywords, typed, limit, most_edits), prefixed(keywords, typed, limit)]
+    return merged(fuzzy(keywords, typed, limit, most_edits), prefixed(keywords, typed, limit), limit, compat)
+
+
+def merged(near: DataFrame, begun: DataFrame, limit: int, compat: bool) -> DataFrame:
+    """The merge of the two stages."""
+    stages = [near, begun]
     if not compat:
         stages.reverse()
     staged = reduce(DataFrame.unionByName, [s.withColumn("stage", F.lit(k)) for k, s in enumerate(stages)])
     first = F.row_number().over(Window.partitionBy("keyword").orderBy("stage"))
-    merged = staged.withColumn("first", first).where("first = 1")
-    return merged.orderBy("distance", F.desc("count"), "keyword").limit(limit).select("keyword", "count", "distance")
+    found = staged.withColumn("first", first).where("first = 1")
+    return found.orderBy("distance", F.desc("count"), "keyword").limit(limit).select("keyword", "count", "distance")
 
 
 def fallback(raw_counts: DataFrame, typed: str, limit: int = LIMIT, among: int = 1000) -> DataFrame:

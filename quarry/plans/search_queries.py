@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from quarry.functions.text import snippet, total_pages
 from quarry.functions.vectors import norm, unit
+from quarry.operators import dictionary, suggest
 from quarry.operators import retrieve as r
-from quarry.operators import suggest
 from quarry.operators.block_max import open_blocks
 from quarry.operators.block_max import search as block_max_search
 from quarry.operators.graph_index import open_graph
@@ -225,6 +225,25 @@ def suggest_merged(spark, d):
     return suggest.suggestions(_keywords(spark, d), "ring")
 
 
+def _dictionary(spark, d):
+    return dictionary.build(_keywords(spark, d))
+
+
+@query("dictionary_fuzzy", f"WITH {_fuzzy('stel')} SELECT * FROM fuzzy")
+def dictionary_fuzzy(spark, d):
+    return dictionary.fuzzy(_dictionary(spark, d), "Stel ")
+
+
+@query("dictionary_prefix", f"WITH {_WORDS}, {_prefix('pl')} SELECT * FROM prefixed")
+def dictionary_prefix(spark, d):
+    return dictionary.prefixed(_dictionary(spark, d), "pl")
+
+
+@query("dictionary_merged", f"WITH {_fuzzy('copper')}, {_prefix('copper')}, staged AS (SELECT *, 0 AS stage FROM fuzzy UNION ALL SELECT *, 1 FROM prefixed), m AS (SELECT * FROM staged QUALIFY row_number() OVER (PARTITION BY keyword ORDER BY stage) = 1) SELECT keyword, count, distance FROM m ORDER BY distance, count DESC, keyword LIMIT 5")
+def dictionary_merged(spark, d):
+    return dictionary.suggestions(_dictionary(spark, d), "copper")
+
+
 @query("suggest_fallback", "WITH raw AS (SELECT p_name AS query, count(*) AS count FROM part GROUP BY 1), best AS (SELECT * FROM raw ORDER BY count DESC, query DESC LIMIT 1000) SELECT * FROM best WHERE starts_with(lower(query), 'ho') ORDER BY count DESC, query DESC LIMIT 5")
 def suggest_fallback(spark, d):
     raw = table(spark, d, "part").groupBy(F.col("p_name").alias("query")).agg(F.count("*").alias("count"))
