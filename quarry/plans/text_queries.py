@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarry.functions import text as x
+from quarry.functions.lattice import SCALE, lattice_tokeniser
 from quarry.sources.tables import table
 
 from .registry import query
@@ -69,3 +70,37 @@ def data_uri_payload(spark, d):
     raw = F.regexp_replace(F.base64(F.col("text").cast("binary")), r"[\r\n]", "")
     v = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("data:image/png;base64,"), raw)).otherwise(raw)
     return table(spark, d, "documents").select("doc_id", _md5(x.data_uri_payload(v)).alias("payload_md5"))
+
+
+# The Han characters that stand for a to z where documents are to be text without spaces.
+_HAN = "天地玄黄宇宙洪荒日月盈昃辰宿列张寒来暑往秋收冬藏闰余"
+_AZ = "abcdefghijklmnopqrstuvwxyz"
+# letters become characters, and four words are run together
+_FOUR = "([^ ]+) ([^ ]+) ([^ ]+) ([^ ]+) "
+_LONGEST, _KNOWN = 8, 5000
+
+
+@query(
+    "lattice_tokens",
+    f"""WITH RECURSIVE w AS (SELECT unnest(regexp_extract_all(translate(lower(text), '{_AZ}', '{_HAN}'), '[{_HAN}]+')) AS word FROM documents),
+f AS (SELECT word, count(*) AS n FROM w WHERE length(word) BETWEEN 2 AND {_LONGEST} GROUP BY word ORDER BY n DESC, word LIMIT {_KNOWN}),
+total AS MATERIALIZED (SELECT sum(n) AS total FROM f), cost AS MATERIALIZED (SELECT word, floor({SCALE} * (ln(total) - ln(n)) + 0.5)::BIGINT AS c FROM f, total),
+docs AS MATERIALIZED (SELECT doc_id, regexp_extract_all(translate(regexp_replace(lower(text), '{_FOUR}', '\\1\\2\\3\\4 ', 'g'), '{_AZ}', '{_HAN}'), '[一-鿕]+|[a-zA-Z0-9]+(?:\\.[0-9]+)?%?') AS runs FROM documents),
+pieces AS MATERIALIZED (SELECT doc_id, unnest(runs) AS run, unnest(range(len(runs))) AS place FROM docs),
+han AS MATERIALIZED (SELECT DISTINCT run FROM pieces WHERE run >= '一'),
+s(run, i, best, path) AS (SELECT run, 0, [0::BIGINT], [[]::VARCHAR[]] FROM han
+ UNION ALL SELECT s.run, any_value(s.i) + 1, list_append(any_value(s.best)[-{_LONGEST - 1}:], min(s.best[len(s.best) + 1 - k] + coalesce(c, floor({SCALE} * ln(total) + 0.5)::BIGINT))),
+   list_append(any_value(s.path)[-{_LONGEST - 1}:], arg_min(list_append(s.path[len(s.path) + 1 - k], s.run[s.i + 2 - k:s.i + 1]), 16 * (s.best[len(s.best) + 1 - k] + coalesce(c, floor({SCALE} * ln(total) + 0.5)::BIGINT)) - k))
+ FROM s JOIN range(1, {_LONGEST + 1}) t(k) ON k <= len(s.best) LEFT JOIN cost ON cost.word = s.run[s.i + 2 - k:s.i + 1] CROSS JOIN total WHERE s.i < length(s.run) AND (k = 1 OR c IS NOT NULL) GROUP BY s.run),
+cut AS (SELECT run, path[-1] AS words FROM s WHERE i = length(run)),
+t AS (SELECT doc_id, place, list_filter(coalesce(words, [pieces.run]), lambda x: length(x) >= 2) AS tokens FROM pieces LEFT JOIN cut USING (run))
+SELECT doc_id, coalesce(sum(len(tokens)), 0)::BIGINT AS n, md5(coalesce(string_agg(nullif(array_to_string(tokens, ' '), ''), ' ' ORDER BY place), '')) AS joined_md5 FROM documents LEFT JOIN t USING (doc_id) GROUP BY doc_id""",
+)
+def lattice_tokens(spark, d):
+    """Documents whose words have been run together as Han text, cut again by the most frequent of their words."""
+    docs = table(spark, d, "documents")
+    words = docs.select(F.explode(F.regexp_extract_all(F.expr(f"translate(lower(text), '{_AZ}', '{_HAN}')"), F.lit(f"[{_HAN}]+"), F.lit(0))).alias("word"))
+    frequent = words.where(F.length("word").between(2, _LONGEST)).groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(_KNOWN)
+    cut = lattice_tokeniser({r.word: r.n for r in frequent.collect()}, hidden=False)
+    tokens = docs.select("doc_id", cut(F.translate(F.regexp_replace(F.lower("text"), _FOUR, "$1$2$3$4 "), _AZ, _HAN)).alias("tokens"))
+    return tokens.select("doc_id", F.size("tokens").cast("long").alias("n"), _md5(F.array_join("tokens", " ")).alias("joined_md5"))
