@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from quarry.functions.html import own_text, read_page
 from quarry.functions.text import clean
 from quarry.functions.urls import is_image, is_valid, normalise
+from quarry.operators.visited import Bloom, unvisited
 from quarry.sources.tables import keep
 
 # Lengths of pages and contents, images of a page, pages between rests.
@@ -55,6 +56,12 @@ def frontier(candidates: DataFrame, visited: DataFrame) -> DataFrame:
     return fresh.groupBy("url").agg(F.min("depth").alias("depth")).join(visited.select("url").distinct(), "url", "left_anti")
 
 
+def bloom_frontier(candidates: DataFrame, visited: DataFrame, bloom: Bloom) -> DataFrame:
+    """The same, by a filter that knows the visited pages: only candidates that it may know are looked up among them."""
+    fresh = candidates.where(is_valid(F.col("url"))).select(normalise(F.col("url")).alias("url"), "depth")
+    return unvisited(fresh.groupBy("url").agg(F.min("depth").alias("depth")), visited, bloom)
+
+
 def seeded(queue: DataFrame, seeds: DataFrame) -> DataFrame:
     """The queue, or the seeds at depth 0 if it is empty."""
     waiting = F.broadcast(queue.agg(F.count("*").alias("_waiting")))
@@ -74,9 +81,11 @@ def breadth_first(edges: DataFrame, seeds: DataFrame, max_depth: int) -> DataFra
     return visited
 
 
-def popped(queue: DataFrame) -> DataFrame:
-    """The queue in the order of work: urgent rows first, then by level, then as they came."""
-    return queue.orderBy("priority", "depth", "seq")
+def popped(queue: DataFrame, n: int | None = None) -> DataFrame:
+    """The queue in the order of work: urgent rows first, then by level, then as they came. With `n` only the next so many, for which no row is sorted
+    but those of each task's best."""
+    inorder = queue.orderBy("priority", "depth", "seq")
+    return inorder.limit(n) if n is not None else inorder
 
 
 def batches(queue: DataFrame, parts: int | None = None, burst: int = BURST) -> DataFrame:

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from quarry.functions.text import clean
 from quarry.functions.urls import EXCLUDED, is_valid, normalise
-from quarry.operators import crawl
-from quarry.sources.tables import table
+from quarry.operators import crawl, visited
+from quarry.sources.tables import keep, table
 
 from .registry import query
 
@@ -71,6 +71,16 @@ def crawl_frontier(spark, d):
     return crawl.frontier(candidates, _pages(spark, d).select(normalise(F.col("url")).alias("url")))
 
 
+@query("bloom_frontier", f"WITH {_LINKS}, c AS (SELECT {_norm('target')} AS url, min(page_id % 3)::BIGINT AS depth FROM links WHERE {_valid('target')} GROUP BY 1) SELECT * FROM c WHERE url NOT IN (SELECT {_norm('url')} FROM pages)")
+def bloom_frontier(spark, d):
+    """The frontier by a filter that two halves of the visited pages have filled."""
+    pages = _pages(spark, d).select("page_id", normalise(F.col("url")).alias("url"))
+    candidates = crawl.links(_pages(spark, d)).select(F.col("target").alias("url"), (F.col("page_id") % 3).alias("depth"))
+    blocks = visited.blocks_for(pages.count())
+    known = visited.merged([visited.filled(pages.where(F.col("page_id") % 2 == k), blocks) for k in (0, 1)])
+    return crawl.bloom_frontier(candidates, pages, known)
+
+
 _SEEDS = f"SELECT min({_norm('url')}) AS url FROM pages GROUP BY {_part('url', 2)}"
 
 
@@ -82,6 +92,7 @@ SELECT url, min(depth) AS depth FROM walk GROUP BY url""",
 )
 def crawl_bfs(spark, d):
     edges = crawl.crawlable(crawl.links(_pages(spark, d))).select(normalise(F.col("url")).alias("src"), F.col("target").alias("dst")).distinct()
+    edges = keep(edges, "edges")  # every level meets them
     seeds = _pages(spark, d).groupBy(F.regexp_extract("url", _URL, 2).alias("host")).agg(F.min(normalise(F.col("url"))).alias("url"))
     return crawl.breadth_first(edges, seeds, 3).select("url", F.col("depth").cast("long").alias("depth"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.urls import normalise
 from quarry.sources.tables import table
-from quarry.streaming import jobs
+from quarry.streaming import jobs, keyed
 
 from .analytics_queries import _STATES, _TS, _stamp
 from .crawl_queries import _norm
@@ -44,6 +44,21 @@ def stream_worker_alive(spark, d):
     return _stamp(jobs.last_status(reports, F.lit(end)), "ts")
 
 
+@query("stream_worker_expiry", f"WITH {_STATES} SELECT worker_id, id, {_TS}, status FROM states WHERE ts > (SELECT max(ts) FROM events) - INTERVAL 60 SECOND")
+def stream_worker_expiry(spark, d):
+    """The same by state that expires under timers."""
+    e = _stream(spark, d, "events")
+    reports = e.select((F.col("user_id") % 10).alias("worker_id"), F.col("event_id").alias("id"), "ts", F.when(F.col("event_type") == "click", "processing").otherwise(F.col("event_type")).alias("status"))
+    return _stamp(keyed.alive_workers(reports), "ts")
+
+
+@query("stream_events_once", "SELECT event_type, count(*) AS events, sum(event_id)::BIGINT AS ids FROM events GROUP BY event_type")
+def stream_events_once(spark, d):
+    """Events that are delivered twice, counted once."""
+    e = _stream(spark, d, "events").select("event_id", "event_type", "ts", F.explode(F.array(F.lit(1), F.lit(2))).alias("delivery")).drop("delivery")
+    return keyed.without_repeats(e, ["event_id"], "ts", "1 hour", "event_id long, event_type string, ts timestamp").groupBy("event_type").agg(F.count("*").alias("events"), F.sum("event_id").alias("ids"))
+
+
 @query("stream_document_upsert", "WITH p AS (SELECT page_id, regexp_extract(url, '://([^/?#]*)', 1) AS url, length(html)::BIGINT AS size FROM pages) SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY url ORDER BY page_id DESC) = 1")
 def stream_document_upsert(spark, d):
     """URLs are cut to the host, so that documents come again."""

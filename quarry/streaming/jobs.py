@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.text import keyword
 from quarry.operators import index as ix
-from quarry.operators import segments
+from quarry.operators import segments, visited
 from quarry.operators.analytics import latest, worker_states
 from quarry.sources.tables import working_dir
 
@@ -72,11 +72,30 @@ def keyword_counts(stream: DataFrame, query: str, folder: str | None = None) ->
     return log.read().groupBy("keyword").agg(F.sum("count").alias("count"))
 
 
-def first_seen(stream: DataFrame, key: Column, name: str, folder: str | None = None) -> DataFrame:
-    """Distinct keys of a stream: deduplication keeps its state in the stream's checkpoint."""
-    folder = job_folder(stream.sparkSession, folder)
-    log = BatchLog(stream.sparkSession, f"{folder}/seen", f"{name} string")
-    run_to_end(stream.select(key.cast("string").alias(name)).dropDuplicates([name]), log.write, folder)
+def first_seen(stream: DataFrame, key: Column, name: str, folder: str | None = None, expected: int = 10_000_000) -> DataFrame:
+    """Distinct keys of a stream (null is one of them).
+
+    The stream itself has no state. What has been seen is known by a Bloom filter for `expected` keys, of which each batch writes its own part, and by
+    the table of keys itself, which only the doubtful ones are looked up in; beyond that number more keys are doubtful, and the result is the same.
+    """
+    spark = stream.sparkSession
+    folder = job_folder(spark, folder)
+    log = BatchLog(spark, f"{folder}/seen", f"{name} string")
+    marks = BatchLog(spark, f"{folder}/filter", "block long, " + ", ".join(f"{w} long" for w in visited.WORDS))
+    blocks = visited.blocks_for(expected)
+
+    def update(batch: DataFrame, number: int) -> None:
+        # of a batch that is run again, what it wrote before does not count
+        seen = log.read().where(F.col("batch") < number).select(name)
+        known = visited.Bloom(blocks, marks.read().where(F.col("batch") < number).drop("batch"))
+        rows = batch.select(key.cast("string").alias(name)).distinct()
+        new = visited.unvisited(rows.where(F.col(name).isNotNull()), seen, known, name)
+        if not rows.where(F.col(name).isNull()).isEmpty() and seen.where(F.col(name).isNull()).isEmpty():
+            new = new.unionByName(rows.where(F.col(name).isNull()))
+        log.write(new, number)
+        marks.write(visited.filled(spark.read.schema(f"{name} string").parquet(f"{log.root}/batch={number}"), blocks, name).rows, number)
+
+    run_to_end(stream, update, folder)
     return log.read().select(name)
 
 
