@@ -2,10 +2,10 @@
 
 Distinct vectors are dealt into shards by their length (to a factor of two) and then at random, so a shard's vectors are of
 like magnitude, whatever outliers the table holds. A shard's graph is built in batches of points: a
-greedy search from the entry point proposes neighbours, and relaxed distance pruning keeps an edge only
+greedy search from entry points that lie far apart proposes neighbours, and relaxed distance pruning keeps an edge only
 if no kept neighbour is much nearer to its end than the point itself; edges are also added backwards and
-pruned again where they are too many. A query walks the graph of each shard with a beam; what the
-beams hold is scored in double precision on the original vectors and merged.
+pruned again where they are too many. What could not be reached from an entry in the end is linked from its nearest node that can. A query
+walks the graph of each shard with a beam, which is widened until what it finds settles; what the beams hold is scored in double precision on the original vectors and merged.
 
 Largest inner product becomes least distance by one more coordinate that gives all vectors of a shard
 the same length, so vectors need not be normalised. Graphs are searched in single precision, after each shard and each query has
@@ -19,63 +19,38 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.functions.beams import mend, walk
+from quarry.operators.graph_index import entries_of, settled, starts
+
 from .common import store, table
 
-#: Vectors in a shard, at least, and for each square root of the number of vectors (so that shards do not grow in number as the vectors do); edges from a point; width of the beams; how far pruning is relaxed; points added at a time.
-SHARD, SHARD_GROWTH, DEGREE, BUILD_BEAM, BEAM, RELAX, BATCH = 6000, 12, 28, 64, 112, 1.2, 256
-#: Nodes of each beam that are opened in one step, and queries in a block.
-OPENED, QUERY_BLOCK = 4, 2048
+#: Vectors in a shard, at least, and for each square root of the number of vectors (so that shards do not grow in number as the vectors do); edges from a point; width of the beams while building; how far pruning is relaxed; points added or searched at a time.
+SHARD, SHARD_GROWTH, DEGREE, BUILD_BEAM, RELAX, BATCH = 6000, 12, 28, 64, 1.2, 256
+#: Queries in a block, at least; a block has as many queries as a shard has vectors, so that graphs are moved no more than queries are.
+QUERY_BLOCK = 2048
+#: As many times as many nodes as are asked for are scored in double precision.
+WIDER = 2
 
 
 class Graph:
-    """A directed graph over the rows of `x`, searched with beams for many queries at once."""
+    """A directed graph over the rows of `x`, searched with beams for many queries at once.
+
+    Beams begin at the nearest of some nodes that lie far apart, and every node can be reached from these.
+    """
 
-    def __init__(self, x: np.ndarray, edges: np.ndarray | None = None, entry: int | None = None):
+    def __init__(self, x: np.ndarray, edges: np.ndarray | None = None, entries: np.ndarray | None = None):
         self.x = np.ascontiguousarray(x, np.float32)
         self.norm = (self.x * self.x).sum(1)
         self.edges = np.full((len(x), DEGREE), -1, np.int32) if edges is None else edges
-        self.entry = int(np.argmin(((self.x - self.x.mean(0)) ** 2).sum(1))) if entry is None else entry
-
-    def search(self, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and squared distances (less the query's own square) of the beams, nearest first; -1 where a beam is not full."""
-        n = len(queries)
-        rows = np.arange(n)[:, None]
-        met = np.zeros((n, len(self.x) + 1), bool)  # the last column is for no node
-        ids = np.full((n, beam), -1, np.int32)
-        far = np.full((n, beam), np.inf, np.float32)
-        done = np.ones((n, beam), bool)
-        ids[:, 0] = self.entry
-        far[:, 0] = self.norm[self.entry] - 2 * queries @ self.x[self.entry]
-        done[:, 0] = False
-        met[:, self.entry] = True
-        while True:
-            # beams are sorted: the first that are not done are the nearest
-            order = np.argsort(done, axis=1, kind="stable")[:, :OPENED]
-            live = ~done[rows, order]
-            going = np.flatnonzero(live.any(1))
-            if not len(going):
-                return ids, far
-            order, live, at = order[going], live[going], going[:, None]
-            opened = np.where(live, ids[at, order], -1)
-            done[at, order] = True
-            new = np.where((opened >= 0)[:, :, None], self.edges[opened], -1).reshape(len(going), -1)
-            new[met[at, new]] = -1
-            srt = np.sort(new, axis=1)  # one node can be the neighbour of two that are opened
-            srt[:, 1:][srt[:, 1:] == srt[:, :-1]] = -1
-            keep = srt.max(0) >= 0
-            new = srt[:, keep]
-            if not new.shape[1]:
-                continue
-            met[at, new] = True
-            met[:, -1] = False
-            d = self.norm[new] - 2 * np.matmul(self.x[new], queries[going][:, :, None])[:, :, 0]
-            d[new < 0] = np.inf
-            all_ids = np.concatenate([ids[going], new], 1)
-            all_far = np.concatenate([far[going], d], 1)
-            all_done = np.concatenate([done[going], new < 0], 1)
-            best = np.argsort(all_far, axis=1, kind="stable")[:, :beam]
-            here = np.arange(len(going))[:, None]
-            ids[going], far[going], done[going] = all_ids[here, best], all_far[here, best], all_done[here, best]
+        self.entries = entries_of(self.x) if entries is None else entries
+
+    def search(self, queries: np.ndarray, beam: int) -> np.ndarray:
+        """Ids of the beams, nearest first; -1 where a beam is not full."""
+        return walk(self.x, self.edges, queries, starts(self.x, self.entries, [], queries), beam)[0]
+
+    def nearest(self, queries: np.ndarray, k: int) -> list[np.ndarray]:
+        """The `k` nearest found for each query, by beams that are widened until they stay the same."""
+        return [found for found, _ in settled(self.x, [self.edges], self.entries, queries, k)]
 
     def prune(self, points: np.ndarray, candidates: np.ndarray) -> np.ndarray:
         """At most DEGREE diverse neighbours of each point from its candidates (-1: none)."""
@@ -101,15 +76,18 @@ class Graph:
 
     def build(self, seed: int = 3) -> Graph:
         order = np.random.default_rng(seed).permutation(len(self.x))
-        order = np.r_[self.entry, order[order != self.entry]]
-        at, step = 1, 1
+        order = np.r_[self.entries, order[~np.isin(order, self.entries)]]
+        for at in range(0, len(self.entries), 32):
+            some = self.entries[at : at + 32]
+            self.edges[some] = self.prune(some, np.tile(self.entries, (len(some), 1)))
+        at, step = len(self.entries), 1
         while at < len(order):
             points = order[at : at + step]
-            found, _ = self.search(self.x[points], BUILD_BEAM)
-            self.edges[points] = self.prune(points, np.concatenate([found, self.edges[points]], 1))
+            self.edges[points] = self.prune(points, np.concatenate([self.search(self.x[points], BUILD_BEAM), self.edges[points]], 1))
             self._backwards(points)
             at += step
             step = min(BATCH, 2 * step)
+        self.edges = mend(self.x, self.edges, np.arange(len(self.x)), self.entries)
         return self
 
     def _backwards(self, points: np.ndarray) -> None:
@@ -182,11 +160,11 @@ def nearest(vectors: DataFrame, query_every: int = 20, k: int = 20, id_col: str
         x = np.stack(pdf["v"].to_list())
         g = Graph(lifted(x)).build()
         counts = pdf["ids"].map(len).to_numpy()
-        return pd.DataFrame([{"shard": key[0], "entry": g.entry, "edges": g.edges.tobytes(), "x": x.tobytes(), "ids": np.concatenate(pdf["ids"].to_list()).astype(np.int64).tobytes(), "counts": counts.astype(np.int64).tobytes()}])
+        return pd.DataFrame([{"shard": key[0], "entries": g.entries.astype(np.int32).tobytes(), "edges": g.edges.tobytes(), "x": x.tobytes(), "ids": np.concatenate(pdf["ids"].to_list()).astype(np.int64).tobytes(), "counts": counts.astype(np.int64).tobytes()}])
 
-    graphs = store(dealt.groupBy("shard").applyInPandas(build, "shard int, entry int, edges binary, x binary, ids binary, counts binary"), "graphs")
+    graphs = store(dealt.groupBy("shard").applyInPandas(build, "shard int, entries binary, edges binary, x binary, ids binary, counts binary"), "graphs")
     queries = store(rows.where(F.pmod("id", F.lit(query_every)) == 0), "queries")
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    blocks = max(1, -(-queries.count() // max(size, QUERY_BLOCK)))
     blocked = queries.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
 
     def ask(key: tuple, graph: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
@@ -196,13 +174,12 @@ def nearest(vectors: DataFrame, query_every: int = 20, k: int = 20, id_col: str
             x = np.frombuffer(g["x"]).reshape(-1, sizes["d"])
             ids, counts = np.frombuffer(g["ids"], np.int64), np.frombuffer(g["counts"], np.int64)
             starts = np.cumsum(counts) - counts
-            index = Graph(lifted(x), np.frombuffer(g["edges"], np.int32).reshape(-1, DEGREE), int(g["entry"]))
+            index = Graph(lifted(x), np.frombuffer(g["edges"], np.int32).reshape(len(x), -1), np.frombuffer(g["entries"], np.int32))
             for i in range(0, len(asked), BATCH):
                 q = np.stack(asked["v"].iloc[i : i + BATCH].to_list())
                 scaled = np.c_[q / np.abs(q).max(1, keepdims=True), np.zeros(len(q))]
-                found, _ = index.search(scaled.astype(np.float32), max(BEAM, 2 * k))
+                found = index.nearest(scaled.astype(np.float32), WIDER * k)
                 for own, f, vector in zip(asked["id"].iloc[i : i + BATCH], found, q, strict=True):
-                    f = f[f >= 0]
                     score = (x[f] * vector).sum(1)
                     mine = np.concatenate([ids[starts[j] : starts[j] + counts[j]] for j in f])
                     score = np.repeat(score, counts[f])

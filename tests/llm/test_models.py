@@ -14,8 +14,9 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from quarry.functions.beams import reached
 from quarry.llm import bpe, chat, html_extract, packing, toxicity
-from quarry.llm.ann import BEAM, Graph, lifted, nearest
+from quarry.llm.ann import Graph, lifted, nearest
 from quarry.llm.html_pages import labelled_page
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -76,13 +77,28 @@ def test_nearest_beside_outliers(spark):
     assert all(s == pytest.approx(float(np.dot(by[q], by[i])), rel=1e-9) for q in got for _, i, s in got[q])
 
 
-def test_graph_recall():
+def clusters(r, many, each, noise, size=64):
+    centers = r.normal(size=(many, size))
+    centers /= np.linalg.norm(centers, axis=1, keepdims=True)
+    return np.concatenate([c + noise * r.normal(size=(each, size)) for c in centers])
+
+
+@pytest.mark.parametrize(
+    ("many", "each", "noise", "size"), [(0, 1500, 1, 32), (0, 1500, 1, 384), (20, 300, 0.001, 64), (6, 1000, 0.01, 64), (6, 1000, 0.001, 64), (200, 15, 0.001, 64)]
+)
+def test_graph_recall(many, each, noise, size):
+    """Also where vectors come in clusters; a neighbour that is as near as the last is as good."""
     r = np.random.default_rng(1)
-    x = r.normal(size=(1500, 32))
-    q = r.normal(size=(100, 32))
-    found, _ = Graph(lifted(x)).build().search(np.c_[q, np.zeros(100)].astype(np.float32), BEAM)
-    best = np.argsort(-(q @ x.T), axis=1)[:, :20]
-    assert np.mean([len(set(a[:20]) & set(b)) / 20 for a, b in zip(found, best, strict=True)]) > 0.9
+    x = clusters(r, many, each, noise, size) if many else r.normal(size=(each, size))
+    if many:
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+    g = Graph(lifted(x)).build()
+    assert reached(g.edges, g.entries).all()
+    q = x[r.choice(len(x), 60, replace=False)]
+    found = g.nearest((np.c_[q, np.zeros(len(q))] / np.abs(q).max(1, keepdims=True)).astype(np.float32), 40)
+    scores = q @ x.T
+    hits = sum((np.sort(s[f])[::-1][:20] >= np.sort(s)[-20]).sum() for s, f in zip(scores, found, strict=True))
+    assert hits >= 0.95 * 20 * len(q)
 
 
 def test_field_on_held_out_pages():
