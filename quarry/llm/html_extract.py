@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -29,6 +30,8 @@ SLICE_BYTES = 8_000_000
 _OPEN = re.compile(r"<(?:!--|[!?]|(/?)([a-zA-Z][^\s/>]*))")
 #: The end of a tag, or a quoted value in it.
 _STOP = re.compile(r""">|=\s*(["'])""")
+#: The rest of a comment after its opening: `>` or `->` at once, or up to its end.
+_COMMENT = re.compile(r"-?>|.*?--!?>", re.DOTALL)
 #: Ancestors that a block keeps: the outermost and the innermost ones.
 _OUTER, _INNER = 8, 56
 _ATTR = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.IGNORECASE)
@@ -38,7 +41,7 @@ _BLOCK = frozenset(
     "optgroup option p pre search section select summary table tbody td textarea tfoot th thead title tr ul video audio canvas".split()
 )
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style template svg math iframe object noembed noframes xmp".split())
+_RAW = frozenset("script style template svg iframe noembed noframes xmp".split())
 _HIDDEN = frozenset(["head", "title"])
 #: Start tags that end an open element of these kinds.
 _ENDS = {t: ("p",) for t in "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split()}
@@ -71,7 +74,8 @@ def blocks_of(page: str) -> list[Block]:
     """The blocks that have text, in page order. The time is in proportion to the page, however broken its markup is."""
     out: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
-    open_tags: dict[str, int] = {}
+    places: dict[str, list[int]] = {}  # where in the stack the elements of each tag are
+    walls: list[int] = []  # where the block elements are that are no paragraphs
     held: list[str] = []
     path: tuple = ()
     linked = 0
@@ -93,12 +97,14 @@ def blocks_of(page: str) -> list[Block]:
             if not held or not path:
                 path = tuple(stack if len(stack) <= _OUTER + _INNER else stack[:_OUTER] + stack[-_INNER:])
             held.append(text)
-            if open_tags.get("a"):
+            if places.get("a"):
                 linked += len(text)
 
     def close(k: int) -> None:
         for t, _ in stack[k:]:
-            open_tags[t] -= 1
+            places[t].pop()  # the last is the innermost, and all above k go
+        while walls and walls[-1] >= k:
+            walls.pop()
         del stack[k:]
 
     while at < end:
@@ -109,10 +115,14 @@ def blocks_of(page: str) -> list[Block]:
         if m.start() > at:
             put(page[at : m.start()])
         if not m[2]:  # a comment or a declaration
-            stop = page.find("-->" if m[0] == "<!--" else ">", m.end())
-            if stop < 0 and m[0] != "<!--":
+            if m[0] == "<!--":
+                rest = _COMMENT.match(page, m.end())
+                at = rest.end() if rest else end
+                continue
+            at = page.find(">", m.end()) + 1
+            if not at:
                 put(page[m.start() :])
-            at = end if stop < 0 else page.index(">", stop) + 1
+                break
             continue
         at = tag_end(page, m.end())
         if at < 0:
@@ -126,8 +136,8 @@ def blocks_of(page: str) -> list[Block]:
             held.append(" ")
             continue
         if m[1]:
-            if open_tags.get(tag):
-                close(next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag))
+            if places.get(tag):
+                close(places[tag][-1])
             continue
         if tag in _RAW:
             if not inside.rstrip().endswith("/"):
@@ -137,17 +147,21 @@ def blocks_of(page: str) -> list[Block]:
             continue
         if tag in _VOID:
             continue
-        if any(open_tags.get(t) for t in _ENDS.get(tag, ())):
-            barrier = _BARRIER.get(tag, ())
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in _ENDS[tag]:
-                    close(k)
-                elif stack[k][0] in barrier or (stack[k][0] in _BLOCK and stack[k][0] != "p" and not barrier):
-                    break
+        ended = [t for t in _ENDS.get(tag, ()) if places.get(t)]
+        if ended:
+            if tag in _BARRIER:
+                wall = max((places[t][-1] for t in _BARRIER[tag] if places.get(t)), default=-1)
+            else:  # the innermost block that is not ended itself; those above it are ended, so each is looked at once
+                wall = next((k for k in reversed(walls) if stack[k][0] not in ended), -1)
+            beyond = [places[t][bisect_right(places[t], wall)] for t in ended if places[t][-1] > wall]
+            if beyond:
+                close(min(beyond))
         words: tuple[str, ...] = ()
         if "=" in inside:
             words = tuple({w.lower() for a in _ATTR.findall(inside) for w in _NAME.findall(a[1] or a[2] or a[3])})
-        open_tags[tag] = open_tags.get(tag, 0) + 1
+        places.setdefault(tag, []).append(len(stack))
+        if tag in _BLOCK and tag != "p":
+            walls.append(len(stack))
         stack.append((tag, words))
     flush()
     return out

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import re
 import time
 import zlib
 from collections import Counter
@@ -130,6 +131,9 @@ def test_broken_markup():
     assert shown("<p>One <ins>two</ins> three.</p>") == ["One two three."]
     assert shown("<p title='it>hello</p><p>more") == ["hello", "more"] and shown('<p it\'s>a</p><p x="a>b" y=\'"\'>c') == ["a", "c"]
     assert shown("a<!-- <p>x -- >y --><b>b</b> c<!doctype html>d<?php e ?>f") == ["ab cdf"] and shown("x <!-- never closed <p>y") == ["x"]
+    assert shown("<p>One</p><!--><p>Two</p><!---><p>Three</p><!----><p>Four<!-- > -->!<!-- x --!> end") == ["One", "Two", "Three", "Four! end"]
+    assert shown("<p>If <math><mi>x</mi><mo>=</mo><mn>2</mn></math> then <object data=f.pdf>see the file</object>.") == ["If x=2 then see the file."]
+    assert shown("<ul><li>a<span>b<li>c<ul><li>d<p>e<li>f</ul>g<li>h</ul>i") == ["ab", "c", "d", "e", "f", "g", "h", "i"]
     assert shown("1 < 2 <p>3 <") == ["1 < 2", "3 <"] and shown("a <p class=x") == ["a <p class=x"]
     assert shown("<script>if (a < b) '</p>'</script  >t<SCRIPT>x</scripty></script>u") == ["tu"]
     for piece in ("<p title='it>hello ", '<p "x" ', "<p a=\"x>", "</script ", "<b><i></u>", "<b>", "<div>x", "<a href=", "=  ", "<!--", "<!x", "<table><td>y", "&lt"):
@@ -139,6 +143,46 @@ def test_broken_markup():
             html_extract.blocks_of("<script></script><b>" + piece * (n // len(piece)) + "<p>end")
             took.append(time.process_time() - began)
         assert took[1] < 10 * took[0] + 0.2, (piece, took)
+    for start, inner, item in (("<p><button><ul>", "<span>", "<li>x</li>"), ("<dl>", "<b>", "<dd>x"), ("<p>", "<i>", "<div>x</div>"), ("<select>", "<u>", "<option>x"), ("<table>", "<b>", "<tr><td>x")):
+        took = []
+        for n in (4_000, 16_000):
+            began = time.process_time()
+            html_extract.blocks_of(start + inner * n + item * n)
+            took.append(time.process_time() - began)
+        assert took[1] < 10 * took[0] + 0.2, (start, took)
+
+
+def test_open_elements_are_ended_as_by_a_walk():
+    """Which elements a start tag ends, against walking down the stack one by one."""
+    r = random.Random(7)
+
+    def paths(page):
+        stack, out = [], []
+        for close, tag, text in re.findall(r"<(/?)([a-z0-9]+)>|([^<]+)", page):
+            if text:
+                out.append(tuple(stack))
+            elif close:
+                if tag in stack:
+                    del stack[len(stack) - 1 - stack[::-1].index(tag) :]
+            else:
+                ends, barrier = html_extract._ENDS.get(tag, ()), html_extract._BARRIER.get(tag, ())
+                for k in range(len(stack) - 1, -1, -1):
+                    if stack[k] in ends:
+                        del stack[k:]
+                    elif stack[k] in barrier or (stack[k] in html_extract._BLOCK and stack[k] != "p" and not barrier):
+                        break
+                stack.append(tag)
+        return out
+
+    names = "p li ul dl dt dd tr td table div span option select body".split()
+    for _ in range(400):
+        page = "".join(f"<{'/' if r.random() < 0.25 else ''}{r.choice(names)}>" if r.random() < 0.7 else "x" for _ in range(60))
+        page = re.sub("x+", "x", page)
+        want = [(len(p), p) for p in paths(page)]
+        got = []
+        for b in html_extract.blocks_of(re.sub("x", "x<hr>", page)):  # each text is a block of its own
+            got.append((len(b.path), tuple(t for t, _ in b.path)))
+        assert got == want, page
 
 
 def test_extract_is_the_best_path_of_pages(spark):
