@@ -14,18 +14,24 @@ _RAW = ("script", "style", "textarea", "noscript")
 _TAGS = re.compile(r"<[^>]*>")
 #: Elements whose content is not the page's own text.
 _ASIDE = frozenset("script style nav footer header aside form title template svg".split())
+_COMMENT = re.compile(r"-?>|.*?--!?>", re.DOTALL)
 _END = re.compile(r""">|=\s*(["'])""")
 
 
+def comment_end(page: str, at: int) -> int:
+    """Past the comment whose `<!--` ends at `at`: `>` and `->` end it at once. The page's end if nothing does."""
+    m = _COMMENT.match(page, at)
+    return m.end() if m else len(page)
+
+
 def tags(page: str) -> Iterator[tuple[str, dict[str, str], int]]:
     """(name, attributes, where its content begins) of each start tag, names in lower case and references decoded."""
     at = 0
     while m := _MARK.search(page, at):
         if not m[2]:
-            end = page.find("-->" if m[0] == "<!--" else ">", m.end())
-            if end < 0:
+            at = comment_end(page, m.end()) if m[0] == "<!--" else page.find(">", m.end()) + 1
+            if not at:
                 return
-            at = page.index(">", end) + 1
             continue
         at, found = m.end(), {}
         while (p := _PART.match(page, at)) and not p[1]:
@@ -64,8 +70,7 @@ def own_text(page: str) -> str:
         if not hidden:
             out.append(page[at : m.start()])
         if not m[2]:
-            end = page.find("-->" if m[0] == "<!--" else ">", m.end())
-            at = page.index(">", end) + 1 if end >= 0 else len(page)
+            at = comment_end(page, m.end()) if m[0] == "<!--" else page.find(">", m.end()) + 1 or len(page)
             continue
         at, name = _tag_end(page, m.end()), m[2].lower()
         if not hidden:

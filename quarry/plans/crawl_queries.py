@@ -149,6 +149,15 @@ def page_main_text(spark, d):
     return crawl.main_texts(_pages(spark, d)).select("page_id", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
+# each page of the table has its main text in its only article; white space is let go on both sides
+_ARTICLE = "regexp_replace(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), '(?s)<[^>]*>', ' ', 'g')"
+
+
+@query("page_readable_text", f"SELECT page_id, CASE WHEN length(t) >= 100 THEN md5(regexp_replace({_CLEAN.format('t')}, ' ', '', 'g')) END AS text_md5 FROM (SELECT page_id, {_UNESCAPED.format(_ARTICLE)} AS t FROM pages)")
+def page_readable_text(spark, d):
+    return crawl.readable_texts(_pages(spark, d)).select("page_id", F.md5(F.regexp_replace("text", r"\s", "").cast("binary")).alias("text_md5"))
+
+
 _LONG = "word " * 30
 _TEXT_CASES = [
     (1, f"<body><header><nav>menu</nav> head</header><p>{_LONG}&eacute;&#233; <b title='a > b'>bold</b></p><!-- no --><aside>a<form>f</form>b</aside><p>end</p><footer>foot", f"{_LONG}éé bold end"),
