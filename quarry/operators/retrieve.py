@@ -12,6 +12,7 @@ from quarry.functions.text import display_url, filled, snippet, total_pages
 from quarry.functions.tokens import query_terms
 from quarry.functions.vectors import cosine
 from quarry.operators.index import Index
+from quarry.sources.store import MOST_LOOKED_UP
 from quarry.sources.tables import keep
 
 # Ranking constants, fusion weights, how many results there are by default.
@@ -93,7 +94,12 @@ def page_of(results: DataFrame, page: int = 1, page_size: int = 10) -> DataFrame
 
 
 def with_documents(results: DataFrame, docs: DataFrame) -> DataFrame:
-    """Results with title, url, snippet and source type; those without a document go."""
+    """Results with title, url, snippet and source type; those without a document go.
+
+    Results are a top-k, so their ids become a filter that reaches the scan of the documents.
+    """
+    ids = [r.doc_id for r in results.select("doc_id").limit(MOST_LOOKED_UP + 1).collect()]
+    docs = docs.where(F.col("doc_id").isin(ids)) if len(ids) <= MOST_LOOKED_UP else docs
     info = docs.select("doc_id", "title", filled(F.col("url"), "").alias("url"), snippet(F.col("content")).alias("snippet"), filled(F.col("source_type"), "text").alias("source_type"))
     return info.join(F.broadcast(results), "doc_id")
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.text import cache_key
 from quarry.operators import analytics as a
-from quarry.operators import context
+from quarry.operators import context, heavy
 from quarry.sources.tables import table
 
 from .registry import query
@@ -38,6 +38,17 @@ def top_keywords(spark, d):
     return a.top_queries(_log(spark, d))
 
 
+_KEY = "event_type || ' ' || length(bin(user_id))"
+
+
+@query("heavy_hitters", f"WITH k AS (SELECT {_KEY} AS key FROM events) SELECT key, count(*) AS count FROM k GROUP BY key HAVING count(*) >= 0.03 * (SELECT count(*) FROM k)")
+def heavy_hitters(spark, d):
+    """Searches with three hundredths of the log or more, by summaries of two halves with fewer counters than there are searches."""
+    log = table(spark, d, "events").select("event_id", F.concat_ws(" ", "event_type", F.length(F.bin("user_id"))).alias("key"))
+    halves = [heavy.summarise(log.where(F.col("event_id") % 2 == k), "key", 24) for k in (0, 1)]
+    return heavy.frequent(log, "key", heavy.merged(halves), 0.03)
+
+
 @query("recent_searches", f"WITH {_LOG}, r AS (SELECT * FROM log ORDER BY ts DESC, id DESC LIMIT 10) SELECT id, user_id, query, {_TS} FROM r")
 def recent_searches(spark, d):
     return _stamp(a.recent_searches(_log(spark, d)), "ts")

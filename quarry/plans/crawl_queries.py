@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from quarry.functions.text import clean
 from quarry.functions.urls import EXCLUDED, is_valid, normalise
 from quarry.operators import crawl, visited
-from quarry.sources.tables import keep, table
+from quarry.sources import archive
+from quarry.sources.tables import keep, table, working_dir
 
 from .registry import query
 
@@ -45,6 +48,14 @@ def pages_fetched(spark, d):
     return crawl.fetched(_pages(spark, d)).select("page_id", F.length("html").cast("long").alias("size"))
 
 
+@query("archived_pages", "SELECT page_id, url, md5(html) AS html_md5 FROM pages")
+def archived_pages(spark, d):
+    """Pages written as archives, and read from them in splits."""
+    path = f"{working_dir(spark)}/archive-{uuid.uuid4().hex[:8]}"
+    archive.write_archive(_pages(spark, d).repartition(2, "page_id"), path)
+    return archive.read_archive(spark, path, 1 << 20).select("page_id", "url", F.md5(F.col("html").cast("binary")).alias("html_md5"))
+
+
 @query("url_normalize", f"SELECT page_id, {_norm('url')} AS normalized FROM pages")
 def url_normalize(spark, d):
     return _pages(spark, d).select("page_id", normalise(F.col("url")).alias("normalized"))

@@ -13,7 +13,8 @@ from quarry.operators.block_max import search as block_max_search
 from quarry.operators.graph_index import open_graph
 from quarry.operators.graph_index import search as graph_search
 from quarry.operators.index import open_index
-from quarry.sources.tables import table
+from quarry.sources.store import open_store
+from quarry.sources.tables import keep, table
 
 from .registry import query
 from .sql import INDEX, VECTOR, bm25, fused
@@ -31,7 +32,7 @@ def _query_vector(spark, d, vec_id=0):
 
 
 def _docs(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.concat_ws(" ", "lang", "source").alias("title"), F.col("text").alias("content"), F.concat(F.lit("https://docs.example.org/"), "doc_id").alias("url"), F.col("source").alias("source_type"))
+    return open_store(spark, d).rows.select("doc_id", F.concat_ws(" ", "lang", "source").alias("title"), F.col("text").alias("content"), F.concat(F.lit("https://docs.example.org/"), "doc_id").alias("url"), F.col("source").alias("source_type"))
 
 
 _DOCS = "docs AS (SELECT doc_id, lang || ' ' || source AS title, text AS content, 'https://docs.example.org/' || doc_id AS url, source AS source_type FROM documents)"
@@ -62,7 +63,7 @@ def vector_search(spark, d):
     f"WITH {VECTOR.format(query=7)}, t AS (SELECT * FROM vec ORDER BY score DESC, doc_id LIMIT 10), {_DOCS} SELECT doc_id, round(score, 6) AS score, title, url, {_SNIPPET} AS snippet, source_type FROM t JOIN docs USING (doc_id)",
 )
 def image_search(spark, d):
-    found = r.vector_search(_vectors(spark, d), _query_vector(spark, d, 7), 10)
+    found = keep(r.vector_search(_vectors(spark, d), _query_vector(spark, d, 7), 10), "found")
     return _rounded(r.with_documents(found, _docs(spark, d)), "score").select("doc_id", "score", "title", "url", "snippet", "source_type")
 
 
@@ -97,7 +98,7 @@ SELECT rank, doc_id, round(score, 6) AS score, title, url, {_SNIPPET} AS snippet
 )
 def search_page(spark, d):
     found = r.hybrid_search(open_index(spark, d), _vectors(spark, d), QUERY, _query_vector(spark, d), r.fetch_count(None, 2, 10))
-    page = r.with_documents(r.page_of(found, 2, 10), _docs(spark, d))
+    page = r.with_documents(keep(r.page_of(found, 2, 10), "page"), _docs(spark, d))
     return _rounded(page, "score").select("rank", "doc_id", "score", "title", "url", "snippet", "source_type", "total", "total_pages")
 
 
@@ -105,7 +106,7 @@ def search_page(spark, d):
 def gateway_search(spark, d):
     page, size = r.clamp_page(0, 1000)
     found = r.hybrid_search(open_index(spark, d), _vectors(spark, d), QUERY, _query_vector(spark, d), r.fetch_count(None, page, size))
-    return r.gateway_rows(r.with_documents(r.page_of(found, page, size), _docs(spark, d)))
+    return r.gateway_rows(r.with_documents(keep(r.page_of(found, page, size), "page"), _docs(spark, d)))
 
 
 @query(
@@ -258,3 +259,9 @@ def suggest_top(spark, d):
 @query("suggest_empty", f"WITH {_KW} SELECT keyword, count, 0::BIGINT AS distance FROM kw WHERE false")
 def suggest_empty(spark, d):
     return suggest.suggestions(_keywords(spark, d), "  ")
+
+
+@query("documents_by_id", "SELECT doc_id, lang, source, md5(text) AS text_md5 FROM documents WHERE doc_id IN (SELECT vec_id * 3 FROM embeddings WHERE label = 3)")
+def documents_by_id(spark, d):
+    wanted = table(spark, d, "embeddings").where("label = 3").select((F.col("vec_id") * 3).alias("doc_id"))
+    return open_store(spark, d).fetch(wanted, ["lang", "source", "text"]).select("doc_id", "lang", "source", F.md5(F.col("text").cast("binary")).alias("text_md5"))
