@@ -1,7 +1,7 @@
 """Toxicity scores from two Kneser-Ney models, one for toxic and one for ordinary texts.
 
-The units are the characters of a word; a model gives each the probability after the ORDER - 1
-characters before it. The two classes have discounted counts of their own at the highest order only;
+The units are the bytes of a word in UTF-8; a model gives each the probability after the ORDER - 1
+bytes before it. All scripts have as many units as they need, and no alphabet has to be chosen. The two classes have discounted counts of their own at the highest order only;
 all lower orders are continuation counts that they share. So where a context is new to both, the
 two models agree, and a rare expression counts only as far as one class is known to use it.
 
@@ -25,8 +25,8 @@ from pyspark.sql import types as T
 
 from .common import by_bytes, store, table
 
-#: Characters of a gram (8 bits each), the discount, and characters that have a code of their own.
-ORDER, DISCOUNT, LETTERS = 8, 0.75, 250
+#: Bytes of a gram, the discount, and how many values a byte has.
+ORDER, DISCOUNT, UNITS = 8, 0.75, 256
 #: The bound of the curve's sample, for each class.
 SAMPLE_ROWS = 3000
 #: Parts of the labelled texts; the curve sees a text with models from the other parts.
@@ -54,7 +54,6 @@ def words_of(text: str) -> list[str]:
 class Evidence:
     """What the two models come to: log-ratios of seen grams, and of contexts for grams that are new after them."""
 
-    alphabet: dict[str, int]
     grams: np.ndarray
     gram_ratio: np.ndarray
     contexts: np.ndarray
@@ -62,7 +61,7 @@ class Evidence:
 
     def of_words(self, words: list[str]) -> np.ndarray:
         """log p(word | toxic) - log p(word | ordinary) for each."""
-        grams, at = _grams(words, self.alphabet)
+        grams, at = _grams(words)
         out = np.zeros(len(grams))
         if len(self.grams):
             i = np.minimum(np.searchsorted(self.grams, grams), len(self.grams) - 1)
@@ -72,18 +71,15 @@ class Evidence:
         return np.bincount(at, out, minlength=len(words))
 
 
-def _grams(words: list[str], alphabet: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Each character of each word, and its end, packed with the characters before it; the word's number.
+def _grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Each byte of each word, and its end, packed with the bytes before it; the word's number.
 
-    A character has 8 bits: 0 before the word, 1 for its end, 2 for a rare character.
+    0 stands before a word and 1 for its end; words have neither.
     """
-    lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
-    table = np.full(0x110000, 2, np.uint8)
-    for c, k in alphabet.items():
-        table[ord(c)] = k
-    joined = np.frombuffer("\0".join([*words, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
-    table[0] = 1
-    codes = table[joined].astype(np.uint64)
+    codes = np.frombuffer("\0".join([*words, ""]).encode("utf-8", "surrogatepass"), np.uint8).astype(np.uint64)
+    ends = np.flatnonzero(codes == 0)
+    codes[ends] = 1
+    lengths = np.diff(ends, prepend=-1)
     at = np.repeat(np.arange(len(words)), lengths)
     place = np.arange(len(codes)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
     packed = codes.copy()
@@ -108,14 +104,14 @@ def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[first], np.diff(np.append(first, len(keys))).astype(np.int32)
 
 
-def _shared(grams: np.ndarray, letters: int) -> np.ndarray:
-    """p(last character | the ORDER - 2 before it) of each gram, from continuation counts of both classes."""
+def _shared(grams: np.ndarray) -> np.ndarray:
+    """p(last byte | the ORDER - 2 before it) of each gram, from continuation counts of both classes."""
     levels, longer = [], grams  # distinct; each gives its shortened gram one continuation
-    for n in range(ORDER - 1, 0, -1):  # the number of characters, the predicted one included
+    for n in range(ORDER - 1, 0, -1):  # the number of bytes, the predicted one included
         seen, times = _distinct(longer & np.uint64((1 << 8 * n) - 1))
         levels.append((n, seen, times))
         longer = seen
-    shorter, p = np.zeros(1, np.uint64), np.full(1, 1.0 / letters)
+    shorter, p = np.zeros(1, np.uint64), np.full(1, 1.0 / UNITS)
     for n, seen, times in reversed(levels):
         p = p[np.searchsorted(shorter, seen & np.uint64((1 << 8 * (n - 1)) - 1))]
         first = np.flatnonzero(np.diff(seen >> np.uint64(8), prepend=np.uint64(0)))
@@ -138,37 +134,27 @@ def count_words(split: list[list[str]], toxic: np.ndarray) -> list[dict[str, int
     return counts
 
 
-def _alphabet(letters: dict[str, int]) -> dict[str, int]:
-    """The codes of the LETTERS most frequent characters."""
-    return {c: k for k, c in enumerate(sorted(letters, key=lambda c: (-letters[c], c))[:LETTERS], 3)}
-
-
 def train(counts: list[dict[str, int]]) -> Evidence:
     """Fit both models to the words of ordinary and of toxic texts, as they are held in memory."""
-    letters: dict[str, int] = {}
-    for mine in counts:
-        for w, n in mine.items():
-            for c in w:
-                letters[c] = letters.get(c, 0) + n
-    alphabet, own = _alphabet(letters), []
+    own = []
     for mine in counts:
-        grams, at = _grams(list(mine), alphabet)
+        grams, at = _grams(list(mine))
         own.append(_summed(grams, np.fromiter(mine.values(), float, len(mine))[at]))
     grams = np.union1d(own[0][0], own[1][0])
     n = np.zeros((2, len(grams)))
     for c, (seen, times) in enumerate(own):
         n[c, np.searchsorted(grams, seen)] = times
-    return evidence(grams, n, alphabet)
+    return evidence(grams, n)
 
 
-def evidence(grams: np.ndarray, n: np.ndarray, alphabet: dict[str, int]) -> Evidence:
+def evidence(grams: np.ndarray, n: np.ndarray) -> Evidence:
     """Both models from the sorted grams and how often ordinary (`n[0]`) and toxic texts (`n[1]`) hold them."""
     seen = (n > 0).any(0)
     if not seen.all():
         grams, n = grams[seen], n[:, seen]
     contexts, _ = _distinct(grams >> np.uint64(8))
     place = np.searchsorted(contexts, grams >> np.uint64(8)).astype(np.int32)
-    shared = _shared(grams, len(alphabet) + 3)
+    shared = _shared(grams)
 
     def model(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         total = np.bincount(place, c, minlength=len(contexts))
@@ -184,7 +170,7 @@ def evidence(grams: np.ndarray, n: np.ndarray, alphabet: dict[str, int]) -> Evid
     p, left = model(n[0])
     ratio /= p
     left_ratio /= left
-    return Evidence(alphabet, grams, np.log(ratio, out=ratio).astype(np.float32), contexts, np.log(left_ratio).astype(np.float32))
+    return Evidence(grams, np.log(ratio, out=ratio).astype(np.float32), contexts, np.log(left_ratio).astype(np.float32))
 
 
 class Scorer:
@@ -269,33 +255,16 @@ def labelled_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return rows.select("toxic", "fold", "doc_id", "text")
 
 
-def alphabet_of(labelled: DataFrame) -> dict[str, int]:
-    """Codes of the LETTERS most frequent characters of words; a row for each character comes to the driver."""
-
-    def run(batches):
-        total = np.zeros(0x110000, np.int64)
-        for batch in batches:
-            for b in by_bytes(batch, 0, SLICE_BYTES):
-                codes = np.frombuffer("".join(b.column(0).to_pylist()).lower().encode("utf-32-le"), np.uint32)
-                n = np.bincount(codes)
-                total[: len(n)] += n
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(total[seen])], names=["c", "n"])
-
-    chars = labelled.select("text").mapInArrow(run, "c int, n long").groupBy("c").agg(F.sum("n").alias("n"))
-    return _alphabet({chr(r.c): r.n for r in chars.collect() if _WORD.match(chr(r.c))})
-
-
-def gram_counts(labelled: DataFrame, alphabet: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+def gram_counts(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """The distinct grams of the words of `labelled_texts`, sorted, and their counts by class and fold.
 
-    They are summed by Spark. The driver holds 24 bytes for each; new ones come ever more rarely, but they do come.
+    They are summed by Spark. The driver holds 24 bytes for each (40 where a count needs 64 bits); new ones come ever more rarely, but they do come.
     """
 
     def summed(counts: dict[int, dict[str, int]]) -> pa.RecordBatch:
         cols = [(np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64))]
         for kind, mine in counts.items():
-            grams, at = _grams(list(mine), alphabet)
+            grams, at = _grams(list(mine))
             grams, n = _summed(grams, np.fromiter(mine.values(), float, len(mine))[at])
             cols.append((grams.view(np.int64), np.full(len(grams), kind, np.int32), n.astype(np.int64)))
         counts.clear()
@@ -314,10 +283,10 @@ def gram_counts(labelled: DataFrame, alphabet: dict[str, int]) -> tuple[np.ndarr
         yield summed(counts)
 
     counted = labelled.select("toxic", "fold", "text").mapInArrow(run, "gram long, kind int, n long")
-    kinds = [F.least(F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)), F.lit(2**31 - 1)).cast("int").alias(f"n{k}") for k in range(2 * FOLDS)]
+    kinds = [F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in range(2 * FOLDS)]
     counted = store(counted.groupBy("gram").agg(*kinds), "grams")
-    size = counted.count()
-    grams, n = np.zeros(size, np.uint64), np.zeros((2 * FOLDS, size), np.int32)
+    size, most = counted.agg(F.count("*"), F.max(F.greatest(*[f"n{k}" for k in range(2 * FOLDS)]))).first()
+    grams, n = np.zeros(size, np.uint64), np.zeros((2 * FOLDS, size), np.int32 if (most or 0) < 2**31 else np.int64)
     at = 0
     for part in range(8):  # by and by, so little more than the arrays is held
         got = counted.where(F.pmod(F.xxhash64("gram"), F.lit(8)) == part).toArrow()
@@ -346,15 +315,14 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """
     ids, prior = labelled_ids(docs, labels)
     labelled = labelled_texts(docs, ids)
-    alphabet = alphabet_of(labelled)
-    grams, n = gram_counts(labelled, alphabet)
+    grams, n = gram_counts(labelled)
     everything = n.sum(1, dtype=np.int64)
     if not len(grams):
-        return Model(evidence(grams, everything, alphabet), np.zeros(FEATURES), np.ones(FEATURES), np.zeros(FEATURES + 1))
+        return Model(evidence(grams, everything), np.zeros(FEATURES), np.ones(FEATURES), np.zeros(FEATURES + 1))
     sample = store(labelled_texts(docs, store(curve_sample(ids), "sample_ids")), "sample")
     x, toxic = [np.zeros((0, FEATURES))], [np.zeros(0, np.int64)]
     for k in range(FOLDS):
-        unseen = docs.sparkSession.sparkContext.broadcast(evidence(grams, everything - n[:, k], alphabet))
+        unseen = docs.sparkSession.sparkContext.broadcast(evidence(grams, everything - n[:, k]))
         got = sample.where(F.col("fold") == k).select("toxic", "text").mapInArrow(_features(unseen), "toxic int, x array<double>").toArrow()
         unseen.destroy()
         if got.num_rows:
@@ -368,7 +336,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     if prior and 0 < toxic.mean() < 1 and 0 < prior < 1:
         odds = lambda p: np.log(p / (1 - p))
         w[-1] += odds(prior) - odds(toxic.mean())
-    return Model(evidence(grams, everything, alphabet), mean, scale, w)
+    return Model(evidence(grams, everything), mean, scale, w)
 
 
 def _features(model):
