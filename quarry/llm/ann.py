@@ -5,7 +5,7 @@ like magnitude, whatever outliers the table holds. A shard's graph is built in b
 greedy search from entry points that lie far apart proposes neighbours, and relaxed distance pruning keeps an edge only
 if no kept neighbour is much nearer to its end than the point itself; edges are also added backwards and
 pruned again where they are too many. What could not be reached from an entry in the end is linked from its nearest node that can. A query
-walks the graph of each shard with a beam, which is widened until what it finds settles; what the beams hold is scored in double precision on the original vectors and merged.
+walks the graph of each shard with a beam, which is widened until what it finds settles, or else meets all of the shard; what the beams hold is scored in double precision on the original vectors and merged.
 
 Largest inner product becomes least distance by one more coordinate that gives all vectors of a shard
 the same length, so vectors need not be normalised. Graphs are searched in single precision, after each shard and each query has
@@ -25,11 +25,11 @@ from quarry.operators.graph_index import entries_of, settled, starts
 from .common import store, table
 
 #: Vectors in a shard, at least, and for each square root of the number of vectors (so that shards do not grow in number as the vectors do); edges from a point; width of the beams while building; how far pruning is relaxed; points added or searched at a time.
-SHARD, SHARD_GROWTH, DEGREE, BUILD_BEAM, RELAX, BATCH = 6000, 12, 28, 64, 1.2, 256
+SHARD, SHARD_GROWTH, DEGREE, BUILD_BEAM, RELAX, BATCH = 16_000, 32, 28, 64, 1.2, 256
 #: Queries in a block, at least; a block has as many queries as a shard has vectors, so that graphs are moved no more than queries are.
 QUERY_BLOCK = 2048
-#: As many times as many nodes as are asked for are scored in double precision.
-WIDER = 2
+#: More nodes than are asked for are scored in double precision, as single precision may tie them.
+MORE = 4
 
 
 class Graph:
@@ -178,7 +178,7 @@ def nearest(vectors: DataFrame, query_every: int = 20, k: int = 20, id_col: str
             for i in range(0, len(asked), BATCH):
                 q = np.stack(asked["v"].iloc[i : i + BATCH].to_list())
                 scaled = np.c_[q / np.abs(q).max(1, keepdims=True), np.zeros(len(q))]
-                found = index.nearest(scaled.astype(np.float32), WIDER * k)
+                found = index.nearest(scaled.astype(np.float32), k + MORE)
                 for own, f, vector in zip(asked["id"].iloc[i : i + BATCH], found, q, strict=True):
                     score = (x[f] * vector).sum(1)
                     mine = np.concatenate([ids[starts[j] : starts[j] + counts[j]] for j in f])
