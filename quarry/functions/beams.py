@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Nodes of each beam that are opened in one step.
-OPENED = 4
+#: Nodes of each beam that are opened in one step: at least, and as a share of its width, so that wide beams take no more steps.
+OPENED, OPENED_SHARE = 4, 16
 
 
 def squares(x: np.ndarray, nodes: np.ndarray, queries: np.ndarray) -> np.ndarray:
@@ -32,9 +32,9 @@ def walk(x: np.ndarray, edges: np.ndarray, queries: np.ndarray, seeds: np.ndarra
     met[:, -1] = False
     order = np.argsort(far, axis=1, kind="stable")[:, :width]
     ids, far = ids[rows, order], far[rows, order]
-    done = ids < 0
+    done, most = ids < 0, max(OPENED, width // OPENED_SHARE)
     while True:
-        order = np.argsort(done, axis=1, kind="stable")[:, :OPENED]  # beams are sorted: the first that are not done are the nearest
+        order = np.argsort(done, axis=1, kind="stable")[:, :most]  # beams are sorted: the first that are not done are the nearest
         live = ~done[rows, order]
         going = np.flatnonzero(live.any(1))
         if not len(going):
@@ -57,6 +57,15 @@ def walk(x: np.ndarray, edges: np.ndarray, queries: np.ndarray, seeds: np.ndarra
         ids[going], far[going], done[going] = all_ids[here, best], all_far[here, best], all_done[here, best]
 
 
+def exact(x: np.ndarray, queries: np.ndarray, k: int) -> np.ndarray:
+    """The nearest `k` nodes of each query, nearest first, of all nodes. Products propose some more, and differences decide."""
+    d = (x * x).sum(1) - 2 * queries @ x.T
+    n = min(len(x), 4 * k)
+    some = np.argpartition(d, n - 1, axis=1)[:, :n] if n < len(x) else np.tile(np.arange(len(x)), (len(queries), 1))
+    order = np.argsort(squares(x, some, queries), axis=1, kind="stable")[:, :k]
+    return np.take_along_axis(some, order, 1)
+
+
 def _once(nodes: np.ndarray) -> np.ndarray:
     """Each row without repeats, as narrow as that allows."""
     nodes = np.sort(nodes, axis=1)

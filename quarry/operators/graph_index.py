@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.functions.beams import link_back, mend, spread_out, walk
+from quarry.functions.beams import exact, link_back, mend, spread_out, walk
 from quarry.sources.tables import fingerprint, keep, table
 
 #: Links of a node (twice as many in the lowest layer) the beam while building, and that of the layers above the lowest.
@@ -30,6 +30,8 @@ SHARD, SHARD_GROWTH = 4096, 16
 SAMPLE_EACH, SAMPLE_MOST, ROUNDS = 64, 100_000, 10
 #: The narrowest beam of a search, shards opened at first, and queries that walk a graph in one task.
 BEAM, PROBES, QUERY_BLOCK = 64, 2, 8192
+#: Results have settled when a beam twice as wide changes one in so many at most; so often beams are widened.
+SETTLED, WIDENED = 20, 3
 #: The largest top_k, and so how many copies of a vector are kept.
 MOST_RESULTS = 1000
 
@@ -219,22 +221,29 @@ def _walked(size: int, k: int):
 
 
 def settled(x: np.ndarray, layers: list[np.ndarray], entries: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[np.ndarray, int]]:
-    """For each query the nearest `k` nodes that a beam finds which is widened until they stay the same, and how many nodes were met."""
+    """For each query the nearest `k` nodes that a beam finds which is widened until they stay the same (but for one in SETTLED), and how many nodes were met.
+
+    Where WIDENED times are not enough, or a beam would hold much of the graph, the query is held against all nodes.
+    """
     width = max(BEAM, 2 * k)
     seeds = starts(x, entries, layers[1:], queries)
     found, _, met = walk(x, layers[0], queries, seeds, width)
     out = [(f[:k][f[:k] >= 0], int(m)) for f, m in zip(found, met, strict=True)]
     open_ = np.arange(len(queries))
-    while len(open_) and width < len(x):
+    for _ in range(WIDENED):
         width *= 2
+        if not len(open_) or width * 8 > len(x):
+            break
         wider, _, met = walk(x, layers[0], queries[open_], np.concatenate([seeds[open_], found[open_][:, :k]], 1), width)
         again = []
         for i, f, m in zip(open_.tolist(), wider, met, strict=True):
             best = f[:k][f[:k] >= 0]
-            if not np.array_equal(best, out[i][0]):
+            if len(np.setdiff1d(best, out[i][0], assume_unique=True)) > k // SETTLED:
                 again.append(i)
             out[i] = best, int(m)
         open_ = np.array(again, np.int64)
+    for i, best in zip(open_.tolist(), exact(x, queries[open_], k) if len(open_) else [], strict=True):
+        out[i] = best, len(x)
     return out
 
 
