@@ -37,8 +37,8 @@ MARGIN = 5.0
 MOST_BROADCAST = 2_000_000
 #: Bytes of text that are shingled together.
 SLICE_BYTES = 4_000_000
-#: Strays of a bucket that are held against its other members at a time.
-BLOCK = 64
+#: Strays of a bucket that are held against as many members of it at a time.
+BLOCK = 2048
 
 _rng = np.random.default_rng(20240229)
 _MULTIPLY = (_rng.integers(0, 1 << 31, SAMPLES, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
@@ -124,6 +124,42 @@ def _alike(x: Column, y: Column, a: Column, b: Column) -> Column:
     return (shared <= F.least(a, b)) & (bits <= most)
 
 
+def _most_bits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """By how many bits sketches of sets of `a` and `b` shingles may differ, as `_alike` has it; -1 where the sizes rule a link out."""
+    n = float(SKETCH_BITS)
+    a, b = a.astype(float), b.astype(float)
+    shared = (a + b) * (PERCENT / (100.0 + PERCENT))
+    larger = np.maximum(a, b)
+    share, taken = shared / larger, np.minimum(1.0, KEPT / larger)
+    apart = np.minimum(a, KEPT) + np.minimum(b, KEPT) - 2 * shared * taken
+    drawn = 4 * larger * taken * share * np.maximum(1 - share, 0.0) * (1 - taken)
+    gone = np.exp(apart * -2 / n)
+    once = np.exp(apart * np.log1p(-4 / n))
+    folded = n / 4 * (1 - once) + n * n / 4 * (once - np.exp(apart * (2 * np.log1p(-2 / n))))
+    most = n / 2 * (1 - gone) + MARGIN * np.sqrt(np.maximum(folded, 0.0) + gone * gone * drawn) + 3
+    return np.where(shared <= np.minimum(a, b), np.floor(most), -1)
+
+
+def _crossing(left: pa.Table, right: pa.Table) -> pa.Table:
+    """Pairs (a < b) of a block of strays and a block of members that are of different components and whose sketches are alike."""
+    found = [np.zeros((2, 0), np.int64)]
+    if left.num_rows and right.num_rows:
+        x, y = (np.stack(t["sketch"].to_pylist()).astype(np.int64).view(np.uint64) for t in (left, right))
+        rep, other = left["rep"].to_numpy(), right["rep"].to_numpy()
+        component, of_other = left["component"].to_numpy(), right["component"].to_numpy()
+        kinds, n = np.unique(left["n"].to_numpy(), return_inverse=True)
+        other_kinds, m = np.unique(right["n"].to_numpy(), return_inverse=True)
+        for k in range(0, len(x), 256):
+            bits = np.zeros((len(x[k : k + 256]), len(y)), np.uint16)
+            for w in range(x.shape[1]):
+                bits += np.bitwise_count(x[k : k + 256, w, None] ^ y[None, :, w])
+            most = _most_bits(kinds[:, None], other_kinds[None])[n[k : k + 256, None], m[None]] if len(kinds) * len(other_kinds) <= bits.size else _most_bits(kinds[n[k : k + 256]][:, None], other_kinds[m][None])
+            i, j = np.nonzero((bits <= most) & (component[k : k + 256, None] != of_other[None]))
+            found.append(np.stack([np.minimum(rep[i + k], other[j]), np.maximum(rep[i + k], other[j])]))
+    a, b = np.concatenate(found, 1)
+    return pa.table([pa.array(a), pa.array(b)], names=["a", "b"])
+
+
 def _confirmed(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     """Those of the pairs (a, b) whose full sets are similar enough."""
 
@@ -163,7 +199,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Null and empty texts have an empty set and are linked with nothing; so have rows with a null id,
     which keep a null class and component and stay. A repeated id and text gives the same row again; one id with several texts
-    is one document of the links: whatever is like one of them is linked with it. Sets are held as 64-bit hashes of their shingles, and
+    is one document of the links: whatever is like one of them is linked with it, and all its rows have one component. Sets are held as 64-bit hashes of their shingles, and
     are equal if size and two 64-bit sums over these agree. An empty table gives no rows; other columns are not looked at.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -175,6 +211,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = signed.join(classes, ["k1", "k2", "n"], "left").where("n > 0 and id is not null")
     chosen = reps.where("rep = id").dropDuplicates(["id", "k1", "k2", "n"])
     sketches = store(reps.where("rep is null").unionByName(chosen).select("id", "n", "sketch", "bands"), "sketches")
+    # an id whose texts are of several classes is one document, which links these
+    several = members.where("id is not null").groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("last")).where("a != last").select("id", "a")
+    shared = store(members.join(several, "id").where("rep != a").select("a", F.col("rep").alias("b")).distinct(), "shared")
     discard(signed, classes_stored)
 
     banded = sketches.select(F.explode("bands").alias("key"), F.col("id").alias("rep"))
@@ -187,26 +226,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     stars = hits.where("rep != center").select(F.col("center").alias("a"), F.col("rep").alias("b")).distinct()
     stars = store(stars, "stars")
     sifted = stars.join(sketch_of("b"), "b").join(sketch_of("a"), "a").where(_alike(*map(F.col, ("sketch_a", "sketch_b", "n_a", "n_b")))).select("a", "b")
-    links = _confirmed(sifted, rows)
+    links = _confirmed(sifted, rows).unionByName(shared)
     labels = components(links)
 
     label_of = lambda name: labels.select(F.col("node").alias(name), F.col("component").alias(f"label_{name}"))
     placed = hits.join(label_of("rep"), "rep", "left").join(label_of("center"), "center", "left").select("key", "rep", F.coalesce("label_rep", "rep").alias("component"), (F.coalesce("label_rep", "rep") != F.coalesce("label_center", "center")).alias("strays"))
     placed = store(placed, "placed")
     discard(hits)
-    told = sketches.select(F.col("id").alias("rep"), F.struct("sketch", "n", "bands").alias("own"))
-    strays = placed.where("strays").join(told, "rep")
-    blocks = placed.where("strays").groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    blocked = strays.join(blocks, "key").groupBy("key", F.pmod(F.xxhash64("rep"), F.col("blocks")).alias("block")).agg(F.collect_set(F.struct("rep", "component", "own")).alias("held"))
-    others = placed.join(blocks.select("key"), "key", "left_semi").join(told, "rep").select("rep", "key", "component", "own")
-
-    def crosses(x: Column) -> Column:
-        """A pair to be tested, at the first of the buckets that it shares."""
-        alike = _alike(x.own.sketch, F.col("own.sketch"), x.own.n, F.col("own.n"))
-        return (x.component != F.col("component")) & alike & (F.get(F.array_intersect(x.own.bands, F.col("own.bands")), F.lit(0)) == F.col("key"))
-
-    near = others.join(blocked, "key").select("rep", F.explode(F.filter("held", crosses)).alias("x"))
-    crossing = near.select(F.least("rep", "x.rep").alias("a"), F.greatest("rep", "x.rep").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
+    told = sketches.select(F.col("id").alias("rep"), "sketch", "n")
+    # strays and all members of their buckets are dealt into blocks, and each block of strays meets each block of members in a task of its own
+    sizes = placed.groupBy("key").agg(F.ceil(F.count_if("strays") / BLOCK).alias("high"), F.ceil(F.count("*") / BLOCK).alias("wide")).where("high > 0")
+    members_of = placed.join(sizes, "key").join(told, "rep").select("key", "rep", "component", "strays", "sketch", "n", "high", "wide", F.xxhash64("rep").alias("h"))
+    left = members_of.where("strays").select("key", F.pmod("h", F.col("high")).alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("wide") - 1)).alias("j"), "rep", "component", "sketch", "n")
+    again = [F.col(c).alias(c) for c in ("key", "rep", "component", "sketch", "n")]  # columns of their own, as both sides are of one table
+    right = members_of.select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("high") - 1)).alias("i"), F.pmod("h", F.col("wide")).alias("j"), *again)
+    at = ["key", "i", "j"]
+    near = left.groupBy(*at).cogroup(right.groupBy(*at)).applyInArrow(_crossing, "a long, b long")
+    crossing = near.distinct().join(stars, ["a", "b"], "left_anti")
     crossing = store(crossing, "crossing")
     if not crossing.isEmpty():
         labels = components(links.unionByName(_confirmed(crossing, rows)))

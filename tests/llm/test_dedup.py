@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -164,6 +165,37 @@ def test_one_id_with_two_texts(spark):
         assert got == {(1, 1), (2, 1), (3, 1), (4, 1), (5, 1), (6, 6)}
 
 
+def test_an_id_joins_its_classes(spark):
+    """One id has one component, also where its texts are copies of texts of others."""
+    r = random.Random(13)
+    b, c, d = (" ".join("".join(r.choice("abcdefgh") for _ in range(4)) for _ in range(60)) for _ in range(3))
+    rows = [(2, b), (5, b), (5, c), (9, c), (9, c), (11, d), (9, d), (12, ""), (12, d)]
+    got = {(x.doc_id, x.component_id, x.kept) for x in near_duplicates(table(spark, rows)).collect()}
+    assert got == {(2, 2, True), (5, 2, False), (9, 2, False), (11, 2, False), (12, 2, False)}
+
+
+def test_templates(spark):
+    """Texts that share most of their words, but not enough to be linked, meet in blocks; the near copies among them are found."""
+    r = random.Random(14)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    frame = [word() for _ in range(300)]
+    rows = [(k, " ".join(frame + [word() for _ in range(100)])) for k in range(1500)]
+    rows += [(5000 + k, rows[k][1] + " " + word()) for k in range(0, 1500, 50)]
+    began = time.time()
+    got = {x.doc_id: x.component_id for x in near_duplicates(table(spark, rows)).collect()}
+    assert got == {i: i - 5000 if i >= 5000 else i for i, _ in rows}
+    assert time.time() - began < 120
+
+
+def test_blocks_find_what_expressions_find(spark, monkeypatch):
+    """The bound over arrays is that of the plan."""
+    r = np.random.default_rng(6)
+    a, b = r.integers(1, 3000, 400), r.integers(1, 3000, 400)
+    df = spark.createDataFrame([([-1] * 16, [int(-1 ^ (1 << 62)) for _ in range(16)], int(p), int(q)) for p, q in zip(a, b, strict=True)], "x array<long>, y array<long>, a long, b long")
+    told = [x.v for x in df.select(minhash._alike(*map(F.col, "xyab")).alias("v")).collect()]
+    assert told == (minhash._most_bits(a, b) >= 16).tolist()
+
+
 def test_sketch_bound_lets_links_through(spark):
     """Pairs just similar enough, of sets below and above the sample's size, pass the sketch."""
     r = np.random.default_rng(5)
