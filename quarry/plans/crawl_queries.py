@@ -143,10 +143,18 @@ _READ = [
 _sql_text = lambda x: "'" + x.replace("'", "''") + "'"
 
 
-@query("page_cases", "SELECT * FROM (VALUES " + ", ".join(f"({i}::BIGINT, {_sql_text(t)}, {_sql_text(u)})" for i, t, u in _READ) + ") AS t(page_id, title, targets)")
+def _around_pages(spark, d, cases):
+    """Each case with each page of the table in a comment after it, numbered by both."""
+    held = F.concat(F.lit("<!-- "), F.translate("html", ">", " "), F.lit(" -->"))
+    few = spark.createDataFrame(cases, "k long, case_url string, case_html string")
+    both = _pages(spark, d).where("html is not null").crossJoin(F.broadcast(few))  # four cases
+    return both.select((F.col("page_id") * 10 + F.col("k")).alias("page_id"), F.col("case_url").alias("url"), F.concat("case_html", held).alias("html"))
+
+
+@query("page_cases", "SELECT page_id * 10 + k AS page_id, title, targets FROM pages, (VALUES " + ", ".join(f"({i}::BIGINT, {_sql_text(t)}, {_sql_text(u)})" for i, t, u in _READ) + ") AS t(k, title, targets) WHERE html IS NOT NULL")
 def page_cases(spark, d):
     """Quotes of all kinds, references, dot segments, comments, scripts: what a page holds, against what is written down here."""
-    pages = spark.createDataFrame(_CASES_HTML, "page_id long, url string, html string")
+    pages = _around_pages(spark, d, _CASES_HTML)
     each = crawl.read_pages(pages).select("page_id", "title", F.filter(F.transform("links", lambda x: F.when(is_valid(x.target), normalise(x.target))), lambda u: u.isNotNull()).alias("u"))
     return each.select("page_id", clean(F.col("title")).alias("title"), F.array_join("u", " ").alias("targets"))
 
@@ -178,10 +186,10 @@ _TEXT_CASES = [
 ]
 
 
-@query("text_cases", "SELECT * FROM (VALUES " + ", ".join(f"({i}::BIGINT, {_sql_text(t) if t else 'NULL'})" for i, _, t in _TEXT_CASES) + ") AS t(page_id, text)")
+@query("text_cases", "SELECT page_id * 10 + k AS page_id, text FROM pages, (VALUES " + ", ".join(f"({i}::BIGINT, {_sql_text(t) if t else 'NULL'})" for i, _, t in _TEXT_CASES) + ") AS t(k, text) WHERE html IS NOT NULL")
 def text_cases(spark, d):
     """Nested and unclosed elements, quotes and references, against what is written down here."""
-    return crawl.main_texts(spark.createDataFrame([x[:2] for x in _TEXT_CASES], "page_id long, html string"))
+    return crawl.main_texts(_around_pages(spark, d, [(k, "", page) for k, page, _ in _TEXT_CASES]))
 
 
 @query("image_candidates", "SELECT page_id, 0::BIGINT AS position, 'https://img.example.org/p' || page_id || '.png' AS image_url FROM pages UNION ALL SELECT page_id, 1, lower(regexp_extract(url, '^([a-zA-Z]+)://', 1)) || '://' || regexp_extract(url, '://([^/?#]*)', 1) || '/photo.jpg?w=' || page_id FROM pages")

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from quarry.functions.tokens import tokens
+from quarry.functions.tokens import TOKEN, tokens
 from quarry.operators import index as ix
 from quarry.operators import maintain, segments
 from quarry.operators.retrieve import bm25_search, keywords_tfidf
@@ -15,6 +15,7 @@ from quarry.sources.csv_documents import coalesce_columns
 from quarry.sources.tables import table, table_counts, working_dir
 
 from .registry import query
+from .text_queries import AZ, FOUR, HAN_LETTERS, as_han
 from .sql import INDEX, TOK, TOKENS, bm25, index_of
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -191,20 +192,20 @@ def query_tokens_roundtrip(spark, d):
     return again.select("doc_id", F.size("tokens").cast("long").alias("tokens"), F.md5(F.array_join("tokens", " ").cast("binary")).alias("joined_md5"))
 
 
-#: Texts with Han and Latin words, and their tokens for searches and cut accurately.
-_HAN_CASES = [
-    (1, "搜索引擎 test", "搜索 索引 引擎 test", "搜索 引擎 test"),
-    (2, "中a1国家法x, 3.14 über", "a1 国家 家法 3.14 ber", "a1 国家 3.14 ber"),
-    (3, "Machine learning, a 50% 机器学习", "Machine learning 50% 机器 器学 学习", "Machine learning 50% 机器 学习"),
-    (4, None, "", ""),
-]
+def _pairs(step: int) -> str:
+    cut = f"list_transform(range(1, greatest(length(run) - 1, 1) + 1, {step}), lambda i: run[i:i + 1])"
+    return f"array_to_string(list_filter(flatten(list_transform(runs, lambda run: CASE WHEN run >= '一' THEN {cut} ELSE [run] END)), lambda t: length(t) >= 2), ' ')"
 
 
-@query("tokenize_han", "SELECT * FROM (VALUES " + ", ".join(f"({i}::BIGINT, '{a}', '{b}')" for i, _, a, b in _HAN_CASES) + ") AS t(doc_id, searched, accurate)")
+@query(
+    "tokenize_han",
+    f"""WITH r AS (SELECT doc_id, regexp_extract_all(translate(regexp_replace(lower(text), '{FOUR}', '\\1\\2\\3\\4 ', 'g'), '{AZ}', '{HAN_LETTERS}'), '[一-鿕]+|{TOKEN}') AS runs FROM documents)
+SELECT doc_id, md5({_pairs(1)}) AS searched, md5({_pairs(2)}) AS accurate FROM r""",
+)
 def tokenize_han(spark, d):
-    """Tokens of texts with Han words, against what is written down here."""
-    rows = spark.createDataFrame([x[:2] for x in _HAN_CASES], "doc_id long, text string")
-    return rows.select("doc_id", *[F.array_join(tokens("text", mode), " ").alias(name) for mode, name in (("search", "searched"), ("accurate", "accurate"))])
+    """Tokens of the documents as Han text, four words run together, for searches and cut accurately."""
+    docs = table(spark, d, "documents").select("doc_id", as_han(F.col("text")).alias("text"))
+    return docs.select("doc_id", *[F.md5(F.array_join(tokens("text", mode), " ").cast("binary")).alias(name) for mode, name in (("search", "searched"), ("accurate", "accurate"))])
 
 
 @query(

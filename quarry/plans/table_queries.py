@@ -23,16 +23,18 @@ def _folder(spark, name):
 
 @query("csv_first_rows", "SELECT row_number() OVER (ORDER BY p_partkey) AS row_number, p_name AS title, p_type AS content, '' AS url FROM part ORDER BY p_partkey LIMIT 100")
 def csv_first_rows(spark, d):
-    """A CSV file with a header, of which the loader takes the first hundred rows."""
+    """A CSV file with a header, of which the loader takes the first hundred rows; the first thousand parts are in it."""
     path = _folder(spark, "csv")
-    part = table(spark, d, "part").orderBy("p_partkey").select(F.col("p_name").alias("title"), F.col("p_type").alias("answer"), F.lit("").alias("link"))
-    part.coalesce(1).write.option("header", True).csv(path)
+    part = table(spark, d, "part").orderBy("p_partkey").limit(1000).select(F.col("p_name").alias("title"), F.col("p_type").alias("answer"), F.lit("").alias("link"))
+    part.write.option("header", True).csv(path)
     return csv_documents.read_csv_documents(spark, path)
 
 
-@query("sample_documents", "SELECT 10 AS documents, 10 AS urls, 'web' AS source_type")
+@query("sample_documents", "SELECT source AS source_type, count(*)::INTEGER AS documents, count(DISTINCT doc_id)::INTEGER AS urls FROM documents GROUP BY source UNION ALL SELECT 'web', 10, 10")
 def sample_documents(spark, d):
-    return samples.sample_documents(spark).groupBy("source_type").agg(F.count("*").cast("int").alias("documents"), F.count_distinct("url").cast("int").alias("urls"))
+    """The samples beside the documents of the table."""
+    docs = table(spark, d, "documents").select(F.col("source").alias("source_type"), F.concat(F.lit("https://docs.example.org/"), "doc_id").alias("url"))
+    return docs.unionByName(samples.sample_documents(spark).select("source_type", "url")).groupBy("source_type").agg(F.count("*").cast("int").alias("documents"), F.count_distinct("url").cast("int").alias("urls"))
 
 
 @query("cleared_table", "SELECT 'before' AS what, count(*) AS n FROM customer UNION ALL SELECT 'after', 0")
@@ -112,12 +114,13 @@ def event_epochs(spark, d):
     return table(spark, d, "events").select("event_id", F.round(F.unix_micros(F.col("ts").cast("timestamp")) / 1e6, 3).alias("epoch_seconds"))
 
 
-@query("chosen_documents_fallback", "SELECT * FROM (VALUES (0::BIGINT, -1::BIGINT, 'xx', 'passed'), (1, -2, 'xx', 'passed')) AS t(position, doc_id, lang, source)")
+@query("chosen_documents_fallback", "SELECT doc_id AS position, -doc_id AS doc_id, lang, 'passed' AS source FROM documents WHERE n_chars > 3000")
 def chosen_documents_fallback(spark, d):
     """None of the ids has a document, so the results that came with them are used."""
-    ids = spark.range(1).select(F.array(F.lit(-5).cast("long"), F.lit(-6).cast("long")).alias("ids"))
-    passed = spark.createDataFrame([(0, -1, "xx", "passed"), (1, -2, "xx", "passed")], "position int, doc_id long, lang string, source string")
-    return context.chosen_documents(ids, table(spark, d, "documents").select("doc_id", "lang", "source"), passed).select(F.col("position").cast("long").alias("position"), "doc_id", "lang", "source")
+    docs = table(spark, d, "documents")
+    ids = docs.agg(F.array(-F.max("doc_id") - 5, -F.max("doc_id") - 6).alias("ids"))
+    passed = docs.where("n_chars > 3000").select(F.col("doc_id").alias("position"), (-F.col("doc_id")).alias("doc_id"), "lang", F.lit("passed").alias("source"))
+    return context.chosen_documents(ids, docs.select("doc_id", "lang", "source"), passed).select(F.col("position").cast("long").alias("position"), "doc_id", "lang", "source")
 
 
 _FIRST = "first AS (SELECT conv_id, coalesce(min(text) FILTER (turn = 0), '') AS query, string_agg(CASE WHEN role = 'user' THEN 'User: ' ELSE 'Assistant: ' END || coalesce(text, ''), chr(10) ORDER BY turn) AS said FROM conversations GROUP BY conv_id)"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quarry.functions import text as x
@@ -73,19 +74,24 @@ def data_uri_payload(spark, d):
 
 
 # The Han characters that stand for a to z where documents are to be text without spaces.
-_HAN = "天地玄黄宇宙洪荒日月盈昃辰宿列张寒来暑往秋收冬藏闰余"
-_AZ = "abcdefghijklmnopqrstuvwxyz"
+HAN_LETTERS = "天地玄黄宇宙洪荒日月盈昃辰宿列张寒来暑往秋收冬藏闰余"
+AZ = "abcdefghijklmnopqrstuvwxyz"
 # letters become characters, and four words are run together
-_FOUR = "([^ ]+) ([^ ]+) ([^ ]+) ([^ ]+) "
+FOUR = "([^ ]+) ([^ ]+) ([^ ]+) ([^ ]+) "
 _LONGEST, _KNOWN = 8, 5000
 
 
+def as_han(text: Column) -> Column:
+    """A text as Han characters, four words run together."""
+    return F.translate(F.regexp_replace(F.lower(text), FOUR, "$1$2$3$4 "), AZ, HAN_LETTERS)
+
+
 @query(
     "lattice_tokens",
-    f"""WITH RECURSIVE w AS (SELECT unnest(regexp_extract_all(translate(lower(text), '{_AZ}', '{_HAN}'), '[{_HAN}]+')) AS word FROM documents),
+    f"""WITH RECURSIVE w AS (SELECT unnest(regexp_extract_all(translate(lower(text), '{AZ}', '{HAN_LETTERS}'), '[{HAN_LETTERS}]+')) AS word FROM documents),
 f AS (SELECT word, count(*) AS n FROM w WHERE length(word) BETWEEN 2 AND {_LONGEST} GROUP BY word ORDER BY n DESC, word LIMIT {_KNOWN}),
 total AS MATERIALIZED (SELECT sum(n) AS total FROM f), cost AS MATERIALIZED (SELECT word, floor({SCALE} * (ln(total) - ln(n)) + 0.5)::BIGINT AS c FROM f, total),
-docs AS MATERIALIZED (SELECT doc_id, regexp_extract_all(translate(regexp_replace(lower(text), '{_FOUR}', '\\1\\2\\3\\4 ', 'g'), '{_AZ}', '{_HAN}'), '[一-鿕]+|[a-zA-Z0-9]+(?:\\.[0-9]+)?%?') AS runs FROM documents),
+docs AS MATERIALIZED (SELECT doc_id, regexp_extract_all(translate(regexp_replace(lower(text), '{FOUR}', '\\1\\2\\3\\4 ', 'g'), '{AZ}', '{HAN_LETTERS}'), '[一-鿕]+|[a-zA-Z0-9]+(?:\\.[0-9]+)?%?') AS runs FROM documents),
 pieces AS MATERIALIZED (SELECT doc_id, unnest(runs) AS run, unnest(range(len(runs))) AS place FROM docs),
 han AS MATERIALIZED (SELECT DISTINCT run FROM pieces WHERE run >= '一'),
 s(run, i, best, path) AS (SELECT run, 0, [0::BIGINT], [[]::VARCHAR[]] FROM han
@@ -99,8 +105,8 @@ SELECT doc_id, coalesce(sum(len(tokens)), 0)::BIGINT AS n, md5(coalesce(string_a
 def lattice_tokens(spark, d):
     """Documents whose words have been run together as Han text, cut again by the most frequent of their words."""
     docs = table(spark, d, "documents")
-    words = docs.select(F.explode(F.regexp_extract_all(F.expr(f"translate(lower(text), '{_AZ}', '{_HAN}')"), F.lit(f"[{_HAN}]+"), F.lit(0))).alias("word"))
+    words = docs.select(F.explode(F.regexp_extract_all(F.expr(f"translate(lower(text), '{AZ}', '{HAN_LETTERS}')"), F.lit(f"[{HAN_LETTERS}]+"), F.lit(0))).alias("word"))
     frequent = words.where(F.length("word").between(2, _LONGEST)).groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(_KNOWN)
     cut = lattice_tokeniser({r.word: r.n for r in frequent.collect()}, hidden=False)
-    tokens = docs.select("doc_id", cut(F.translate(F.regexp_replace(F.lower("text"), _FOUR, "$1$2$3$4 "), _AZ, _HAN)).alias("tokens"))
+    tokens = docs.select("doc_id", cut(as_han(F.col("text"))).alias("tokens"))
     return tokens.select("doc_id", F.size("tokens").cast("long").alias("n"), _md5(F.array_join("tokens", " ")).alias("joined_md5"))
