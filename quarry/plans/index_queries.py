@@ -261,7 +261,17 @@ def upsert_postings(spark, d):
 _STEPS = """steps AS (SELECT doc_id, text FROM documents WHERE doc_id % 11 <> 0 AND doc_id % 4 <> 3 UNION ALL SELECT doc_id, 'again ' || left(text, 200) FROM documents WHERE doc_id % 11 <> 0 AND doc_id % 4 = 3)"""
 
 
+_steps: dict[tuple[str, str], segments.SegmentedIndex] = {}
+
+
 def _in_steps(spark, d):
+    key = spark.sparkContext.applicationId, d
+    if key not in _steps:
+        _steps[key] = _made_in_steps(spark, d)
+    return _steps[key]
+
+
+def _made_in_steps(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text")
     index = segments.SegmentedIndex(spark, f"{working_dir(spark)}/steps-{uuid.uuid4().hex[:8]}")
     for k in range(4):

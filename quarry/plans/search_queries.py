@@ -240,9 +240,9 @@ def dictionary_prefix(spark, d):
     return dictionary.prefixed(_dictionary(spark, d), "pl")
 
 
-@query("dictionary_merged", f"WITH {_fuzzy('copper')}, {_prefix('copper')}, staged AS (SELECT *, 0 AS stage FROM fuzzy UNION ALL SELECT *, 1 FROM prefixed), m AS (SELECT * FROM staged QUALIFY row_number() OVER (PARTITION BY keyword ORDER BY stage) = 1) SELECT keyword, count, distance FROM m ORDER BY distance, count DESC, keyword LIMIT 5")
+@query("dictionary_merged", f"WITH {_fuzzy('stel')}, {_prefix('stel')}, staged AS (SELECT *, 0 AS stage FROM fuzzy UNION ALL SELECT *, 1 FROM prefixed), m AS (SELECT * FROM staged QUALIFY row_number() OVER (PARTITION BY keyword ORDER BY stage) = 1) SELECT keyword, count, distance FROM m ORDER BY distance, count DESC, keyword LIMIT 5")
 def dictionary_merged(spark, d):
-    return dictionary.suggestions(_dictionary(spark, d), "copper")
+    return dictionary.suggestions(_dictionary(spark, d), "stel")
 
 
 @query("suggest_fallback", "WITH raw AS (SELECT p_name AS query, count(*) AS count FROM part GROUP BY 1), best AS (SELECT * FROM raw ORDER BY count DESC, query DESC LIMIT 1000) SELECT * FROM best WHERE starts_with(lower(query), 'ho') ORDER BY count DESC, query DESC LIMIT 5")
