@@ -140,13 +140,17 @@ def _most_bits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(shared <= np.minimum(a, b), np.floor(most), -1)
 
 
-def _crossing(left: pa.Table, right: pa.Table) -> pa.Table:
-    """Pairs (a < b) of a block of strays and a block of members that are of different components and whose sketches are alike."""
+def _crossing(at: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+    """Pairs (a < b) of a block of strays and a block of members that are of different components and whose sketches are alike.
+
+    A pair is given at the first of the buckets that it shares.
+    """
     found = [np.zeros((2, 0), np.int64)]
     if left.num_rows and right.num_rows:
         x, y = (np.stack(t["sketch"].to_pylist()).astype(np.int64).view(np.uint64) for t in (left, right))
         rep, other = left["rep"].to_numpy(), right["rep"].to_numpy()
         component, of_other = left["component"].to_numpy(), right["component"].to_numpy()
+        bands, other_bands = (np.stack(t["bands"].to_pylist()).astype(np.int64) for t in (left, right))
         kinds, n = np.unique(left["n"].to_numpy(), return_inverse=True)
         other_kinds, m = np.unique(right["n"].to_numpy(), return_inverse=True)
         for k in range(0, len(x), 256):
@@ -155,7 +159,11 @@ def _crossing(left: pa.Table, right: pa.Table) -> pa.Table:
                 bits += np.bitwise_count(x[k : k + 256, w, None] ^ y[None, :, w])
             most = _most_bits(kinds[:, None], other_kinds[None])[n[k : k + 256, None], m[None]] if len(kinds) * len(other_kinds) <= bits.size else _most_bits(kinds[n[k : k + 256]][:, None], other_kinds[m][None])
             i, j = np.nonzero((bits <= most) & (component[k : k + 256, None] != of_other[None]))
-            found.append(np.stack([np.minimum(rep[i + k], other[j]), np.maximum(rep[i + k], other[j])]))
+            for p in range(0, len(i), 50_000):
+                of, to = i[p : p + 50_000] + k, j[p : p + 50_000]
+                first = bands[of, (bands[of] == other_bands[to]).argmax(1)]
+                of, to = of[first == at[0].as_py()], to[first == at[0].as_py()]
+                found.append(np.stack([np.minimum(rep[of], other[to]), np.maximum(rep[of], other[to])]))
     a, b = np.concatenate(found, 1)
     return pa.table([pa.array(a), pa.array(b)], names=["a", "b"])
 
@@ -233,12 +241,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed = hits.join(label_of("rep"), "rep", "left").join(label_of("center"), "center", "left").select("key", "rep", F.coalesce("label_rep", "rep").alias("component"), (F.coalesce("label_rep", "rep") != F.coalesce("label_center", "center")).alias("strays"))
     placed = store(placed, "placed")
     discard(hits)
-    told = sketches.select(F.col("id").alias("rep"), "sketch", "n")
+    told = sketches.select(F.col("id").alias("rep"), "sketch", "bands", "n")
     # strays and all members of their buckets are dealt into blocks, and each block of strays meets each block of members in a task of its own
     sizes = placed.groupBy("key").agg(F.ceil(F.count_if("strays") / BLOCK).alias("high"), F.ceil(F.count("*") / BLOCK).alias("wide")).where("high > 0")
-    members_of = placed.join(sizes, "key").join(told, "rep").select("key", "rep", "component", "strays", "sketch", "n", "high", "wide", F.xxhash64("rep").alias("h"))
-    left = members_of.where("strays").select("key", F.pmod("h", F.col("high")).alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("wide") - 1)).alias("j"), "rep", "component", "sketch", "n")
-    again = [F.col(c).alias(c) for c in ("key", "rep", "component", "sketch", "n")]  # columns of their own, as both sides are of one table
+    members_of = placed.join(sizes, "key").join(told, "rep").select("key", "rep", "component", "strays", "sketch", "bands", "n", "high", "wide", F.xxhash64("rep").alias("h"))
+    left = members_of.where("strays").select("key", F.pmod("h", F.col("high")).alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("wide") - 1)).alias("j"), "rep", "component", "sketch", "bands", "n")
+    again = [F.col(c).alias(c) for c in ("key", "rep", "component", "sketch", "bands", "n")]  # columns of their own, as both sides are of one table
     right = members_of.select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("high") - 1)).alias("i"), F.pmod("h", F.col("wide")).alias("j"), *again)
     at = ["key", "i", "j"]
     near = left.groupBy(*at).cogroup(right.groupBy(*at)).applyInArrow(_crossing, "a long, b long")
