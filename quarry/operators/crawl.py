@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.html import own_text, read_page
-from quarry.functions.readability import readable
+from quarry.functions.readability import measured
 from quarry.functions.text import clean
 from quarry.functions.urls import is_image, is_valid, normalise
 from quarry.operators.visited import Bloom, unvisited
@@ -127,19 +127,24 @@ def main_texts(pages: DataFrame) -> DataFrame:
 
 
 def readable_texts(pages: DataFrame) -> DataFrame:
-    """(page_id, text): the readable part of each page by the scores of its paragraphs, its blocks on lines of their own; where no paragraph
-    is long enough to tell, the text outside menus, headers and the like. Too short a text gives null."""
+    """(page_id, text): the whole readable part of each page by the scores of its paragraphs, its blocks on lines of their own; where no paragraph
+    is long enough to tell, the text outside menus, headers and the like. Too short a text, as it stands in the page, gives null."""
+
+    def read(page: str) -> tuple[str, int]:
+        text, size = measured(page)
+        return (text, size) if text else ((own := own_text(page)), len(own))
 
     def run(batches):
         for b in batches:
             for k in range(0, b.num_rows, 256):
                 part = b.slice(k, 256)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([readable(h or "") or own_text(h or "") for h in part.column(1).to_pylist()], pa.string())], names=["page_id", "text"])
+                found = [read(h or "") for h in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([t for t, _ in found], pa.string()), pa.array([n for _, n in found], pa.int64())], names=["page_id", "text", "size"])
 
     kind = pages.schema["page_id"].dataType.simpleString()
     lines = F.filter(F.transform(F.split("text", r"\n+"), clean), lambda x: x != "")
-    text = F.when(F.length("text") >= SHORTEST_CONTENT, F.left(F.array_join(lines, "\n"), F.lit(LONGEST_CONTENT)))
-    return pages.select("page_id", "html").mapInArrow(run, f"page_id {kind}, text string").select("page_id", text.alias("text"))
+    text = F.when(F.col("size") >= SHORTEST_CONTENT, F.array_join(lines, "\n"))
+    return pages.select("page_id", "html").mapInArrow(run, f"page_id {kind}, text string, size long").select("page_id", text.alias("text"))
 
 
 def images(pages: DataFrame) -> DataFrame:

@@ -104,3 +104,16 @@ def test_as_a_table(spark):
     df = spark.createDataFrame(rows, "page_id long, html string").withColumn("text", F.lit(1))
     got = {r.page_id: r.text for r in crawl.readable_texts(df).collect()}
     assert got == {1: f"{long.strip()}\n{long.strip()}", 2: None, 3: None, 4: ("y " * 80).strip()}
+
+
+def test_lengths_are_those_of_the_page(spark):
+    """Each tag, comment and declaration counts as one character, added lines as none; nothing is cut from a long text."""
+    assert len(own_text("<!DOCTYPE html><!-- c --><p>ab</p>")) == 6
+    edge, short = "x" * 98, "<div class=ad>an advert that is quite long, and longer than the text</div>" * 3
+    long = "<p>" + "word, " * 30_000 + "</p>"
+    pages = [(1, f"<!DOCTYPE html><p>{edge}</p>"), (2, f"<article><h1>{'y' * 46}</h1><p>{'z' * 46}</p></article>"), (3, f"{short}<article><h1>a</h1>b</article>"), (4, f"<body><article>{long}</article></body>")]
+    df = spark.createDataFrame(pages, "page_id long, html string")
+    main = {r.page_id: r.text for r in crawl.main_texts(df).collect()}
+    got = {r.page_id: r.text for r in crawl.readable_texts(df).collect()}
+    assert main[1] == edge and got[2] is None and got[3] is None
+    assert len(got[4].split()) == 30_000
