@@ -197,3 +197,35 @@ def test_jdbc(spark):
     ranged = tables.read_jdbc(spark, url, "searches", "id", 1, 100, 4, driver="org.apache.derby.jdbc.EmbeddedDriver")
     plain = lambda df: sorted(tuple(r) for r in df.collect())
     assert plain(whole) == plain(ranged) == plain(rows) and ranged.rdd.getNumPartitions() == 4
+
+
+def test_equal_documents_have_equal_scores(spark):
+    """Postings of two equal documents come in different orders; rounding must not put one before the other."""
+    terms = [f"t{k}" for k in range(12)]
+    post = [(t, 1, k + 1, 78, [0]) for k, t in enumerate(terms)] + [(t, 0, k + 1, 78, [0]) for k, t in reversed(list(enumerate(terms)))]
+    i = index.Index(
+        spark.createDataFrame([(0, 78), (1, 78)], "doc_id long, doc_length long"), spark.createDataFrame(post, "term string, doc_id long, tf long, doc_length long, positions array<int>").coalesce(1),
+        spark.createDataFrame([(t, 3 * k + 1, 9) for k, t in enumerate(terms)], "term string, doc_frequency long, total_frequency long"), spark.createDataFrame([(100, 61.3)], "total_docs long, avg_doc_length double"),
+    )
+    got = retrieve.bm25_search(i, " ".join(terms)).collect()
+    assert got[0].score == got[1].score and [r.doc_id for r in got] == [0, 1]
+
+
+def test_lengths_need_no_postings(spark):
+    """What asks for lengths and statistics only makes no postings, and what reads all postings sorts none."""
+    i = index.build_index(docs(spark, [(1, "red bolt red"), (2, None), (3, "red 一二三"), (None, "x1 y2")]), F.col("text"))
+    assert {(r.doc_id, r.doc_length) for r in i.lengths.collect()} == {(1, 3), (2, 0), (3, 3), (None, 2)} and i.stats.first().total_docs == 3
+    assert not i.made("rows") and not i.made("postings") and not i.made("terms")
+    assert {r.term: r.total_frequency for r in i.terms.collect()} == {"red": 3, "bolt": 1, "一二": 1, "二三": 1, "x1": 1, "y2": 1} and not i.made("postings")
+    plain = lambda df: sorted((tuple(r) for r in df.collect()), key=str)
+    assert plain(i.postings) == plain(i.rows) == plain(index.postings(index.tokenised(docs(spark, [(1, "red bolt red"), (3, "red 一二三"), (None, "x1 y2")]), F.col("text"))))
+
+
+def test_keywords_of_frequent_and_other_terms(spark, sf, monkeypatch):
+    """Broadcasting some of the terms, all or none gives the same keywords; texts are not exchanged for them."""
+    i = index.open_index(spark, sf)
+    plain = lambda: sorted(tuple(r) for r in retrieve.keywords_tfidf(i).select("doc_id", "rank", "term", "weight").collect())
+    whole = plain()
+    for most in (0, 50):
+        monkeypatch.setattr(retrieve, "MOST_FREQUENT", most)
+        assert plain() == whole
