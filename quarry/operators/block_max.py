@@ -9,14 +9,17 @@ than the k-th best score so far, until there are none. The result is that of sco
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions.tokens import query_terms
 from quarry.operators.index import Index, open_index
-from quarry.operators.retrieve import idf, saturation, top
+from quarry.operators.retrieve import idf, saturation, summed, top
 from quarry.sources.tables import fingerprint, keep
 
 #: Documents of a slot, on average; lengths whose logarithms (to 2) differ by less than a GRADE-th are alike.
@@ -38,11 +41,39 @@ def build_blocks(index: Index) -> Blocks:
     grade = F.floor(F.log2("doc_length") * GRADE).cast("long")
     sizes = index.lengths.where("doc_length > 0").groupBy(grade.alias("grade")).agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("among"))
     sizes = F.broadcast(sizes)  # lengths have at most some hundred grades
-    rows = index.postings.select("term", "doc_id", "tf", "doc_length", grade.alias("grade")).join(sizes, "grade")
+    rows = index.rows.select("term", "doc_id", "tf", "doc_length", grade.alias("grade")).join(sizes, "grade")
     slot = F.col("grade") * (1 << 40) + F.pmod(F.xxhash64("doc_id"), F.col("among"))
-    rows = rows.select("term", slot.alias("slot"), "tf", "doc_length", F.struct("doc_id", "tf", "doc_length").alias("posting"))
-    blocks = rows.groupBy("term", "slot").agg(F.count("*").alias("n"), F.max("tf").alias("max_tf"), F.min("doc_length").alias("min_length"), F.collect_list("posting").alias("postings"))
-    return Blocks(index, keep(blocks, "blocks", by=("term", "slot")))
+    rows = rows.select("term", slot.alias("slot"), "doc_id", "tf", "doc_length")
+    # a block's rows are exchanged once, and then lie together
+    rows = rows.repartitionByRange("term", "slot").sortWithinPartitions("term", "slot")
+    return Blocks(index, keep(rows.mapInArrow(_gathered, f"term string, slot long, n long, max_tf long, min_length long, postings array<struct<doc_id: {index.rows.schema['doc_id'].dataType.simpleString()}, tf: long, doc_length: long>>"), "blocks"))
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of postings that are sorted by term and slot; the last block of a batch may go on in the next."""
+
+    def blocks(t: pa.Table, begins: np.ndarray) -> Iterator[pa.RecordBatch]:
+        t = t.combine_chunks()
+        terms, slots, ids, tf, lengths = (t.column(k).chunk(0) for k in range(5))
+        upto = np.append(begins, len(t))
+        postings = pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.StructArray.from_arrays([ids, tf, lengths], names=["doc_id", "tf", "doc_length"]))
+        first = pa.array(begins)
+        most, least = np.maximum.reduceat(tf.to_numpy(), begins), np.minimum.reduceat(lengths.to_numpy(), begins)
+        yield pa.RecordBatch.from_arrays([terms.take(first), slots.take(first), pa.array(np.diff(upto)), pa.array(most), pa.array(least), postings], names=["term", "slot", "n", "max_tf", "min_length", "postings"])
+
+    held = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        t = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
+        term, slot = t.column(0).combine_chunks().dictionary_encode(), t.column(1).to_numpy()
+        code = (term.combine_chunks() if isinstance(term, pa.ChunkedArray) else term).indices.to_numpy()
+        begins = np.concatenate([[0], np.flatnonzero((code[1:] != code[:-1]) | (slot[1:] != slot[:-1])) + 1])
+        if len(begins) > 1:
+            yield from blocks(t.slice(0, begins[-1]), begins[:-1])
+        held = t.slice(begins[-1]).combine_chunks()
+    if held is not None:
+        yield from blocks(held, np.array([0]))
 
 
 @dataclass
@@ -90,8 +121,8 @@ def search(built: Blocks, query: str, top_k: int = 10) -> tuple[DataFrame, Repor
             rows = mine.where(F.col("slot").isin([r.slot for r in told]))
         past = last.bound, last.slot
         report.read_blocks, report.read_slots = report.read_blocks + blocks, report.read_slots + read
-        hits = rows.select("term", F.explode("postings").alias("p")).join(frequencies, "term")
-        scored = hits.groupBy(F.col("p.doc_id").alias("doc_id")).agg(F.sum(part(F.col("p.tf"), F.col("p.doc_length"))).alias("score"))
+        hits = rows.select("term", F.explode("postings").alias("p")).join(frequencies, "term").select("term", "p.*", "doc_frequency")
+        scored = summed(hits, terms, part(F.col("tf"), F.col("doc_length")))
         # a document is in one slot, so its score is whole
         best = keep(top(scored if best is None else best.unionByName(scored), top_k), "best")
         kept = best.agg(F.count("*"), F.min("score")).first()
