@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.sources.tables import fingerprint, table, working_dir, written
+from quarry.sources.tables import fingerprint, sorted_copy, table, working_dir
 
 #: Ids that are looked up at a time; more of them are joined.
 MOST_LOOKED_UP = 1000
@@ -29,9 +29,9 @@ class DocumentStore:
 
 
 def build_store(docs: DataFrame, path: str, key: str = "doc_id") -> DocumentStore:
-    """Write documents in the order of their ids, in small row groups with Bloom filters on the id."""
+    """Write documents (of a table: they are read twice) in the order of their ids, in small row groups with Bloom filters on the id; one exchange and one copy."""
     options = {f"parquet.bloom.filter.enabled#{key}": "true", "parquet.block.size": str(ROW_GROUP)}
-    return DocumentStore(written(docs, path, by=(key,), **options), key)
+    return DocumentStore(sorted_copy(docs, path, (key,), **options), key)
 
 
 _open: dict[tuple[str, str], tuple[tuple, DocumentStore]] = {}
