@@ -34,6 +34,8 @@ BEAM, PROBES, QUERY_BLOCK = 64, 2, 8192
 SETTLED, WIDENED = 20, 3
 #: The largest top_k, and so how many copies of a vector are kept.
 MOST_RESULTS = 1000
+#: What single precision may take from a score.
+NEAR = 1e-5
 
 
 @dataclass
@@ -247,11 +249,54 @@ def settled(x: np.ndarray, layers: list[np.ndarray], entries: np.ndarray, querie
     return out
 
 
-def search(index: GraphIndex, queries: DataFrame, top_k: int = 20, probes: int = PROBES) -> tuple[DataFrame, DataFrame]:
+def _checked(size: int, k: int):
+    """Tasks of the exact check: the vectors of a shard that score no less than a query's k-th result, for each query that the shard can hold one for."""
+
+    def run(graph: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        out = [], [], []
+        if len(graph) and len(asked):
+            v, ids = _vectors(graph["vector"], size), graph["doc_id"].to_numpy()
+            x, norm = _unit(v), np.linalg.norm(v, axis=1)
+            middle = _unit(x.mean(0, dtype=np.float64)[None] + 1e-12)[0]
+            reach = np.arccos(np.clip((x @ middle).min(), -1, 1))
+            q, least, own = _vectors(asked["vector"], size), asked["least"].to_numpy() - NEAR, asked["query_id"].to_numpy()
+            unit = _unit(q)
+            # no vector of the shard is nearer to a query than its middle, by more than the shard reaches
+            may = np.flatnonzero(np.cos(np.maximum(0, np.arccos(np.clip(unit @ middle, -1, 1)) - reach)) >= least - NEAR)
+            step = max(1, 20_000_000 // len(x))
+            for at in range(0, len(may), step):
+                some = may[at : at + step]
+                near = unit[some] @ x.T >= least[some, None]
+                for row, i in enumerate(some.tolist()):
+                    best = np.flatnonzero(near[row])
+                    score = (v[best] * q[i]).sum(1) / (norm[best] * np.linalg.norm(q[i]))
+                    order = np.lexsort((ids[best], -score))[:k]
+                    out[0].append(np.full(len(order), own[i]))
+                    out[1].append(ids[best][order])
+                    out[2].append(score[order])
+        joined = [np.concatenate(o) if o else [] for o in out]
+        return pd.DataFrame(dict(zip(("query_id", "doc_id", "score"), joined, strict=True))).astype({"query_id": "int64", "doc_id": "int64", "score": "float64"})
+
+    return run
+
+
+def _dealt(nodes: DataFrame, opened: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes and the queries that open their shards (query_id, shard), both with the block of queries that a task takes."""
+    opened = opened.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(1 << 20)))
+    load = {r.shard: -(-r["count"] // QUERY_BLOCK) for r in opened.groupBy("shard").count().collect()}
+    blocks = F.create_map(*[F.lit(x) for s, n in load.items() if n > 1 for x in (s, n)]) if any(n > 1 for n in load.values()) else None
+    among = F.coalesce(F.try_element_at(blocks, F.col("shard")), F.lit(1)) if blocks is not None else F.lit(1)
+    graph = nodes.where(F.col("shard").isin(list(load))).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), (among - 1).cast("long"))))
+    return graph, opened.withColumn("block", F.pmod("block", among.cast("long")))
+
+
+def search(index: GraphIndex, queries: DataFrame, top_k: int = 20, probes: int = PROBES, check: bool = False) -> tuple[DataFrame, DataFrame]:
     """(query_id, rank, doc_id, score) of the `top_k` nearest found for each (query_id, query_vector), by exact cosine, and a report
     (query_id, shards, scored): how many shards each query has opened, and how many vectors it was held against.
 
     Queries without a usable vector have no results. A query opens `probes` shards, then twice as many for as long as its results change.
+    With `check`, an exact pass follows: results are then those of a full scan. It holds each query against the shards that may have a vector
+    nearer than its last result; where vectors lie evenly spread that is all of them, and the work grows as queries times vectors.
     """
     spark = queries.sparkSession
     if not 0 < top_k <= MOST_RESULTS:
@@ -271,17 +316,13 @@ def search(index: GraphIndex, queries: DataFrame, top_k: int = 20, probes: int =
             yield pd.DataFrame({"query_id": pdf["query_id"], "vector": [r.tobytes() for r in x], "centers": [o.tolist() for o in order]})
 
     open_ = keep(asked.mapInPandas(near, "query_id long, vector binary, centers array<int>"), "asked")
+    asked_all = open_
     shards_of = F.array(*[F.array(*map(F.lit, s)).cast("array<int>") for s in index.shards])
     walked, before, low, high = None, None, 0, probes
     best_first = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     while True:
         opened = open_.select("query_id", "vector", F.explode(F.flatten(F.transform(F.slice("centers", low + 1, high - low), lambda c: F.get(shards_of, c)))).alias("shard"))
-        opened = opened.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(1 << 20)))
-        load = {r.shard: -(-r["count"] // QUERY_BLOCK) for r in opened.groupBy("shard").count().collect()}
-        blocks = F.create_map(*[F.lit(x) for s, n in load.items() if n > 1 for x in (s, n)]) if any(n > 1 for n in load.values()) else None
-        among = F.coalesce(F.try_element_at(blocks, F.col("shard")), F.lit(1)) if blocks is not None else F.lit(1)
-        graph = index.nodes.where(F.col("shard").isin(list(load))).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), (among - 1).cast("long"))))
-        opened = opened.withColumn("block", F.pmod("block", among.cast("long")))
+        graph, opened = _dealt(index.nodes, opened)
         got = graph.groupBy("shard", "block").cogroup(opened.groupBy("shard", "block")).applyInPandas(_walked(index.size, top_k), found_schema)
         got = got.withColumn("shards", F.lit(1).cast("long")) if walked is None else walked.unionByName(got.withColumn("shards", F.lit(1).cast("long")))
         walked = keep(got, "walked")
@@ -297,6 +338,13 @@ def search(index: GraphIndex, queries: DataFrame, top_k: int = 20, probes: int =
                 break
         before = now
     ids = walked.select("query_id", "doc_id", "score")
+    if check:
+        place = F.row_number().over(best_first)
+        last = ids.withColumn("place", place).where(F.col("place") <= top_k).groupBy("query_id").agg(F.when(F.count("*") == top_k, F.min("score")).otherwise(F.lit(-2.0)).alias("least"))
+        told_all = asked_all.join(last, "query_id", "left").select("query_id", "vector", F.coalesce("least", F.lit(-2.0)).alias("least"))
+        every = [s for held in index.shards for s in held]
+        graph, opened = _dealt(index.nodes.select("shard", "doc_id", "vector"), keep(told_all, "told").withColumn("shard", F.explode(F.array(*map(F.lit, every)))))
+        ids = keep(graph.groupBy("shard", "block").cogroup(opened.groupBy("shard", "block")).applyInPandas(_checked(index.size, top_k), "query_id long, doc_id long, score double"), "checked")
     with_copies = ids.unionByName(ids.join(index.copies, "doc_id").select("query_id", F.col("copy").alias("doc_id"), "score"))
     ranked = with_copies.withColumn("rank", F.row_number().over(best_first)).where(F.col("rank") <= top_k)
     return ranked.select("query_id", "rank", "doc_id", "score"), walked.groupBy("query_id", "scored").agg(F.first("shards").alias("one")).groupBy("query_id").agg(F.sum("one").alias("shards"), F.sum("scored").alias("scored"))

@@ -100,3 +100,23 @@ def test_search_in_blocks(spark, monkeypatch):
     assert sorted(map(tuple, g.search(index, queries, 5)[0].collect())) == whole and len(whole) == 450
     empty = g.build(vectors.limit(0))
     assert g.search(empty, queries, 5)[0].count() == 0
+
+
+def test_checked_results_are_exact(spark, monkeypatch):
+    """The exact pass finds what the graphs have missed, copies included, whatever the beams give."""
+    r = np.random.default_rng(5)
+    x = np.concatenate([r.normal(size=(900, 48)), r.normal(size=(30, 48)) * 0.01 + r.normal(size=48) * 5])
+    x = np.concatenate([x, x[:40]]).astype(np.float32)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "doc_id long, embedding array<float>")
+    index = g.build(rows, shard=100)
+    asked = rows.where("doc_id % 10 = 0").selectExpr("doc_id AS query_id", "embedding AS query_vector")
+    # beams that find anything but the nearest
+    monkeypatch.setattr(g, "settled", lambda x, layers, entries, queries, k: [(np.arange(min(k, len(x))), k)] * len(queries))
+    got = {}
+    for t in g.search(index, asked, 10, probes=1, check=True)[0].collect():
+        got.setdefault(t.query_id, {})[t.rank] = t.doc_id
+    d = x.astype(float)
+    s = d @ d.T / np.linalg.norm(d, axis=1)[:, None] / np.linalg.norm(d, axis=1)
+    assert len(got) == len(d) // 10
+    for q, found in got.items():
+        assert [found[k] for k in range(1, 11)] == np.lexsort((np.arange(len(d)), -s[q].round(12)))[:10].tolist(), q
