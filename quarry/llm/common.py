@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import tempfile
 import uuid
 import weakref
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -99,6 +101,21 @@ def by_bytes(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.Recor
         at = past
 
 
+def released(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A task over Arrow batches that gives what it no longer uses back to the system when it ends: Python workers live on between tasks, and so would its peak."""
+
+    def freed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+                libc.malloc_trim(0)
+
+    return freed
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finaliser that spreads 64-bit words (xor-shift and multiply, bijective)."""
     x = x ^ (x >> np.uint64(30))

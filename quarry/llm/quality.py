@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import by_bytes, discard, store, table
+from .common import by_bytes, discard, released, store, table
 from .text_statistics import STATISTICS, measure
 
 #: The bound of the training sample, for each class of distinct texts.
@@ -28,8 +28,8 @@ TREES, DEPTH, SHARE, SHRINKAGE, LEAF, CUTS = 60, 3, 0.5, 0.15, 0.005, 48
 PENALTIES, LEAST_PENALTY, STEPS = 24, 2e-3, 300
 #: A text is good with such a score at least.
 GOOD = 0.7
-#: Bytes of text that are counted together.
-SLICE_BYTES = 2_000_000
+#: Bytes of text that are counted together: a task holds some hundred bytes for each.
+SLICE_BYTES = 400_000
 
 
 @dataclass(frozen=True)
@@ -230,7 +230,7 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 x = measure(b.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *(pa.array(np.ascontiguousarray(c)) for c in x.T)], names=schema.fieldNames())
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(released(run), schema)
 
 
 def training_sample(counted: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[np.ndarray, np.ndarray, float | None]:
