@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, discard, mix64, store, table
+from .common import by_bytes, discard, mix64, released, store, table
 from .components import components
 
 SHINGLE, BANDS, ROWS = 5, 32, 4
@@ -102,7 +102,7 @@ def _signatures(rows: DataFrame) -> DataFrame:
             cols = [b.column(0), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(cols, names=["id", "n", "k1", "k2", "bands", "sketch"])
 
-    return rows.mapInArrow(run, "id long, n long, k1 long, k2 long, bands array<long>, sketch array<long>")
+    return rows.mapInArrow(released(run), "id long, n long, k1 long, k2 long, bands array<long>, sketch array<long>")
 
 
 def _alike(x: Column, y: Column, a: Column, b: Column) -> Column:
@@ -194,10 +194,10 @@ def _confirmed(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     if needed.count() <= MOST_BROADCAST:
         needed = F.broadcast(needed)
     # an id that several texts share brings the set of each, and is linked by any of them
-    held = store(rows.join(needed, "id", "left_semi").mapInArrow(sets, "id long, k1 long, k2 long, s binary").dropDuplicates(["id", "k1", "k2"]).select("id", "s"), "sets")
+    held = store(rows.join(needed, "id", "left_semi").mapInArrow(released(sets), "id long, k1 long, k2 long, s binary").dropDuplicates(["id", "k1", "k2"]).select("id", "s"), "sets")
     with_a = pairs.join(held.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
     full = with_a.join(held.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b").select("a", "b", "sa", "sb")
-    confirmed = store(full.mapInArrow(check, "a long, b long"), "confirmed")
+    confirmed = store(full.mapInArrow(released(check), "a long, b long"), "confirmed")
     discard(pairs, ids, held)
     return confirmed
 

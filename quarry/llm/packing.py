@@ -23,13 +23,15 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .bpe import Vocabulary, encoder
-from .common import store, table
+from .common import by_bytes, released, store, table
 
 CAPACITY, END_ID = 2048, 1
 #: The cuts of bpe.PRETOKENS, written so that a regular expression engine never goes back over a long run.
 POSSESSIVE = r"'(?:s|t|re|ve|m|ll|d)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
 #: The shortest of the halved pieces, and how many pieces share a group, about.
 LEAST_HALF, PIECES_A_GROUP = 256, 1500
+#: Bytes of text that are encoded together.
+SLICE_BYTES = 2_000_000
 
 
 class LibraryEncoder:
@@ -134,7 +136,7 @@ def piece_rows(docs: DataFrame, path: str, capacity: int, end_id: int, least_hal
     def run(batches):
         enc = encoder(path, LibraryEncoder)
         end = np.array([end_id], "<u4")
-        for b in batches:
+        for b in (part for batch in batches for part in by_bytes(batch, 1, SLICE_BYTES)):
             doc, start, length, crc, total, held = [], [], [], [], [], []
             for i, ids in enumerate(enc.encode([t or "" for t in b.column(1).to_pylist()])):
                 ids = np.concatenate([ids, end])
@@ -150,7 +152,7 @@ def piece_rows(docs: DataFrame, path: str, capacity: int, end_id: int, least_hal
             cols = [b.column(0).take(pa.array(doc, pa.int64())), *(pa.array(x, pa.int64()) for x in (start, length, crc, total))]
             yield pa.RecordBatch.from_arrays(cols + [pa.array(held, pa.list_(pa.int32()))] * with_ids, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * with_ids)
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids)
+    return docs.select(id_col, text_col).mapInArrow(released(run), f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids)
 
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, least_half: int = LEAST_HALF, pieces_a_group: int = PIECES_A_GROUP, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:

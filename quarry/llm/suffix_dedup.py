@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, discard, mix64, store, table, whole_rows
+from .common import by_bytes, discard, mix64, released, store, table, whole_rows
 
 LENGTH, K = 400, 64
 #: Whole words in a row that are a passage, where words count: over 50.
@@ -223,7 +223,7 @@ def _scanned(rows: DataFrame, length: int, k: int, words: int) -> DataFrame:
             enough = pa.array([len(t) >= length or 0 < words <= len(t.split()) for t in texts], pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes), enough, sha, at, h, reach], names=["id", "n_bytes", "enough", "sha", "at", "h", "reach"])
 
-    return rows.mapInArrow(run, "id long, n_bytes long, enough boolean, sha binary, at array<int>, h array<long>, reach array<int>")
+    return rows.mapInArrow(released(run), "id long, n_bytes long, enough boolean, sha binary, at array<int>, h array<long>, reach array<int>")
 
 
 #: What is kept of an occurrence: what follows the anchor, and what precedes it, backwards; the windows that count lie in both together.
@@ -317,7 +317,7 @@ def _contexts(texts: DataFrame, length: int, k: int, words: int) -> DataFrame:
                         yield out.take()
         yield out.take()
 
-    return texts.select("sha", "text", "at", "h", "reach", "hot").mapInArrow(run, _CONTEXT_SQL)
+    return texts.select("sha", "text", "at", "h", "reach", "hot").mapInArrow(released(run), _CONTEXT_SQL)
 
 
 def _dealt(rows: DataFrame, step: tuple[int, int], length: int, k: int, words: int) -> DataFrame:
@@ -335,7 +335,7 @@ def _dealt(rows: DataFrame, step: tuple[int, int], length: int, k: int, words: i
                     yield out.take()
         yield out.take()
 
-    return rows.select("sha", "at", "right", "left", "ends").mapInArrow(run, _CONTEXT_SQL)
+    return rows.select("sha", "at", "right", "left", "ends").mapInArrow(released(run), _CONTEXT_SQL)
 
 
 def _matrix(rows: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -557,7 +557,7 @@ def _covered(contexts: DataFrame, length: int, k: int, words: int, hot: int, las
         kinds = [pa.binary(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int32()]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["sha", "start", "end", "by_words", "key", "at", "right", "left", "ends"])
 
-    return contexts.mapInArrow(run, "sha binary, start long, end long, by_words boolean, key long, at int, right binary, left binary, ends int")
+    return contexts.mapInArrow(released(run), "sha binary, start long, end long, by_words boolean, key long, at int, right binary, left binary, ends int")
 
 
 def merged(starts: list[int], ends: list[int]) -> list[tuple[int, int]]:
@@ -591,7 +591,7 @@ def _cut(texts: DataFrame, with_text: bool) -> DataFrame:
                 n = 6 if with_text else 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols[:n], kinds, strict=False)], names=names[:n])
 
-    return texts.select("sha", "text", "starts", "ends", "by_words").mapInArrow(run, "sha binary, n_removed long, n_spans long, kept_sha binary, passage_bytes long" + ", kept_text string" * with_text)
+    return texts.select("sha", "text", "starts", "ends", "by_words").mapInArrow(released(run), "sha binary, n_removed long, n_spans long, kept_sha binary, passage_bytes long" + ", kept_text string" * with_text)
 
 
 def without(data: bytes, runs: list[tuple[int, int]]) -> bytes:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import by_bytes, store, table
+from .common import by_bytes, released, store, table
 
 #: Bytes of a gram, the discount, and how many values a byte has.
 ORDER, DISCOUNT, UNITS = 8, 0.75, 256
@@ -282,7 +282,7 @@ def gram_counts(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                     yield summed(counts)
         yield summed(counts)
 
-    counted = labelled.select("toxic", "fold", "text").mapInArrow(run, "gram long, kind int, n long")
+    counted = labelled.select("toxic", "fold", "text").mapInArrow(released(run), "gram long, kind int, n long")
     kinds = [F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in range(2 * FOLDS)]
     counted = store(counted.groupBy("gram").agg(*kinds), "grams")
     size, most = counted.agg(F.count("*"), F.max(F.greatest(*[f"n{k}" for k in range(2 * FOLDS)]))).first()
@@ -323,7 +323,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     x, toxic = [np.zeros((0, FEATURES))], [np.zeros(0, np.int64)]
     for k in range(FOLDS):
         unseen = docs.sparkSession.sparkContext.broadcast(evidence(grams, everything - n[:, k]))
-        got = sample.where(F.col("fold") == k).select("toxic", "text").mapInArrow(_features(unseen), "toxic int, x array<double>").toArrow()
+        got = sample.where(F.col("fold") == k).select("toxic", "text").mapInArrow(released(_features(unseen)), "toxic int, x array<double>").toArrow()
         unseen.destroy()
         if got.num_rows:
             x.append(np.array(got.column(1).to_pylist()))
@@ -371,7 +371,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
                 yield pa.RecordBatch.from_arrays(cols, names=schema.fieldNames())
 
     schema = T.StructType([T.StructField(id_col, rows.schema[0].dataType), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), *(rows.schema[c] for c in carried)])
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(released(run), schema)
 
 
 def op7_toxicity(spark, sf_dir: str) -> DataFrame:
