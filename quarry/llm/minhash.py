@@ -10,6 +10,8 @@ of a band, every class is paired with the bucket's smallest. Once the confirmed
 to components, those that stray from the component of their bucket's smallest are held against all others of the bucket
 that are in another component, in blocks. A pair within a component needs no test, so no bucket is expanded
 into all its pairs, and no two classes that share a bucket and end in different components go untested.
+A block tells which of its classes have a likely pair; the full sets of these meet in the block again, where pairs are tested
+until its components are joined. It gives the links that join them, so fewer than it has classes, never its pairs.
 """
 
 from __future__ import annotations
@@ -37,8 +39,8 @@ MARGIN = 5.0
 MOST_BROADCAST = 2_000_000
 #: Bytes of text that are shingled together.
 SLICE_BYTES = 4_000_000
-#: Strays of a bucket that are held against as many members of it at a time.
-BLOCK = 2048
+#: Strays of a bucket that are held against as many members of it at a time, and bytes of their sets, on average, where these meet.
+BLOCK, BLOCK_BYTES = 2048, 16_000_000
 
 _rng = np.random.default_rng(20240229)
 _MULTIPLY = (_rng.integers(0, 1 << 31, SAMPLES, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
@@ -121,6 +123,7 @@ def _alike(x: Column, y: Column, a: Column, b: Column) -> Column:
     gone = F.exp(apart * -2 / n)
     folded = n / 4 * (1 - F.exp(apart * float(np.log1p(-4 / n)))) + n * n / 4 * (F.exp(apart * float(np.log1p(-4 / n))) - F.exp(apart * (2 * float(np.log1p(-2 / n)))))
     most = n / 2 * (1 - gone) + MARGIN * F.sqrt(F.greatest(folded, F.lit(0.0)) + gone * gone * drawn) + 3
+    most = F.when(larger <= KEPT, F.least(most, apart)).otherwise(most)  # a bitmap of whole sets has no more bits than these differ by
     return (shared <= F.least(a, b)) & (bits <= most)
 
 
@@ -137,47 +140,107 @@ def _most_bits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     once = np.exp(apart * np.log1p(-4 / n))
     folded = n / 4 * (1 - once) + n * n / 4 * (once - np.exp(apart * (2 * np.log1p(-2 / n))))
     most = n / 2 * (1 - gone) + MARGIN * np.sqrt(np.maximum(folded, 0.0) + gone * gone * drawn) + 3
+    most = np.where(larger <= KEPT, np.minimum(most, apart), most)
     return np.where(shared <= np.minimum(a, b), np.floor(most), -1)
 
 
-def _crossing(at: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-    """Pairs (a < b) of a block of strays and a block of members that are of different components and whose sketches are alike.
+def _likely(at: tuple, left: pa.Table, right: pa.Table):
+    """For each of a block of strays that has some: its place, and those of the members that are of another component and have a sketch like its own, the likest first.
 
-    A pair is given at the first of the buckets that it shares.
+    A pair is given at the first of the buckets that it shares, and once where both stray.
     """
-    found = [np.zeros((2, 0), np.int64)]
-    if left.num_rows and right.num_rows:
-        x, y = (np.stack(t["sketch"].to_pylist()).astype(np.int64).view(np.uint64) for t in (left, right))
-        rep, other = left["rep"].to_numpy(), right["rep"].to_numpy()
-        component, of_other = left["component"].to_numpy(), right["component"].to_numpy()
-        bands, other_bands = (np.stack(t["bands"].to_pylist()).astype(np.int64) for t in (left, right))
-        kinds, n = np.unique(left["n"].to_numpy(), return_inverse=True)
-        other_kinds, m = np.unique(right["n"].to_numpy(), return_inverse=True)
-        for k in range(0, len(x), 256):
-            bits = np.zeros((len(x[k : k + 256]), len(y)), np.uint16)
-            for w in range(x.shape[1]):
-                bits += np.bitwise_count(x[k : k + 256, w, None] ^ y[None, :, w])
-            most = _most_bits(kinds[:, None], other_kinds[None])[n[k : k + 256, None], m[None]] if len(kinds) * len(other_kinds) <= bits.size else _most_bits(kinds[n[k : k + 256]][:, None], other_kinds[m][None])
-            i, j = np.nonzero((bits <= most) & (component[k : k + 256, None] != of_other[None]))
-            for p in range(0, len(i), 50_000):
-                of, to = i[p : p + 50_000] + k, j[p : p + 50_000]
-                first = bands[of, (bands[of] == other_bands[to]).argmax(1)]
-                of, to = of[first == at[0].as_py()], to[first == at[0].as_py()]
-                found.append(np.stack([np.minimum(rep[of], other[to]), np.maximum(rep[of], other[to])]))
-    a, b = np.concatenate(found, 1)
-    return pa.table([pa.array(a), pa.array(b)], names=["a", "b"])
+    if not left.num_rows or not right.num_rows:
+        return
+    x, y = (np.stack(t["sketch"].to_pylist()).astype(np.int64).view(np.uint64) for t in (left, right))
+    rep, other, again = left["rep"].to_numpy(), right["rep"].to_numpy(), right["strays"].to_numpy()
+    component, of_other = left["component"].to_numpy(), right["component"].to_numpy()
+    bands, other_bands = (np.stack(t["bands"].to_pylist()).astype(np.int64) for t in (left, right))
+    kinds, n = np.unique(left["n"].to_numpy(), return_inverse=True)
+    other_kinds, m = np.unique(right["n"].to_numpy(), return_inverse=True)
+    for k in range(0, len(x), 256):
+        bits = np.zeros((len(x[k : k + 256]), len(y)), np.uint16)
+        for w in range(x.shape[1]):
+            bits += np.bitwise_count(x[k : k + 256, w, None] ^ y[None, :, w])
+        most = _most_bits(kinds[:, None], other_kinds[None])[n[k : k + 256, None], m[None]] if len(kinds) * len(other_kinds) <= bits.size else _most_bits(kinds[n[k : k + 256]][:, None], other_kinds[m][None])
+        alike = (bits <= most) & (component[k : k + 256, None] != of_other[None]) & ~(again[None] & (other[None] < rep[k : k + 256, None]))
+        for i in np.nonzero(alike.any(1))[0]:
+            to = np.nonzero(alike[i])[0]
+            to = to[bands[k + i, (bands[k + i] == other_bands[to]).argmax(1)] == at[0].as_py()]
+            if len(to):
+                yield k + i, to[np.argsort(bits[i, to], kind="stable")]
+
+
+def _involved(at: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+    """The strays and the members of a block that are in likely pairs, and which of the two each is."""
+    strays, members = np.zeros(left.num_rows, bool), np.zeros(right.num_rows, bool)
+    for i, to in _likely(at, left, right):
+        strays[i] = members[to] = True
+    names = ["key", "rep", "component", "strays"]
+    out = [t.select(names).filter(pa.array(some)) for t, some in ((left, strays), (right, members)) if some.any()]
+    held = [np.concatenate([t[c].to_numpy() for t in out] or [np.zeros(0, bool if c == "strays" else np.int64)]) for c in names]
+    return pa.table([pa.array(x) for x in (*held, np.repeat([True, False], [strays.sum(), members.sum()]))], names=[*names, "left"])
+
+
+def _similar(s: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """Which of the other sets are linked with `s`; none is empty."""
+    sizes = np.fromiter(map(len, others), np.int64, len(others))
+    every = np.concatenate(others)
+    both = np.add.reduceat(s[np.minimum(np.searchsorted(s, every), len(s) - 1)] == every, np.cumsum(sizes) - sizes, dtype=np.int64)
+    return 100 * both >= PERCENT * (len(s) + sizes - both)
+
+
+def _joining(at: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+    """Links (a < b) that join the components of a block as far as its likely pairs do, tested on full sets."""
+    if not left.num_rows or not right.num_rows:
+        return pa.table([pa.array([], pa.int64())] * 2, names=["a", "b"])
+    rep, other = left["rep"].to_numpy(), right["rep"].to_numpy()
+    component, of_other = left["component"].to_numpy().copy(), right["component"].to_numpy().copy()
+    sets, other_sets = ([np.frombuffer(v.as_buffer(), np.uint64) for v in t["s"]] for t in (left, right))
+    found = []
+    for i, to in _likely(at, left, right):
+        taken = 1
+        while len(to := to[of_other[to] != component[i]]):
+            now, to = to[:taken], to[taken:]
+            for j in now[_similar(sets[i], [other_sets[j] for j in now])]:
+                if (joined := of_other[j]) != component[i]:
+                    found.append(sorted((int(rep[i]), int(other[j]))))
+                    component[component == joined] = of_other[of_other == joined] = component[i]
+            taken = min(2 * taken, 256)
+    a, b = zip(*found, strict=True) if found else ((), ())
+    return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def _met(rows: DataFrame, of_left: Column, of_right: Column, columns: list[str], run, schema: str) -> DataFrame:
+    """Rows of either side of a bucket are dealt into `high` and `wide` blocks; each block of one side meets each of the other in a task of its own."""
+    h = F.xxhash64("rep")
+    left = rows.where(of_left).select(F.pmod(h, "high").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("wide") - 1)).alias("j"), *columns)
+    again = [F.col(c).alias(c) for c in columns]  # columns of their own, as both sides are of one table
+    right = rows.where(of_right).select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("high") - 1)).alias("i"), F.pmod(h, "wide").alias("j"), *again)
+    at = ["key", "i", "j"]
+    return left.groupBy(*at).cogroup(right.groupBy(*at)).applyInArrow(run, schema)
 
 
-def _confirmed(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) whose full sets are similar enough."""
+def _sets(rows: DataFrame) -> DataFrame:
+    """id, k1, k2 and the set of each row."""
 
-    def sets(batches):
+    def run(batches):
         for batch in batches:
             for b in by_bytes(batch, 1, SLICE_BYTES):
                 found = [shingles(t) for t in b.column(1).to_pylist()]
                 k1, k2 = zip(*map(set_keys, found), strict=True)
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], names=["id", "k1", "k2", "s"])
 
+    return rows.mapInArrow(released(run), "id long, k1 long, k2 long, s binary").dropDuplicates(["id", "k1", "k2"])
+
+
+def _among(rows: DataFrame, needed: DataFrame) -> DataFrame:
+    """Rows with one of the stored ids."""
+    return rows.join(F.broadcast(needed) if needed.count() <= MOST_BROADCAST else needed, "id", "left_semi")
+
+
+def _confirmed(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) whose full sets are similar enough."""
+
     def check(batches):
         for b in batches:
             keep = []
@@ -190,11 +253,9 @@ def _confirmed(pairs: DataFrame, rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).take(pa.array(keep, pa.int64()))
 
     pairs = store(pairs, "pairs")
-    ids = needed = store(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "needed")
-    if needed.count() <= MOST_BROADCAST:
-        needed = F.broadcast(needed)
+    ids = store(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "needed")
     # an id that several texts share brings the set of each, and is linked by any of them
-    held = store(rows.join(needed, "id", "left_semi").mapInArrow(released(sets), "id long, k1 long, k2 long, s binary").dropDuplicates(["id", "k1", "k2"]).select("id", "s"), "sets")
+    held = store(_sets(_among(rows, ids)).select("id", "s"), "sets")
     with_a = pairs.join(held.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
     full = with_a.join(held.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b").select("a", "b", "sa", "sb")
     confirmed = store(full.mapInArrow(released(check), "a long, b long"), "confirmed")
@@ -218,7 +279,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = store(signed.select("id", "n", "k1", "k2").join(classes, ["k1", "k2", "n"], "left").select("id", "n", F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.coalesce("rep", "id")).otherwise(F.col("id")).alias("rep")), "members")
     reps = signed.join(classes, ["k1", "k2", "n"], "left").where("n > 0 and id is not null")
     chosen = reps.where("rep = id").dropDuplicates(["id", "k1", "k2", "n"])
-    sketches = store(reps.where("rep is null").unionByName(chosen).select("id", "n", "sketch", "bands"), "sketches")
+    sketches = store(reps.where("rep is null").unionByName(chosen).select("id", "n", "k1", "k2", "sketch", "bands"), "sketches")
     # an id whose texts are of several classes is one document, which links these
     several = members.where("id is not null").groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("last")).where("a != last").select("id", "a")
     shared = store(members.join(several, "id").where("rep != a").select("a", F.col("rep").alias("b")).distinct(), "shared")
@@ -232,7 +293,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return sketches.select(F.col("id").alias(name), F.col("sketch").alias(f"sketch_{name}"), F.col("n").alias(f"n_{name}"))
 
     stars = hits.where("rep != center").select(F.col("center").alias("a"), F.col("rep").alias("b")).distinct()
-    stars = store(stars, "stars")
     sifted = stars.join(sketch_of("b"), "b").join(sketch_of("a"), "a").where(_alike(*map(F.col, ("sketch_a", "sketch_b", "n_a", "n_b")))).select("a", "b")
     links = _confirmed(sifted, rows).unionByName(shared)
     labels = components(links)
@@ -242,18 +302,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed = store(placed, "placed")
     discard(hits)
     told = sketches.select(F.col("id").alias("rep"), "sketch", "bands", "n")
-    # strays and all members of their buckets are dealt into blocks, and each block of strays meets each block of members in a task of its own
+    # strays and all members of their buckets meet in blocks
     sizes = placed.groupBy("key").agg(F.ceil(F.count_if("strays") / BLOCK).alias("high"), F.ceil(F.count("*") / BLOCK).alias("wide")).where("high > 0")
-    members_of = placed.join(sizes, "key").join(told, "rep").select("key", "rep", "component", "strays", "sketch", "bands", "n", "high", "wide", F.xxhash64("rep").alias("h"))
-    left = members_of.where("strays").select("key", F.pmod("h", F.col("high")).alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("wide") - 1)).alias("j"), "rep", "component", "sketch", "bands", "n")
-    again = [F.col(c).alias(c) for c in ("key", "rep", "component", "sketch", "bands", "n")]  # columns of their own, as both sides are of one table
-    right = members_of.select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("high") - 1)).alias("i"), F.pmod("h", F.col("wide")).alias("j"), *again)
-    at = ["key", "i", "j"]
-    near = left.groupBy(*at).cogroup(right.groupBy(*at)).applyInArrow(_crossing, "a long, b long")
-    crossing = near.distinct().join(stars, ["a", "b"], "left_anti")
-    crossing = store(crossing, "crossing")
-    if not crossing.isEmpty():
-        labels = components(links.unionByName(_confirmed(crossing, rows)))
+    columns = ["key", "rep", "component", "strays", "sketch", "bands", "n"]
+    members_of = placed.join(sizes, "key").join(told, "rep")
+    involved = _met(members_of, F.col("strays"), F.lit(True), columns, _involved, "key long, rep long, component long, strays boolean, left boolean")
+    involved = store(involved.distinct(), "involved")
+    if not involved.isEmpty():
+        ids = store(involved.select(F.col("rep").alias("id")).distinct(), "needed")
+        # of an id that several texts share, the sets that stand for a class; `shared` links the others
+        held = store(_sets(_among(rows, ids)).join(sketches, ["id", "k1", "k2"]).select(F.col("id").alias("rep"), "n", "sketch", "bands", "s"), "sets")
+        again = involved.join(held, "rep")
+        blocks = lambda side: F.ceil(F.greatest(F.count_if(side) / BLOCK, F.sum(F.when(side, 8 * F.col("n"))) / BLOCK_BYTES))
+        sizes = again.groupBy("key").agg(blocks(F.col("left")).alias("high"), blocks(~F.col("left")).alias("wide"))
+        crossing = store(_met(again.join(sizes, "key"), F.col("left"), ~F.col("left"), [*columns, "s"], _joining, "a long, b long").distinct(), "crossing")
+        discard(ids, held)
+        if not crossing.isEmpty():
+            labels = components(links.unionByName(crossing))
 
     out = members.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left")
     component = F.coalesce("component", "rep")

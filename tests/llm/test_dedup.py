@@ -187,6 +187,42 @@ def test_templates(spark):
     assert time.time() - began < 120
 
 
+def test_blocks_give_links_not_pairs(spark, monkeypatch):
+    """A group of near copies that falls into many components: what its blocks give grows with its rows, not with their square."""
+    r = random.Random(15)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    frame = [word() for _ in range(60)]
+    texts = []
+    for _ in range(800):
+        words = list(frame)
+        for at in r.sample(range(60), 2):
+            words[at] = word()
+        texts.append(" ".join(words))
+    rows = list(enumerate(texts))
+    counts = Counter()
+
+    def counted(df, name, kept=minhash.store):
+        out = kept(df, name)
+        counts[name] += out.count()
+        return out
+
+    monkeypatch.setattr(minhash, "store", counted)
+    monkeypatch.setattr(minhash, "BLOCK", 300)
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in near_duplicates(table(spark, rows)).collect()}
+    assert got == brute_components(rows)
+    assert counts["crossing"] + counts["pairs"] < 10 * len(rows)
+
+
+def test_tested_sets_are_linked_as_counted():
+    """Sets against one, among them its like, parts of it, larger ones and ones past its end."""
+    r = np.random.default_rng(8)
+    pool = np.unique(r.integers(0, 1 << 63, 400, dtype=np.uint64))
+    s = pool[:100]
+    others = [s, s[:75], s[:74], pool[:133], pool[:134], pool[25:100], pool[300:], pool[10:110], pool[:1]]
+    want = [100 * len(np.intersect1d(s, t)) >= 75 * len(np.union1d(s, t)) for t in others]
+    assert minhash._similar(s, others).tolist() == want and True in want and False in want
+
+
 def test_blocks_find_what_expressions_find(spark, monkeypatch):
     """The bound over arrays is that of the plan."""
     r = np.random.default_rng(6)
