@@ -117,3 +117,13 @@ def test_lengths_are_those_of_the_page(spark):
     got = {r.page_id: r.text for r in crawl.readable_texts(df).collect()}
     assert main[1] == edge and got[2] is None and got[3] is None
     assert len(got[4].split()) == 30_000
+
+
+_CUT = "token = &quot &lt &copy2 &nbsp &amp &ampx; &amp;quot; &quot;a&quot; &eacute;&#233;&#xE9; &nosuch; &"
+_CUT_READ = 'token = &quot &lt &copy2 &nbsp & &x; &quot; "a" ééé &nosuch; &'
+
+
+def test_main_text_keeps_references_that_are_cut(spark):
+    """A reference without its semicolon stays as it is written, except `&amp`; others are decoded once."""
+    df = spark.createDataFrame([(1, f"<h1>{_CUT}</h1>{'x ' * 60}"), (2, f"{'y' * 96}<b>&quot</b>")], "page_id long, html string")
+    assert {r.page_id: r.text for r in crawl.main_texts(df).collect()} == {1: f"{_CUT_READ} {'x ' * 60}".strip(), 2: f"{'y' * 96} &quot"}
