@@ -127,3 +127,12 @@ def test_main_text_keeps_references_that_are_cut(spark):
     """A reference without its semicolon stays as it is written, except `&amp`; others are decoded once."""
     df = spark.createDataFrame([(1, f"<h1>{_CUT}</h1>{'x ' * 60}"), (2, f"{'y' * 96}<b>&quot</b>")], "page_id long, html string")
     assert {r.page_id: r.text for r in crawl.main_texts(df).collect()} == {1: f"{_CUT_READ} {'x ' * 60}".strip(), 2: f"{'y' * 96} &quot"}
+
+
+def test_readable_text_keeps_references_that_are_cut(spark):
+    """The same in the parts that paragraphs choose, where a page's only article is its text, and where there is neither."""
+    long, few = "Some words, that are read by somebody who reads them. " * 3, "<p>z y</p>" * 20
+    pages = [(1, f"<nav>menu</nav><article><h1>{_CUT}</h1><p>{long}</p></article>"), (2, f"<div class=ad>an advert &quot</div><article><h1>&quot</h1>{few}</article>"), (3, f"&quot {few}")]
+    df = spark.createDataFrame(pages, "page_id long, html string")
+    got = {r.page_id: " ".join(r.text.split()) for r in crawl.readable_texts(df).collect()}
+    assert got == {1: f"{_CUT_READ} {long}".strip(), 2: "&quot" + " z y" * 20, 3: "&quot" + " z y" * 20}
