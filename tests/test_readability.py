@@ -136,3 +136,10 @@ def test_readable_text_keeps_references_that_are_cut(spark):
     df = spark.createDataFrame(pages, "page_id long, html string")
     got = {r.page_id: " ".join(r.text.split()) for r in crawl.readable_texts(df).collect()}
     assert got == {1: f"{_CUT_READ} {long}".strip(), 2: "&quot" + " z y" * 20, 3: "&quot" + " z y" * 20}
+
+
+def test_titles_keep_references_that_are_cut(spark):
+    """The same in titles and first headings."""
+    pages = [(1, "u", f"<title>{_CUT}</title><h1>no</h1>"), (2, "u", f"<title></title><h1>{_CUT}</h1>"), (3, "u", "<title>&quot</title><h1>no</h1>")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    assert {r.page_id: r.title for r in crawl.titles(df).collect()} == {1: _CUT_READ, 2: _CUT_READ, 3: "&quot"}
